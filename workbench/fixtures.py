@@ -291,3 +291,41 @@ def normal_sql(parts: tuple[str, ...], axis: str) -> str:
     return (f"CASE {axis} WHEN 0 THEN sqrt(-2.0::DOUBLE*ln(1-{u[0]}))*cos(2*pi()*{u[1]}) "
             f"WHEN 1 THEN sqrt(-2.0::DOUBLE*ln(1-{u[0]}))*sin(2*pi()*{u[1]}) "
             f"ELSE sqrt(-2.0::DOUBLE*ln(1-{u[2]}))*cos(2*pi()*{u[3]}) END")
+
+
+# -- scored embeddings --------------------------------------------------------
+# Three scorers that differ in the vector part they look at: first half, second half, all.
+PARTS = {"lstm": (1, 32), "gru": (33, 32), "gru_mha": (1, 64)}
+LABELS = tuple(str(i) for i in range(10))
+
+
+def scored(t: Tables) -> DataFrame:
+    """(model, split, vec_id, label, probs): centroids fitted on the drawn train part."""
+    from limbwise.operators.scoring import fit_centroids
+    base = t.table("embeddings").select("vec_id", F.col("label").cast("string").alias("label"),
+                                        F.col("embedding").cast("array<double>").alias("e"),
+                                        F.when(uniform("fit", F.col("vec_id")) < 0.8, "train").otherwise("test").alias("split"))
+    out = None
+    for model, (first, count) in PARTS.items():
+        part = F.slice("e", first, count)
+        scorer = fit_centroids(base.where("split = 'train'"), "label", part)
+        rows = base.select(F.lit(model).alias("model"), "split", "vec_id", "label", scorer.probabilities(part).alias("probs"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+SQL["emb_part"] = (("addressed",), """
+    SELECT m.model, vec_id, label, d, e[d] AS v,
+           CASE WHEN ('0x' || substr(md5('fit|' || vec_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.8::DOUBLE THEN 'train' ELSE 'test' END AS split
+    FROM addressed, range(1, 65) r(d), (VALUES ('lstm', 1, 32), ('gru', 33, 64), ('gru_mha', 1, 64)) m(model, lo, hi)
+    WHERE d BETWEEN lo AND hi""")
+SQL["scored"] = (("emb_part",), """
+    SELECT model, split, vec_id, label, c, exp(-8 * d2 - max(-8 * d2) OVER w) / sum(exp(-8 * d2 - top)) OVER w AS p
+    FROM (SELECT *, max(-8 * d2) OVER (PARTITION BY model, vec_id) AS top FROM (
+      SELECT e.model, any_value(e.split) AS split, e.vec_id, any_value(e.label) AS label, k.label AS c, sum((e.v - k.v) * (e.v - k.v)) AS d2
+      FROM emb_part e JOIN (SELECT model, label, d, avg(v) AS v FROM emb_part WHERE split = 'train' GROUP BY ALL) k
+      ON e.model = k.model AND e.d = k.d GROUP BY e.model, e.vec_id, k.label))
+    WINDOW w AS (PARTITION BY model, vec_id)""")
+SQL["decided"] = (("scored",), """
+    SELECT model, split, vec_id, any_value(label) AS label, arg_max(c, p) AS pred, max(p) AS conf,
+           max(p) - max(p, 2)[2] AS margin FROM scored GROUP BY model, split, vec_id""")
