@@ -44,6 +44,7 @@ def signatures(frames: DataFrame, settings: Settings = Settings(), first_frames:
     """Mean normalised pose x, y of a clip's early frames as ``sig ARRAY<DOUBLE>``.
 
     A fixed number of scalar averages in one partial aggregate; no frame list is built.
+    Rounded to 12 digits, since partial sums may arrive in any order.
     """
     lay = settings.layout
     n = lay.span("pose")[1]
@@ -52,7 +53,7 @@ def signatures(frames: DataFrame, settings: Settings = Settings(), first_frames:
              .withColumn("_n", F.flatten(F.transform(F.slice(normalise(F.col("coords"), F.col("mask"), lay), 1, n),
                                                      lambda p: F.slice(p, 1, 2)))))
     return poses.groupBy("clip_id", *keep).agg(
-        F.array(*[F.avg(F.get("_n", F.lit(d))) for d in range(2 * n)]).alias("sig"))
+        F.array(*[F.round(F.avg(F.get("_n", F.lit(d))), 12) for d in range(2 * n)]).alias("sig"))
 
 
 # -- near-duplicates ---------------------------------------------------------
@@ -151,7 +152,8 @@ def top_duplicate_pairs(signed: DataFrame, limit: int = 200, group: str = "label
             .unionByName(groups.where(F.col("copies") > 1).select(group, F.col("rep").alias("a"), F.col("rep").alias("b"),
                                                                   F.lit(1.0).alias("similarity")))
             .withColumn("similarity", F.round("similarity", 6))
-            .orderBy(F.desc("similarity"), group, "a", "b").limit(4 * limit * limit))
+            # each entry yields a clip pair that precedes all pairs of later entries (one tie per "a")
+            .orderBy(F.desc("similarity"), group, "a", "b").limit(limit + 1))
     first = members.select(group, F.col("rep").alias("a"), F.col("clip_id").alias("ca"), F.col("split").alias("sa"))
     second = members.select(group, F.col("rep").alias("b"), F.col("clip_id").alias("cb"), F.col("split").alias("sb"))
     pairs = reps.join(first, [group, "a"]).join(second, [group, "b"]).where(
