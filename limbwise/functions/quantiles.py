@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limbwise.functions.scans import running
+from limbwise.functions.scans import Scan, running
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column,
@@ -29,7 +29,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column,
     sliced = (counts.join(cuts, grain)
               .withColumn("_slice", F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))))
               .drop("_cuts"))
-    ranked = running(sliced, grain, "_slice", [F.col("_v")], {"_upto": ("sum", F.col("_n"))})
+    ranked = running(sliced, grain, "_slice", [F.col("_v")], {"_upto": Scan("sum", F.col("_n"))})
     aggs = []
     for name, q in wanted.items():
         pos = (F.col("_total") - 1) * F.lit(float(q))

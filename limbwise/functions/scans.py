@@ -10,6 +10,7 @@ to one row, the summaries are scanned per key, and the carry is joined back on
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,15 @@ from pyspark.sql import functions as F
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+class Scan(NamedTuple):
+    """One running aggregate: ``sum``, ``max`` or ``min`` of ``value`` along the order."""
+
+    kind: str
+    value: Column
+    backward: bool = False
+    inclusive: bool = True
+
+
 def _merge(kind: str, a: Column, b: Column) -> Column:
     if kind == "sum":
         return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
@@ -24,31 +34,30 @@ def _merge(kind: str, a: Column, b: Column) -> Column:
 
 
 def running(df: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence[Column],
-            outputs: dict[str, tuple[str, Column]], *, backward: bool = False,
-            inclusive: bool = True) -> DataFrame:
-    """Running sum / max / min over each key in order, one pass for all ``outputs``.
+            outputs: dict[str, Scan]) -> DataFrame:
+    """Running aggregates over each key in order, all ``outputs`` in one pass.
 
-    ``outputs`` maps a new column to ``(kind, value)``. ``backward`` scans from the end.
-    ``order`` must be total within a slice.
+    ``order`` must be total within a slice and ``slice_col`` monotone in it. Backward
+    scans run from the end; exclusive ones leave the row itself out.
     """
     keys = list(keys)
-    flip = (lambda c: c.desc()) if backward else (lambda c: c.asc())
-    inner = (Window.partitionBy(*keys, slice_col).orderBy(*[flip(c) for c in order])
-             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    outer = (Window.partitionBy(*keys).orderBy(flip(F.col(slice_col)))
-             .rowsBetween(Window.unboundedPreceding, -1))
+
+    def ordered(part: list[str], cols: Sequence[Column], scan: Scan, own: bool):
+        cols = [c.desc() if scan.backward else c.asc() for c in cols]
+        return Window.partitionBy(*part).orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+
     per_slice = df.groupBy(*keys, slice_col).agg(
-        *[_FOLD[kind](value).alias(f"_t_{name}") for name, (kind, value) in outputs.items()])
+        *[_FOLD[s.kind](s.value).alias(f"_t_{name}") for name, s in outputs.items()])
     carry = per_slice.select(*keys, slice_col, *[
-        _FOLD[kind](f"_t_{name}").over(outer).alias(f"_c_{name}")
-        for name, (kind, _) in outputs.items()])
-    local = df.select("*", *[_FOLD[kind](value).over(inner).alias(f"_w_{name}")
-                             for name, (kind, value) in outputs.items()])
+        _FOLD[s.kind](f"_t_{name}").over(ordered(keys, [F.col(slice_col)], s, False)).alias(f"_c_{name}")
+        for name, s in outputs.items()])
+    local = df.select("*", *[
+        _FOLD[s.kind](s.value).over(ordered([*keys, slice_col], order, s, s.inclusive)).alias(f"_w_{name}")
+        for name, s in outputs.items()])
     joined = local.join(carry, [*keys, slice_col], "left")
     kept = [F.col(c) for c in df.columns if c not in outputs]
     return joined.select(*kept, *[
-        _merge(kind, F.col(f"_c_{name}"), F.col(f"_w_{name}")).alias(name)
-        for name, (kind, _) in outputs.items()])
+        _merge(s.kind, F.col(f"_c_{name}"), F.col(f"_w_{name}")).alias(name) for name, s in outputs.items()])
 
 
 def trailing(df: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence[Column],
