@@ -46,9 +46,18 @@ class CentroidScorer:
                 e = np.exp(z)
                 return e / e.sum(axis=1, keepdims=True)
             return predict
-        udf = predict_batch_udf(load, return_type=ArrayType(DoubleType()), batch_size=2048,
+        scored = predict_batch_udf(load, return_type=ArrayType(DoubleType()), batch_size=2048,
                                 input_tensor_shapes=[[int(centroids.shape[1])]])
-        return udf(features)
+        return scored(features)
+
+    def score(self, df: DataFrame, features: Column, out: str = "probs") -> DataFrame:
+        """Add the probabilities of ``features``, which may be any expression.
+
+        The one-element explode keeps the expression out of the UDF call: the optimizer
+        would inline it, and nested lambdas inside a Python UDF's argument do not run.
+        """
+        return (df.select("*", F.explode(F.array(features)).alias("_x"))
+                .withColumn(out, self.probabilities("_x")).drop("_x"))
 
 
 def fit_centroids(df: DataFrame, label: str, features: Column, settings: Settings = Settings(),

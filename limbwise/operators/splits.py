@@ -11,6 +11,7 @@ from limbwise.functions.draws import digest
 from limbwise.functions.scans import Scan, hash_slice, running
 from limbwise.operators.metadata import session_id
 from limbwise.settings import Settings
+from limbwise.sources.workspace import cut
 
 
 def session_clusters(index: DataFrame, max_gap: int = 10, slice_width: int = 100_000) -> DataFrame:
@@ -22,12 +23,12 @@ def session_clusters(index: DataFrame, max_gap: int = 10, slice_width: int = 100
     """
     sid = session_id(F.col("FilePath"))
     keyed = index.withColumn("_sid", F.when(sid.rlike("^\\d+$"), sid.try_cast("bigint")))
-    ids = (keyed.where(F.col("_sid").isNotNull()).select("label", "_sid").distinct()
-           .withColumn("_slice", F.floor(F.col("_sid") / slice_width)))
+    ids = cut(keyed.where(F.col("_sid").isNotNull()).select("label", "_sid").distinct()
+              .withColumn("_slice", F.floor(F.col("_sid") / slice_width)), "session-ids")
     order = [F.col("_sid")]
-    near = running(ids, ["label"], "_slice", order, {
+    near = cut(running(ids, ["label"], "_slice", order, {
         "_prev": Scan("max", F.col("_sid"), inclusive=False),
-        "_next": Scan("min", F.col("_sid"), backward=True, inclusive=False)})
+        "_next": Scan("min", F.col("_sid"), backward=True, inclusive=False)}), "session-gaps")
     starts = F.coalesce(F.col("_sid") - F.col("_prev") > max_gap, F.lit(True))
     ends = F.coalesce(F.col("_next") - F.col("_sid") > max_gap, F.lit(True))
     spans = running(near, ["label"], "_slice", order, {
@@ -74,7 +75,7 @@ def cluster_disjoint_split(clustered: DataFrame, settings: Settings = Settings()
     label's group holds its distinct sizes (about the square root of its clips at most).
     Within a size, clusters are chosen in md5 order by a sliced running count.
     """
-    sizes = clustered.groupBy("label", "cluster").agg(F.count("*").alias("_size"))
+    sizes = cut(clustered.groupBy("label", "cluster").agg(F.count("*").alias("_size")), "cluster-sizes")
     histogram = sizes.groupBy("label", "_size").agg(F.count("*").alias("_clusters"))
     val, test = settings.val_fraction, settings.test_fraction
 
@@ -115,13 +116,14 @@ def session_carve_out(train: DataFrame, settings: Settings = Settings()) -> Data
 
 def build_index(train: DataFrame, test: DataFrame, protocol: str, val: DataFrame | None = None,
                 settings: Settings = Settings()) -> DataFrame:
-    """Canonical index of a protocol: ``session_disjoint``, ``official`` or ``hf``."""
+    """Canonical index of a protocol, ``session_disjoint``, ``official`` or ``hf``, as a stored table."""
     if protocol == "session_disjoint":
         pool = train.unionByName(test)
-        return cluster_disjoint_split(session_clusters(pool, settings.cluster_gap), settings).select(*train.columns)
+        index = cluster_disjoint_split(session_clusters(pool, settings.cluster_gap), settings)
+        return cut(index.select(*train.columns), "index")
     as_split = lambda df, name: df.withColumn("split", F.lit(name))
     if protocol == "official":
-        return session_carve_out(train, settings).select(*train.columns).unionByName(as_split(test, "test"))
+        return cut(session_carve_out(train, settings).select(*train.columns).unionByName(as_split(test, "test")), "index")
     if protocol == "hf":
         return as_split(train, "train").unionByName(as_split(val, "val")).unionByName(as_split(test, "test"))
     raise ValueError(f"unknown split protocol: {protocol}")

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from limbwise.functions.draws import uniform
 from limbwise.operators import robustness as rb
-from limbwise.operators.evaluation import confusion  # noqa: F401  (same contract)
 from limbwise.operators.scoring import argmax, fit_centroids
 from limbwise.operators.sequences import clip_sequences
 from workbench.fixtures import SMALL, draw_sql, normal_sql, with_sql
@@ -104,7 +103,7 @@ def scored(t):
     for model, part, sharp in (("lstm", flat, 0.02), ("gru", hands, 0.05)):
         scorer = fit_centroids(base.where("split = 'train'"), "y_true", part, SMALL, sharp)
         names = F.array(*map(F.lit, scorer.classes))
-        rows = (every.where(F.col("model") == model).withColumn("probs", scorer.probabilities(part))
+        rows = (scorer.score(every.where(F.col("model") == model), part)
                 .select("protocol", "split", "model", "condition", "clip_id", "y_true",
                         F.get(names, argmax(F.col("probs"))).alias("y_pred"), F.array_max("probs").alias("confidence")))
         out = rows if out is None else out.unionByName(rows)
