@@ -12,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,12 +63,14 @@ def running(df: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence[
 
 
 def trailing(df: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence[Column],
-             value: Column, size: int, out: str, carry_out: str | None = None) -> DataFrame:
+             value: Column, size: int, out: str, carry_out: str | None = None,
+             position_out: str | None = None) -> DataFrame:
     """Array of the last ``size`` values up to and including each row, oldest first.
 
     Slice tails hold at most ``size`` values, and a slice's carry reads only the tails
     that reach into the last ``size`` rows, so no array outgrows ``2 * size``.
-    ``carry_out`` keeps the values that precede the slice.
+    ``carry_out`` keeps the values that precede the slice, ``position_out`` the 1-based
+    row number within the key.
     """
     keys = list(keys)
     by_key = Window.partitionBy(*keys)
@@ -81,14 +85,15 @@ def trailing(df: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence
                  by_key.orderBy(slice_col).rowsBetween(Window.unboundedPreceding, 0)))
              .withColumn("_upto", F.flatten(F.collect_list("_tail").over(reach)))
              .withColumn("_carry", F.lag(_last(F.col("_upto"), size)).over(by_key.orderBy(slice_col)))
-             .select(*keys, slice_col, "_carry"))
+             .select(*keys, slice_col, "_carry", (F.col("_end") - F.col("_n")).alias("_before")))
     joined = local.join(carry, [*keys, slice_col], "left")
-    empty = F.slice(F.col("_own"), 1, 0)
-    carried = F.coalesce("_carry", empty)
+    carried = F.coalesce("_carry", F.slice("_own", 1, 0))
     cols = [F.col(c) for c in df.columns]
     cols.append(_last(F.concat(carried, F.col("_own")), size).alias(out))
     if carry_out:
         cols.append(carried.alias(carry_out))
+    if position_out:
+        cols.append((F.col("_before") + F.col("_pos")).alias(position_out))
     return joined.select(*cols)
 
 
@@ -104,3 +109,43 @@ def hash_slice(hashed: Column, hex_digits: int = 3) -> Column:
 
 def time_slice(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
+
+
+def positions(df: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence[Column], out: str) -> DataFrame:
+    """1-based row number of each key in order."""
+    return running(df, keys, slice_col, order, {out: Scan("sum", F.lit(1).cast("bigint"))})
+
+
+def greedy_picks(df: DataFrame, keys: Sequence[str], slice_col: str, micros: str, position: str, gap: int,
+                 run: Column | None = None) -> DataFrame:
+    """Add ``picked``: the first row of a run, then each first row at least ``gap`` microseconds
+    after the last picked one. A run also ends where ``run`` (a flag on its first row) says so.
+
+    A row ``gap`` or more behind its predecessor is always picked, so runs are cut there and
+    each piece is independent. Only pieces that last longer than ``gap`` need the ordered walk.
+    """
+    keys = list(keys)
+    order = [F.col(position)]
+    before = running(df, keys, slice_col, order, {"_before": Scan("max", F.col(micros), inclusive=False)})
+    first = F.coalesce(F.col(micros) - F.col("_before") >= gap, F.lit(True))
+    first = first if run is None else first | run
+    pieces = running(before, keys, slice_col, order, {
+        "_piece": Scan("max", F.when(first, F.struct(F.col(position).alias("at"), F.col(micros).alias("since"))))})
+    late = pieces.where(F.col(micros) - F.col("_piece.since") >= gap).select(
+        *keys, F.col("_piece.at").alias("_at"), F.col("_piece.since").alias("_since"),
+        F.col(position).alias("_p"), F.col(micros).alias("_m"))
+    schema = late.select(*keys, "_p").schema
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_p")
+        times, last, hits = pdf["_m"].to_numpy(), int(pdf["_since"].iloc[0]), []
+        at = int(np.searchsorted(times, last + gap))
+        while at < len(times):
+            hits.append(at)
+            at = int(np.searchsorted(times, times[at] + gap))
+        return pdf.iloc[hits][[*keys, "_p"]]
+    again = late.groupBy(*keys, "_at").applyInPandas(walk, schema).select(
+        *keys, F.col("_p").alias(position), F.lit(True).alias("_again"))
+    return (pieces.join(again, [*keys, position], "left")
+            .withColumn("picked", (F.col("_piece.at") == F.col(position)) | F.coalesce("_again", F.lit(False)))
+            .select(*df.columns, "picked"))

@@ -1,3 +1,3 @@
 """Imports every query module so that the registry is complete."""
 
-from workbench import q_audit, q_catalogue, q_evaluation, q_events, q_landmarks, q_robustness, q_sequences  # noqa: F401
+from workbench import q_audit, q_catalogue, q_evaluation, q_events, q_landmarks, q_robustness, q_sequences, q_smoothing  # noqa: F401
