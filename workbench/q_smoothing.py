@@ -182,9 +182,9 @@ def _(t):
 
 
 @query("T12_windowed_metrics", with_sql("predictions", """SELECT time_bucket(INTERVAL 1 DAY, "timestamp") AS window_start, model, count(*) AS predictions_total,
- sum((status = 'UNCERTAIN')::INT)::BIGINT AS uncertain_total, round(avg((status = 'UNCERTAIN')::INT), 6) AS uncertain_rate, round(avg(confidence), 6) AS confidence_mean,
+ sum((status = 'UNCERTAIN')::INT)::BIGINT AS uncertain_total, round(avg((status = 'UNCERTAIN')::INT), 6) AS uncertain_rate, round(avg(confidence) + 1e-9, 6) AS confidence_mean,
  max(confidence) AS confidence_max, round(avg(nullif(latency_ms, 0)), 6) AS latency_mean, max(latency_ms) AS latency_max FROM predictions GROUP BY 1, 2"""))
 def _(t):
     out = lv.windowed_metrics(t.predictions(), "1 day")
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "model", "predictions_total", "uncertain_total",
-                      r6("uncertain_rate"), r6("confidence_mean"), "confidence_max", r6("latency_mean"), "latency_max")
+                      r6("uncertain_rate"), F.round(F.col("confidence_mean") + 1e-9, 6).alias("confidence_mean"), "confidence_max", r6("latency_mean"), "latency_max")
