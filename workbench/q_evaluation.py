@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from limbwise.functions.draws import uniform
 from limbwise.operators import evaluation as ev
 from limbwise.operators import scoring as sc
 from limbwise.operators import thresholds as th
@@ -135,7 +136,7 @@ def _(t):
 @query("G2_logistic_fit")
 def _(t):
     base = t.table("embeddings").withColumn("label", F.col("label").cast("string")).withColumn(
-        "split", F.when(F.col("vec_id") % 5 == 0, "val").otherwise("train"))
+        "split", F.when(uniform("fit", F.col("vec_id")) < 0.8, "train").otherwise("val"))
     vec = F.col("embedding").cast("array<double>")
     model = sc.fit_logistic(base.where("split = 'train'"), "label", vec, 10)
     names = F.array(*[F.lit(c) for c in model.stages[0].labels])
