@@ -4,39 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from limbwise.functions.scans import Scan, running
-
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column,
                       wanted: dict[str, float], slices: int = 64) -> DataFrame:
     """One row per key with the linear-interpolated percentiles in ``wanted``.
 
-    Values are first reduced to ``(key, value, count)``. A quantile sketch of the
-    distinct values gives balanced cut points; they only steer parallelism, the ranks
-    come from an exact running count over ``(key, slice)``. Null values are ignored;
-    a key without values yields no row.
+    Values are first reduced to ``(key, value, count)``. A quantile sketch of the distinct
+    values cuts them into balanced slices; the sketch only steers the work, ranks come from
+    exact counts per slice. Only the slices that hold a wanted rank are sorted, each in its
+    own task. Null values are ignored; a key without values yields no row.
     """
     keys = list(keys)
     grain = keys or ["_all"]
     base = df.select(*keys, *([] if keys else [F.lit(0).alias("_all")]), value.cast("double").alias("_v"))
     counts = base.where(F.col("_v").isNotNull()).groupBy(*grain, "_v").agg(F.count("*").alias("_n"))
     cuts = counts.groupBy(*grain).agg(
-        F.percentile_approx("_v", [i / slices for i in range(1, slices)], 1000).alias("_cuts"),
-        F.sum("_n").alias("_total"))
+        F.percentile_approx("_v", [i / slices for i in range(1, slices)], 1000).alias("_cuts"))
     sliced = (counts.join(cuts, grain)
-              .withColumn("_slice", F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))))
-              .drop("_cuts"))
-    ranked = running(sliced, grain, "_slice", [F.col("_v")], {"_upto": Scan("sum", F.col("_n"))})
-    aggs = []
+              .withColumn("_slice", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).drop("_cuts"))
+    by_key = Window.partitionBy(*grain)
+    sizes = (sliced.groupBy(*grain, "_slice").agg(F.sum("_n").alias("_in"))
+             .withColumn("_before", F.coalesce(F.sum("_in").over(
+                 by_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+             .withColumn("_total", F.sum("_in").over(by_key)))
+    ranks = {}
     for name, q in wanted.items():
         pos = (F.col("_total") - 1) * F.lit(float(q))
-        for end, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+        ranks[name] = (F.floor(pos), F.ceil(pos), pos - F.floor(pos))
+    needed = F.lit(False)
+    for low, high, _ in ranks.values():
+        for rank in (low, high):
+            needed = needed | ((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_in")))
+    own = Window.partitionBy(*grain, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (sliced.join(sizes.where(needed), [*grain, "_slice"])
+              .withColumn("_upto", F.col("_before") + F.sum("_n").over(own)))
+    aggs = []
+    for name, (low, high, part) in ranks.items():
+        for end, rank in (("lo", low), ("hi", high)):
             hit = (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
             aggs.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{end}_{name}"))
-        aggs.append(F.max(pos - F.floor(pos)).alias(f"_f_{name}"))
+        aggs.append(F.max(part).alias(f"_f_{name}"))
     found = ranked.groupBy(*grain).agg(*aggs)
     return found.select(*keys, *[
         (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n)

@@ -9,7 +9,7 @@ to one row, the summaries are scanned per key, and the carry is joined back on
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from limbwise.sources.workspace import cut
+
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -117,35 +119,88 @@ def positions(df: DataFrame, keys: Sequence[str], slice_col: str, order: Sequenc
 
 
 def greedy_picks(df: DataFrame, keys: Sequence[str], slice_col: str, micros: str, position: str, gap: int,
-                 run: Column | None = None) -> DataFrame:
-    """Add ``picked``: the first row of a run, then each first row at least ``gap`` microseconds
-    after the last picked one. A run also ends where ``run`` (a flag on its first row) says so.
-
-    A row ``gap`` or more behind its predecessor is always picked, so runs are cut there and
-    each piece is independent. Only pieces that last longer than ``gap`` need the ordered walk.
+                 starts: Column | None = None) -> DataFrame:
+    """Add ``picked``: the first row, then each first row at least ``gap`` microseconds after
+    the last picked one.
+
+    A row ``gap`` or more behind its predecessor is always picked, so the key falls into
+    independent pieces that begin at such rows. ``starts`` replaces that test where the walk
+    also begins anew for other reasons. Only rows ``gap`` or more behind the start of their
+    piece need the ordered walk.
     """
     keys = list(keys)
     order = [F.col(position)]
-    before = running(df, keys, slice_col, order, {"_before": Scan("max", F.col(micros), inclusive=False)})
-    first = F.coalesce(F.col(micros) - F.col("_before") >= gap, F.lit(True))
-    first = first if run is None else first | run
-    pieces = running(before, keys, slice_col, order, {
-        "_piece": Scan("max", F.when(first, F.struct(F.col(position).alias("at"), F.col(micros).alias("since"))))})
-    late = pieces.where(F.col(micros) - F.col("_piece.since") >= gap).select(
-        *keys, F.col("_piece.at").alias("_at"), F.col("_piece.since").alias("_since"),
-        F.col(position).alias("_p"), F.col(micros).alias("_m"))
-    schema = late.select(*keys, "_p").schema
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_p")
-        times, last, hits = pdf["_m"].to_numpy(), int(pdf["_since"].iloc[0]), []
-        at = int(np.searchsorted(times, last + gap))
-        while at < len(times):
-            hits.append(at)
-            at = int(np.searchsorted(times, times[at] + gap))
-        return pdf.iloc[hits][[*keys, "_p"]]
-    again = late.groupBy(*keys, "_at").applyInPandas(walk, schema).select(
-        *keys, F.col("_p").alias(position), F.lit(True).alias("_again"))
+    if starts is None:
+        df_in = running(df, keys, slice_col, order, {"_before": Scan("max", F.col(micros), inclusive=False)})
+        starts = F.coalesce(F.col(micros) - F.col("_before") >= gap, F.lit(True))
+    else:
+        df_in = df
+    pieces = cut(running(df_in, keys, slice_col, order, {
+        "_piece": Scan("max", F.when(starts, F.struct(F.col(position).alias("at"), F.col(micros).alias("since"))))}), "pieces")
+    again = _walk_pieces(pieces, keys, slice_col, micros, position, gap)
     return (pieces.join(again, [*keys, position], "left")
             .withColumn("picked", (F.col("_piece.at") == F.col(position)) | F.coalesce("_again", F.lit(False)))
             .select(*df.columns, "picked"))
+
+
+def _walk_pieces(pieces: DataFrame, keys: list[str], slice_col: str, micros: str, position: str, gap: int) -> DataFrame:
+    """Positions picked after the start of their piece.
+
+    Rows are folded per (piece, slice), so a fold never sees more than one slice. What a slice
+    does depends only on the last pick before it; that is known at once for a piece inside one
+    slice, and comes from ``_entries`` for the long ones.
+    """
+    late = pieces.where(F.col(micros) - F.col("_piece.since") >= gap).select(
+        *keys, F.col("_piece.at").alias("_at"), F.col("_piece.since").alias("_since"), slice_col,
+        F.col(position).cast("bigint").alias("_p"), F.col(micros).alias("_m"))
+    piece = [*keys, "_at", "_since"]
+    folded = late.groupBy(*piece, slice_col).agg(F.array_sort(F.collect_list(F.struct("_p", "_m"))).alias("_rows"))
+    spans = folded.groupBy(*piece).agg(F.count("*").alias("_slices")).where(F.col("_slices") > 1)
+    entries = _entries(folded.join(spans, piece, "left_semi"), piece, slice_col, gap)
+    state = lambda last, picks: F.struct(last.cast("bigint").alias("last"), picks.cast("array<bigint>").alias("picks"))
+    walked = F.aggregate("_rows", state(F.col("_last"), F.array()), lambda a, r: F.when(
+        r["_m"] - a["last"] >= gap, state(r["_m"], F.concat(a["picks"], F.array(r["_p"])))).otherwise(state(a["last"], a["picks"])))
+    return (folded.join(entries, [*piece, slice_col], "left").withColumn("_last", F.coalesce("_last", "_since"))
+            .select(*keys, F.explode(walked["picks"]).alias(position)).withColumn("_again", F.lit(True)))
+
+
+def _entries(folded: DataFrame, piece: list[str], slice_col: str, gap: int) -> DataFrame:
+    """Last pick before each slice of the pieces that cross slices.
+
+    Each slice is summed up, in parallel, as a table from the possible entry times (its first
+    ``gap``) to its last pick; only those small tables are followed along the piece.
+    """
+    types = {f.name: f.dataType.simpleString() for f in folded.schema}
+    ddl = ", ".join(f"`{c}` {types[c]}" for c in [*piece, slice_col])
+
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            entry, leave = [], []
+            for rows in pdf["_m"]:
+                times = np.asarray(rows, dtype=np.int64)
+                step = np.searchsorted(times, times + gap)
+                final = np.arange(len(times))
+                for i in range(len(times) - 1, -1, -1):
+                    if step[i] < len(times):
+                        final[i] = final[step[i]]
+                ways = int(np.searchsorted(times, times[0] + gap)) + 1
+                entry.append(times[:ways].tolist())
+                leave.append(times[final[:ways]].tolist())
+            out = pdf[[*piece, slice_col]].copy()
+            out["_entry"], out["_exit"] = entry, leave
+            yield out
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(slice_col)
+        last, begun = int(pdf["_since"].iloc[0]), []
+        for entry, leave in zip(pdf["_entry"], pdf["_exit"]):
+            begun.append(last)
+            at = int(np.searchsorted(np.asarray(entry), last + gap))
+            if at < len(entry):
+                last = int(leave[at])
+        out = pdf[[*piece, slice_col]].copy()
+        out["_last"] = begun
+        return out
+    times = folded.select(*piece, slice_col, F.transform("_rows", lambda r: r["_m"]).alias("_m"))
+    summed = times.mapInPandas(tables, f"{ddl}, _entry array<bigint>, _exit array<bigint>")
+    return summed.groupBy(*piece).applyInPandas(follow, f"{ddl}, _last bigint")

@@ -53,61 +53,76 @@ def with_epochs(stream: DataFrame, settings: Settings, reset: str, session: str
                    {"epoch": Scan("sum", F.col(reset).cast("bigint"))}).drop("_slice")
 
 
-def smooth(stream: DataFrame, settings: Settings = Settings(), keys: tuple[str, ...] = ("session_id",),
-           time: str = "now", tie: str = "seq", label: str = "label", confidence: str = "confidence") -> DataFrame:
-    """Smoothed decision per observation.
+def majority_votes(stream: DataFrame, settings: Settings = Settings(), keys: tuple[str, ...] = ("session_id",),
+                   time: str = "now", tie: str = "seq", label: str = "label", confidence: str = "confidence") -> DataFrame:
+    """Add ``position``, ``window``, ``candidate``, ``smoothed``, ``votes`` and ``changed``.
 
-    Adds ``position``, ``candidate``, ``smoothed``, ``votes``, ``window``, ``streak``, ``stable``,
-    ``should_emit`` and ``status``. ``keys`` identify a session (plus its epoch, if any).
+    ``changed`` marks a candidate that differs from the one before it.
     """
     s, keys = settings, list(keys)
-    order = [F.col(time), F.col(tie)]
-    w = max(1, s.vote_window)
     sliced = stream.withColumn("_slice", time_slice(F.col(time), s.session_slice_seconds))
-    seen = trailing(sliced, keys, "_slice", order, F.struct(F.col(label).alias("label"), F.col(confidence).alias("confidence")),
-                    w, "_window", carry_out="_carry", position_out="position")
+    seen = trailing(sliced, keys, "_slice", [F.col(time), F.col(tie)],
+                    F.struct(F.col(label).alias("label"), F.col(confidence).alias("confidence")),
+                    max(1, s.vote_window), "_window", carry_out="_carry", position_out="position")
     voted = (seen.withColumn("_v", vote(F.col("_window"), s)).withColumn("window", F.size("_window"))
-             .withColumn("_entry", F.when(F.size("_carry") > 0, vote(F.col("_carry"), s)["candidate"])))
-    inner = Window.partitionBy(*keys, "_slice").orderBy("position")
+             .withColumn("_entry", F.when((F.size("_carry") > 0) & (F.col("position") > 1), vote(F.col("_carry"), s)["candidate"])))
     flat = voted.select(*stream.columns, "_slice", "position", "window", F.col("_v.candidate").alias("candidate"),
                         F.col("_v.confidence").alias("smoothed"), F.col("_v.votes").alias("votes"), "_entry")
-    changed = ~F.coalesce(F.lag("candidate").over(inner), F.col("_entry")).eqNullSafe(F.col("candidate"))
-    marked = cut(flat.withColumn("_changed", changed).drop("_entry"), "votes")
-    streaks = running(marked, keys, "_slice", [F.col("position")],
-                      {"_since": Scan("max", F.when(F.col("_changed"), F.col("position")))})
-    stable = (streaks.withColumn("streak", F.col("position") - F.col("_since") + 1)
-              .withColumn("stable", ~F.col("candidate").isin(s.uncertain, s.idle) & (F.col("streak") >= max(1, s.stable_after)))
-              .drop("_changed", "_since"))
-    return _with_status(_emissions(stable, keys, time, s), s).drop("_slice")
+    before = F.coalesce(F.lag("candidate").over(Window.partitionBy(*keys, "_slice").orderBy("position")), F.col("_entry"))
+    return flat.withColumn("changed", ~before.eqNullSafe(F.col("candidate"))).drop("_entry")
 
 
-def _emissions(stable: DataFrame, keys: list[str], time: str, s: Settings) -> DataFrame:
-    """A stable row emits when its label differs from the last emitted one or the cooldown is over.
+def with_streaks(voted: DataFrame, settings: Settings = Settings(), keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """Add ``streak`` (run length of the candidate) and ``stable``."""
+    s = settings
+    since = running(voted, list(keys), "_slice", [F.col("position")],
+                    {"_since": Scan("max", F.when(F.col("changed"), F.col("position")))})
+    return (since.withColumn("streak", F.col("position") - F.col("_since") + 1)
+            .withColumn("stable", ~F.col("candidate").isin(s.uncertain, s.idle) & (F.col("streak") >= max(1, s.stable_after)))
+            .drop("_since"))
+
+
+def with_emissions(stable: DataFrame, settings: Settings = Settings(), keys: tuple[str, ...] = ("session_id",),
+                   time: str = "now") -> DataFrame:
+    """Add ``should_emit``: stable, and a new label or the cooldown since the last emission is over.
 
     After any stable row the last emitted label is that row's label (it was emitted there or
     already was the last), so a change of label among stable rows is all the state needed,
     and the cooldown walk restarts at every change.
     """
+    s, keys = settings, list(keys)
     if not s.suppress_duplicates:
         return stable.withColumn("should_emit", F.col("stable"))
-    table = cut(stable, "stable")
-    only = table.where("stable").select(*keys, "_slice", "position", "candidate", F.unix_micros(time).alias("_m"))
+    gap = round(s.cooldown_seconds * 1_000_000)
+    only = stable.where("stable").select(*keys, "_slice", "position", "candidate", F.unix_micros(time).alias("_m"))
     previous = running(only, keys, "_slice", [F.col("position")], {
-        "_last": Scan("max", F.struct("position", "candidate"), inclusive=False)})
-    turned = ~F.col("_last.candidate").eqNullSafe(F.col("candidate"))
-    flagged = previous.withColumn("_turn", turned).drop("_last")
-    picks = greedy_picks(flagged, keys, "_slice", "_m", "position", round(s.cooldown_seconds * 1_000_000), F.col("_turn"))
-    hits = picks.where("picked").select(*keys, "position", F.lit(True).alias("_hit"))
-    return table.join(hits, [*keys, "position"], "left").withColumn(
-        "should_emit", F.coalesce("_hit", F.lit(False))).drop("_hit")
+        "_last": Scan("max", F.struct("position", "candidate", "_m"), inclusive=False)})
+    anew = (~F.col("_last.candidate").eqNullSafe(F.col("candidate"))) | (F.col("_m") - F.col("_last._m") >= gap)
+    flagged = previous.withColumn("_anew", anew).drop("_last")
+    picks = greedy_picks(flagged, keys, "_slice", "_m", "position", gap, F.col("_anew"))
+    hits = picks.where("picked").select(*keys, "position", F.lit(True).alias("should_emit"))
+    return stable.join(hits, [*keys, "position"], "left").withColumn(
+        "should_emit", F.coalesce("should_emit", F.lit(False)))
 
 
-def _with_status(df: DataFrame, s: Settings) -> DataFrame:
+def with_status(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
     c = F.col("candidate")
-    return df.withColumn("status", F.when(c == s.idle, s.idle).when(c == s.uncertain, s.uncertain)
+    return df.withColumn("status", F.when(c.isin(settings.idle, settings.uncertain), c)
                          .when(F.col("stable"), "CONFIDENT").otherwise("PENDING"))
 
 
+def smooth(stream: DataFrame, settings: Settings = Settings(), keys: tuple[str, ...] = ("session_id",),
+           time: str = "now", tie: str = "seq", label: str = "label", confidence: str = "confidence") -> DataFrame:
+    """Smoothed decision per observation: vote, streak, stability, emission and status.
+
+    ``keys`` identify a session (plus its epoch, if any). The votes feed several scans and
+    are stored once.
+    """
+    voted = cut(majority_votes(stream, settings, keys, time, tie, label, confidence), "votes")
+    emitted = with_emissions(with_streaks(voted, settings, keys), settings, keys, time)
+    return with_status(emitted, settings).drop("_slice", "changed")
+
+
 def caption_words(events: DataFrame, settings: Settings = Settings(), session: str = "session_id",
                   time: str = "now", tie: str = "seq") -> DataFrame:
     """Emitted labels that stay in the caption, with their place.

@@ -301,14 +301,17 @@ LABELS = tuple(str(i) for i in range(10))
 
 def scored(t: Tables) -> DataFrame:
     """(model, split, vec_id, label, probs): centroids fitted on the drawn train part."""
+    from dataclasses import replace
+
     from limbwise.operators.scoring import fit_centroids
     base = t.table("embeddings").select("vec_id", F.col("label").cast("string").alias("label"),
                                         F.col("embedding").cast("array<double>").alias("e"),
                                         F.when(uniform("fit", F.col("vec_id")) < 0.8, "train").otherwise("test").alias("split"))
+    whole = fit_centroids(base.where("split = 'train'"), "label", F.col("e"))
     out = None
     for model, (first, count) in PARTS.items():
         part = F.slice("e", first, count)
-        scorer = fit_centroids(base.where("split = 'train'"), "label", part)
+        scorer = replace(whole, centroids=whole.centroids[:, first - 1:first - 1 + count])
         rows = base.select(F.lit(model).alias("model"), "split", "vec_id", "label", scorer.probabilities(part).alias("probs"))
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -44,7 +44,11 @@ def one(name, sql, cols, recursive=False):
 
     @query(name, with_sql("label_stream", body, recursive))
     def _(t):
-        out = smoothed(t)
+        out = sm.majority_votes(t.label_stream(), SMALL)
+        if "streak" in cols:
+            out = sm.with_streaks(out, SMALL)
+        if recursive:
+            out = smoothed(t)
         return out.select("session_id", "seq", *[r6(c) if c == "smoothed" else F.col(c).cast("bigint").alias(c) if c in ("votes", "streak") else F.col(c) for c in cols])
 
 
@@ -89,13 +93,15 @@ EPOCH = "ep AS (SELECT l.*, sum((seq % 17 = 0)::INT) OVER (PARTITION BY session_
 @query("H9_reset", with_sql("label_stream", f"WITH {EPOCH}, {vote_sql(part='session_id, epoch', source='ep')} SELECT session_id, seq, epoch, candidate, streak, stable FROM stable"))
 def _(t):
     marked = sm.with_epochs(t.label_stream().withColumn("reset", F.col("seq") % 17 == 0), SMALL, "reset")
-    return sm.smooth(marked, SMALL, ("session_id", "epoch")).select(
+    keys = ("session_id", "epoch")
+    return sm.with_streaks(sm.majority_votes(marked, SMALL, keys), SMALL, keys).select(
         "session_id", "seq", "epoch", "candidate", F.col("streak").cast("bigint").alias("streak"), "stable")
 
 
 @query("H10_window_override", with_sql("label_stream", f"WITH {vote_sql(5, 3, stable=1)} SELECT session_id, seq, candidate, votes, stable FROM stable"))
 def _(t):
-    return sm.smooth(t.label_stream(), sm.for_window(5, SMALL)).select(
+    s = sm.for_window(5, SMALL)
+    return sm.with_streaks(sm.majority_votes(t.label_stream(), s), s).select(
         "session_id", "seq", "candidate", F.col("votes").cast("bigint").alias("votes"), "stable")
 
 
@@ -139,7 +145,8 @@ def _(t):
  n AS (SELECT *, lag(candidate || '/' || status) OVER (PARTITION BY session_id ORDER BY pos) AS last_ FROM d WHERE status <> 'IDLE')
  SELECT session_id, seq, candidate, status FROM n WHERE last_ IS DISTINCT FROM candidate || '/' || status"""))
 def _(t):
-    return lv.change_log(smoothed(t), SMALL).select("session_id", "seq", "candidate", "status")
+    decided = sm.with_status(sm.with_streaks(sm.majority_votes(t.label_stream(), SMALL), SMALL), SMALL)
+    return lv.change_log(decided.drop("_slice"), SMALL).select("session_id", "seq", "candidate", "status")
 
 
 @query("T6_session_expiry", """WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 43200000000 THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
