@@ -133,3 +133,32 @@ def test_monotone_time_and_rate_average(spark):
     for t, r in zip([9, 7, 7, 20, 3], ema[1:]):
         want = 0.9 * want + 0.1 * t
         assert r["fps_ema"] == pytest.approx(want, abs=1e-12)
+
+
+def test_live_chain_equals_its_batch_twin(spark):
+    import __spark_entry__ as entry
+    from limbwise.operators.scoring import fit_centroids
+    from limbwise.operators.sequences import clip_sequences
+    from limbwise.plans.live import replayed_decisions
+    from workbench.fixtures import SMALL, Tables
+    from workbench.q_streaming import live_frames
+    t = Tables(spark, "/root/testdata/sf0.001")
+    s = replace(SMALL, session_idle_seconds=3600, idle_min_motion=0.0)
+    model = fit_centroids(clip_sequences(t.frames(), s, ("label",)).where("reason IS NULL"), "label", F.flatten("seq"), s, 0.02)
+    key = lambda df: {r["seq"]: (r["candidate"], round(r["smoothed"], 6), r["streak"], r["stable"], r["should_emit"], r["status"]) for r in df.collect()}
+    batch = key(replayed_decisions(live_frames(t), model, s))
+    assert batch and key(entry.queries()["X3_live_chain"](spark, t.sf_dir)) == batch
+
+
+def test_idle_sessions_lose_their_state(spark):
+    stream_sessions.use_rocksdb(spark)
+    path, sink, checkpoint = (scratch_path(spark, n) for n in ("idle-in", "idle-out", "idle-check"))
+    s = replace(S, session_idle_seconds=900, vote_window=1, min_votes=1, stable_after=1)
+    at = lambda session, minute: (session, minute, "HELLO", 0.9, START + timedelta(minutes=minute))
+    for rows in ([at(1, 0), at(2, 0)], [at(2, 10)], [at(2, 24), at(2, 40)], [at(1, 60), at(2, 61)]):
+        df = labels(spark, rows, "ts").withColumn("epoch", F.lit(0).cast("long"))
+        df.coalesce(1).write.mode("append").parquet(path)
+        stream_logs.run_available(stream_sessions.smooth_stream(
+            spark.readStream.schema(df.schema).parquet(path), s, "1 minute"), sink, checkpoint)
+    got = {(r["session_id"], r["seq"]): r["streak"] for r in spark.read.parquet(sink).collect()}
+    assert got[(2, 24)] == 3 and got[(1, 60)] == 1

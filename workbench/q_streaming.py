@@ -50,7 +50,7 @@ def _(t):
  SELECT *, row_number() OVER (PARTITION BY session_id, epoch ORDER BY pos) AS pushes FROM loss)"""))
 def _(t):
     ss.use_rocksdb(t.spark)
-    frames = hand_stream(t).withColumn("kind", F.lit("frame")).withColumnRenamed("confidence", "value")
+    frames = hand_stream(t).withColumn("kind", F.lit("frame")).withColumn("value", F.array("confidence")).drop("confidence")
     s = replace(LIVE, session_idle_seconds=400 * 86400)
     out = drain(t, ss.process_frames(replay(t, frames, "ts"), s, stride=2, throttle=False, watermark="1 day"))
     return out.select("session_id", "seq", F.col("empty_streak").cast("bigint").alias("empty_streak"), "cleared", "pushes", "ready")
@@ -62,7 +62,7 @@ def _(t):
     ss.use_rocksdb(t.spark)
     label = F.col("label")
     rows = t.label_stream().select("session_id", "seq", F.col("now").alias("ts"), F.when(label == "signup", "reset").otherwise("frame").alias("kind"),
-                                   F.lit(True).alias("has_hands"), F.col("confidence").alias("value"))
+                                   F.lit(True).alias("has_hands"), F.array("confidence").alias("value"))
     s = replace(LIVE, session_idle_seconds=400 * 86400)
     out = drain(t, ss.process_frames(replay(t, rows, "ts"), s, throttle=False, watermark="1 day"))
     return out.select("session_id", "seq", "pushes", "ready")
@@ -103,3 +103,23 @@ def _(t):
     access = t.events().select(F.col("user_id").alias("client"), "ts")
     out = drain(t, sl.rate_stream(replay(t, access, "ts"), replace(SMALL, rate_window_seconds=86400, rate_limit=2), slide="12 hours"))
     return out.select("client", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "requests", "over_limit")
+
+
+def live_frames(t):
+    """Detector output of the clips as camera sessions: a frame every 33 ms, a session per label."""
+    c, i = F.col("clip_id"), F.col("frame_idx")
+    return t.raw_frames().select(
+        (c % 5).alias("session_id"), F.col("vec_id").alias("seq"), F.timestamp_millis(1704067200000 + F.col("vec_id") * 33).alias("ts"),
+        F.lit("frame").alias("kind"), "pose", "left_hand", "right_hand")
+
+
+@query("X3_live_chain")
+def _(t):
+    from limbwise.operators.sequences import clip_sequences
+    from limbwise.operators.scoring import fit_centroids
+    from limbwise.plans.live import live_decisions
+    ss.use_rocksdb(t.spark)
+    s = replace(SMALL, session_idle_seconds=3600, idle_min_motion=0.0)
+    model = fit_centroids(clip_sequences(t.frames(), s, ("label",)).where("reason IS NULL"), "label", F.flatten("seq"), s, 0.02)
+    out = drain(t, live_decisions(replay(t, live_frames(t), "ts"), model, s, throttle=True))
+    return out.select("session_id", "seq", "candidate", r6("smoothed"), "streak", "stable", "should_emit", "status", "logged")
