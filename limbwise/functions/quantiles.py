@@ -8,23 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column,
-                      wanted: dict[str, float], slices: int = 64) -> DataFrame:
+def _slice(value: Column) -> Column:
+    """A monotone slice number: 1024 per power of two, mirrored for negative values."""
+    size = F.least(F.greatest(F.abs(value), F.lit(1e-300)), F.lit(1e300))
+    step = F.floor(F.log2(size) * 1024) + F.lit(1_100_000)
+    return F.when(value == 0, 0).when(value > 0, step).otherwise(-step).cast("bigint")
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column, wanted: dict[str, float]) -> DataFrame:
     """One row per key with the linear-interpolated percentiles in ``wanted``.
 
-    Values are first reduced to ``(key, value, count)``. A quantile sketch of the distinct
-    values cuts them into balanced slices; the sketch only steers the work, ranks come from
-    exact counts per slice. Only the slices that hold a wanted rank are sorted, each in its
-    own task. Null values are ignored; a key without values yields no row.
+    Values are first reduced to ``(key, slice, value, count)`` and then to counts per slice,
+    which say which slices hold a wanted rank. Only those are sorted, each in its own task.
+    Null and NaN values are ignored; a key without values yields no row.
     """
     keys = list(keys)
     grain = keys or ["_all"]
     base = df.select(*keys, *([] if keys else [F.lit(0).alias("_all")]), value.cast("double").alias("_v"))
-    counts = base.where(F.col("_v").isNotNull()).groupBy(*grain, "_v").agg(F.count("*").alias("_n"))
-    cuts = counts.groupBy(*grain).agg(
-        F.percentile_approx("_v", [i / slices for i in range(1, slices)], 1000).alias("_cuts"))
-    sliced = (counts.join(cuts, grain)
-              .withColumn("_slice", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).drop("_cuts"))
+    sliced = (base.where(F.col("_v").isNotNull() & ~F.isnan("_v")).withColumn("_slice", _slice(F.col("_v")))
+              .groupBy(*grain, "_slice", "_v").agg(F.count("*").alias("_n")))
     by_key = Window.partitionBy(*grain)
     sizes = (sliced.groupBy(*grain, "_slice").agg(F.sum("_n").alias("_in"))
              .withColumn("_before", F.coalesce(F.sum("_in").over(

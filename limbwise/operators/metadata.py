@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from limbwise.functions.columns import let
 from limbwise.settings import Settings
 
 
@@ -18,15 +19,14 @@ def stem(path: Column) -> Column:
 
 def session_id(path: Column) -> Column:
     """Number after MVI, else all digits of the stem, else the stem; leading zeros stay."""
-    s = stem(path)
-    numbered = F.nullif(F.regexp_extract(s, "(?i)MVI[_-]?(\\d+)", 1), F.lit(""))
-    return F.coalesce(numbered, F.nullif(F.regexp_replace(s, "\\D", ""), F.lit("")), s)
+    numbered = lambda s: F.nullif(F.regexp_extract(s, "(?i)MVI[_-]?(\\d+)", 1), F.lit(""))
+    digits = lambda s: F.nullif(F.regexp_replace(s, "\\D", ""), F.lit(""))
+    return let(stem(path), lambda s: F.coalesce(numbered(s), digits(s), s))
 
 
 def session_block(path: Column, block: int = 10) -> Column:
-    sid = session_id(path)
-    number = F.when(sid.rlike("^\\d+$"), sid.try_cast("decimal(38,0)"))
-    return F.coalesce(F.floor(number / block).cast("string"), sid)
+    number = lambda s: F.when(s.rlike("^\\d+$"), s.try_cast("decimal(38,0)"))
+    return let(session_id(path), lambda s: F.coalesce(F.floor(number(s) / block).cast("string"), s))
 
 
 def normalise_glosses(df: DataFrame, gloss_map: DataFrame, word: str = "raw_word") -> DataFrame:

@@ -64,12 +64,13 @@ def majority_votes(stream: DataFrame, settings: Settings = Settings(), keys: tup
     seen = trailing(sliced, keys, "_slice", [F.col(time), F.col(tie)],
                     F.struct(F.col(label).alias("label"), F.col(confidence).alias("confidence")),
                     max(1, s.vote_window), "_window", carry_out="_carry", position_out="position")
-    voted = (seen.withColumn("_v", vote(F.col("_window"), s)).withColumn("window", F.size("_window"))
-             .withColumn("_entry", F.when((F.size("_carry") > 0) & (F.col("position") > 1), vote(F.col("_carry"), s)["candidate"])))
+    voted = seen.withColumn("_v", vote(F.col("_window"), s)).withColumn("window", F.size("_window"))
     flat = voted.select(*stream.columns, "_slice", "position", "window", F.col("_v.candidate").alias("candidate"),
-                        F.col("_v.confidence").alias("smoothed"), F.col("_v.votes").alias("votes"), "_entry")
-    before = F.coalesce(F.lag("candidate").over(Window.partitionBy(*keys, "_slice").orderBy("position")), F.col("_entry"))
-    return flat.withColumn("changed", ~before.eqNullSafe(F.col("candidate"))).drop("_entry")
+                        F.col("_v.confidence").alias("smoothed"), F.col("_v.votes").alias("votes"), "_carry")
+    # the first row of a slice follows the decision on the carried window
+    entry = F.when(F.size("_carry") > 0, vote(F.col("_carry"), s)["candidate"])
+    before = F.coalesce(F.lag("candidate").over(Window.partitionBy(*keys, "_slice").orderBy("position")), entry)
+    return flat.withColumn("changed", ~before.eqNullSafe(F.col("candidate"))).drop("_carry")
 
 
 def with_streaks(voted: DataFrame, settings: Settings = Settings(), keys: tuple[str, ...] = ("session_id",)) -> DataFrame:

@@ -21,8 +21,8 @@ def session_clusters(index: DataFrame, max_gap: int = 10, slice_width: int = 100
     ids share ``label:other``. The scan runs over distinct (label, id) pairs in slices of
     the id range, so neither a large label nor a repeated id fills one task.
     """
-    sid = session_id(F.col("FilePath"))
-    keyed = index.withColumn("_sid", F.when(sid.rlike("^\\d+$"), sid.try_cast("bigint")))
+    keyed = (index.withColumn("_id", session_id(F.col("FilePath")))
+             .withColumn("_sid", F.when(F.col("_id").rlike("^\\d+$"), F.col("_id").try_cast("bigint"))).drop("_id"))
     ids = cut(keyed.where(F.col("_sid").isNotNull()).select("label", "_sid").distinct()
               .withColumn("_slice", F.floor(F.col("_sid") / slice_width)), "session-ids")
     order = [F.col("_sid")]
