@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,11 @@ def between_ranks(values: Column, q: float) -> Column:
         hi = F.ceil(pos).cast("int")
         return F.when(F.size(s) > 0, F.get(s, lo) + (F.get(s, hi) - F.get(s, lo)) * (pos - lo))
     return let(F.sort_array(values), pick)
+
+
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Put single-row results side by side (a union of at most one row each, not a join)."""
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame, allowMissingColumns=True)
+    return out.agg(*[F.first(c, ignorenulls=True).alias(c) for c in out.columns])

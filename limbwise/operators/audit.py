@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from limbwise.functions.columns import dot, ratio, total
+from limbwise.functions.columns import dot, one_row, ratio, total
 from limbwise.functions.draws import lane, digest
 from limbwise.functions.quantiles import exact_percentiles
 from limbwise.operators.landmarks import group_flags, normalise
@@ -245,9 +245,9 @@ def dataset_rollup(clips: DataFrame, vocabulary: DataFrame) -> DataFrame:
                      *[F.count_if(F.col("split") == s).alias(s) for s in ("train", "val", "test")],
                      F.percentile(F.when(ok, F.col("n_frames")), F.lit(0.5)).alias("frames_median"),
                      F.min(F.when(ok, F.col("n_frames"))).alias("frames_min"),
-                     F.max(F.when(ok, F.col("n_frames"))).alias("frames_max")).withColumn("_k", F.lit(0))
-    classes = vocabulary.groupBy(F.lit(0).alias("_k")).agg(F.count_distinct("label").alias("num_classes"))
-    return main.join(classes, "_k", "left").drop("_k")
+                     F.max(F.when(ok, F.col("n_frames"))).alias("frames_max"))
+    classes = vocabulary.select("label").distinct().agg(F.count("*").alias("num_classes"))
+    return one_row(main, classes)
 
 
 def corrupt_by_class(clips: DataFrame) -> DataFrame:
@@ -284,11 +284,11 @@ def buffer_statistics(raw: DataFrame, session: str, time: str) -> DataFrame:
 def length_histogram(clips: DataFrame, bins: int = 40) -> DataFrame:
     """Equal-width histogram between the shortest and the longest usable clip."""
     counts = clips.where((F.col("status") == "ok") & (F.col("n_frames") > 0)).groupBy("n_frames").agg(F.count("*").alias("n"))
-    span = counts.groupBy(F.lit(0).alias("_k")).agg(F.min("n_frames").alias("_lo"), F.max("n_frames").alias("_hi"))
+    edge = lambda f: counts.agg(f("n_frames")).scalar()
     width = (F.col("_hi") - F.col("_lo")) / bins
     bin_no = F.when(width == 0, F.lit(bins // 2)).otherwise(
         F.least(F.floor(F.try_divide(F.col("n_frames") - F.col("_lo"), width)), F.lit(bins - 1)))
-    return (counts.withColumn("_k", F.lit(0)).join(span, "_k").select(bin_no.cast("int").alias("bin"), "n")
+    return (counts.withColumn("_lo", edge(F.min)).withColumn("_hi", edge(F.max)).select(bin_no.cast("int").alias("bin"), "n")
             .groupBy("bin").agg(F.sum("n").alias("clips")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limbwise.functions.columns import ratio
+from limbwise.functions.columns import one_row, ratio
 from limbwise.functions.quantiles import exact_percentiles
 from limbwise.settings import Settings
 
@@ -134,30 +134,25 @@ def log_metrics(predictions: DataFrame, feedback: DataFrame, by: list[str] | Non
 
     Null and zero latencies are left out, as are null confidences; missing parts give 0.
     """
-    by = by or []
+    by = list(by or [])
     latency = F.when(F.col("latency_ms") != 0, F.col("latency_ms"))
-    keys = by or ["_all"]
-    p = predictions if by else predictions.withColumn("_all", F.lit(0))
-    f = feedback if by else feedback.withColumn("_all", F.lit(0))
-    counts = p.groupBy(*keys).agg(
+    counts = predictions.groupBy(*by).agg(
         F.count("*").alias("predictions_total"),
         F.count_if(F.col("status") == settings.uncertain).alias("uncertain_total"),
         F.avg("confidence").alias("confidence_mean"), F.min("confidence").alias("confidence_min"),
         F.max("confidence").alias("confidence_max"),
         F.avg(latency).alias("latency_mean"), F.max(latency).alias("latency_max"))
-    tails = exact_percentiles(p, keys, latency, {"latency_p50": 0.5, "latency_p95": 0.95})
+    tails = exact_percentiles(predictions, by, latency, {"latency_p50": 0.5, "latency_p95": 0.95})
     decided = F.col("human_action").isin(*ACTIONS)
-    verdicts = f.groupBy(*keys).agg(
+    verdicts = feedback.groupBy(*by).agg(
         F.count("*").alias("feedback_total"),
         F.count_if(F.length("corrected_class") > 0).alias("corrections_total"),
         F.count_if(decided).alias("decided"),
         *[F.count_if(F.col("human_action") == a).alias(a.lower() + "_total") for a in ACTIONS])
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     zero_d = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    merged = counts.join(tails, keys, "left").join(verdicts, keys, "full_outer")
-    if not by:  # an empty log still reports one row of zeros
-        one = predictions.sparkSession.range(1).select(F.lit(0).alias("_all"))
-        merged = one.join(merged, "_all", "left")
+    # without keys every part is one row, also for an empty log
+    merged = counts.join(tails, by, "left").join(verdicts, by, "full_outer") if by else one_row(counts, tails, verdicts)
     return merged.select(
         *by, zero("predictions_total"), zero("feedback_total"), zero("corrections_total"),
         zero("accept_total"), zero("correct_total"), zero("reject_total"), zero("uncertain_total"),

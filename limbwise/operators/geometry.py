@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from limbwise.functions.columns import one_row
 from limbwise.functions.draws import digest
 from limbwise.functions.quantiles import exact_percentiles
 from limbwise.settings import Settings
@@ -49,15 +50,15 @@ def clip_ratios(ratios: DataFrame, min_values: int = 5) -> DataFrame:
 
 def calibration(clips: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row: medians over clips, implied x scales, their mean and its gap to theory."""
-    counts = clips.agg(F.count("*").alias("videos_used"), F.sum("frames").alias("frames_used")).withColumn("_k", F.lit(0))
+    counts = clips.agg(F.count("*").alias("videos_used"), F.sum("frames").alias("frames_used"))
     long = clips.select(F.explode(F.array(
         F.struct(F.lit("body").alias("kind"), F.col("body").alias("v")),
         F.struct(F.lit("face").alias("kind"), F.col("face").alias("v")))).alias("r")).select("r.*")
     med = exact_percentiles(long, ["kind"], F.col("v"), {"median": 0.5})
-    one = med.groupBy(F.lit(0).alias("_k")).agg(
+    one = med.agg(
         F.max(F.when(F.col("kind") == "body", F.col("median"))).alias("body_ratio"),
         F.max(F.when(F.col("kind") == "face", F.col("median"))).alias("face_ratio"))
-    return _implied(counts.join(one, "_k", "left").drop("_k"), settings)
+    return _implied(one_row(counts, one), settings)
 
 
 def _implied(one: DataFrame, settings: Settings) -> DataFrame:

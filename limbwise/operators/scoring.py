@@ -15,10 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from limbwise.functions.columns import let, ratio, total
+from limbwise.functions.columns import between_ranks, let, one_row, ratio, total
 from limbwise.functions.quantiles import exact_percentiles
 from limbwise.functions.scans import time_slice, trailing
-from limbwise.functions.columns import between_ranks
 from limbwise.settings import Settings
 
 
@@ -212,7 +211,8 @@ def batch_summary(rows: DataFrame, keys: Sequence[str], settings: Settings = Set
         F.count_if(F.col("status") == "ERROR").alias("errors"),
         F.count_if(F.col("status") == "SKIPPED").alias("skipped"))
     tails = exact_percentiles(rows, keys, latency, {"_p95": 0.95})
-    return sums.join(tails, keys, "left").select(
+    both = sums.join(tails, keys, "left") if keys else one_row(sums, tails)
+    return both.select(
         *keys, "clips", "labelled_clips", "accuracy", "uncertain_rate",
         F.round(F.coalesce("_mean", F.lit(0.0)), 3).alias("mean_latency_ms"),
         F.round(F.coalesce("_p95", F.lit(0.0)), 3).alias("p95_latency_ms"),

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from limbwise.functions.columns import one_row
 from limbwise.functions.draws import digest
 from limbwise.functions.scans import Scan, hash_slice, running
 from limbwise.operators.metadata import session_id
@@ -139,8 +140,7 @@ def split_summary(index: DataFrame, protocol: str) -> DataFrame:
         *[F.coalesce(F.max(F.when(F.col("split") == s, F.col("n"))), F.lit(0)).alias(s) for s in splits],
         *[F.coalesce(F.max(F.when(F.col("split") == s, F.col("classes"))), F.lit(0)).alias(f"classes_{s}") for s in splits])
     overlap = shared_sessions(index).agg(F.count("*").alias("session_overlap_train_test"))
-    key = lambda df: df.withColumn("protocol", F.lit(protocol))
-    return key(pivot).join(key(overlap), "protocol")
+    return one_row(pivot, overlap).withColumn("protocol", F.lit(protocol))
 
 
 def spanning_clusters(clustered: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def _(t):
  round(1000 / avg(latency_ms) FILTER (status IN ('CONFIDENT', 'UNCERTAIN')), 2) AS throughput_fps,
  sum((status = 'ERROR')::INT)::BIGINT AS errors, sum((status = 'SKIPPED')::INT)::BIGINT AS skipped FROM rows"""))
 def _(t):
-    out = sc.batch_summary(batch(t).withColumn("model", F.lit("m")), ["model"]).drop("model")
+    out = sc.batch_summary(batch(t), [])
     return out.select(*[r6(c) if c in ("accuracy", "uncertain_rate") else F.col(c) for c in out.columns])
 
 
