@@ -7,11 +7,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
+
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; only without one (tests) a local folder."""
+    """The shared folder named in ``spark.checkpoint.dir``.
+
+    Without that setting a ``local`` session, whose executors are the driver, gets a folder of
+    its own; on a cluster there is no folder that all machines share, so it is an error.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if shared:
+        return shared.rstrip("/")
+    context = spark.sparkContext
+    if context.master.startswith("local-cluster") or not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return _OWN[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
