@@ -1,15 +1,18 @@
 """BPE encoding and decoding with reuse of content-defined chunks (operator 5).
 
 A text is cut after words chosen by a rolling hash of the bytes before the white space, so
-equal passages fall into equal chunks wherever they stand. Each distinct chunk is encoded and
-decoded once per task and kept in a bounded table. A cut may only stand where encoding the two
-sides apart agrees with encoding them together: the first time the bytes around a cut occur,
-both chunks are re-encoded as one text and compared. Where they disagree, the chunks are
-merged and re-encoded, until they agree or the text is one chunk. Ids and decoded text
-equal those of the tokenizers library for the whole text.
-
-Null text is encoded as empty: no ids, empty decoded text. The table of chunks is emptied when it
-holds ``most`` of them; memory does not grow with the input.
+equal passages fall into equal chunks wherever they stand. A chunk that the task has met before is taken from a
+bounded table; a new one is assembled from pieces (letters up to a mark, or marks), and each distinct piece is
+encoded and decoded once. A cut may only stand where encoding the two sides apart agrees with
+encoding them together: the first time the three bytes around a cut occur, both sides are
+re-encoded as one text and compared. Where they disagree the sides are merged and re-encoded, until
+they agree or the text is one piece. Ids and decoded text equal those of the tokenizers library
+for the whole text.
+
+Reuse stays within a task: sending chunks to where their ids are kept would shuffle every text twice.
+
+Null text is encoded as empty: no ids, empty decoded text. A table is emptied when it is full, so
+memory does not grow with the input.
 """
 
 from __future__ import annotations
@@ -27,97 +30,147 @@ ENCODED = T.StructType([T.StructField("token_ids", T.BinaryType()), T.StructFiel
                         T.StructField("decoded", T.StringType())])
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: 0 white space, 1 letters, digits and all bytes above ASCII, 2 ASCII marks
+_KIND = np.where(_SPACE, 0, 1)
+_KIND[[i for i in range(33, 127) if not chr(i).isalnum()]] = 2
 _GEAR = np.random.default_rng(5).integers(0, 1 << 32, 256, dtype=np.uint64)
 WINDOW = 6
 
 
-def chunk_starts(data: bytes, bits: int) -> np.ndarray:
-    """Offsets of chunk starts: white space after a word whose last bytes hash to ``bits`` zero bits."""
-    raw = np.frombuffer(data, np.uint8)
-    space = _SPACE[raw]
-    cut = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-    if bits and len(cut):
-        rolled = np.zeros(len(cut), np.uint64)
-        for back in range(1, WINDOW + 1):
-            at = cut - back
-            rolled += np.where(at >= 0, _GEAR[raw[np.maximum(at, 0)]], np.uint64(0)) << np.uint64(back)
-        cut = cut[(rolled >> np.uint64(20)) & np.uint64((1 << bits) - 1) == 0]
-    return np.concatenate(([0], cut)) if len(cut) == 0 or cut[0] else cut
+def rolled(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rolling hash of the ``WINDOW`` bytes before each offset."""
+    out = np.zeros(len(at), np.uint64)
+    for back in range(1, WINDOW + 1):
+        out += np.where(at >= back, _GEAR[raw[np.maximum(at - back, 0)]], np.uint64(0)) << np.uint64(back)
+    return out >> np.uint64(24)
 
 
 class ChunkCoder:
-    """Encodes texts by chunks; ``known`` maps a chunk to its ids (32-bit little-endian) and its decoded text."""
+    """Encodes texts. ``chunks`` and ``pieces`` map bytes to (32-bit little-endian ids, decoded text)."""
 
-    def __init__(self, tokenizer: str, bits: int = 0, most: int = 400_000):
+    def __init__(self, tokenizer: str, bits: int = 5, most_chunks: int = 40_000, most_pieces: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.bits, self.most = bits, most
-        self.known: dict[bytes, tuple[bytes, str]] = {}
+        names = self.tokenizer.get_vocab()
+        self.names = [self.tokenizer.id_to_token(i) or "" for i in range(max(names.values()) + 1)]
+        self.mask, self.most_chunks, self.most_pieces = np.uint64((1 << bits) - 1), most_chunks, most_pieces
+        self.chunks: dict[bytes, tuple[bytes, str]] = {}
+        self.pieces: dict[bytes, tuple[bytes, str]] = {}
         self.agreed: dict[int, bool] = {}
 
-    def learn(self, chunks: list[bytes]) -> None:
-        if len(self.known) + len(chunks) > self.most:
-            self.known.clear()
-        found = self.tokenizer.encode_batch([c.decode("utf-8", "surrogatepass") for c in chunks], add_special_tokens=False)
-        for chunk, one in zip(chunks, found):
-            ids = one.ids
-            self.known[chunk] = (np.array(ids, "<u4").tobytes(), self.tokenizer.decode(ids, skip_special_tokens=False))
-
-    def of(self, chunk: bytes) -> tuple[bytes, str]:
-        if chunk not in self.known:
-            self.learn([chunk])
-        return self.known[chunk]
-
-    def cuts(self, data: bytes) -> list[int]:
-        """Chunk starts of a text, after repair, and its end."""
-        starts = chunk_starts(data, self.bits)
-        if len(starts) > 1:
-            raw = np.frombuffer(data, np.uint8)
-            inner = starts[1:]
-            after = np.minimum(inner + 1, len(raw) - 1)
-            keys = raw[inner - 1].astype(np.int64) << 16 | raw[inner].astype(np.int64) << 8 | raw[after]
-            distinct, first = np.unique(keys, return_index=True)
-            bad = []
-            for key, at in zip(distinct.tolist(), first.tolist()):
-                if key not in self.agreed:
-                    end = starts[at + 2] if at + 2 < len(starts) else len(data)
-                    left, right = data[starts[at]:starts[at + 1]], data[starts[at + 1]:end]
-                    self.agreed[key] = self.of(left + right)[0] == self.of(left)[0] + self.of(right)[0]
-                if not self.agreed[key]:
-                    bad.append(key)
-            if bad:
-                starts = np.concatenate((starts[:1], inner[~np.isin(keys, bad)]))
-        return [*starts.tolist(), len(data)]
+    def plain(self, text: bytes) -> list[int]:
+        return self.tokenizer.encode(text.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
+
+    def chunk_ends(self, data: bytes) -> list[int]:
+        raw = np.frombuffer(data, np.uint8)
+        space = _SPACE[raw]
+        cut = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+        cut = cut[rolled(raw, cut) & self.mask == 0]
+        return [0, *cut.tolist(), len(data)]
+
+    def piece_spans(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the pieces of a text, after repair."""
+        raw = np.frombuffer(data, np.uint8)
+        kind = _KIND[raw]
+        word = kind > 0
+        before = np.concatenate(([False], word[:-1]))
+        start = word & ~before
+        start[1:] |= (kind[1:] == 2) & (kind[:-1] == 1)
+        starts = np.flatnonzero(start)
+        if not len(starts):
+            return starts, starts
+        ends = np.flatnonzero(word & ~np.concatenate((word[1:], [False]))) + 1
+        inner = starts[1:]
+        apart = ~before[inner]
+        ends = np.sort(np.concatenate((ends, inner[~apart])))
+        last = raw[ends[:-1] - 1].astype(np.int64)
+        after = raw[np.minimum(inner + 1, len(raw) - 1)]
+        keys = (last << 16 | raw[inner].astype(np.int64) << 8 | np.where(apart, 0, after)) << 1 | apart
+        distinct, first = np.unique(keys, return_index=True)
+        bad = []
+        for key, at in zip(distinct.tolist(), first.tolist()):
+            if key not in self.agreed:
+                left, right = data[starts[at]:ends[at]], data[starts[at + 1]:ends[at + 1]]
+                self.agreed[key] = self.plain(data[starts[at]:ends[at + 1]]) == self.plain(left) + self.plain(right)
+            if not self.agreed[key]:
+                bad.append(key)
+        if bad:
+            good = ~np.isin(keys, bad)
+            starts, ends = starts[np.concatenate(([True], good))], ends[np.concatenate((good, [True]))]
+        return starts, ends
+
+    def keep(self, piece: bytes, ids: list[int]) -> None:
+        self.pieces[piece] = (np.array(ids, "<u4").tobytes(), " ".join([self.names[i] for i in ids]))
+
+    def learn(self, new: list[bytes]) -> None:
+        """Encode pieces. A piece of letters alone ends in one word end, so many are encoded as one text."""
+        texts = [p.decode("utf-8", "surrogatepass") for p in new]
+        letters = [(p, t) for p, t in zip(new, texts) if t.isalpha()]
+        rest = [(p, t) for p, t in zip(new, texts) if not t.isalpha()]
+        for lo in range(0, len(letters), 64):
+            group = letters[lo:lo + 64]
+            ids = self.tokenizer.encode(" ".join([t for _, t in group]), add_special_tokens=False).ids
+            ends = [i + 1 for i, x in enumerate(ids) if self.names[x].endswith("</w>")]
+            if len(ends) != len(group):
+                rest.extend(group)
+                continue
+            at = 0
+            for (piece, _), end in zip(group, ends):
+                self.keep(piece, ids[at:end])
+                at = end
+        if rest:
+            for (piece, _), one in zip(rest, self.tokenizer.encode_batch([t for _, t in rest], add_special_tokens=False)):
+                self.keep(piece, one.ids)
+
+    def assemble(self, new: list[bytes]) -> None:
+        """Encode new chunks from their pieces, all in one pass over their bytes."""
+        data = b"\n".join(new)
+        starts, ends = self.piece_spans(data)
+        found = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        missing = list(dict.fromkeys(p for p in found if p not in self.pieces))
+        if len(self.pieces) + len(missing) > self.most_pieces:
+            self.pieces.clear()
+            missing = list(dict.fromkeys(found))
+        self.learn(missing)
+        parts = [self.pieces[p] for p in found]
+        if len(self.chunks) + len(new) > self.most_chunks:
+            self.chunks.clear()
+        offsets = np.cumsum([0] + [len(c) + 1 for c in new])
+        firsts = np.searchsorted(starts, offsets).tolist()
+        for chunk, a, b in zip(new, firsts, firsts[1:]):
+            own = parts[a:b]
+            self.chunks[chunk] = (b"".join([p[0] for p in own]), " ".join([p[1] for p in own if p[0]]))
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, int, str]]:
         split = []
         for text in texts:
             data = (text or "").encode("utf-8", "surrogatepass")
-            cuts = self.cuts(data) if data else [0]
-            split.append([data[a:b] for a, b in zip(cuts, cuts[1:])])
-        new = dict.fromkeys(c for chunks in split for c in chunks if c not in self.known)
-        had = len(self.known)
-        self.learn(list(new))
-        if len(self.known) < had:  # emptied on the way
-            self.learn(list(dict.fromkeys(c for chunks in split for c in chunks if c not in self.known)))
+            ends = self.chunk_ends(data) if data else [0]
+            split.append([data[a:b] for a, b in zip(ends, ends[1:])])
+        new = dict.fromkeys(c for chunks in split for c in chunks if c not in self.chunks)
+        if len(self.chunks) + len(new) > self.most_chunks:
+            self.chunks.clear()
+            new = dict.fromkeys(c for chunks in split for c in chunks)
+        if new:
+            self.assemble(list(new))
         out = []
         for chunks in split:
-            parts = [self.known[c] for c in chunks]
+            parts = [self.chunks[c] for c in chunks]
             ids = b"".join([p[0] for p in parts])
             out.append((ids, len(ids) // 4, " ".join([p[1] for p in parts if p[0]])))
         return out
 
 
-def encoded(text: Column, tokenizer: str, bits: int = 0, most: int = 400_000, rows: int = 256) -> Column:
+def encoded(text: Column, tokenizer: str, bits: int = 5, rows: int = 256) -> Column:
     """Struct of ``token_ids``, ``n_tokens`` and ``decoded``; ``tokenizer`` is the JSON of one."""
 
     @F.pandas_udf(ENCODED)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = ChunkCoder(tokenizer, bits, most)
+        coder = ChunkCoder(tokenizer, bits)
         for texts in batches:
             out = []
             for at in range(0, len(texts), rows):

@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limbwise.llm import quality
+from limbwise.llm import bpe, classify, langid, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": quality.query,
+    "op5_bpe": bpe.query,
+    "op8_language_id": langid.query,
+    "op10_quality_classifier": classify.query,
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.ORACLE,
