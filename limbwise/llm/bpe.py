@@ -18,6 +18,7 @@ memory does not grow with the input.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +58,7 @@ class ChunkCoder:
         self.tokenizer.no_padding()
         names = self.tokenizer.get_vocab()
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(max(names.values()) + 1)]
+        self.ends = [n.endswith("</w>") for n in self.names]
         self.mask, self.most_chunks, self.most_pieces = np.uint64((1 << bits) - 1), most_chunks, most_pieces
         self.chunks: dict[bytes, tuple[bytes, str]] = {}
         self.pieces: dict[bytes, tuple[bytes, str]] = {}
@@ -104,17 +106,27 @@ class ChunkCoder:
         return starts, ends
 
     def keep(self, piece: bytes, ids: list[int]) -> None:
-        self.pieces[piece] = (np.array(ids, "<u4").tobytes(), " ".join([self.names[i] for i in ids]))
+        self.pieces[piece] = (array("I", ids).tobytes(), " ".join([self.names[i] for i in ids]))
 
     def learn(self, new: list[bytes]) -> None:
-        """Encode pieces. A piece of letters alone ends in one word end, so many are encoded as one text."""
-        texts = [p.decode("utf-8", "surrogatepass") for p in new]
-        letters = [(p, t) for p, t in zip(new, texts) if t.isalpha()]
-        rest = [(p, t) for p, t in zip(new, texts) if not t.isalpha()]
-        for lo in range(0, len(letters), 64):
-            group = letters[lo:lo + 64]
+        """Encode pieces. A piece of letters alone ends in one word end, so many are encoded as one
+        text; the tokenizer ignores case, so such a piece may share the entry of its lower-case form."""
+        letters, rest, low, pieces = {}, [], [], self.pieces
+        for piece in new:
+            text = piece.decode("utf-8", "surrogatepass")
+            if not text.isalpha():
+                rest.append((piece, text))
+                continue
+            plain = piece.lower()
+            if plain != piece:
+                low.append((piece, plain))
+            if plain not in pieces:
+                letters[plain] = plain.decode("utf-8", "surrogatepass")
+        todo = list(letters.items())
+        for lo in range(0, len(todo), 64):
+            group = todo[lo:lo + 64]
             ids = self.tokenizer.encode(" ".join([t for _, t in group]), add_special_tokens=False).ids
-            ends = [i + 1 for i, x in enumerate(ids) if self.names[x].endswith("</w>")]
+            ends = [i for i, x in enumerate(ids, 1) if self.ends[x]]
             if len(ends) != len(group):
                 rest.extend(group)
                 continue
@@ -125,6 +137,8 @@ class ChunkCoder:
         if rest:
             for (piece, _), one in zip(rest, self.tokenizer.encode_batch([t for _, t in rest], add_special_tokens=False)):
                 self.keep(piece, one.ids)
+        for piece, plain in low:
+            pieces[piece] = pieces[plain]
 
     def assemble(self, new: list[bytes]) -> None:
         """Encode new chunks from their pieces, all in one pass over their bytes."""
