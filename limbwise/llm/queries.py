@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limbwise.llm import bpe, classify, langid, quality
+from limbwise.llm import bpe, classify, langid, neardup, neighbours, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": neardup.query,
     "op2_quality_rules": quality.query,
     "op5_bpe": bpe.query,
     "op8_language_id": langid.query,
+    "op9_nearest_neighbours": neighbours.query,
     "op10_quality_classifier": classify.query,
 }
 ORACLES: dict[str, str] = {
