@@ -137,12 +137,12 @@ def _best(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
     """The best ``K`` + 1 entries of a block for each query that asks it."""
     if not len(asking) or not len(held):
         return pd.DataFrame({"q": [], "key": [], "score": []})
-    qs, vs = _matrix(asking["v"]), _matrix(held["v"])
+    qs, vs = _matrix(asking["qv"]), _matrix(held["v"])
     rough, most = qs @ vs.T, min(K + 4, len(vs))
     pick = np.argpartition(-rough, most - 1, axis=1)[:, :most]
     exact = (qs[:, None, :] * vs[pick]).sum(-1)
     keys = held["key"].to_numpy()
-    return pd.DataFrame({"q": np.repeat(asking["key"].to_numpy(), most), "key": keys[pick.ravel()], "score": exact.ravel()})
+    return pd.DataFrame({"q": np.repeat(asking["q"].to_numpy(), most), "key": keys[pick.ravel()], "score": exact.ravel()})
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
@@ -169,17 +169,16 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
         for v in batches:
             yield pd.Series([[{"tree": t, "leaf": n} for t, n in asked(np.asarray(x, np.float64), forest, forest.probes)] for x in v], dtype=object)
     searched = wanted.select("key").distinct()
-    questions = entries.join(searched, "key", "left_semi").select("key", "v")
+    questions = entries.join(searched, "key", "left_semi").select(F.col("key").alias("q"), F.col("v").alias("qv"))
     parts_v = max(1, -(-total // (BLOCK * 2 ** forest.depth)))
     parts_q = max(1, -(-total // (20 * BLOCK)))
-    part = lambda n: F.pmod(F.xxhash64("key", F.lit(3)), F.lit(n)).cast("int")
+    part = lambda key, n: F.pmod(F.xxhash64(key, F.lit(3)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = (entries.select("key", "v", F.posexplode(placed("v")).alias("tree", "leaf")).withColumn("pv", part(parts_v))
+    held = (entries.select("key", "v", F.posexplode(placed("v")).alias("tree", "leaf")).withColumn("pv", part("key", parts_v))
             .withColumn("pq", every(parts_q)))
-    asking = (questions.select("key", "v", F.explode(probed("v")).alias("p")).select("key", "v", "p.tree", "p.leaf")
-              .withColumn("pq", part(parts_q)).withColumn("pv", every(parts_v)))
-    block = ["tree", "leaf", "pv", "pq"]
-    best = asking.groupBy(*block).cogroup(held.groupBy(*block)).applyInPandas(_best, "q string, key string, score double")
+    asking = (questions.select("q", "qv", F.explode(probed("qv")).alias("p")).select("q", "qv", F.col("p.tree").alias("qt"), F.col("p.leaf").alias("ql"))
+              .withColumn("qq", part("q", parts_q)).withColumn("qp", every(parts_v)))
+    best = asking.groupBy("qt", "ql", "qp", "qq").cogroup(held.groupBy("tree", "leaf", "pv", "pq")).applyInPandas(_best, "q string, key string, score double")
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     top = (best.groupBy("q", "key").agg(F.max("score").alias("score")).join(entries.select("key", "ids"), "key")
            .select("q", "score", F.explode("ids").alias("vec_id")).withColumn("_at", F.row_number().over(by_score)).where(F.col("_at") <= k + 1))
