@@ -31,6 +31,8 @@ from limbwise.llm.words import HashCache, crc_mod
 from limbwise.sources.workspace import cut
 
 ORDER = 5
+#: of each distinct next byte, the share of a count kept for escapes
+DISCOUNT = 0.5
 BLOCK_BYTES, BUCKET_BYTES = 96_000_000, 12_000_000
 GRAM, WORD = 0, 1
 PACKED = "block int, bucket int, kind int, keys binary, counts binary"
@@ -202,7 +204,7 @@ def predict(keys: np.ndarray, counts: np.ndarray, ones: np.ndarray) -> np.ndarra
         c = count(order, g)
         rest_n, rest_d = n - ruled_n, d - ruled_d
         with np.errstate(divide="ignore", invalid="ignore"):
-            here, escape = np.log10((c - 0.5) / rest_n), np.where(rest_n > 0, np.log10(0.5 * rest_d / rest_n), 0.0)
+            here, escape = np.log10((c - DISCOUNT) / rest_n), np.where(rest_n > 0, np.log10(DISCOUNT * rest_d / rest_n), 0.0)
         found = c > 0
         out[todo] += np.where(found, here, escape)
         seen = n > 0

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limbwise.llm import bpe, classify, langid, neardup, neighbours, ppm, quality
+from limbwise.llm import bpe, classify, extract, langid, mixing, neardup, neighbours, ppm, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": neardup.query,
     "op2_quality_rules": quality.query,
+    "op4_html_extraction": extract.query,
     "op5_bpe": bpe.query,
     "op6_lm_scoring": ppm.query,
+    "op7_source_mixing": mixing.query,
     "op8_language_id": langid.query,
     "op9_nearest_neighbours": neighbours.query,
     "op10_quality_classifier": classify.query,
