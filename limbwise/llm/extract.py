@@ -22,6 +22,7 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW, SURGE, SHARE = 3, 60, 0.2
 _SKIPPED = "script|style|noscript|template|title|svg|math|iframe|object|textarea|select|button|canvas|audio|video"
@@ -166,7 +167,7 @@ def main_text(html: str | None) -> str:
     return "\n".join([lines[i][0] for a, b in found for i in range(a, b) if weight[i]])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def extracted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for pages in batches:
         yield pages.map(main_text)

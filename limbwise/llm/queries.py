@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limbwise.llm import bpe, classify, extract, langid, mixing, neardup, neighbours, ppm, quality
+from limbwise.llm import bpe, classify, extract, langid, lines, mixing, neardup, neighbours, ppm, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": neardup.query,
     "op2_quality_rules": quality.query,
+    "op3_line_dedup": lines.query,
     "op4_html_extraction": extract.query,
     "op5_bpe": bpe.query,
     "op6_lm_scoring": ppm.query,
@@ -20,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": classify.query,
 }
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": lines.ORACLE,
     "op2_quality_rules": quality.ORACLE,
 }
