@@ -10,11 +10,11 @@ blocks (0,1], (1,2], (2,4], (4,8], ...; a block is one process of its size's rat
 in the block decides whether a weight reaches it. Points later than a bound that fills all
 registers are never drawn, so long texts cost little more than one draw per shingle.
 
-Classes: equal word sequences are one node. Signatures are banded; in a bucket every node is compared with the
-bucket's hub, the node with the most bucket neighbours, on the texts. Then each bucket that still holds several
-components compares its nodes outside the largest of them with all nodes of other components. So no
-candidate link between different components is left out, though copies are never expanded into
-pairs. With 25 bands of 5 a pair at 0.8 shares no bucket once in 20,000 times; links of a class's other
+Classes: equal word sequences are one node. Signatures are banded; in a bucket every node is compared with two
+hubs on the texts, the node with the most bucket neighbours and one picked by hash. Then each bucket that still
+holds several components compares its nodes outside the largest of them with all nodes of other
+components, in blocks of at most ``BLOCK`` by ``BLOCK`` that give out only the links they find. So no candidate link between
+different components is left out, though pairs within a group are never written out. With 25 bands of 5 a pair at 0.8 shares no bucket once in 20,000 times; links of a class's other
 members bridge that as a rule.
 
 Null and wordless texts have no shingles: each is a class of its own. Repeated rows are copies. The
@@ -36,7 +36,7 @@ from limbwise.sources.workspace import cut
 
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-SHINGLE, THRESHOLD = 5, 0.8
+SHINGLE, THRESHOLD, BLOCK = 5, 0.8, 512
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _ALL = (1 << 64) - 1
 _STEP = np.uint64(0x2545F4914F6CDD1D)
@@ -155,6 +155,63 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).take(pa.array(good, pa.int64()))
 
 
+def expanded(found: tuple[np.ndarray, np.ndarray]) -> frozenset[int]:
+    """A multiset as a set: the k-th copy of a shingle is an element of its own."""
+    values, counts = found
+    parts, k = [values], 1
+    while (more := values[counts > k]).size:
+        parts.append(mix(more + np.uint64(k * 0x2545F4914F6CDD1D & _ALL)))
+        k += 1
+    return frozenset(np.concatenate(parts).tolist())
+
+
+def compared(loose: list[tuple], rest: list[tuple], at: int) -> list[tuple[bytes, bytes]]:
+    """Links between two sides of a bucket of band ``at``, given as (node, label, bands, set).
+
+    A pair is compared where its labels differ and in the first band that it shares only.
+    """
+    a, b = (np.array([x[2] for x in side]) for side in (loose, rest))
+    mask = np.array([x[1] for x in loose], object)[:, None] != np.array([x[1] for x in rest], object)[None, :]
+    for band in range(at):
+        mask &= a[:, band][:, None] != b[:, band][None, :]
+    out = []
+    for i, j in zip(*np.nonzero(mask)):
+        x, y = loose[i][3], rest[j][3]
+        if min(len(x), len(y)) >= THRESHOLD * max(len(x), len(y)):
+            both = len(x & y)
+            if both >= THRESHOLD * (len(x) + len(y) - both):
+                out.append((loose[i][0], rest[j][0]))
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come ordered by bucket and block, the loose side first."""
+    cache, sets, group, sides, band = HashCache(), {}, None, ([], []), 0
+
+    def flush():
+        found = compared(*sides, band) if sides[0] and sides[1] else []
+        for side in sides:
+            side.clear()
+        return found
+    for batch in batches:
+        out = []
+        columns = {c: batch[c].to_pylist() for c in ("key", "lb", "rb", "side", "node", "label")}
+        for i, (key, lb, rb, side, node, label) in enumerate(zip(*columns.values())):
+            if (key, lb, rb) != group:
+                out.extend(flush())
+                group = (key, lb, rb)
+            own = sets.get(node)
+            if own is None:
+                if len(sets) >= 10_000:
+                    sets.clear()
+                own = sets[node] = (batch["bands"][i].as_py(), expanded(shingles(words(batch["text"][i].as_py()), cache)))
+            band = own[0].index(key)
+            sides[side].append((node, label, *own))
+        yield pa.record_batch({"u": pa.array([x[0] for x in out], pa.binary()), "v": pa.array([x[1] for x in out], pa.binary())})
+    out = flush()
+    yield pa.record_batch({"u": pa.array([x[0] for x in out], pa.binary()), "v": pa.array([x[1] for x in out], pa.binary())})
+
+
 def row_key() -> F.Column:
     return F.xxhash64("doc_id", "text")
 
@@ -181,21 +238,30 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     rows = nodes.select("node", F.explode("bands").alias("key"))
     members = cut(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "members")
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    hubs = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
-    first = cut(members.join(hubs, "key").where(F.col("hub") != F.col("node")).select(*_ordered("hub", "node")).distinct(), "pairs")
-    needed = first.select(F.col("u").alias("node")).union(first.select("v")).distinct().join(nodes.select("node", "row"), "node")
-    texts = cut(docs.select(row_key().alias("row"), "text").join(needed, "row").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    hubs = members.join(weight, "node").groupBy("key").agg(F.array(
+        F.max(F.struct("weight", "node"))["node"], F.max(F.struct(F.xxhash64("key", "node").alias("h"), "node"))["node"]).alias("hubs"))
+    first = cut(members.join(hubs, "key").select("node", F.explode("hubs").alias("hub")).where(F.col("hub") != F.col("node"))
+                .select(*_ordered("hub", "node")).distinct(), "pairs")
+    needed = first.select(F.col("u").alias("node")).union(first.select("v")).distinct().join(nodes, "node")
+    texts = cut(docs.select(row_key().alias("row"), "text").join(needed, "row").groupBy("node").agg(
+        F.first("text").alias("text"), F.first("bands").alias("bands")), "texts")
     found = cut(_verified(first, texts), "links")
     labels = components(found)
-    labelled = cut(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("key", "node", "label"), "members")
+    labelled = cut(members.where("n > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("key", "node", "label"), "members")
     parts = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = (parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "label"))["label"].alias("largest"))
-             .where("parts > 1").select("key", "largest"))
-    loose = labelled.join(mixed, "key").where(F.col("label") != F.col("largest")).select("key", F.col("node").alias("a"), F.col("label").alias("label_a"))
-    rest = labelled.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    second = (loose.join(rest, "key").where(F.col("label_a") != F.col("label_b")).select(*_ordered("a", "b")).distinct()
-              .join(first, ["u", "v"], "left_anti"))
-    return found.union(_verified(second, texts))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = (parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top")).where("parts > 1")
+             .select("key", F.col("top.label").alias("largest"), blocks(F.col("all") - F.col("top.n")).alias("lbs"), blocks(F.col("all")).alias("rbs")))
+    here = labelled.join(mixed, "key")
+    own = lambda n: F.pmod(F.xxhash64("node", F.lit(1)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    loose = (here.where(F.col("label") != F.col("largest")).withColumn("lb", own("lbs")).withColumn("rb", every("rbs"))
+             .select("key", "lb", "rb", F.lit(0).alias("side"), "node", "label"))
+    rest = here.withColumn("rb", own("rbs")).withColumn("lb", every("lbs")).select("key", "lb", "rb", F.lit(1).alias("side"), "node", "label")
+    met = loose.union(rest).join(texts, "node")
+    second = (met.repartition("key", "lb", "rb").sortWithinPartitions("key", "lb", "rb", "side")
+              .select("key", "lb", "rb", "side", "node", "label", "text", "bands").mapInArrow(_compare, "u binary, v binary"))
+    return found.union(second.select(*_ordered("u", "v")).distinct())
 
 
 def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
