@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from limbwise.llm import quality
+from limbwise.llm import bpe, lines, mixing, neardup, quality
 from limbwise.sources.workspace import scratch_path
 
 
@@ -13,14 +14,38 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that match an earlier one; those left without words go (operator 3)."""
+    return lines.remove_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class (operator 1)."""
+    return neardup.one_per_class(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources as documents, repeated or cut as often as their words were taken (operator 7)."""
+    return mixing.mixed_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (32-bit little-endian) of every document and the digest of the text decoded from them (operator 5)."""
+    coded = bpe.encoded(F.col("text"), bpe.tokenizer_json())
+    return docs.select("doc_id", "lang", "source", coded.alias("e")).select(
+        "doc_id", "lang", "source", "e.n_tokens", "e.token_ids", F.sha2(F.encode("e.decoded", "utf-8"), 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("source_mix", source_mix), ("tokens", tokens)]
+#: None: the classes of near-duplicates and the draws of the mix have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder; what lies between them goes to shared storage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
