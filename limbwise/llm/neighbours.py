@@ -25,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,16 +134,17 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64).reshape(len(column), -1)
 
 
-def _best(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-    """The best ``K`` + 1 entries of a block for each query that asks it."""
+def _best(asking: pa.Table, held: pa.Table) -> pa.Table:
+    """The best ``K`` and a few more entries of a block for each query that asks it."""
+    out = pa.schema([("q", pa.string()), ("key", pa.string()), ("score", pa.float64())])
     if not len(asking) or not len(held):
-        return pd.DataFrame({"q": [], "key": [], "score": []})
-    qs, vs = _matrix(asking["qv"]), _matrix(held["v"])
+        return out.empty_table()
+    qs, vs = (np.array(t[c].to_pylist(), np.float64) for t, c in ((asking, "qv"), (held, "v")))
     rough, most = qs @ vs.T, min(K + 4, len(vs))
-    pick = np.argpartition(-rough, most - 1, axis=1)[:, :most]
-    exact = (qs[:, None, :] * vs[pick]).sum(-1)
-    keys = held["key"].to_numpy()
-    return pd.DataFrame({"q": np.repeat(asking["q"].to_numpy(), most), "key": keys[pick.ravel()], "score": exact.ravel()})
+    pick = np.argpartition(-rough, most - 1, axis=1)[:, :most].ravel()
+    asked_by = np.repeat(np.arange(len(qs)), most)
+    exact = (qs[asked_by] * vs[pick]).sum(-1)
+    return pa.table([asking["q"].take(pa.array(asked_by)).cast(pa.string()), held["key"].take(pa.array(pick)).cast(pa.string()), pa.array(exact)], schema=out)
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
@@ -156,7 +158,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
     total, largest = seen[0], float(seen[1] or 0.0)
     cents = max(1, min(10_000, int(10_000 * SAMPLE / max(total, 1))))
     sample = entries.where(F.pmod(F.xxhash64("key"), F.lit(10_000)) < cents).select("v").limit(2 * SAMPLE).collect()
-    found = np.array([r["v"] for r in sample], np.float64).reshape(len(sample), -1)
+    found = np.array([r["v"] for r in sample], np.float64)
     forest = fit(found, total, largest) if len(found) else Forest(0, np.zeros((TREES, 0, 1)), np.zeros((TREES, 0)), 0.0, TREES)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -178,7 +180,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
             .withColumn("pq", every(parts_q)))
     asking = (questions.select("q", "qv", F.explode(probed("qv")).alias("p")).select("q", "qv", F.col("p.tree").alias("qt"), F.col("p.leaf").alias("ql"))
               .withColumn("qq", part("q", parts_q)).withColumn("qp", every(parts_v)))
-    best = asking.groupBy("qt", "ql", "qp", "qq").cogroup(held.groupBy("tree", "leaf", "pv", "pq")).applyInPandas(_best, "q string, key string, score double")
+    best = asking.groupBy("qt", "ql", "qp", "qq").cogroup(held.groupBy("tree", "leaf", "pv", "pq")).applyInArrow(_best, "q string, key string, score double")
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     top = (best.groupBy("q", "key").agg(F.max("score").alias("score")).join(entries.select("key", "ids"), "key")
            .select("q", "score", F.explode("ids").alias("vec_id")).withColumn("_at", F.row_number().over(by_score)).where(F.col("_at") <= k + 1))
