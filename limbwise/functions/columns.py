@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +51,21 @@ def between_ranks(values: Column, q: float) -> Column:
     return let(F.sort_array(values), pick)
 
 
+def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``keys`` where null equals null; one column per key, like a join by name.
+
+    The keys are compared as a struct: still an equi-join that can be hashed and sorted.
+    """
+    keys = list(keys)
+    a = left.withColumn("_left", F.struct(*keys))
+    b = right.select(F.struct(*keys).alias("_right"), *[c for c in right.columns if c not in keys])
+    out = a.join(b, F.col("_left") == F.col("_right"), how)
+    if how in ("left_semi", "left_anti"):
+        return out.drop("_left")
+    at = F.coalesce("_left", "_right")
+    return out.select(*[at.getField(k).alias(k) for k in keys], *[F.col(c) for f in (left, right) for c in f.columns if c not in keys])
+
+
 def one_row(*frames: DataFrame) -> DataFrame:
     """Put single-row results side by side (a union of at most one row each, not a join)."""
     out = frames[0]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from limbwise.functions.columns import keyed_join
+
 
 def _slice(value: Column) -> Column:
     """A monotone slice number: 1024 per power of two, mirrored for negative values."""
@@ -41,7 +43,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column, wanted:
         for rank in (low, high):
             needed = needed | ((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_in")))
     own = Window.partitionBy(*grain, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (sliced.join(sizes.where(needed), [*grain, "_slice"])
+    ranked = (keyed_join(sliced, sizes.where(needed), [*grain, "_slice"])
               .withColumn("_upto", F.col("_before") + F.sum("_n").over(own)))
     aggs = []
     for name, (low, high, part) in ranks.items():

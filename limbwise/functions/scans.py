@@ -4,7 +4,9 @@ A plain window ``PARTITION BY key ORDER BY t`` puts a hot key into one task. Eve
 helper here partitions by ``(key, slice)`` instead, where ``slice`` is a monotone
 function of the order (an hour, an id range, a hash prefix). Each slice is summarised
 to one row, the summaries are scanned per key, and the carry is joined back on
-``(key, slice)`` - the partitioning the rows already have. Results are exact.
+``(key, slice)`` - the partitioning the rows already have. Results are exact. Keys and
+slice are held in one struct, in which null equals null, so rows without a key or a time
+are a group like any other.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from limbwise.functions.columns import keyed_join
 from limbwise.sources.workspace import cut
 
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -50,15 +53,16 @@ def running(df: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence[
         cols = [c.desc() if scan.backward else c.asc() for c in cols]
         return Window.partitionBy(*part).orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
 
-    per_slice = df.groupBy(*keys, slice_col).agg(
+    held = df.withColumn("_g", F.struct(*keys, slice_col))
+    per_slice = held.groupBy("_g").agg(
         *[_FOLD[s.kind](s.value).alias(f"_t_{name}") for name, s in outputs.items()])
-    carry = per_slice.select(*keys, slice_col, *[
-        _FOLD[s.kind](f"_t_{name}").over(ordered(keys, [F.col(slice_col)], s, False)).alias(f"_c_{name}")
+    carry = per_slice.select("_g", *[
+        _FOLD[s.kind](f"_t_{name}").over(ordered([f"_g.{k}" for k in keys], [F.col(f"_g.{slice_col}")], s, False)).alias(f"_c_{name}")
         for name, s in outputs.items()])
-    local = df.select("*", *[
-        _FOLD[s.kind](s.value).over(ordered([*keys, slice_col], order, s, s.inclusive)).alias(f"_w_{name}")
+    local = held.select("*", *[
+        _FOLD[s.kind](s.value).over(ordered(["_g"], order, s, s.inclusive)).alias(f"_w_{name}")
         for name, s in outputs.items()])
-    joined = local.join(carry, [*keys, slice_col], "left")
+    joined = local.join(carry, "_g", "left")
     kept = [F.col(c) for c in df.columns if c not in outputs]
     return joined.select(*kept, *[
         _merge(s.kind, F.col(f"_c_{name}"), F.col(f"_w_{name}")).alias(name) for name, s in outputs.items()])
@@ -75,20 +79,20 @@ def trailing(df: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence
     row number within the key.
     """
     keys = list(keys)
-    by_key = Window.partitionBy(*keys)
-    inner = Window.partitionBy(*keys, slice_col).orderBy(*order)
-    local = df.select("*", F.collect_list(value).over(inner.rowsBetween(-(size - 1), 0)).alias("_own"),
+    by_key = Window.partitionBy(*[f"_g.{k}" for k in keys])
+    inner = Window.partitionBy("_g").orderBy(*order)
+    local = df.withColumn("_g", F.struct(*keys, slice_col)).select("*", F.collect_list(value).over(inner.rowsBetween(-(size - 1), 0)).alias("_own"),
                       F.row_number().over(inner).alias("_pos"))
-    tails = local.groupBy(*keys, slice_col).agg(
+    tails = local.groupBy("_g").agg(
         F.max_by("_own", "_pos").alias("_tail"), F.max("_pos").cast("bigint").alias("_n"))
     reach = by_key.orderBy("_end").rangeBetween(-(size - 1), 0)
     carry = (tails
              .withColumn("_end", F.sum("_n").over(
-                 by_key.orderBy(slice_col).rowsBetween(Window.unboundedPreceding, 0)))
+                 by_key.orderBy(f"_g.{slice_col}").rowsBetween(Window.unboundedPreceding, 0)))
              .withColumn("_upto", F.flatten(F.collect_list("_tail").over(reach)))
-             .withColumn("_carry", F.lag(_last(F.col("_upto"), size)).over(by_key.orderBy(slice_col)))
-             .select(*keys, slice_col, "_carry", (F.col("_end") - F.col("_n")).alias("_before")))
-    joined = local.join(carry, [*keys, slice_col], "left")
+             .withColumn("_carry", F.lag(_last(F.col("_upto"), size)).over(by_key.orderBy(f"_g.{slice_col}")))
+             .select("_g", "_carry", (F.col("_end") - F.col("_n")).alias("_before")))
+    joined = local.join(carry, "_g", "left")
     carried = F.coalesce("_carry", F.slice("_own", 1, 0))
     cols = [F.col(c) for c in df.columns]
     cols.append(_last(F.concat(carried, F.col("_own")), size).alias(out))
@@ -138,7 +142,7 @@ def greedy_picks(df: DataFrame, keys: Sequence[str], slice_col: str, micros: str
     pieces = cut(running(df_in, keys, slice_col, order, {
         "_piece": Scan("max", F.when(starts, F.struct(F.col(position).alias("at"), F.col(micros).alias("since"))))}), "pieces")
     again = _walk_pieces(pieces, keys, slice_col, micros, position, gap)
-    return (pieces.join(again, [*keys, position], "left")
+    return (keyed_join(pieces, again, [*keys, position], "left")
             .withColumn("picked", (F.col("_piece.at") == F.col(position)) | F.coalesce("_again", F.lit(False)))
             .select(*df.columns, "picked"))
 
@@ -156,11 +160,11 @@ def _walk_pieces(pieces: DataFrame, keys: list[str], slice_col: str, micros: str
     piece = [*keys, "_at", "_since"]
     folded = late.groupBy(*piece, slice_col).agg(F.array_sort(F.collect_list(F.struct("_p", "_m"))).alias("_rows"))
     spans = folded.groupBy(*piece).agg(F.count("*").alias("_slices")).where(F.col("_slices") > 1)
-    entries = _entries(folded.join(spans, piece, "left_semi"), piece, slice_col, gap)
+    entries = _entries(keyed_join(folded, spans, piece, "left_semi"), piece, slice_col, gap)
     state = lambda last, picks: F.struct(last.cast("bigint").alias("last"), picks.cast("array<bigint>").alias("picks"))
     walked = F.aggregate("_rows", state(F.col("_last"), F.array()), lambda a, r: F.when(
         r["_m"] - a["last"] >= gap, state(r["_m"], F.concat(a["picks"], F.array(r["_p"])))).otherwise(state(a["last"], a["picks"])))
-    return (folded.join(entries, [*piece, slice_col], "left").withColumn("_last", F.coalesce("_last", "_since"))
+    return (keyed_join(folded, entries, [*piece, slice_col], "left").withColumn("_last", F.coalesce("_last", "_since"))
             .select(*keys, F.explode(walked["picks"]).alias(position)).withColumn("_again", F.lit(True)))
 
 

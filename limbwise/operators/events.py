@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limbwise.functions.columns import one_row, ratio
+from limbwise.functions.columns import keyed_join, one_row, ratio
 from limbwise.functions.quantiles import exact_percentiles
 from limbwise.settings import Settings
 
@@ -113,7 +113,7 @@ def newest_first(events: DataFrame, limit: int, time: str = "timestamp", tie: st
 
 
 def newest_failures(failures: DataFrame, limit: int, tie: str = "failure_id") -> DataFrame:
-    return failures.orderBy(F.col("timestamp").desc(), F.col(tie).desc()).limit(max(1, min(int(limit), 1000)))
+    return failures.orderBy(F.col("timestamp").desc(), F.col(tie).desc()).limit(limit)
 
 
 def flagged(events: DataFrame, text: str = "", settings: Settings = Settings()) -> DataFrame:
@@ -152,7 +152,7 @@ def log_metrics(predictions: DataFrame, feedback: DataFrame, by: list[str] | Non
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     zero_d = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     # without keys every part is one row, also for an empty log
-    merged = counts.join(tails, by, "left").join(verdicts, by, "full_outer") if by else one_row(counts, tails, verdicts)
+    merged = keyed_join(keyed_join(counts, tails, by, "left"), verdicts, by, "full_outer") if by else one_row(counts, tails, verdicts)
     return merged.select(
         *by, zero("predictions_total"), zero("feedback_total"), zero("corrections_total"),
         zero("accept_total"), zero("correct_total"), zero("reject_total"), zero("uncertain_total"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from limbwise.functions.columns import keyed_join
 from limbwise.functions.scans import Scan, greedy_picks, positions, running, time_slice, trailing
 from limbwise.settings import Settings
 
@@ -92,16 +93,40 @@ def request_rates(access: DataFrame, settings: Settings = Settings(), client: st
     return counted.withColumn("over_limit", F.col("requests") > settings.rate_limit).drop("_m", "_home", "_slice")
 
 
+def lives(rows: DataFrame, settings: Settings = Settings(), keys: tuple[str, ...] = ("session_id",),
+          time: str = "ts", tie: str = "seq") -> DataFrame:
+    """Add ``life``: how often the session was silent for more than ``session_idle_seconds`` before the row.
+
+    As one more key it makes the batch operators start afresh where the stream does.
+    """
+    keys, order = list(keys), [F.col(time), F.col(tie)]
+    before = running(_sliced(rows, time, settings), keys, "_slice", order, {"_b": Scan("max", F.unix_micros(time), inclusive=False)})
+    ended = F.coalesce(F.unix_micros(time) - F.col("_b") > settings.session_idle_seconds * 1_000_000, F.lit(False))
+    return running(before, keys, "_slice", order, {"life": Scan("sum", ended.cast("bigint"))}).drop("_b", "_slice")
+
+
 def smoothed_rate(frames: DataFrame, value: Column, settings: Settings = Settings(), keys: tuple[str, ...] = ("session_id",),
-                  time: str = "ts", tie: str = "seq", out: str = "fps_ema", memory: int = 384) -> DataFrame:
-    """Exponential average 0.9 * old + 0.1 * new, starting at the first value.
+                  time: str = "ts", tie: str = "seq", out: str = "fps_ema") -> DataFrame:
+    """Exponential average 0.9 * old + 0.1 * new, starting at the first value; exact over the whole history.
 
-    A value ``memory`` rows back weighs 0.9**memory (under 1e-17), so the last ``memory`` values
-    give the full-precision result and the scan stays bounded.
+    Rows fall into blocks of 256 by position. Within a block the average is a running sum of values
+    weighted by 0.9**-k; a block ends in 0.9**256 times the average before it plus its own part, so
+    averages before blocks are sums over earlier blocks. Those more than 27 back weigh less than the
+    smallest double and are all that is left out.
     """
-    recent = trailing(_sliced(frames, time, settings), keys, "_slice", [F.col(time), F.col(tie)], value, memory, "_recent")
-    ema = F.aggregate(F.slice("_recent", 2, memory), F.col("_recent")[0], lambda a, v: F.lit(0.9) * a + F.lit(0.1) * v)
-    return recent.withColumn(out, ema).drop("_recent", "_slice")
+    keys, size, reach = list(keys), 256, 28
+    placed = positions(_sliced(frames, time, settings), keys, "_slice", [F.col(time), F.col(tie)], "_at").drop("_slice")
+    k = F.col("_at") % size
+    part = F.when(F.col("_at") == 1, value).otherwise(0.1 * value) * F.pow(F.lit(0.9), -k)
+    inner = Window.partitionBy(*keys, "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    summed = (placed.withColumn("_block", F.floor(F.col("_at") / size).cast("bigint"))
+              .withColumn("_own", F.sum(part).over(inner) * F.pow(F.lit(0.9), k)))
+    ends = summed.groupBy(*keys, "_block").agg(F.max_by("_own", "_at").alias("_end"))
+    ahead = ends.select(*keys, "_end", F.col("_block").alias("_from"), F.explode(F.sequence(F.col("_block") + 1, F.col("_block") + reach)).alias("_block"))
+    carry = ahead.groupBy(*keys, "_block").agg(F.sum(F.col("_end") * F.pow(F.lit(0.9), size * (F.col("_block") - F.col("_from") - 1))).alias("_before"))
+    joined = keyed_join(summed, carry, [*keys, "_block"], "left")
+    ema = F.col("_own") + F.coalesce("_before", F.lit(0.0)) * F.pow(F.lit(0.9), k + 1)
+    return joined.withColumn(out, ema).select(*frames.columns, out)
 
 
 def monotone_time(frames: DataFrame, settings: Settings = Settings(), keys: tuple[str, ...] = ("session_id",),

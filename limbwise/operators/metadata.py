@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limbwise.functions.columns import let
-from limbwise.settings import Settings
+from limbwise.functions.scans import Scan, running
 
 
 def file_name(path: Column) -> Column:
@@ -51,28 +51,24 @@ def vocabulary(index: DataFrame) -> DataFrame:
     return index.select("label").distinct().orderBy("label")
 
 
-def class_array(index: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row ``classes ARRAY<STRING>``, sorted. More than ``max_classes`` labels fail the job.
-
-    The limit bounds what is gathered; the check makes a cut list an error, not a result.
-    """
-    names = index.select("label").distinct().orderBy("label").limit(settings.max_classes + 1)
-    return names.agg(F.array_sort(F.collect_list("label")).alias("classes")).select(
-        F.when(F.size("classes") <= settings.max_classes, F.col("classes")).otherwise(
-            F.raise_error(F.lit("too many classes")).cast("array<string>")).alias("classes"))
+def class_array(index: DataFrame) -> DataFrame:
+    """One row ``classes ARRAY<STRING>``, sorted: for results that are one value by definition."""
+    return index.select("label").where("label IS NOT NULL").distinct().agg(F.array_sort(F.collect_list("label")).alias("classes"))
 
 
-def class_index(index: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(label, index) in sorted order, 0-based."""
-    return class_array(index, settings).select(F.posexplode("classes").alias("index", "label")).select("label", "index")
+def class_index(index: DataFrame) -> DataFrame:
+    """(label, index) in sorted order, 0-based; ranked in slices of the first two characters."""
+    names = index.select("label").where("label IS NOT NULL").distinct().withColumn("_slice", F.substring("label", 1, 2))
+    ranked = running(names, [], "_slice", [F.col("label")], {"_n": Scan("sum", F.lit(1), inclusive=False)})
+    return ranked.select("label", F.coalesce("_n", F.lit(0)).cast("int").alias("index"))
 
 
-def frozen_vocabulary(index: DataFrame, order: str = "row_no", settings: Settings = Settings()) -> DataFrame:
+def frozen_vocabulary(index: DataFrame, order: str = "row_no") -> DataFrame:
     """Per class: index, first raw word and category in row order, clip count."""
     facts = index.groupBy("label").agg(
         F.min_by("raw_word", order).alias("raw_word"), F.min_by("Category", order).alias("category"),
         F.count("*").alias("videos"))
-    return facts.join(class_index(index, settings), "label")
+    return facts.join(class_index(index), "label")
 
 
 def index_mismatches(current: DataFrame, stored: DataFrame) -> DataFrame:
@@ -82,7 +78,7 @@ def index_mismatches(current: DataFrame, stored: DataFrame) -> DataFrame:
     return a.join(b, "label", "full_outer").where(~F.col("current_index").eqNullSafe(F.col("stored_index")))
 
 
-def label_mapping(index: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def label_mapping(index: DataFrame) -> DataFrame:
     """One row: classes, their count and the SHA-1 of the names joined by '|'."""
-    return class_array(index, settings).select(
+    return class_array(index).select(
         "classes", F.size("classes").alias("num_classes"), F.sha1(F.array_join("classes", "|")).alias("sha1"))

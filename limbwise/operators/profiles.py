@@ -70,7 +70,7 @@ def resolve_vocabulary(requests: DataFrame, vocabulary: DataFrame, key: str = "n
     unknown = F.transform(F.filter("_m", lambda s: s["_official"].isNull()), lambda s: s["_raw"])
     none = F.array().cast("array<string>")
     return (requests.drop("vocabulary").join(matched, key, "left")
-            .withColumn("unknown", F.coalesce(F.slice(unknown, 1, 5), none))
+            .withColumn("unknown", F.coalesce(unknown, none))
             .withColumn("vocabulary", F.when(F.size("unknown") == 0, F.coalesce(
                 F.transform("_m", lambda s: s["_official"]), none)))
             .drop("_m"))
@@ -79,9 +79,9 @@ def resolve_vocabulary(requests: DataFrame, vocabulary: DataFrame, key: str = "n
 def effective_vocabulary(profiles: DataFrame, index: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Add ``classes``: the profile's subset in global order, or every class when it has none.
 
-    The class list is a checked, bounded scalar, read once.
+    The class list is one value, read once.
     """
-    every = class_array(index, settings).scalar()
+    every = class_array(index).scalar()
     upper = F.transform("vocabulary", lambda c: F.upper(c))
     with_all = profiles.withColumn("_all", every).withColumn("_up", upper)
     return with_all.withColumn("classes", F.when(F.size("vocabulary") == 0, F.col("_all")).otherwise(

@@ -14,22 +14,22 @@ from limbwise.operators.augment import jitter
 from limbwise.operators.sequences import resample, skip_frames
 from limbwise.settings import Settings
 
-# Condition names, descriptions and strengths.
+# Condition names, kinds and strengths.
 CONDITIONS = {
-    "clean": ("no perturbation", "clean", 0.0),
-    "landmark_dropout_p10": ("10% of landmarks dropped per frame", "dropout", 0.10),
-    "landmark_dropout_p30": ("30% of landmarks dropped per frame", "dropout", 0.30),
-    "hand_left_missing": ("left-hand landmarks removed", "left_hand", 0.0),
-    "hand_right_missing": ("right-hand landmarks removed", "right_hand", 0.0),
-    "both_hands_missing": ("both hands removed (pose only)", "hands", 0.0),
-    "gaussian_sigma_10": ("Gaussian jitter sigma=0.10 shoulder-widths", "gaussian", 0.10),
-    "gaussian_sigma_25": ("Gaussian jitter sigma=0.25 shoulder-widths", "gaussian", 0.25),
-    "gaussian_sigma_50": ("Gaussian jitter sigma=0.50 shoulder-widths", "gaussian", 0.50),
-    "frame_drop_p20": ("20% of frames dropped, resampled", "frame_drop", 0.20),
-    "frame_drop_p40": ("40% of frames dropped, resampled", "frame_drop", 0.40),
-    "frame_drop_p60": ("60% of frames dropped, resampled", "frame_drop", 0.60),
-    "frame_skip_keep50": ("uniform subsampling, every 2nd frame", "frame_skip", 0.5),
-    "mask_missing": ("presence mask zeroed (MASK_ENABLED builds)", "mask", 0.0),
+    "clean": ("clean", 0.0),
+    "landmark_dropout_p10": ("dropout", 0.10),
+    "landmark_dropout_p30": ("dropout", 0.30),
+    "hand_left_missing": ("left_hand", 0.0),
+    "hand_right_missing": ("right_hand", 0.0),
+    "both_hands_missing": ("hands", 0.0),
+    "gaussian_sigma_10": ("gaussian", 0.10),
+    "gaussian_sigma_25": ("gaussian", 0.25),
+    "gaussian_sigma_50": ("gaussian", 0.50),
+    "frame_drop_p20": ("frame_drop", 0.20),
+    "frame_drop_p40": ("frame_drop", 0.40),
+    "frame_drop_p60": ("frame_drop", 0.60),
+    "frame_skip_keep50": ("frame_skip", 0.5),
+    "mask_missing": ("mask", 0.0),
 }
 
 
@@ -62,7 +62,7 @@ def drop_frames(seq: Column, prob: float, key: list, settings: Settings) -> Colu
 def perturb(seq: Column, name: str, key: list, settings: Settings = Settings()) -> Column:
     """One named condition applied to a fixed-length sequence."""
     lay = settings.layout
-    _, op, level = CONDITIONS[name]
+    op, level = CONDITIONS[name]
     cols = lambda g: lay.span(g)[0] * lay.axes
     end = lambda g: sum(lay.span(g)) * lay.axes
     if op == "dropout":
@@ -93,7 +93,7 @@ def condition_grid(sequences: DataFrame, models: Sequence[str], protocol: str,
     key = [settings.seed, F.col("condition"), F.col("model"), protocol, F.col("clip_id")]
     out = F.col("seq")
     for name in conditions:
-        if CONDITIONS[name][1] != "clean":
+        if CONDITIONS[name][0] != "clean":
             out = F.when(F.col("condition") == name, perturb(F.col("seq"), name, key, settings)).otherwise(out)
     return grid.withColumn("seq", out).withColumn("protocol", F.lit(protocol))
 

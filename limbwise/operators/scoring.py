@@ -19,6 +19,7 @@ from limbwise.functions.columns import between_ranks, let, one_row, ratio, total
 from limbwise.functions.quantiles import exact_percentiles
 from limbwise.functions.scans import time_slice, trailing
 from limbwise.settings import Settings
+from limbwise.sources.workspace import cut
 
 
 # -- scorers ----------------------------------------------------------------
@@ -61,13 +62,14 @@ class CentroidScorer:
 
 def fit_centroids(df: DataFrame, label: str, features: Column, settings: Settings = Settings(),
                   sharpness: float = 8.0) -> CentroidScorer:
-    """Mean feature vector per class: one partial aggregate, k rows to the driver (k is checked)."""
-    means = (df.groupBy(F.col(label).cast("string").alias("label"))
-             .agg(Summarizer.mean(array_to_vector(features)).alias("m"))
-             .orderBy("label").limit(settings.max_classes + 1).collect())
-    if len(means) > settings.max_classes:
-        raise ValueError(f"more than {settings.max_classes} classes")
-    return CentroidScorer(tuple(r["label"] for r in means), np.array([r["m"].toArray() for r in means]), sharpness)
+    """Mean feature vector per class: one partial aggregate, k rows to the driver, whose bytes are checked first."""
+    means = cut(df.groupBy(F.col(label).cast("string").alias("label"))
+                .agg(vector_to_array(Summarizer.mean(array_to_vector(features))).alias("m")), "centroids")
+    size = means.agg(F.sum(8 * F.size("m"))).first()[0] or 0
+    if size > settings.max_model_bytes:
+        raise ValueError(f"centroids of {size} bytes, more than {settings.max_model_bytes}")
+    means = means.orderBy("label").collect()
+    return CentroidScorer(tuple(r["label"] for r in means), np.array([r["m"] for r in means]), sharpness)
 
 
 def fit_logistic(train: DataFrame, label: str, features: Column, max_iter: int = 20) -> PipelineModel:

@@ -23,12 +23,11 @@ def build_clips(frames: DataFrame, value: str = "features", settings: Settings =
                 keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per clip: ``seq``, ``t``, ``usable`` and the first frame's ``keep`` columns.
 
-    ``(clip_id, frame_idx)`` is the key of ``frames`` and ``frame_idx`` is capped first,
-    so a group never holds more than ``max_frames_read`` rows. One shuffle on clip_id.
+    ``(clip_id, frame_idx)`` is the key of ``frames``; a clip is gathered whole, as long as it
+    is. ``limit_frames`` is there for callers that want fewer. One shuffle on clip_id.
     """
-    capped = limit_frames(frames, settings.max_frames_read)
     ordered = F.array_sort(F.collect_list(F.struct("frame_idx", F.col(value).alias("v"))))
-    return capped.groupBy("clip_id").agg(
+    return frames.groupBy("clip_id").agg(
         F.transform(ordered, lambda s: s["v"]).alias("seq"), F.count("*").cast("int").alias("t"),
         F.count_if(F.exists("mask", lambda m: m > 0)).cast("int").alias("usable"),
         *[F.min_by(c, "frame_idx").alias(c) for c in keep])
@@ -124,7 +123,7 @@ def clip_sequences(frames: DataFrame, settings: Settings = Settings(), keep: tup
 
     Normalisation is per frame and happens before the only shuffle.
     """
-    feats = normalise_frames(limit_frames(frames, settings.max_frames_read), settings)
+    feats = normalise_frames(frames, settings)
     clips = build_clips(feats, "features", settings, keep)
     few = F.col("usable") < settings.min_valid_frames
     return (clips.withColumn("reason", F.when(few, F.lit("too few usable frames")))

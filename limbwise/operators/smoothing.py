@@ -11,7 +11,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from limbwise.functions.columns import let, total
+from limbwise.functions.columns import keyed_join, let, total
 from limbwise.functions.scans import Scan, greedy_picks, running, time_slice, trailing
 from limbwise.settings import Settings
 from limbwise.sources.workspace import cut
@@ -102,7 +102,7 @@ def with_emissions(stable: DataFrame, settings: Settings = Settings(), keys: tup
     flagged = previous.withColumn("_anew", anew).drop("_last")
     picks = greedy_picks(flagged, keys, "_slice", "_m", "position", gap, F.col("_anew"))
     hits = picks.where("picked").select(*keys, "position", F.lit(True).alias("should_emit"))
-    return stable.join(hits, [*keys, "position"], "left").withColumn(
+    return keyed_join(stable, hits, [*keys, "position"], "left").withColumn(
         "should_emit", F.coalesce("should_emit", F.lit(False)))
 
 
@@ -142,10 +142,10 @@ def caption_words(events: DataFrame, settings: Settings = Settings(), session: s
     later = running(height, [session], "_slice", order,
                     {"_later": Scan("min", F.col("_height"), backward=True, inclusive=False)})
     left = later.where((F.col("_step") == 1) & (F.coalesce("_later", F.col("_height")) >= F.col("_height")))
-    return left.select(session, F.col("_height").alias("place"), "word", "_slice")
+    return left.select(session, F.col("_height").alias("place"), "word")
 
 
 def caption_lines(words: DataFrame, session: str = "session_id") -> DataFrame:
-    """Caption text, one line per session and time slice (the join of a slice's words in order)."""
-    return words.groupBy(session, F.col("_slice").alias("slice")).agg(
+    """The caption of each session as one text; a session's whole caption is one value, so its words meet in one task."""
+    return words.groupBy(session).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda s: s["word"]), " ").alias("text"))

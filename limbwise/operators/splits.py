@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limbwise.functions.columns import one_row
+from limbwise.functions.columns import keyed_join, one_row
 from limbwise.functions.draws import digest
 from limbwise.functions.scans import Scan, hash_slice, running
 from limbwise.operators.metadata import session_id
@@ -23,7 +23,7 @@ def session_clusters(index: DataFrame, max_gap: int = 10, slice_width: int = 100
     the id range, so neither a large label nor a repeated id fills one task.
     """
     keyed = (index.withColumn("_id", session_id(F.col("FilePath")))
-             .withColumn("_sid", F.when(F.col("_id").rlike("^\\d+$"), F.col("_id").try_cast("bigint"))).drop("_id"))
+             .withColumn("_sid", F.when(F.col("_id").rlike("^\\d+$"), F.col("_id").try_cast("decimal(38,0)"))).drop("_id"))
     ids = cut(keyed.where(F.col("_sid").isNotNull()).select("label", "_sid").distinct()
               .withColumn("_slice", F.floor(F.col("_sid") / slice_width)), "session-ids")
     order = [F.col("_sid")]
@@ -37,7 +37,7 @@ def session_clusters(index: DataFrame, max_gap: int = 10, slice_width: int = 100
         "_end": Scan("min", F.when(ends, F.col("_sid")), backward=True)})
     named = spans.select("label", "_sid", F.concat_ws(
         "", "label", F.lit(":"), F.col("_start").cast("string"), F.lit("-"), F.col("_end").cast("string")).alias("_name"))
-    return (keyed.join(named, ["label", "_sid"], "left")
+    return (keyed_join(keyed, named, ["label", "_sid"], "left")
             .withColumn("cluster", F.coalesce("_name", F.concat(F.col("label"), F.lit(":other"))))
             .select(*index.columns, "cluster"))
 
@@ -74,9 +74,10 @@ def cluster_disjoint_split(clustered: DataFrame, settings: Settings = Settings()
 
     The allocation only depends on how many clusters of each size a label has, so each
     label's group holds its distinct sizes (about the square root of its clips at most).
-    Within a size, clusters are chosen in md5 order by a sliced running count.
+    Within a size, clusters are chosen in md5 order by a sliced running count. Rows without
+    a label or cluster belong to no group and stay in train.
     """
-    sizes = cut(clustered.groupBy("label", "cluster").agg(F.count("*").alias("_size")), "cluster-sizes")
+    sizes = cut(clustered.where(F.col("label").isNotNull() & F.col("cluster").isNotNull()).groupBy("label", "cluster").agg(F.count("*").alias("_size")), "cluster-sizes")
     histogram = sizes.groupBy("label", "_size").agg(F.count("*").alias("_clusters"))
     val, test = settings.val_fraction, settings.test_fraction
 
@@ -87,24 +88,26 @@ def cluster_disjoint_split(clustered: DataFrame, settings: Settings = Settings()
         return pd.DataFrame({"label": pdf["label"], "_size": s, "_test": taken["test"], "_val": taken["val"]})
 
     quota = histogram.groupBy("label").applyInPandas(plan, "label string, _size bigint, _test bigint, _val bigint")
-    hashed = (sizes.join(quota, ["label", "_size"])
+    hashed = (keyed_join(sizes, quota, ["label", "_size"])
               .withColumn("_h", digest(settings.seed, F.col("cluster"))).withColumn("_slice", hash_slice(F.col("_h"))))
     ranked = running(hashed, ["label", "_size"], "_slice", [F.col("_h"), F.col("cluster")],
                      {"_rank": Scan("sum", F.lit(1))})
     chosen = ranked.select("label", "cluster", F.when(F.col("_rank") <= F.col("_test"), "test").when(
         F.col("_rank") <= F.col("_test") + F.col("_val"), "val").otherwise("train").alias("split"))
-    return clustered.drop("split").join(chosen, ["label", "cluster"])
+    return (keyed_join(clustered.drop("split"), chosen, ["label", "cluster"], "left")
+            .withColumn("split", F.coalesce("split", F.lit("train"))))
 
 
 def session_carve_out(train: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Split ``train`` into train and val: whole sessions in md5 order until the target is met.
 
     The last session may overshoot; the target is max(1, half-even n * val_fraction) per label.
+    Rows without a label or path stay in train.
     """
     if settings.val_fraction <= 0:
         return train.withColumn("split", F.lit("train"))
     keyed = train.withColumn("_sid", session_id(F.col("FilePath")))
-    sessions = keyed.groupBy("label", "_sid").agg(F.count("*").alias("_n"))
+    sessions = keyed.where(F.col("label").isNotNull() & F.col("_sid").isNotNull()).groupBy("label", "_sid").agg(F.count("*").alias("_n"))
     target = sessions.groupBy("label").agg(F.greatest(F.lit(1), F.rint(
         F.sum("_n") * F.lit(settings.val_fraction)).cast("bigint")).alias("_target"))
     hashed = (sessions.withColumn("_h", digest(settings.seed, F.col("label"), F.col("_sid")))
@@ -112,7 +115,8 @@ def session_carve_out(train: DataFrame, settings: Settings = Settings()) -> Data
     summed = running(hashed, ["label"], "_slice", [F.col("_h"), F.col("_sid")],
                      {"_before": Scan("sum", F.col("_n"), inclusive=False)}).join(target, "label")
     side = F.when(F.col("_before") < F.col("_target"), "val").otherwise("train").alias("split")
-    return keyed.drop("split").join(summed.select("label", "_sid", side), ["label", "_sid"]).drop("_sid")
+    return (keyed_join(keyed.drop("split"), summed.select("label", "_sid", side), ["label", "_sid"], "left")
+            .withColumn("split", F.coalesce("split", F.lit("train"))).drop("_sid"))
 
 
 def build_index(train: DataFrame, test: DataFrame, protocol: str, val: DataFrame | None = None,

@@ -62,7 +62,6 @@ class Settings:
     window_stride: int = 30
     max_sequence_length: int = 600
     min_valid_frames: int = 5
-    max_frames_read: int = 300
 
     seed: int = 42
     val_fraction: float = 0.10
@@ -102,8 +101,8 @@ class Settings:
     calibration_min_samples: int = 20
     calibration_val_fraction: float = 0.2
 
-    #: Upper bound on the class count; checked before a vocabulary is held whole.
-    max_classes: int = 10_000
+    #: Upper bound on the bytes of a fitted model that travels with the tasks.
+    max_model_bytes: int = 268_435_456
     #: Width of the time slices that split a long session over many tasks.
     session_slice_seconds: int = 3600
 

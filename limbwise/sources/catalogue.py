@@ -58,12 +58,12 @@ def guess_labels(files: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def select_clips(index: DataFrame, split: str = "test", class_name: str | None = None, limit: int | None = None,
                  order: str = "row_no") -> DataFrame:
-    """Clips of a split and class in catalogue order; a limit is clamped to 1..100."""
+    """Clips of a split and class in catalogue order, the first ``limit`` if one is given."""
     if split and split != "all":
         index = index.where(F.col("split") == split)
     if class_name:
         index = index.where(F.upper(F.trim("label")) == class_name.strip().upper())
-    return index.orderBy(order).limit(max(1, min(int(limit), 100))) if limit else index
+    return index.orderBy(order).limit(limit) if limit else index
 
 
 def resolve_files(index: DataFrame, files: DataFrame, suffix: str) -> DataFrame:

@@ -21,7 +21,7 @@ from limbwise.operators.geometry import axis_scale, scale_x
 from limbwise.operators.landmarks import blank, confidence_mask
 from limbwise.settings import Settings
 
-_FRAME = ("path string, frame_idx int, coords array<array<double>>, confidences array<double>, vid_shape array<int>")
+_FRAME = ("path string, frames_total int, frame_idx int, coords array<array<double>>, confidences array<double>, vid_shape array<int>")
 _CHECK = "path string, status string, error string, n_frames int"
 
 
@@ -48,23 +48,23 @@ def _files(spark: SparkSession, root: str, glob: str) -> DataFrame:
 
 
 def read_keypoints(spark: SparkSession, root: str, glob: str = "*", settings: Settings = Settings(),
-                   correct_axis: bool = True) -> DataFrame:
-    """Frames of all readable files: ``path, frame_idx, coords, mask, vid_shape, x_axis_scale``.
+                   correct_axis: bool = True, limit: int | None = None) -> DataFrame:
+    """Frames of all readable files: ``path, frames_total, frame_idx, coords, mask, vid_shape, x_axis_scale``.
 
-    At most ``max_frames_read`` frames per file; points without confidence are zeroed.
+    ``limit`` reads the first frames of a file only (none by default); ``frames_total`` tells what a
+    file holds. Files that can't be decoded are the rows of ``unreadable_files``. Points without confidence are zeroed.
     """
-    cap = settings.max_frames_read
 
     def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
                     points, conf, shape = decode(content)
-                except Exception:  # reported by scan_files
+                except Exception:  # a row of unreadable_files
                     continue
-                t = min(cap, len(points))
+                t = len(points) if limit is None else min(limit, len(points))
                 yield pd.DataFrame({
-                    "path": path, "frame_idx": np.arange(t, dtype="int32"),
+                    "path": path, "frames_total": len(points), "frame_idx": np.arange(t, dtype="int32"),
                     "coords": [p.tolist() for p in points[:t]],
                     "confidences": [c.tolist() for c in conf[:t]] if conf is not None else [None] * t,
                     "vid_shape": [shape] * t})
@@ -93,5 +93,10 @@ def scan_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return _files(spark, root, glob).mapInPandas(check, _CHECK)
 
 
+def unreadable_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """Files that ``read_keypoints`` gives no frames of, with the reason."""
+    return scan_files(spark, root, glob).where(F.col("status") != "ok")
+
+
 def scan_summary(scan: DataFrame) -> DataFrame:
     return scan.groupBy("status").agg(F.count("*").alias("files"), F.sum("n_frames").alias("frames"))

@@ -33,8 +33,11 @@ def verdict_stream(predictions: DataFrame, feedback: DataFrame, within: str = "1
 
 def session_stream(events: DataFrame, settings: Settings = Settings(), key: str = "session_id", time: str = "ts",
                    delay: str = "1 hour") -> DataFrame:
-    """Sessions closed by ``session_idle_seconds`` of silence, as native session windows."""
-    gap = f"{settings.session_idle_seconds} seconds"
+    """Sessions closed by more than ``session_idle_seconds`` of silence, as native session windows.
+
+    A session window ends where its gap is reached, so the gap is one microsecond longer.
+    """
+    gap = f"{settings.session_idle_seconds} seconds 1 microsecond"
     out = events.withWatermark(time, delay).groupBy(key, F.session_window(time, gap).alias("w")).agg(
         F.count("*").alias("events"), F.max(time).alias("ended"))
     return out.select(key, F.col("w.start").alias("started"), "ended", "events")

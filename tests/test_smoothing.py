@@ -1,7 +1,6 @@
-"""Smoothing against a plain loop, in batch and as a stream, on one long and some short sessions."""
+"""Smoothing by hand and as a stream against its batch twin, on one long and some short sessions."""
 
 import random
-from collections import Counter
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
@@ -31,24 +30,19 @@ def stream():
     return out
 
 
-def loop(rows, s):
-    """The smoother as a loop: (seq, candidate, confidence, votes, streak, stable, emit)."""
-    out = {}
-    for session in {r[0] for r in rows}:
-        window, streak, held, emitted, at = [], 0, "", "", None
-        for _, seq, label, conf, now in (r for r in rows if r[0] == session):
-            window = (window + [(label, conf)])[-s.vote_window:]
-            top, votes = Counter(x for x, _ in window).most_common(1)[0]
-            own = [c for x, c in window if x == top]
-            candidate = top if votes >= s.min_votes else "UNCERTAIN"
-            streak = streak + 1 if candidate == held else 1
-            held = candidate
-            stable = candidate not in ("UNCERTAIN", "IDLE") and streak >= s.stable_after
-            emit = stable and (candidate != emitted or (now - at).total_seconds() >= s.cooldown_seconds)
-            if emit:
-                emitted, at = candidate, now
-            out[seq] = (candidate, round(sum(own) / len(own), 9), votes, streak, stable, emit)
-    return out
+#: label, confidence, second; then candidate, smoothed, votes, streak, stable, should_emit (window 3, majority 2, stable after 2)
+STORY = [
+    ("HELLO", 0.5, 0, "UNCERTAIN", 0.5, 1, 1, False, False), ("HELLO", 0.7, 1, "HELLO", 0.6, 2, 1, False, False),
+    ("WATER", 0.9, 2, "HELLO", 0.6, 2, 2, True, True), ("HELLO", 0.8, 3, "HELLO", 0.75, 2, 3, True, False),
+    ("HELLO", 0.6, 5, "HELLO", 0.7, 2, 4, True, True), ("WATER", 0.4, 6, "HELLO", 0.7, 2, 5, True, False),
+    ("WATER", 0.2, 7, "WATER", 0.3, 2, 1, False, False), ("WATER", 0.6, 8, "WATER", 0.4, 3, 2, True, True),
+    ("IDLE", 0.1, 9, "WATER", 0.4, 2, 3, True, False), ("IDLE", 0.3, 20, "IDLE", 0.2, 2, 1, False, False),
+    ("HELLO", 0.9, 21, "IDLE", 0.2, 2, 2, False, False), ("WATER", 0.8, 22, "UNCERTAIN", 0.3, 1, 1, False, False)]
+
+
+def story():
+    rows = [(7, i, x[0], x[1], START + timedelta(seconds=x[2])) for i, x in enumerate(STORY)]
+    return rows, {i: (x[3], x[4], *x[5:]) for i, x in enumerate(STORY)}
 
 
 COLS = ("candidate", "smoothed", "votes", "streak", "stable", "should_emit")
@@ -62,10 +56,54 @@ def labels(spark, rows, time="now"):
     return spark.createDataFrame(rows, f"session_id long, seq long, label string, confidence double, {time} timestamp")
 
 
-@pytest.mark.parametrize("window,votes", [(3, 2), (1, 1), (5, 3)])
-def test_batch_equals_loop(spark, stream, window, votes):
-    s = replace(S, vote_window=window, min_votes=votes)
-    assert collected(smoothing.smooth(labels(spark, stream), s)) == loop(stream, s)
+def test_batch_by_hand(spark):
+    rows, want = story()
+    for seconds in (3, 60, 3600):
+        assert collected(smoothing.smooth(labels(spark, rows), replace(S, session_slice_seconds=seconds))) == want
+
+
+def test_null_session_is_a_session(spark):
+    rows, want = story()
+    nameless = [(None, *r[1:]) for r in rows] + [(1, 100 + r[1], *r[2:]) for r in rows]
+    got = collected(smoothing.smooth(labels(spark, nameless), replace(S, session_slice_seconds=5)))
+    assert {k: v for k, v in got.items() if k < 100} == want and {k - 100: v for k, v in got.items() if k >= 100} == want
+
+
+def in_batches(spark, df, edges, fn):
+    """Run ``fn`` as a stream over ``df`` cut at the times ``edges``."""
+    stream_sessions.use_rocksdb(spark)
+    path, sink, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "check"))
+    bounds = [None, *edges, None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = df.where((F.lit(True) if low is None else F.col("ts") >= low) & (F.lit(True) if high is None else F.col("ts") < high))
+        part.coalesce(2).write.mode("append").parquet(path)
+        stream_logs.run_available(fn(spark.readStream.schema(df.schema).parquet(path)), sink, checkpoint)
+    return spark.read.parquet(sink)
+
+
+def test_stream_by_hand_with_a_silence(spark):
+    rows, want = story()
+    later = [(7, 100 + r[1], r[2], r[3], r[4] + timedelta(minutes=60)) for r in rows]   # longer than 900 s: all starts anew
+    df = labels(spark, rows + later, "ts").withColumn("epoch", F.lit(0).cast("long"))
+    both = want | {100 + k: v for k, v in want.items()}
+    s = replace(S, session_idle_seconds=900)
+    at = lambda seconds: START + timedelta(seconds=seconds)
+    for edges in ([], [at(4), at(3605)], [at(1), at(6), at(30), at(3603), at(3608)]):
+        assert collected(in_batches(spark, df, edges, lambda d: stream_sessions.smooth_stream(d, s, "1 minute"))) == both
+    twin = smoothing.smooth(live.lives(labels(spark, rows + later), s, time="now"), s, ("session_id", "life"))
+    assert collected(twin) == both
+
+
+def test_late_frames_are_lifted_not_dropped(spark):
+    rows = [(1, i, START + timedelta(milliseconds=m), "frame", True, [1.0]) for i, m in enumerate([0, 100, 200])] + [(1, 9, START + timedelta(milliseconds=50), "frame", True, [1.0])]
+    df = spark.createDataFrame(rows, "session_id long, seq long, ts timestamp, kind string, has_hands boolean, value array<double>")
+    stream_sessions.use_rocksdb(spark)
+    path, sink, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "check"))
+    base = int(START.timestamp() * 1000)
+    for part in (df.where("seq < 9"), df.where("seq = 9")):
+        part.coalesce(1).write.mode("append").parquet(path)
+        stream_logs.run_available(stream_sessions.process_frames(spark.readStream.schema(df.schema).parquet(path), S, watermark="1 minute"), sink, checkpoint)
+    assert {r["seq"]: r["frame_ms"] - base for r in spark.read.parquet(sink).collect()} == {0: 0, 1: 100, 2: 200, 9: 201}
 
 
 def test_stream_equals_batch_across_batches_and_restart(spark, stream):
@@ -79,7 +117,7 @@ def test_stream_equals_batch_across_batches_and_restart(spark, stream):
         source = spark.readStream.schema(df.schema).parquet(path)
         stream_logs.run_available(stream_sessions.smooth_stream(source, s, "1 hour"), sink, checkpoint)
     out = spark.read.parquet(sink)
-    assert collected(out) == loop(stream, s)
+    assert collected(out) == collected(smoothing.smooth(labels(spark, stream), s))
     assert out.where("logged").count() == live.change_log(
         smoothing.smooth(labels(spark, stream), s), s).count()
 
@@ -135,6 +173,15 @@ def test_monotone_time_and_rate_average(spark):
         assert r["fps_ema"] == pytest.approx(want, abs=1e-12)
 
 
+def test_rate_average_keeps_the_whole_history(spark):
+    rows = [(1, i, START + timedelta(seconds=i), 1e200 if i == 0 else 1.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "session_id long, seq long, ts timestamp, v double")
+    want, got = 1e200, {r["seq"]: r["fps_ema"] for r in live.smoothed_rate(df, F.col("v"), S).collect()}
+    for i in range(1, 3000):
+        want = 0.9 * want + 0.1
+        assert got[i] == pytest.approx(want, rel=1e-9)
+
+
 def test_live_chain_equals_its_batch_twin(spark):
     import __spark_entry__ as entry
     from limbwise.operators.scoring import fit_centroids

@@ -74,7 +74,7 @@ def _(t):
     return cat.guess_labels(files, vocab).select("p_partkey", "path", "true_class")
 
 
-@query("S9_select_clips", with_sql("clip_index", """SELECT "FilePath", label, split FROM clip_index WHERE split = 'test' AND label = '1-URGENT' ORDER BY row_no LIMIT 100"""))
+@query("S9_select_clips", with_sql("clip_index", """SELECT "FilePath", label, split FROM clip_index WHERE split = 'test' AND label = '1-URGENT' ORDER BY row_no LIMIT 500"""))
 def _(t):
     return cat.select_clips(t.clip_index(), "test", " 1-urgent ", 500).select("FilePath", "label", "split")
 

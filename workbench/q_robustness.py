@@ -27,7 +27,7 @@ def key_sql(op, cond, *more):
 
 def condition_sql(name):
     """SELECT clip_id, label, model, i, d, v for one condition over ``base`` (seq x models)."""
-    _, op, level = rb.CONDITIONS[name]
+    op, level = rb.CONDITIONS[name]
     c = f"'{name}'"
     head = "SELECT clip_id, label, model, i, d, "
     if op == "dropout":

@@ -79,10 +79,10 @@ CAPTION = """a AS (SELECT user_id AS session_id, event_id AS seq, ts, label AS w
 
 @query("H8_caption_words", with_sql("label_stream", f"WITH {CAPTION} SELECT session_id, place, word FROM words"))
 def _(t):
-    return sm.caption_words(with_undo(t), SMALL).drop("_slice")
+    return sm.caption_words(with_undo(t), SMALL)
 
 
-@query("H8_caption_lines", with_sql("label_stream", f"WITH {CAPTION} SELECT session_id, slice, string_agg(word, ' ' ORDER BY place) AS text FROM words GROUP BY ALL"))
+@query("H8_caption_lines", with_sql("label_stream", f"WITH {CAPTION} SELECT session_id, string_agg(word, ' ' ORDER BY place) AS text FROM words GROUP BY ALL"))
 def _(t):
     return sm.caption_lines(sm.caption_words(with_undo(t), SMALL))
 

@@ -88,7 +88,7 @@ def _(t):
     return out.select("event_id", "predicted_class", "ord", "f_action", "f_class")
 
 
-@query("T6_session_stream", f"""WITH {MARK}, g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 43200000000 THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+@query("T6_session_stream", f"""WITH {MARK}, g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 43200000000 THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
  s AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g) SELECT user_id AS session_id, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM s GROUP BY user_id, s
  HAVING epoch_us(max(ts)) + 43200000000 <= (SELECT wm FROM mark)""")
 def _(t):
