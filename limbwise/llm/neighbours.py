@@ -8,8 +8,8 @@ way to a node, and asks the first ``probes`` leaves it yields. Their number is f
 smallest that finds ``RECALL`` of the sample queries' true neighbours there, so unstructured vectors get a long
 search and clustered ones a short one.
 
-Leaves and the queries that ask them meet in blocks of bounded size as matrices; each block returns the best of
-each query, scored again exactly, and only these are ranked.
+Neighbouring leaves and the queries that ask them meet in blocks of about ``BLOCK`` vectors as matrices; each block
+returns the best of each query, scored again exactly, and only these are ranked.
 
 Equal vectors are one entry. It carries its ``K`` + 1 smallest ids: larger ones can't be among the K
 nearest, as ties go to smaller ids. Vectors that are null, zero, or hold null or non-finite components, rows
@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 from limbwise.sources.workspace import cut
 
 K, SAMPLE, TREES, RECALL = 20, 16_384, 3, 0.95
-BLOCK = 4096
-PROBES = T.ArrayType(T.StructType([T.StructField("tree", T.IntegerType()), T.StructField("leaf", T.IntegerType())]))
+BLOCK = 16_384
+PROBES = T.ArrayType(T.StructType([T.StructField("tree", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("leaves", T.ArrayType(T.IntegerType()))]))
 
 
 class Forest(NamedTuple):
@@ -134,17 +134,34 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64).reshape(len(column), -1)
 
 
+def grouped(probes: list[tuple[int, int]], leaves_a_part: int) -> list[dict]:
+    """Probes by tree and run of neighbouring leaves."""
+    out: dict[tuple[int, int], list[int]] = {}
+    for tree, leaf in probes:
+        out.setdefault((tree, leaf // leaves_a_part), []).append(leaf)
+    return [{"tree": t, "part": p, "leaves": found} for (t, p), found in out.items()]
+
+
 def _best(asking: pa.Table, held: pa.Table) -> pa.Table:
-    """The best ``K`` and a few more entries of a block for each query that asks it."""
-    out = pa.schema([("q", pa.string()), ("key", pa.string()), ("score", pa.float64())])
+    """The best ``K`` + 1 entries of a block, and a few more, for each query, among the leaves it asks."""
+    out = pa.schema([("q", pa.string()), ("key", pa.string()), ("first", pa.int64()), ("score", pa.float64())])
     if not len(asking) or not len(held):
         return out.empty_table()
-    qs, vs = (np.array(t[c].to_pylist(), np.float64) for t, c in ((asking, "qv"), (held, "v")))
-    rough, most = qs @ vs.T, min(K + 4, len(vs))
-    pick = np.argpartition(-rough, most - 1, axis=1)[:, :most].ravel()
-    asked_by = np.repeat(np.arange(len(qs)), most)
-    exact = (qs[asked_by] * vs[pick]).sum(-1)
-    return pa.table([asking["q"].take(pa.array(asked_by)).cast(pa.string()), held["key"].take(pa.array(pick)).cast(pa.string()), pa.array(exact)], schema=out)
+    vs, leaf = np.array(held["v"].to_pylist(), np.float64), held["leaf"].to_numpy()
+    most, wanted, parts, at_once = min(K + 4, len(vs)), asking["leaves"].to_pylist(), [], 256
+    qs = np.array(asking["qv"].to_pylist(), np.float64)
+    for lo in range(0, len(qs), at_once):
+        here = qs[lo:lo + at_once]
+        allowed = np.zeros((len(here), int(leaf.max()) + 1), bool)
+        for i, found in enumerate(wanted[lo:lo + at_once]):
+            allowed[i, [x for x in found if x < allowed.shape[1]]] = True
+        rough = np.where(allowed[:, leaf], here @ vs.T, -np.inf)
+        pick = np.argpartition(-rough, most - 1, axis=1)[:, :most]
+        row, col = np.nonzero(np.take_along_axis(rough, pick, 1) > -np.inf)
+        parts.append((row + lo, pick[row, col]))
+    q, v = (np.concatenate(x) for x in zip(*parts))
+    return pa.table([asking["q"].take(pa.array(q)).cast(pa.string()), held["key"].take(pa.array(v)).cast(pa.string()),
+                     held["first"].take(pa.array(v)).cast(pa.int64()), pa.array((qs[q] * vs[v]).sum(-1))], schema=out)
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
@@ -166,23 +183,30 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
         for v in batches:
             yield pd.Series(list(leaves(_matrix(v), forest)) if len(v) else [], dtype=object)
 
+    leaf_size = max(1, total // 2 ** forest.depth)
+    leaves_a_part, splits = max(1, BLOCK // leaf_size), max(1, -(-leaf_size // BLOCK))
+    parts_q = max(1, -(-total // (20 * BLOCK)))
+
     @F.pandas_udf(PROBES)
     def probed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for v in batches:
-            yield pd.Series([[{"tree": t, "leaf": n} for t, n in asked(np.asarray(x, np.float64), forest, forest.probes)] for x in v], dtype=object)
+            yield pd.Series([grouped(asked(np.asarray(x, np.float64), forest, forest.probes), leaves_a_part) for x in v], dtype=object)
     searched = wanted.select("key").distinct()
     questions = entries.join(searched, "key", "left_semi").select(F.col("key").alias("q"), F.col("v").alias("qv"))
-    parts_v = max(1, -(-total // (BLOCK * 2 ** forest.depth)))
-    parts_q = max(1, -(-total // (20 * BLOCK)))
-    part = lambda key, n: F.pmod(F.xxhash64(key, F.lit(3)), F.lit(n)).cast("int")
+    split = lambda key, n: F.pmod(F.xxhash64(key, F.lit(3)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = (entries.select("key", "v", F.posexplode(placed("v")).alias("tree", "leaf")).withColumn("pv", part("key", parts_v))
-            .withColumn("pq", every(parts_q)))
-    asking = (questions.select("q", "qv", F.explode(probed("qv")).alias("p")).select("q", "qv", F.col("p.tree").alias("qt"), F.col("p.leaf").alias("ql"))
-              .withColumn("qq", part("q", parts_q)).withColumn("qp", every(parts_v)))
-    best = asking.groupBy("qt", "ql", "qp", "qq").cogroup(held.groupBy("tree", "leaf", "pv", "pq")).applyInArrow(_best, "q string, key string, score double")
+    held = (entries.select("key", "v", F.col("ids")[0].alias("first"), F.posexplode(placed("v")).alias("tree", "leaf"))
+            .withColumn("part", F.floor(F.col("leaf") / leaves_a_part).cast("int")).withColumn("pv", split("key", splits)).withColumn("pq", every(parts_q)))
+    asking = (questions.select("q", "qv", F.explode(probed("qv")).alias("p")).select("q", "qv", F.col("p.tree").alias("qt"), F.col("p.part").alias("ql"), "p.leaves")
+              .withColumn("qq", split("q", parts_q)).withColumn("qp", every(splits)))
+    best = asking.groupBy("qt", "ql", "qp", "qq").cogroup(held.groupBy("tree", "part", "pv", "pq")).applyInArrow(
+        _best, "q string, key string, first bigint, score double")
+    # an entry that k + 1 others precede by score and first id has no id among the k + 1 nearest
+    by_entry = Window.partitionBy("q").orderBy(F.desc("score"), "first")
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    top = (best.groupBy("q", "key").agg(F.max("score").alias("score")).join(entries.select("key", "ids"), "key")
+    nearest_entries = (best.groupBy("q", "key", "first").agg(F.max("score").alias("score"))
+                       .withColumn("_at", F.row_number().over(by_entry)).where(F.col("_at") <= k + 1).drop("_at"))
+    top = (nearest_entries.join(entries.select("key", "ids"), "key")
            .select("q", "score", F.explode("ids").alias("vec_id")).withColumn("_at", F.row_number().over(by_score)).where(F.col("_at") <= k + 1))
     by_query = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return (wanted.distinct().join(top.withColumnRenamed("q", "key"), "key").where(F.col("vec_id") != F.col("query_id"))
