@@ -10,8 +10,8 @@ their lengths, the places of the shared word, and a 64-bit parity sketch of both
 most the differing words) allow 0.8. The pairs left are verified on their words. Hot lines are
 counted before they are shuffled, and hot words are the last in order, so they rarely meet at all.
 
-Texts are fetched, and rebuilt, only for documents that a bitmap of fixed size marks; it may mark too many,
-never too few. Null text stays null. Lines without words never match and stay. Rows equal in doc_id and
+Lines are fetched for verification, and documents rebuilt, only where a bitmap of fixed size marks them; it
+may mark too many, never too few. Null text stays null. Lines without words never match and stay. Rows equal in doc_id and
 text are one document and get the same result. Null ids come first. An empty table gives no rows.
 """
 
@@ -82,14 +82,20 @@ def _tokens(line: Column, ranks: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(word_array(line), token)))
 
 
-def prefixes(lines: DataFrame, ranks: Column) -> DataFrame:
-    """Distinct lines: ``id``, first ``place``, ``copies``, ``n`` words, ``sketch`` and the ``prefix`` of tokens."""
+def shaped(lines: DataFrame, ranks: Column) -> DataFrame:
+    """``id`` and ``shape`` of lines: ``n`` words, ``sketch`` and the ``prefix`` of tokens."""
     n = F.size("t")
-    shaped = (lines.withColumn("t", _tokens(F.col("line"), ranks))
-              .select("id", "place", F.struct(
-                  n.alias("n"), F.aggregate("t", _long(0), lambda a, t: a.bitwiseXOR(_bit(t))).alias("sketch"),
-                  F.slice("t", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1).alias("prefix")).alias("shape")))
-    return shaped.groupBy("id").agg(F.min("place").alias("place"), F.count("*").alias("copies"), F.first("shape").alias("shape")).select("id", "place", "copies", "shape.*")
+    return lines.select("id", _tokens(F.col("line"), ranks).alias("t")).select("id", F.struct(
+        n.alias("n"), F.aggregate("t", _long(0), lambda a, t: a.bitwiseXOR(_bit(t))).alias("sketch"),
+        F.slice("t", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1).alias("prefix")).alias("shape"))
+
+
+def shapes(lines: DataFrame, texts: DataFrame, ranks: Column) -> DataFrame:
+    """Each line text once: only texts that may have copies, by the bitmap, are brought together by ``id``."""
+    repeated = is_marked(marked(texts.where("copies > 1"), "id"), F.col("id"))
+    once = shaped(lines.where(~repeated), ranks)
+    again = shaped(lines.where(repeated), ranks).groupBy("id").agg(F.first("shape").alias("shape"))
+    return once.union(again).select("id", "shape.*")
 
 
 def candidates(texts: DataFrame) -> DataFrame:
@@ -103,15 +109,12 @@ def candidates(texts: DataFrame) -> DataFrame:
     return a.join(b, (F.col("token_a") == F.col("token_b")) & close).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def links(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified pairs of line texts: ``a``, ``b`` and their first places."""
-    pairs = cut(candidates(texts), "pairs")
-    places = texts.select("id", "place")
-    needed = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(places, "id")
-                 .select("id", "place", F.col("place.key").alias("key")), "needed")
-    found = (docs.where(is_marked(marked(needed, "key"), document_key())).select(document_key().alias("key"), "text")
-             .join(needed, "key").select("id", "place", F.array_distinct(word_array(F.get(F.split("text", "\n"), F.col("place.at")))).alias("words")))
-    found = cut(found.groupBy("id").agg(F.first("place").alias("place"), F.first("words").alias("words")), "lines")
+def links(lines: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``) of line texts that are similar enough on their words, with their first places."""
+    needed = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
+    found = (lines.where(is_marked(marked(needed, "id"), F.col("id"))).groupBy("id").agg(F.first("line").alias("line"))
+             .join(needed, "id").join(texts.select("id", "place"), "id").select("id", "place", F.array_distinct(word_array(F.col("line"))).alias("words")))
+    found = cut(found, "lines")
     side = lambda s: found.select(F.col("id").alias(s), F.col("place").alias(f"place_{s}"), F.col("words").alias(f"words_{s}"))
     both = F.size(F.array_intersect("words_a", "words_b"))
     return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(9 * both >= 4 * (F.size("words_a") + F.size("words_b")))
@@ -121,8 +124,9 @@ def links(docs: DataFrame, texts: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """Per document with a repeated or matched line: ``key``, the line numbers ``gone`` and ``n_links`` to other line texts."""
     lines = occurrences(docs)
-    texts = cut(prefixes(lines, rarity(docs)), "texts")
-    found = links(docs, texts)
+    texts = cut(lines.groupBy("id").agg(F.min("place").alias("place"), F.count("*").alias("copies")), "texts")
+    pairs = cut(candidates(shapes(lines, texts, rarity(docs))), "pairs")
+    found = links(lines, texts, pairs)
     ends = found.select(F.col("a").alias("id"), (F.col("place_b") < F.col("place_a")).alias("late")).union(
         found.select("b", F.col("place_a") < F.col("place_b")))
     degree = ends.groupBy("id").agg(F.count("*").alias("links"), F.max("late").alias("late"))
