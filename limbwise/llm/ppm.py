@@ -73,15 +73,15 @@ class Tally:
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held = 0
+        self.held = self.known = 0
 
     def add(self, keys: np.ndarray, trained: bool) -> None:
         distinct, counts = np.unique(keys, return_counts=True)
         self.parts.append((distinct, counts if trained else np.zeros(len(counts), np.int64)))
         self.held += len(distinct)
-        if self.held > 4_000_000:
-            merged = self.all()
-            self.parts, self.held = [merged], len(merged[0]) // 2
+        if self.held > 2 * self.known + 500_000:
+            self.parts = [self.all()]
+            self.held = self.known = len(self.parts[0][0])
 
     def all(self) -> tuple[np.ndarray, np.ndarray]:
         return summed(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))
@@ -97,8 +97,8 @@ def split(keys: np.ndarray, where: np.ndarray) -> Iterator[tuple[int, np.ndarray
 
 
 def _gather(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch], at_once: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-        cache = HashCache()
+    def run(batches: Iterator[pa.RecordBatch], at_once: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+        cache = HashCache(200_000)
         tallies: dict[int, tuple[Tally, Tally]] = {}
         for batch in batches:
             held: dict[tuple[int, bool], list] = {}
@@ -120,8 +120,8 @@ def _gather(buckets: int):
                     flush()
                     size = 0
             flush()
-        for block, pair in tallies.items():
-            for kind, tally in enumerate(pair):
+        for block in list(tallies):
+            for kind, tally in enumerate(tallies.pop(block)):
                 keys, counts = tally.all()
                 for bucket, at in split(keys, bucket_of(keys, buckets)):
                     yield pa.record_batch({
@@ -264,8 +264,8 @@ class Table:
 
 
 def _score(tokens: int, known: int):
-    def run(batches: Iterator[pa.RecordBatch], at_once: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-        cache = HashCache()
+    def run(batches: Iterator[pa.RecordBatch], at_once: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+        cache = HashCache(200_000)
         block, parts, tables = None, {GRAM: [], WORD: []}, {}
         floor = np.log10(tokens + 0.1 * (known + 1)) if tokens else np.log10(0.1)
 
@@ -321,7 +321,7 @@ def score(docs: DataFrame) -> DataFrame:
     held = F.coalesce(crc_mod(F.col("doc_id"), 10) == 0, F.lit(False))
     blocked = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"),
                           F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held_out"), "text")
-    packed = cut(blocked.repartition(blocks, "block").mapInArrow(_gather(buckets), PACKED), "grams")
+    packed = cut(blocked.repartition(4 * blocks, "block").mapInArrow(_gather(buckets), PACKED), "grams")
     totals = cut(packed.groupBy("bucket").applyInPandas(
         _totals(groups), "bucket int, grp int, keys binary, counts binary, tokens bigint, known bigint"), "totals")
     sums = totals.agg(F.sum("tokens"), F.sum("known")).first()
@@ -341,7 +341,7 @@ def score(docs: DataFrame) -> DataFrame:
     last = lambda c, kind: F.lit(None).cast(kind).alias(c)
     both = (own.select("block", "kind", "keys", "counts", last("doc_id", "bigint"), last("held_out", "boolean"), last("text", "string"))
             .union(blocked.select("block", F.lit(2), last("keys", "binary"), last("counts", "binary"), "doc_id", "held_out", "text")))
-    return both.repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(
+    return both.repartition(4 * blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(
         _score(int(sums[0] or 0), int(sums[1] or 0)), SCORED)
 
 
