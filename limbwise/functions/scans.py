@@ -161,11 +161,24 @@ def _walk_pieces(pieces: DataFrame, keys: list[str], slice_col: str, micros: str
     folded = late.groupBy(*piece, slice_col).agg(F.array_sort(F.collect_list(F.struct("_p", "_m"))).alias("_rows"))
     spans = folded.groupBy(*piece).agg(F.count("*").alias("_slices")).where(F.col("_slices") > 1)
     entries = _entries(keyed_join(folded, spans, piece, "left_semi"), piece, slice_col, gap)
-    state = lambda last, picks: F.struct(last.cast("bigint").alias("last"), picks.cast("array<bigint>").alias("picks"))
-    walked = F.aggregate("_rows", state(F.col("_last"), F.array()), lambda a, r: F.when(
-        r["_m"] - a["last"] >= gap, state(r["_m"], F.concat(a["picks"], F.array(r["_p"])))).otherwise(state(a["last"], a["picks"])))
-    return (keyed_join(folded, entries, [*piece, slice_col], "left").withColumn("_last", F.coalesce("_last", "_since"))
-            .select(*keys, F.explode(walked["picks"]).alias(position)).withColumn("_again", F.lit(True)))
+    picked = keyed_join(folded, entries, [*piece, slice_col], "left").withColumn("_last", F.coalesce("_last", "_since"))
+    types = {f.name: f.dataType.simpleString() for f in picked.schema}
+    ddl = ", ".join(f"`{c}` {types[c]}" for c in keys)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Follow, from the entry, each row to the first one ``gap`` later: one step per pick."""
+        for pdf in batches:
+            out = []
+            for rows, last in zip(pdf["_rows"], pdf["_last"]):
+                times = np.fromiter((r["_m"] for r in rows), np.int64, len(rows))
+                step, at, picks = np.searchsorted(times, times + gap).tolist(), int(np.searchsorted(times, last + gap)), []
+                while at < len(step):
+                    picks.append(int(rows[at]["_p"]))
+                    at = step[at]
+                out.append(picks)
+            yield pdf[keys].assign(_picks=out)
+    walked = picked.select(*keys, "_rows", "_last").mapInPandas(walk, f"{ddl}{', ' if keys else ''}_picks array<bigint>")
+    return walked.select(*keys, F.explode("_picks").alias(position)).withColumn("_again", F.lit(True))
 
 
 def _entries(folded: DataFrame, piece: list[str], slice_col: str, gap: int) -> DataFrame:

@@ -85,27 +85,26 @@ def similar_representatives(groups: DataFrame, group: str = "label", threshold:
     unit = groups.withColumn("_u", _unit(F.col("sig")))
     # A unit vector per direction with signs drawn by position: |projection difference| <= distance.
     def project(k: int) -> Column:
-        sign = lambda i: F.when(lane(digest("direction", k, i)) < 0.5, -1.0).otherwise(1.0)
+        sign = lambda i: F.when(F.xxhash64(F.lit(k), i).bitwiseAND(F.lit(1)) == 0, -1.0).otherwise(1.0)
         return total(F.transform("_u", lambda v, i: v * sign(i))) / F.sqrt(F.size("_u").cast("double"))
-    proj = unit.withColumn("_p", F.array(*[project(k) for k in range(directions)]))
+    # candidates meet with ids and projections only; vectors are fetched for those that are left
+    proj = unit.select(group, "rep", F.array(*[project(k) for k in range(directions)]).alias("_p"))
     cell = [F.floor(F.col("_p")[k] / radius).cast("bigint") for k in range(grid)]
-    left = proj.select(group, F.col("rep").alias("a"), F.col("_u").alias("ua"), F.col("_p").alias("pa"),
-                       *[c.alias(f"c{k}") for k, c in enumerate(cell)])
-    right = proj.select(group, F.col("rep").alias("b"), F.col("_u").alias("ub"), F.col("_p").alias("pb"),
-                        *[c.alias(f"c{k}") for k, c in enumerate(cell)])
+    side = lambda s, p: proj.select(F.col(group).alias(f"g{s}"), F.col("rep").alias(s), F.col("_p").alias(p), *[c.alias(f"c{k}{s}") for k, c in enumerate(cell)])
+    left, right = side("a", "pa"), side("b", "pb")
     for k in range(grid):
-        right = right.withColumn(f"c{k}", F.explode(F.array(*[F.col(f"c{k}") + d for d in (-1, 0, 1)])))
-    near = F.col("a") < F.col("b")
+        right = right.withColumn(f"c{k}b", F.explode(F.array(*[F.col(f"c{k}b") + d for d in (-1, 0, 1)])))
+    near = (F.col("ga") == F.col("gb")) & (F.col("a") < F.col("b"))
+    for k in range(grid):
+        near = near & (F.col(f"c{k}a") == F.col(f"c{k}b"))
     for k in range(directions):
         near = near & (F.abs(F.col("pa")[k] - F.col("pb")[k]) <= radius)
-    on = [left[group] == right[group], *[left[f"c{k}"] == right[f"c{k}"] for k in range(grid)]]
-    condition = near
-    for test in on:
-        condition = condition & test
-    return (left.join(right, condition)
+    pairs = left.join(right, near).select(F.col("ga").alias(group), "a", "b")
+    vector = lambda s: unit.select(group, F.col("rep").alias(s), F.col("_u").alias(f"u{s}"))
+    return (pairs.join(vector("a"), [group, "a"]).join(vector("b"), [group, "b"])
             .withColumn("similarity", dot(F.col("ua"), F.col("ub")))
             .where(F.col("similarity") > threshold)
-            .select(left[group], "a", "b", "similarity"))
+            .select(group, "a", "b", "similarity"))
 
 
 def _choose2(n: Column) -> Column:

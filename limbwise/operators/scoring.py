@@ -73,10 +73,10 @@ def fit_centroids(df: DataFrame, label: str, features: Column, settings: Setting
 
 
 def fit_logistic(train: DataFrame, label: str, features: Column, max_iter: int = 20) -> PipelineModel:
-    """Multinomial logistic regression on the flattened sequence (trained on the cluster)."""
-    prepared = train.select(F.col(label).cast("string").alias("label"), array_to_vector(features).alias("features"))
+    """Multinomial logistic regression on the flattened sequence (trained on the cluster); one class per label that occurs."""
+    prepared = train.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), array_to_vector(features).alias("features"))
     return Pipeline(stages=[
-        StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep"),
+        StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="error"),
         LogisticRegression(featuresCol="features", labelCol="y", maxIter=max_iter, regParam=0.01)]).fit(prepared)
 
 

@@ -81,3 +81,25 @@ def test_exact_percentiles(df, rows, spark):
 def test_results_do_not_depend_on_partitions(df):
     scan = lambda d: sorted(map(tuple, running(d, ["k"], "s", [F.col("t"), F.col("i")], {"x": Scan("sum", F.col("v"))}).collect()))
     assert scan(df.repartition(1)) == scan(df.repartition(31))
+
+
+def test_percentiles_of_a_narrow_column(spark):
+    values = [1e6 + (i * 7919 % 5000) / 5000 for i in range(5000)]
+    df = spark.createDataFrame([(None if i % 2 else "a", v) for i, v in enumerate(values)], "k string, v double")
+    got = {r["k"]: (r["p50"], r["p95"]) for r in exact_percentiles(df, ["k"], F.col("v"), {"p50": 0.5, "p95": 0.95}).collect()}
+    for key, own in (("a", values[::2]), (None, values[1::2])):
+        assert got[key] == pytest.approx(np.percentile(own, [50, 95]), abs=1e-9)
+
+
+def test_running_sums_of_null_keys_and_slices(spark):
+    rows = [(None, 0, 1, 5), (None, 0, 2, 5), (None, 1, 3, 5), (None, None, 0, 2), ("a", 0, 1, 1), ("a", None, 0, 1)]
+    df = spark.createDataFrame(rows, "k string, s long, t long, v long")
+    got = {(r["k"], r["t"]): r["sum"] for r in running(df, ["k"], "s", [F.col("t")], {"sum": Scan("sum", F.col("v"))}).collect()}
+    assert got == {(None, 0): 2, (None, 1): 7, (None, 2): 12, (None, 3): 17, ("a", 0): 1, ("a", 1): 2}
+
+
+def test_a_long_dense_walk(spark):
+    n, gap = 60_000, 20_000
+    df = spark.range(n).select(F.lit(1).alias("k"), F.floor(F.col("id") / 40_000).alias("s"), (F.col("id") * 7_000).alias("m"), (F.col("id") + 1).alias("at"))
+    got = sorted(r["m"] for r in greedy_picks(df, ["k"], "s", "m", "at", gap).where("picked").collect())
+    assert got == list(range(0, n * 7_000, 21_000))
