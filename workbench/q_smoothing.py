@@ -181,11 +181,12 @@ def _(t):
 
 
 @query("T11_stage_timings", """WITH l AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, s.stage, CASE s.stage WHEN 'decode' THEN value WHEN 'buffer' THEN value / 10 ELSE value * 2 END AS ms
- FROM events, (VALUES ('decode'), ('buffer'), ('model')) s(stage)) SELECT window_start, stage, count(*) AS frames, round(avg(ms), 4) AS mean_ms FROM l GROUP BY ALL""")
+ FROM events, (VALUES ('decode'), ('buffer'), ('model')) s(stage)) SELECT window_start, stage, count(*) AS frames, round(avg(ms), 4) AS mean_ms, round(quantile_disc(ms, 0.95), 4) AS p95_ms FROM l GROUP BY ALL""")
 def _(t):
     rows = t.events().select("ts", F.col("value").alias("decode"), (F.col("value") / 10).alias("buffer"), (F.col("value") * 2).alias("model"))
     out = lv.stage_timings(rows, ["decode", "buffer", "model"], "ts", "1 day")
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "stage", "frames", F.round("mean_ms", 4).alias("mean_ms"))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "stage", "frames", F.round("mean_ms", 4).alias("mean_ms"),
+                      F.round("p95_ms", 4).alias("p95_ms"))
 
 
 @query("T12_windowed_metrics", with_sql("predictions", """SELECT time_bucket(INTERVAL 1 DAY, "timestamp") AS window_start, model, count(*) AS predictions_total,
