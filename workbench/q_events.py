@@ -115,6 +115,15 @@ def _(t):
     return metrics(t, ["model"])
 
 
+@query("J6_null_model", with_sql("predictions feedback", "WITH x AS (SELECT 1)" + METRICS.format(
+    by="m,", group="GROUP BY m", join="JOIN f USING (m)").replace("SELECT m,", "SELECT nullif(m, '') AS model,").replace(
+    "(SELECT nullif(m, '') AS model, count", "(SELECT coalesce(nullif(model, 'gru'), '') AS m, count")))
+def _(t):
+    nameless = lambda df: df.withColumn("model", F.when(F.col("model") != "gru", F.col("model")))
+    out = ev.log_metrics(nameless(t.predictions()), nameless(t.feedback()), ["model"])
+    return out.select(*[r6(c) if c in ROUNDED else F.col(c) for c in out.columns])
+
+
 @query("J6_counts", with_sql("predictions feedback", """
 SELECT 'status' AS kind, status AS key, count(*) AS n FROM predictions GROUP BY 2
 UNION ALL SELECT 'class', predicted_class, count(*) FROM predictions GROUP BY 2

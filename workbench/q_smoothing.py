@@ -63,6 +63,13 @@ def _(t):
     return sm.smooth(t.label_stream(), replace(SMALL, suppress_duplicates=False)).select("session_id", "seq", "should_emit")
 
 
+@query("H4_null_session", with_sql("label_stream", f"""WITH ns AS (SELECT * REPLACE (CASE WHEN session_id % 3 = 0 THEN -1 ELSE session_id END AS session_id) FROM label_stream),
+ {vote_sql(source="ns")} SELECT nullif(session_id, -1) AS session_id, seq, candidate, streak, stable FROM stable"""))
+def _(t):
+    nameless = t.label_stream().withColumn("session_id", F.when(F.col("session_id") % 3 != 0, F.col("session_id")))
+    return sm.smooth(nameless, SMALL).select("session_id", "seq", "candidate", F.col("streak").cast("bigint").alias("streak"), "stable")
+
+
 def with_undo(t):
     """Emitted words of the event stream; purchases take a word back."""
     s = t.label_stream().join(t.events().select(F.col("event_id").alias("seq"), "event_type"), "seq")
