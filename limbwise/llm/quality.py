@@ -87,24 +87,21 @@ def host_verdicts(counted: DataFrame, host: str, at: str = "", tolerance: float
 
     One row per host leaves the partial aggregation, so a host with a third of all rows costs
     one row a task. The prior is two numbers per rule: for rates p of hosts of n documents, the mean
-    m and the variance v (both weighted by n) give the strength m(1-m)/v - 1.
+    m and the variance v (both weighted by n) give the strength m(1-m)/v - 1. Only these numbers reach the driver.
     """
     fails = failures(at)
-    hosts = counted.groupBy(F.col(host).alias("_host")).agg(
-        F.count("*").alias("host_docs"), *[F.sum(fails[r].cast("bigint")).alias(f"fails_{r}") for r in RULES])
-    mean = hosts.agg(F.sum("host_docs").alias("_n"), *[
-        (F.sum(f"fails_{r}") / F.sum("host_docs")).alias(f"_m_{r}") for r in RULES])
-    beside = lambda a, b: a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    spread = beside(hosts, mean).groupBy("_n", *[f"_m_{r}" for r in RULES]).agg(*[
-        (F.sum(F.col("host_docs") * F.pow(F.col(f"fails_{r}") / F.col("host_docs") - F.col(f"_m_{r}"), 2)) / F.col("_n")).alias(f"_v_{r}")
-        for r in RULES])
-    out = beside(hosts, spread)
+    hosts = cut(counted.groupBy(F.col(host).alias("_host")).agg(
+        F.count("*").alias("host_docs"), *[F.sum(fails[r].cast("bigint")).alias(f"fails_{r}") for r in RULES]), "host-counts")
+    docs = F.sum("host_docs")
+    means = hosts.agg(*[(F.sum(f"fails_{r}") / docs).alias(r) for r in RULES]).first()
+    mean = {r: means[r] or 0.0 for r in RULES}
+    spread = hosts.agg(*[(F.sum(F.col("host_docs") * F.pow(F.col(f"fails_{r}") / F.col("host_docs") - mean[r], 2)) / docs).alias(r) for r in RULES]).first()
     for r in RULES:
-        m, v = F.col(f"_m_{r}"), F.col(f"_v_{r}")
-        strength = F.when(v > 1e-9, F.greatest(F.lit(1.0), F.least(F.lit(1e6), m * (1 - m) / v - 1))).otherwise(F.lit(1e6))
+        m, v = mean[r], spread[r] or 0.0
+        strength = max(1.0, min(1e6, m * (1 - m) / v - 1)) if v > 1e-9 else 1e6
         shrunk = (F.col(f"fails_{r}") + m * strength) / (F.col("host_docs") + strength)
-        out = out.withColumn(f"rate_{r}", shrunk).withColumn(f"strict_{r}", shrunk > tolerance)
-    return out.select("_host", "host_docs", *[f"{p}_{r}" for r in RULES for p in ("fails", "rate", "strict")])
+        hosts = hosts.withColumn(f"rate_{r}", shrunk).withColumn(f"strict_{r}", shrunk > tolerance)
+    return hosts
 
 
 def _kept(at: str, strict: dict[str, Column]) -> Column:
@@ -128,7 +125,7 @@ def keep_documents(docs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """The documents that pass, with their own columns. Texts are not shuffled unless the host table is large."""
     q, host = fresh(docs, "_q", "_h")
     counted = docs.withColumn(q, text_counts("text"))
-    hosts = cut(host_verdicts(counted.select("source", q), "source", q, tolerance), "hosts").select(
+    hosts = host_verdicts(counted.select("source", q), "source", q, tolerance).select(
         F.struct("_host", *[f"strict_{r}" for r in RULES]).alias(host))
     return (counted.join(hosts, F.col("source").eqNullSafe(F.col(f"{host}._host")), "left")
             .where(_kept(q, {r: F.col(f"{host}.strict_{r}") for r in RULES})).select(*[F.col(f"`{c}`") for c in docs.columns]))
