@@ -33,7 +33,7 @@ from limbwise.sources.workspace import cut
 ORDER = 5
 #: of each distinct next byte, the share of a count kept for escapes
 DISCOUNT = 0.5
-BLOCK_BYTES, BUCKET_BYTES = 96_000_000, 12_000_000
+BLOCK_BYTES, BUCKET_BYTES = 48_000_000, 12_000_000
 GRAM, WORD = 0, 1
 PACKED = "block int, bucket int, kind int, keys binary, counts binary"
 END = b"\n"
