@@ -3,11 +3,13 @@
 A text is cut after words chosen by a rolling hash of the bytes before the white space, so
 equal passages fall into equal chunks wherever they stand. A chunk that the task has met before is taken from a
 bounded table; a new one is assembled from pieces (letters up to a mark, or marks), and each distinct piece is
-encoded and decoded once. A cut may only stand where encoding the two sides apart agrees with
-encoding them together: the first time the three bytes around a cut occur, both sides are
-re-encoded as one text and compared. Where they disagree the sides are merged and re-encoded, until
-they agree or the text is one piece. Ids and decoded text equal those of the tokenizers library
-for the whole text.
+encoded and decoded once. Pieces are cut where no word of the tokenizer can cross: at ASCII white space, and between an
+ASCII letter or digit and an ASCII mark outside the contents of special tokens. (Nothing composes with the ASCII
+character before it, and no alternative of the split pattern has white space, or a mark after a letter or digit.) That rests on the
+tokenizer's normalizer and pattern, so they are compared with the known ones; texts of another tokenizer are encoded
+whole. Where two chunks meet, the pieces on both sides are re-encoded as one text, once for each distinct pair of
+pieces, and compared; a text with a join that disagrees is encoded whole. Ids and decoded text equal
+those of the tokenizers library for the whole text.
 
 Reuse stays within a task: sending chunks to where their ids are kept would shuffle every text twice.
 
@@ -17,6 +19,7 @@ memory does not grow with the input.
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from collections.abc import Iterator
@@ -31,9 +34,13 @@ ENCODED = T.StructType([T.StructField("token_ids", T.BinaryType()), T.StructFiel
                         T.StructField("decoded", T.StringType())])
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: 0 white space, 1 letters, digits and all bytes above ASCII, 2 ASCII marks
-_KIND = np.where(_SPACE, 0, 1)
-_KIND[[i for i in range(33, 127) if not chr(i).isalnum()]] = 2
+#: ASCII letters and digits; ASCII marks. Controls and bytes above ASCII are neither
+_ALNUM, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[i for i in range(33, 127) if chr(i).isalnum()]] = True
+_MARK[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
+#: What the rule of cuts is proved for
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _GEAR = np.random.default_rng(5).integers(0, 1 << 32, 256, dtype=np.uint64)
 WINDOW = 6
 
@@ -46,10 +53,22 @@ def rolled(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out >> np.uint64(24)
 
 
+def known_cuts(tokenizer: dict) -> bool:
+    """Is the rule of cuts proved for this tokenizer."""
+    split, *after = (tokenizer.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    added = tokenizer.get("added_tokens") or []
+    return ((tokenizer.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+            and split.get("type") == "Split" and split.get("pattern") == {"Regex": _PATTERN} and split.get("behavior") == "Removed" and bool(split.get("invert"))
+            and [a.get("type") for a in after] == ["ByteLevel"] and not after[0].get("add_prefix_space") and after[0].get("use_regex") is False
+            and not tokenizer.get("decoder") and tokenizer["model"].get("end_of_word_suffix") == "</w>" and not tokenizer["model"].get("dropout")
+            and not any(a["normalized"] or a["single_word"] or a["lstrip"] or a["rstrip"] or _SPACE[list(a["content"].encode())].any() for a in added))
+
+
 class ChunkCoder:
-    """Encodes texts. ``chunks`` and ``pieces`` map bytes to (32-bit little-endian ids, decoded text)."""
+    """Encodes texts. ``pieces`` maps bytes to (32-bit little-endian ids, decoded text); ``chunks`` has besides them the bytes up to the
+    end of the chunk's first piece and of its last piece, each with ids; ``joins`` tells whether a last piece and the bytes after it agree."""
 
-    def __init__(self, tokenizer: str, bits: int = 5, most_chunks: int = 40_000, most_pieces: int = 600_000):
+    def __init__(self, tokenizer: str, bits: int = 5, most_chunks: int = 40_000, most_pieces: int = 600_000, most_joins: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,13 +78,13 @@ class ChunkCoder:
         names = self.tokenizer.get_vocab()
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(max(names.values()) + 1)]
         self.ends = [n.endswith("</w>") for n in self.names]
-        self.mask, self.most_chunks, self.most_pieces = np.uint64((1 << bits) - 1), most_chunks, most_pieces
-        self.chunks: dict[bytes, tuple[bytes, str]] = {}
+        self.mask, self.most_chunks, self.most_pieces, self.most_joins = np.uint64((1 << bits) - 1), most_chunks, most_pieces, most_joins
+        spec = json.loads(tokenizer)
+        self.cuts = known_cuts(spec)
+        self.special = [a["content"].encode() for a in spec.get("added_tokens") or []]
+        self.chunks: dict[bytes, tuple[bytes, str, bytes, bytes, bytes, bytes]] = {}
         self.pieces: dict[bytes, tuple[bytes, str]] = {}
-        self.agreed: dict[int, bool] = {}
-
-    def plain(self, text: bytes) -> list[int]:
-        return self.tokenizer.encode(text.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
+        self.joins: dict[bytes, bool] = {}
 
     def chunk_ends(self, data: bytes) -> list[int]:
         raw = np.frombuffer(data, np.uint8)
@@ -75,35 +94,20 @@ class ChunkCoder:
         return [0, *cut.tolist(), len(data)]
 
     def piece_spans(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the pieces of a text, after repair."""
+        """Starts and ends of the pieces of a text."""
         raw = np.frombuffer(data, np.uint8)
-        kind = _KIND[raw]
-        word = kind > 0
-        before = np.concatenate(([False], word[:-1]))
-        start = word & ~before
-        start[1:] |= (kind[1:] == 2) & (kind[:-1] == 1)
-        starts = np.flatnonzero(start)
-        if not len(starts):
-            return starts, starts
-        ends = np.flatnonzero(word & ~np.concatenate((word[1:], [False]))) + 1
-        inner = starts[1:]
-        apart = ~before[inner]
-        ends = np.sort(np.concatenate((ends, inner[~apart])))
-        last = raw[ends[:-1] - 1].astype(np.int64)
-        after = raw[np.minimum(inner + 1, len(raw) - 1)]
-        keys = (last << 16 | raw[inner].astype(np.int64) << 8 | np.where(apart, 0, after)) << 1 | apart
-        distinct, first = np.unique(keys, return_index=True)
-        bad = []
-        for key, at in zip(distinct.tolist(), first.tolist()):
-            if key not in self.agreed:
-                left, right = data[starts[at]:ends[at]], data[starts[at + 1]:ends[at + 1]]
-                self.agreed[key] = self.plain(data[starts[at]:ends[at + 1]]) == self.plain(left) + self.plain(right)
-            if not self.agreed[key]:
-                bad.append(key)
-        if bad:
-            good = ~np.isin(keys, bad)
-            starts, ends = starts[np.concatenate(([True], good))], ends[np.concatenate((good, [True]))]
-        return starts, ends
+        word = ~_SPACE[raw]
+        start = word.copy()
+        start[1:] &= ~word[:-1]
+        inner = np.zeros(len(raw), bool)
+        inner[1:] = _MARK[raw[1:]] & _ALNUM[raw[:-1]]
+        for content in self.special:
+            at = data.find(content)
+            while at >= 0:
+                inner[at + 1:at + len(content)] = False
+                at = data.find(content, at + 1)
+        end = word & ~np.concatenate((word[1:], [False]))
+        return np.flatnonzero(start | inner), np.sort(np.concatenate((np.flatnonzero(end) + 1, np.flatnonzero(inner))))
 
     def keep(self, piece: bytes, ids: list[int]) -> None:
         self.pieces[piece] = (array("I", ids).tobytes(), " ".join([self.names[i] for i in ids]))
@@ -157,9 +161,34 @@ class ChunkCoder:
         firsts = np.searchsorted(starts, offsets).tolist()
         for chunk, a, b in zip(new, firsts, firsts[1:]):
             own = parts[a:b]
-            self.chunks[chunk] = (b"".join([p[0] for p in own]), " ".join([p[1] for p in own if p[0]]))
+            sides = (chunk[:chunk.index(found[a]) + len(found[a])], own[0][0], found[b - 1], own[-1][0]) if own else (b"",) * 4
+            self.chunks[chunk] = (b"".join([p[0] for p in own]), " ".join([p[1] for p in own if p[0]]), *sides)
+
+    def joined(self, split: list[list[bytes]]) -> list[bool]:
+        """Do all joins of chunks agree, by text; the pieces around each new join are re-encoded."""
+        asked, new = [], {}
+        for chunks in split:
+            parts = [self.chunks[c] for c in chunks]
+            asked.append(keys := [])
+            for left, right in zip(parts, parts[1:]):
+                if left[4] and right[2]:
+                    keys.append(key := left[4] + right[2])
+                    if key not in self.joins:
+                        new[key] = left[5] + right[3]
+        for key, one in zip(new, self.tokenizer.encode_batch([k.decode("utf-8", "surrogatepass") for k in new], add_special_tokens=False)):
+            self.joins[key] = array("I", one.ids).tobytes() == new[key]
+        agreed = [all([self.joins[k] for k in keys]) for keys in asked]
+        if len(self.joins) > self.most_joins:
+            self.joins.clear()
+        return agreed
+
+    def whole(self, text: str) -> tuple[bytes, int, str]:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return array("I", ids).tobytes(), len(ids), self.tokenizer.decode(ids, skip_special_tokens=False)
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, int, str]]:
+        if not self.cuts:
+            return [self.whole(text or "") for text in texts]
         split = []
         for text in texts:
             data = (text or "").encode("utf-8", "surrogatepass")
@@ -171,9 +200,13 @@ class ChunkCoder:
             new = dict.fromkeys(c for chunks in split for c in chunks)
         if new:
             self.assemble(list(new))
+        agreed = self.joined(split)
         out = []
-        for chunks in split:
+        for text, chunks, good in zip(texts, split, agreed):
             parts = [self.chunks[c] for c in chunks]
+            if not good:
+                out.append(self.whole(text or ""))
+                continue
             ids = b"".join([p[0] for p in parts])
             out.append((ids, len(ids) // 4, " ".join([p[1] for p in parts if p[0]])))
         return out

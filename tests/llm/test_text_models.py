@@ -28,6 +28,45 @@ def test_bpe_equals_the_library(spark):
             assert decoded == plain.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_cuts_do_not_depend_on_earlier_texts():
+    from tokenizers import Tokenizer
+
+    text = bpe.tokenizer_json()
+    plain = Tokenizer.from_str(text)
+    pairs = [("się, a", "dogs’, a"), ("был, a", "дом», a"), ("она, a", "20°, a"), ("é. a", "©. a"), ("é. a", "e\u0301. a"), ("a, b", "İ, b"), ("a, b", "a\x01, b"),
+             ("x <|im_start|> y", "x <|endoftext|> y"), ("x t|> a", "a<|startoftext|>b"), ("a< b", "a<\u0338 b"), ("क, a", "\u0958, a")]
+    pick = np.random.default_rng(8)
+    letters = list("aZé9’»°,.'<|> \n\x01\x85\u0301\u0338İक़") + ["<|endoftext|>", "'s", "  "]
+    mixed = ["".join(pick.choice(letters, 40)) for _ in range(400)]
+    for bits in (0, 5):
+        coder = bpe.ChunkCoder(text, bits=bits)
+        coder.most_joins = 50
+        for one in [t for pair in pairs for t in pair] + mixed:
+            ids, n, decoded = coder.encode([one])[0]
+            want = plain.encode(one, add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == want and n == len(want), one
+            assert decoded == plain.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_joins_and_other_tokenizers():
+    import json
+
+    from tokenizers import Tokenizer
+
+    text = bpe.tokenizer_json()
+    coder, one = bpe.ChunkCoder(text, bits=0), "some words \n stand here, and more"
+    want = coder.encode([one])
+    assert len(coder.joins) == 5 and all(coder.joins.values()) and b"words \n stand" in coder.joins
+    coder.joins[b"words \n stand"] = False     # a join that disagrees: the text is encoded whole
+    assert coder.encode([one]) == want == [coder.whole(one)]
+    other = json.loads(text)
+    other["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": r"[^,]+|,"}     # words that cross white space and marks
+    coder, plain = bpe.ChunkCoder(json.dumps(other), bits=0), Tokenizer.from_str(json.dumps(other))
+    for (ids, n, decoded), one in zip(coder.encode(["a b. c, d", None]), ["a b. c, d", ""]):
+        wanted = plain.encode(one, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == wanted and n == len(wanted) and decoded == plain.decode(wanted, skip_special_tokens=False)
+
+
 def test_bpe_rows(spark):
     out = bpe.digests(bpe.encode_documents(crowded(spark), bpe.tokenizer_json())).collect()
     assert len(out) == len(ROWS)
