@@ -4,11 +4,12 @@ For each language a bounded sample of labelled text becomes a suffix automaton.
 parsed greedily into the longest phrases that occur in the sample; a language explains the
 text by so many phrases, each costing log2 of the sample's length in bits. The language with
 the fewest bits per symbol wins; ties go to the smaller name. Texts are cut into
-pieces of ``PIECE`` symbols, each beginning a new phrase, so that the automata walk all pieces
-of a batch, in all languages, one symbol at a time as arrays.
+pieces of ``PIECE`` symbols, each beginning a new phrase, so that an automaton walks all pieces
+of a batch one symbol at a time as arrays.
 
-Symbols: lower-cased letters; any run of other characters is one blank. The 55 most frequent
-symbols of the samples have their own number, all others share 8 by code point.
+Symbols: lower-cased letters; any run of other characters is one blank. Every symbol of the samples has its own
+number. In each language the ``DENSE`` most frequent ones are columns of a table, the transitions by others are looked
+up in a sorted array, so large scripts cost no wide tables. A symbol that a sample does not hold is a phrase by itself.
 
 Sample, all documented bounds: ``rows`` rows per language by hash of the id, ``symbols`` symbols of them,
 the ``most`` most frequent languages. Everything else reads whole texts.
@@ -19,7 +20,6 @@ for every text. Null ids are never trained on. Repeated rows get equal results.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,15 +32,26 @@ from pyspark.sql import types as T
 from limbwise.llm.words import crc_mod
 
 PIECE = 192
-OWN, SHARED, ALPHABET = 55, 8, 64
+#: Columns of a table: the most frequent symbols of the language, its other symbols (looked up), symbols it does not have
+DENSE, OTHER, NONE, ALPHABET = 62, 62, 63, 64
 FOUND = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
+class Sample(NamedTuple):
+    """The automaton of a language. Its symbols are numbered by falling frequency."""
+
+    symbols: np.ndarray        # number in the language -> number over all
+    table: np.ndarray          # (state, column) -> state; 0 none, 1 the root
+    root: np.ndarray           # number in the language -> state
+    keys: np.ndarray           # sorted: state * symbols + number in the language, for numbers from DENSE on
+    to: np.ndarray             # states to these
+    bits: float                # of a phrase
+
+
 class Model(NamedTuple):
     langs: list[str]
-    own: dict[int, int]        # code point -> symbol
-    tables: np.ndarray         # (language, state, symbol) -> state; 0 none, 1 the root
-    bits: np.ndarray           # of a phrase, by language
+    own: dict[int, int]        # code point -> number over all, from 1
+    samples: list[Sample]
 
 
 def code_points(text: str) -> np.ndarray:
@@ -72,19 +83,19 @@ def with_blanks(codes: np.ndarray, letters: Letters) -> np.ndarray:
 
 
 def symbols(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    return np.where(codes < 65536, table[np.minimum(codes, 65535)], OWN + 1 + codes % SHARED).astype(np.int64)
+    return table[codes]
 
 
 def symbol_table(own: dict[int, int]) -> np.ndarray:
-    table = OWN + 1 + np.arange(65536) % SHARED
+    """Code point -> number over all; 0 where no sample holds it."""
+    table = np.zeros(0x110000, np.int32)
     for code, at in own.items():
-        if code < 65536:
-            table[code] = at
+        table[code] = at
     return table
 
 
-def automaton(found: np.ndarray, states: int) -> np.ndarray:
-    """Suffix automaton as a table (state, symbol) -> state; the root is 1."""
+def transitions(found: np.ndarray) -> list[dict[int, int]]:
+    """Suffix automaton: symbol -> state, by state; the root is 1, 0 is none."""
     go: list[dict[int, int]] = [{}, {}]
     link, length, last = [0, 0], [0, 0], 1
     for s in found.tolist():
@@ -110,24 +121,43 @@ def automaton(found: np.ndarray, states: int) -> np.ndarray:
                     go[p][s] = twin
                     p = link[p]
         last = new
-    out = np.zeros((states, ALPHABET), np.uint16)
+    return go
+
+
+def tabled(go: list[dict[int, int]], states: int) -> np.ndarray:
+    """(state, symbol) -> state of the ``DENSE`` first symbols."""
+    out = np.zeros((states, ALPHABET), np.uint16 if states <= 65536 else np.uint32)
     for state, edges in enumerate(go):
         for s, to in edges.items():
-            out[state, s] = to
+            if s < DENSE:
+                out[state, s] = to
     return out
 
 
+def automaton(found: np.ndarray, states: int) -> np.ndarray:
+    """Suffix automaton of the ``DENSE`` first symbols as a table (state, symbol) -> state."""
+    return tabled(transitions(found), states)
+
+
+def sample(found: np.ndarray) -> Sample:
+    """The automaton of a language whose text is given as numbers over all."""
+    distinct, inverse, counts = np.unique(found, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    go = transitions(rank[inverse])
+    other = sorted((state * len(order) + s, to) for state, edges in enumerate(go) for s, to in edges.items() if s >= DENSE)
+    keys, to = np.array(other, np.int64).reshape(-1, 2).T
+    root = np.array([go[1][s] for s in range(len(order))], np.int64)
+    return Sample(distinct[order], tabled(go, len(go)), root, keys, to, float(np.log2(len(found) + 2)))
+
+
 def build(samples: dict[str, list[str]], most_symbols: int = 24_000) -> Model:
     letters, langs = Letters(), sorted(samples)
     texts = {k: np.concatenate([np.append(with_blanks(code_points(t), letters), np.uint32(32)) for t in samples[k]])[:most_symbols] for k in langs}
-    counted = Counter()
-    for codes in texts.values():
-        counted.update(codes.tolist())
-    own = {code: i for i, (code, _) in enumerate(sorted(counted.items(), key=lambda x: (-x[1], x[0]))[:OWN])}
+    own = {code: i for i, code in enumerate(sorted({c for x in texts.values() for c in np.unique(x).tolist()}), 1)}
     table = symbol_table(own)
-    states = 2 * max((len(x) for x in texts.values()), default=0) + 3
-    tables = np.stack([automaton(symbols(texts[k], table), states) for k in langs]) if langs else np.zeros((0, 2, ALPHABET), np.uint16)
-    return Model(langs, own, tables, np.array([np.log2(len(texts[k]) + 2) for k in langs]))
+    return Model(langs, own, [sample(symbols(texts[k], table)) for k in langs])
 
 
 class Parser:
@@ -136,13 +166,38 @@ class Parser:
     def __init__(self, model: Model):
         self.model, self.letters = model, Letters()
         self.table = symbol_table(model.own)
-        self.flat = model.tables.reshape(-1)
-        self.base = (np.arange(len(model.langs)) * model.tables.shape[1] * ALPHABET)[:, None]
+        self.bits = np.array([x.bits for x in model.samples])
+
+    def walk(self, one: Sample, grid: np.ndarray, lives: list[int]) -> np.ndarray:
+        """Phrases of the pieces in one language; piece k is column k, and the first ``lives[step]`` pieces are longer than ``step``."""
+        column = np.full(len(self.model.own) + 1, NONE, np.int64)
+        number, root = np.zeros((2, len(column)), np.int64)
+        number[one.symbols] = np.arange(len(one.symbols))
+        column[one.symbols] = np.minimum(number[one.symbols], OTHER)
+        root[one.symbols] = one.root
+        flat, state, count = one.table.reshape(-1), np.ones(grid.shape[1], np.int64), np.ones(grid.shape[1], np.int32)
+        for step, live in enumerate(lives):
+            g = grid[step, :live]
+            at = column[g]
+            now = flat[state[:live] * ALPHABET + at].astype(np.int64)
+            if len(one.keys):
+                lane = np.flatnonzero(at == OTHER)
+                asked = state[lane] * len(one.symbols) + number[g[lane]]
+                place = np.minimum(np.searchsorted(one.keys, asked), len(one.keys) - 1)
+                now[lane] = np.where(one.keys[place] == asked, one.to[place], 0)
+            lane = np.flatnonzero(now == 0)
+            if len(lane):
+                count[lane] += state[lane] != 1
+                again = root[g[lane]]
+                now[lane] = np.where(again == 0, 1, again)
+                count[lane] += again == 0
+            state[:live] = now
+        return count
 
     def phrases(self, found: list[np.ndarray]) -> np.ndarray:
         """(text, language) -> phrases of the texts given as symbols."""
         pieces = np.array([-(-len(x) // PIECE) for x in found])
-        grid = np.full((int(pieces.sum()), PIECE), -1, np.int8)
+        grid = np.full((int(pieces.sum()), PIECE), -1, np.int32)
         flat, at = grid.reshape(-1), 0
         for x, n in zip(found, pieces.tolist()):
             flat[at:at + len(x)] = x
@@ -150,25 +205,9 @@ class Parser:
         length = (grid >= 0).sum(1)
         order = np.argsort(-length, kind="stable")
         grid, length = np.ascontiguousarray(grid[order].T), length[order]
-        state = np.ones((len(self.model.langs), len(order)), np.int64)
-        count = np.ones(state.shape, np.int32)
-        for step in range(PIECE):
-            live = int(np.searchsorted(-length, -step, "left"))
-            if not live:
-                break
-            s = grid[step, :live].astype(np.int64)
-            now = self.flat[self.base + state[:, :live] * ALPHABET + s]
-            lang, lane = np.nonzero(now == 0)
-            if len(lang):
-                count[lang, lane] += state[lang, lane] != 1
-                again = self.flat[self.base[lang, 0] + ALPHABET + s[lane]]
-                now[lang, lane] = np.where(again == 0, 1, again)
-                count[lang, lane] += again == 0
-            state[:, :live] = now
-        back = np.empty(count.shape, np.int64)
-        back[:, order] = count
-        owner = np.repeat(np.arange(len(found)), pieces)
-        return np.stack([np.bincount(owner, row, len(found)) for row in back], 1)
+        lives = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left").tolist()
+        owner = np.repeat(np.arange(len(found)), pieces)[order]
+        return np.stack([np.bincount(owner, self.walk(one, grid, lives), len(found)) for one in self.model.samples], 1)
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
@@ -183,7 +222,7 @@ class Parser:
             return out
         counts = self.phrases(found)
         for i, x, row in zip(asked, found, counts):
-            bits = row * self.model.bits / len(x)
+            bits = row * self.bits / len(x)
             best = int(np.argmin(bits))
             weight = np.exp2(-(bits - bits[best]) * min(len(x), 200))
             out[i] = (self.model.langs[best], float(1 / weight.sum()))

@@ -175,6 +175,45 @@ def test_phrases_are_greedy_longest_matches():
             assert abs(int(n) - want) <= len(x) // langid.PIECE + 1
 
 
+def test_languages_of_many_scripts():
+    """Two languages a script, alike in their code points modulo 8, beside Latin ones that fill the frequent symbols."""
+    rng = np.random.default_rng(6)
+    scripts = {"latin": [*range(97, 123), *range(0xE0, 0xF7)], "cyrillic": range(0x430, 0x450), "greek": range(0x3B1, 0x3CA), "hebrew": range(0x5D0, 0x5EB),
+               "thai": range(0xE01, 0xE2F), "deva": range(0x905, 0x93A), "han": range(0x4E00, 0x4E00 + 1600), "far": range(0x20000, 0x20000 + 300)}
+    words = {}
+    for name, codes in scripts.items():
+        own = ["".join(map(chr, rng.choice(list(codes), rng.integers(2, 7)))) for _ in range(400)]
+        own = [w for w in own if w.isalpha()]
+        # the second language has the words of the first with every letter 8 places on
+        words[name + "1"] = own
+        words[name + "2"] = ["".join(chr(codes[(list(codes).index(ord(c)) + 8) % len(codes)]) for c in w) for w in own]
+        words[name + "2"] = [w for w in words[name + "2"] if w.isalpha()]
+    text = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    parser = langid.Parser(langid.build({k: [text(k, 1500)] for k in words}))
+    for lang in words:
+        assert {got for got, _ in parser.score([text(lang, 12) for _ in range(20)])} == {lang}
+    han = [langid.symbols(langid.with_blanks(langid.code_points(text("han1", 60)), parser.letters), parser.table) for _ in range(5)]
+    at = parser.model.langs.index("han1")
+    whole = parser.model.samples[at]
+    assert len(whole.keys) and all(int(n) < len(x) for x, n in zip(han, parser.phrases(han)[:, at]))
+
+
+def test_rare_symbols_are_longest_matches_too():
+    rng = np.random.default_rng(3)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x4E00 + 150, 3000)))
+    parser, letters = langid.Parser(langid.build({"x": [text]})), langid.Letters()
+    asked = [text[at:at + 5] + "\u3400" + text[at + 40:at + 60] for at in range(0, 2800, 97)]
+    coded = [langid.symbols(langid.with_blanks(langid.code_points(t), letters), parser.table) for t in asked]
+    for one, n in zip(asked, parser.phrases(coded)[:, 0]):
+        want, k = 0, 0
+        while k < len(one):
+            step = 1
+            while k + step < len(one) and one[k:k + step + 1] in text:
+                step += 1
+            want, k = want + 1, k + step
+        assert abs(int(n) - want) <= 1
+
+
 def test_languages_held_out(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.identify(frame, langid.learn(frame)).join(frame.select("doc_id", "lang"), "doc_id").where(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 4 == 2)
