@@ -11,8 +11,9 @@ Symbols: lower-cased letters; any run of other characters is one blank. Every sy
 number. In each language the ``DENSE`` most frequent ones are columns of a table, the transitions by others are looked
 up in a sorted array, so large scripts cost no wide tables. A symbol that a sample does not hold is a phrase by itself.
 
-Sample, all documented bounds: ``rows`` rows per language by hash of the id, ``symbols`` symbols of them,
-the ``most`` most frequent languages. Everything else reads whole texts.
+Sample: all languages; of each, ``rows`` rows by hash of the id and ``most_symbols`` symbols of them, fewer where the tables of
+all languages would pass ``TABLE_BYTES``. Each picked row gives an equal share of the symbols, in spans spread over its text; what short
+rows leave goes to the others. Everything else reads whole texts.
 
 Null text or a text without a letter: ``und``, score 0. No labelled row at all: ``und``
 for every text. Null ids are never trained on. Repeated rows get equal results.
@@ -30,8 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from limbwise.llm.words import crc_mod
+from limbwise.sources.workspace import cut
 
 PIECE = 192
+#: Of the tables of all languages, and of a symbol in them at most (two states); symbols in a row that a sample takes from a text
+TABLE_BYTES, SYMBOL_BYTES, SPAN = 200_000_000, 256, 50
 #: Columns of a table: the most frequent symbols of the language, its other symbols (looked up), symbols it does not have
 DENSE, OTHER, NONE, ALPHABET = 62, 62, 63, 64
 FOUND = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -152,9 +156,34 @@ def sample(found: np.ndarray) -> Sample:
     return Sample(distinct[order], tabled(go, len(go)), root, keys, to, float(np.log2(len(found) + 2)))
 
 
+def spread(codes: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` symbols of a text, in spans spread evenly over it."""
+    if len(codes) <= most:
+        return codes
+    n = max(1, most // SPAN)
+    at = np.linspace(0, len(codes) - most // n, n).astype(int)
+    return np.concatenate([codes[i:i + most // n] for i in at.tolist()])
+
+
+def shares(lengths: list[int], most: int) -> list[int]:
+    """What each text gives so that all together give ``most``: equal shares, or the whole text where that is shorter."""
+    out, left = [0] * len(lengths), most
+    for done, i in enumerate(sorted(range(len(lengths)), key=lambda i: lengths[i])):
+        out[i] = min(lengths[i], left // (len(lengths) - done))
+        left -= out[i]
+    return out
+
+
+def sampled(texts: list[str], most: int, letters: Letters) -> np.ndarray:
+    """Symbols of a language's texts, a blank after each text."""
+    found = [with_blanks(code_points(t), letters) for t in texts]
+    give = shares([len(x) + 1 for x in found], most)
+    return np.concatenate([np.append(spread(x, n - 1), np.uint32(32)) for x, n in zip(found, give) if n] or [np.array([32], np.uint32)])
+
+
 def build(samples: dict[str, list[str]], most_symbols: int = 24_000) -> Model:
     letters, langs = Letters(), sorted(samples)
-    texts = {k: np.concatenate([np.append(with_blanks(code_points(t), letters), np.uint32(32)) for t in samples[k]])[:most_symbols] for k in langs}
+    texts = {k: sampled(samples[k], most_symbols, letters) for k in langs}
     own = {code: i for i, code in enumerate(sorted({c for x in texts.values() for c in np.unique(x).tolist()}), 1)}
     table = symbol_table(own)
     return Model(langs, own, [sample(symbols(texts[k], table)) for k in langs])
@@ -229,19 +258,26 @@ class Parser:
         return out
 
 
-def learn(docs: DataFrame, rows: int = 48, most_symbols: int = 24_000, most: int = 200) -> Model:
+def learn(docs: DataFrame, rows: int = 48, most_symbols: int = 24_000) -> Model:
     """Fit on a bounded sample of labelled rows whose id's crc32 modulo 4 is not 2."""
     train = docs.where((crc_mod(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    frequent = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).select("lang")
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (train.select("lang", "doc_id").join(frequent, "lang", "left_semi").distinct()
-           .withColumn("_at", F.row_number().over(by_hash)).where(F.col("_at") <= rows))
-    picked = (train.select("lang", "doc_id", F.substring("text", 1, 4 * most_symbols).alias("text"))
-              .join(F.broadcast(ids), ["lang", "doc_id"]).limit(4 * rows * most))  # ids: rows * most at most
+    ids = cut(train.select("lang", "doc_id").distinct().withColumn("_at", F.row_number().over(by_hash)).where(F.col("_at") <= rows), "language-rows")
+    langs = ids.select("lang").distinct().count()
+    most = max(1, min(most_symbols, TABLE_BYTES // (SYMBOL_BYTES * max(langs, 1))))
+
+    @F.pandas_udf(T.StringType())
+    def part(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        letters = Letters()
+        for texts in batches:
+            yield texts.map(lambda t: spread(with_blanks(code_points(t), letters), most).tobytes().decode("utf-32-le"))
+    # one text of each id; rows * most symbols a language reach the driver at most
+    picked = (train.select("lang", "doc_id", "text").join(ids, ["lang", "doc_id"]).select("lang", "_at", part("text").alias("part"))
+              .groupBy("lang", "_at").agg(F.min("part").alias("part")))
     samples: dict[str, list[str]] = {}
-    for row in sorted(picked.collect(), key=lambda r: (r["lang"], r["_at"], r["text"])):
-        samples.setdefault(row["lang"], []).append(row["text"])
-    return build(samples, most_symbols)
+    for row in sorted(picked.collect(), key=lambda r: (r["lang"], r["_at"])):
+        samples.setdefault(row["lang"], []).append(row["part"])
+    return build(samples, most)
 
 
 def identified(text: Column, model, rows: int = 400) -> Column:

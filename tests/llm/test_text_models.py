@@ -214,6 +214,23 @@ def test_rare_symbols_are_longest_matches_too():
         assert abs(int(n) - want) <= 1
 
 
+def test_all_languages_are_learned(spark):
+    rng = np.random.default_rng(12)
+    own = {f"l{i:03d}": ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(12)] for i in range(205)}
+    # the first 200 languages have more rows
+    rows = [(k * 10 + n, " ".join(rng.choice(words, 20)), lang, "a", 1) for k, (lang, words) in enumerate(own.items()) for n in range(4 if k < 200 else 3)]
+    model = langid.learn(docs(spark, rows))
+    assert len(model.langs) == 205
+    assert [got for got, _ in langid.Parser(model).score([" ".join(words[:9]) for words in own.values()])] == list(own)
+
+
+def test_every_picked_row_gives_its_share():
+    long, short = " ".join(["haus"] * 30_000 + ["ende"] * 30_000), ["maus", "vogel", "fisch" * 300]
+    found = "".join(map(chr, langid.sampled([long, *short], 4000, langid.Letters())))
+    assert 3900 < len(found) <= 4000 and all(t in found for t in ("maus", "vogel", "fisch" * 200, "haus haus", "ende ende"))
+    assert langid.shares([10, 5000, 100, 5000], 1110) == [10, 500, 100, 500] and langid.shares([5, 5], 100) == [5, 5]
+
+
 def test_languages_held_out(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.identify(frame, langid.learn(frame)).join(frame.select("doc_id", "lang"), "doc_id").where(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 4 == 2)
