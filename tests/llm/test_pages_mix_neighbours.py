@@ -36,6 +36,30 @@ def test_other_pages():
     assert extract.main_text("<article><p>" + "word " * 50_000 + "</article>") == ("word " * 50_000).strip()
 
 
+def test_names_that_hold_role_words():
+    long = "A paragraph of the article with more than sixty characters in it, so that the sum surges."
+    article = f"<article><p>{long}</p></article>"
+    for page in (f'<div class="layout has-sidebar">{article}</div>', f'<div class="no-sidebar">{article}</div>', f'<div class="sidebar">{article}</div>',
+                 f'<form id=aspnet>{article}</form>', article.replace("<article", '<article class="post comments-open"'), article.replace("<article", "<article class=widget"),
+                 f"<div class=widget><p>{long}</p></div><div><a>few words</a></div>", f"<div class=menu><p>{long}</p></div><footer>Imprint</footer>", f"<article><div class=search><p>{long}</p></div></article>",
+                 f"{article}<footer class=site-footer>f</footer><div class=related><article><p>{long} again and again</p></article></div>",
+                 f"<main>{article}<div id=comments><article>{long * 9}</article></div></main>"):
+        assert extract.main_text(page) == long, page
+    head = f'<article><header class="entry-header"><h1>Headline</h1></header><div class=header>Lead</div><p>{long}</p><div class="site_footer">f</div></article>'
+    assert extract.main_text(head) == f"Headline\nLead\n{long}"
+    assert extract.main_text(f'<p>{long}</p><div style="display:none">hidden {long}</div><div class="ad-slot-3">buy</div>') == long
+
+
+def test_short_articles_and_runs_stay():
+    long = "A paragraph of the article with more than sixty characters in it, so that the sum surges. " * 6
+    short = "A short piece that has its own words, more than sixty characters of them here."
+    gap = "<div><a href=1>x</a></div>" * 3
+    teasers = "<article><a href=2>Read the story of the year</a> now</article>"
+    assert extract.main_text(f"<article>{long}</article><article>{short}</article>{teasers}") == f"{long.strip()}\n{short}"
+    assert extract.main_text(f"<div>{long}</div>{gap}<div>{short}</div>") == f"{long.strip()}\n{short}"
+    assert extract.main_text(teasers) == "Read the story of the year now"
+
+
 def test_page_rows(spark):
     frame = spark.createDataFrame([(1, "u", None, "t"), (None, None, "<article>hi</article>", "t"), (1, "u", "", "t")], "page_id bigint, url string, html string, text string")
     assert Counter((r["page_id"], r["text"], r["n_chars"]) for r in extract.extract(frame).collect()) == Counter([(1, "", 0), (None, "hi", 2), (1, "", 0)])
