@@ -145,7 +145,9 @@ def caption_words(events: DataFrame, settings: Settings = Settings(), session: s
     return left.select(session, F.col("_height").alias("place"), "word")
 
 
-def caption_lines(words: DataFrame, session: str = "session_id") -> DataFrame:
-    """The caption of each session as one text; a session's whole caption is one value, so its words meet in one task."""
-    return words.groupBy(session).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda s: s["word"]), " ").alias("text"))
+def caption_lines(words: DataFrame, session: str = "session_id", slice_words: int = 4096) -> DataFrame:
+    """The caption of each session as one text: words are joined per slice of places in parallel, then only the texts of the slices meet."""
+    joined = lambda at, text: F.when(F.count(text) > 0, F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, text))), lambda s: s[text]), " ")).alias("text")
+    sliced = words.withColumn("_slice", F.floor(F.col("place") / slice_words))
+    texts = sliced.groupBy(session, "_slice").agg(joined("place", "word"))
+    return texts.groupBy(session).agg(joined("_slice", "text")).withColumn("text", F.coalesce("text", F.lit("")))

@@ -209,3 +209,12 @@ def test_idle_sessions_lose_their_state(spark):
             spark.readStream.schema(df.schema).parquet(path), s, "1 minute"), sink, checkpoint)
     got = {(r["session_id"], r["seq"]): r["streak"] for r in spark.read.parquet(sink).collect()}
     assert got[(2, 24)] == 3 and got[(1, 60)] == 1
+
+
+def test_caption_is_joined_by_slices(spark):
+    rows = [("a", n, f"w{n}") for n in range(1, 200)] + [("b", 5, "x"), ("b", 90, "y"), ("b", 50, None), (None, 3, "z"), ("c", 1, None)]
+    words = spark.createDataFrame(rows, "session_id string, place bigint, word string")
+    out = smoothing.caption_lines(words, slice_words=7)
+    assert {(r["session_id"], r["text"]) for r in out.collect()} == {("a", " ".join(f"w{n}" for n in range(1, 200))), ("b", "x y"), (None, "z"), ("c", "")}
+    inner = smoothing.caption_lines(words)._jdf.queryExecution().optimizedPlan().toString()
+    assert inner.count("Aggregate [session_id") == 2 and "Aggregate [session_id" in inner.split("_slice", 1)[0]
