@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limbwise.llm import bpe, classify, extract, langid, lines, mixing, neardup, neighbours, ppm, quality
+from limbwise.llm import bpe, classify, divergence, extract, langid, lines, mixing, neardup, neighbours, ppm, quality, tokencount, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": neardup.query,
@@ -19,8 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": langid.query,
     "op9_nearest_neighbours": neighbours.query,
     "op10_quality_classifier": classify.query,
+    "op11_token_counts": tokencount.query,
+    "op12_spelling_variants": variants.query,
+    "op13_source_divergence": divergence.query,
 }
 ORACLES: dict[str, str] = {
     "op3_line_dedup": lines.ORACLE,
     "op2_quality_rules": quality.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
