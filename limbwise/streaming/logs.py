@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from limbwise.operators.live import windowed_metrics
+from limbwise.operators.events import is_wrong
+from limbwise.operators.live import log_windows, windowed_metrics
 from limbwise.settings import Settings
 
 
@@ -16,6 +22,102 @@ def metrics_stream(predictions: DataFrame, width: str = "1 day", slide: str | No
     return windowed_metrics(predictions.withWatermark("timestamp", delay), width, slide, settings=settings)
 
 
+def log_windows_stream(predictions: DataFrame, feedback: DataFrame, width: str = "1 day", slide: str | None = None, by: tuple[str, ...] = ("model",),
+                       delay: str = "1 hour", settings: Settings = Settings(), k: int = 2048) -> DataFrame:
+    """``live.log_windows`` of two streams: one aggregate over their union, so both share one watermark."""
+    timed = [df.withWatermark("timestamp", delay) for df in (predictions, feedback)]
+    return log_windows(*timed, width, slide, by, settings, k)
+
+
+def _fields(row) -> tuple:
+    """Values of a nested row, which comes as a mapping or as a row."""
+    return tuple(row.values()) if isinstance(row, dict) else tuple(row)
+
+
+class VerdictProcessor(StatefulProcessor):
+    """The open predictions of one event id and the newest verdict on them.
+
+    A prediction comes out as soon as it arrives and again whenever a verdict changes it; ``version`` counts these rows, so the
+    one with the highest is current. Verdicts are ordered by ``ord``, the place in the log they were appended at: one that arrives
+    after a newer verdict changes nothing, one that arrives before its prediction waits for it. An id that got no row for
+    ``wait_ms`` of event time is closed and its state is dropped.
+    """
+
+    VERDICT = "ord bigint, human_action string, corrected_class string"
+
+    def __init__(self, prediction: T.StructType, wait_ms: int):
+        self.prediction = prediction
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", self.prediction)
+        self.verdict = handle.getValueState("verdict", self.VERDICT)
+        self.version = handle.getValueState("version", "version bigint, last_ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        rows = list(rows)
+        version, last_ms = self.version.get() if self.version.exists() else (0, 0)
+        known = [*map(tuple, self.open.get())] if self.open.exists() else []
+        newest = tuple(self.verdict.get()) if self.verdict.exists() else None
+        came = [_fields(r["p"]) for r in rows if r["p"] is not None]
+        given = max((_fields(r["v"]) for r in rows if r["v"] is not None), key=lambda v: v[0], default=None)
+        changed = given is not None and (newest is None or given[0] >= newest[0])
+        again = changed and (newest is None or given[1:] != newest[1:])
+        if changed:
+            newest = given
+            self.verdict.update(given)
+        for p in came:
+            self.open.appendValue(p)
+        for place, p in enumerate([*known, *came]):
+            if again or place >= len(known):
+                version += 1
+                yield Row(p=p, v=newest, place=place, version=version)
+        last_ms = max(last_ms, *(r["at_ms"] for r in rows))
+        self.version.update((version, last_ms))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last_ms + self.wait_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        for state in (self.open, self.verdict, self.version):
+            state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def last_verdict_stream(predictions: DataFrame, feedback: DataFrame, wait: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """Changes of predictions under their newest verdict: the columns of ``predictions`` (human fields overridden as in
+    ``events.with_verdicts``) with ``wrong``, ``place`` (which of the predictions that share the id) and ``version``.
+
+    Give the sink to ``current_verdicts`` for one row per prediction. Predictions and verdicts of an id may come in any
+    order within ``wait`` of event time. Predictions without an id take no verdict and pass by the state; verdicts without one are left out.
+    """
+    names, schema = predictions.columns, predictions.schema
+    verdict = T.StructType.fromDDL(VerdictProcessor.VERDICT)
+    given = predictions.withWatermark("timestamp", delay).select("event_id", "timestamp", F.struct(*names).alias("p"), F.lit(None).cast(verdict).alias("v"))
+    said = feedback.withWatermark("timestamp", delay).select("event_id", "timestamp", F.lit(None).cast(schema).alias("p"),
+                           F.struct(F.col("ord").cast("bigint").alias("ord"), "human_action", "corrected_class").alias("v"))
+    rows = given.unionByName(said).where("event_id IS NOT NULL").withColumn("at_ms", F.unix_millis("timestamp"))
+    out = T.StructType([T.StructField("p", schema), T.StructField("v", verdict), T.StructField("place", T.LongType()), T.StructField("version", T.LongType())])
+    processor = VerdictProcessor(schema, int(pd.Timedelta(wait).total_seconds() * 1000))
+    changes = rows.groupBy("event_id").transformWithState(processor, out, "Append", "EventTime")
+    nameless = predictions.where("event_id IS NULL").select(
+        F.struct(*names).alias("p"), F.lit(None).cast(verdict).alias("v"), F.lit(0).cast("bigint").alias("place"), F.lit(1).cast("bigint").alias("version"))
+    seen = F.col("v").isNotNull()
+    human = {c: F.when(seen, F.col(f"v.{c}")).otherwise(F.col(f"p.{c}")).alias(c) for c in ("human_action", "corrected_class")}
+    return changes.unionByName(nameless).select(*[human.get(c, F.col(f"p.{c}")) for c in names], "place", "version").withColumn("wrong", is_wrong())
+
+
+def current_verdicts(changes: DataFrame) -> DataFrame:
+    """One row per prediction of a stored ``last_verdict_stream``: the last version. Rows without an id are all kept."""
+    rest = [c for c in changes.columns if c not in ("event_id", "place")]
+    last = changes.where("event_id IS NOT NULL").groupBy("event_id", "place").agg(F.max_by(F.struct(*rest), "version").alias("_r"))
+    return last.select("event_id", "place", "_r.*").unionByName(changes.where("event_id IS NULL"))
+
+
 def verdict_stream(predictions: DataFrame, feedback: DataFrame, within: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Predictions left-joined to the feedback that arrives up to ``within`` later.
 

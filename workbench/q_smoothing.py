@@ -25,12 +25,19 @@ def vote_sql(window=3, need=2, part="session_id", source="label_stream", stable=
  stable AS (SELECT *, candidate NOT IN ('UNCERTAIN', 'IDLE') AND streak >= {stable} AS stable FROM st)"""
 
 
-EMIT = """nums AS (SELECT session_id, pos, candidate, epoch_us(now) AS m, row_number() OVER (PARTITION BY session_id ORDER BY pos) AS k FROM stable WHERE stable),
- walk AS (SELECT session_id, pos, candidate, k, m AS last_at, true AS emit FROM nums WHERE k = 1
-  UNION ALL SELECT n.session_id, n.pos, n.candidate, n.k, CASE WHEN n.candidate <> w.candidate OR n.m - w.last_at >= 86400000000 THEN n.m ELSE w.last_at END,
-   n.candidate <> w.candidate OR n.m - w.last_at >= 86400000000 FROM walk w JOIN nums n ON n.session_id = w.session_id AND n.k = w.k + 1),
+def emit_sql(part="session_id", cooldown=86400):
+    """CTEs from the stable flag to emission and status, by a walk along each session."""
+    same = " AND ".join(f"n.{p} = w.{p}" for p in part.split(", "))
+    own = ", ".join(f"n.{p}" for p in part.split(", "))
+    due = f"n.candidate <> w.candidate OR n.m - w.last_at >= {cooldown * 1_000_000}"
+    return f"""nums AS (SELECT {part}, pos, candidate, epoch_us(now) AS m, row_number() OVER (PARTITION BY {part} ORDER BY pos) AS k FROM stable WHERE stable),
+ walk AS (SELECT {part}, pos, candidate, k, m AS last_at, true AS emit FROM nums WHERE k = 1
+  UNION ALL SELECT {own}, n.pos, n.candidate, n.k, CASE WHEN {due} THEN n.m ELSE w.last_at END, {due} FROM walk w JOIN nums n ON {same} AND n.k = w.k + 1),
  full_ AS (SELECT s.*, coalesce(w.emit, false) AS should_emit, CASE candidate WHEN 'IDLE' THEN 'IDLE' WHEN 'UNCERTAIN' THEN 'UNCERTAIN' ELSE CASE WHEN stable THEN 'CONFIDENT' ELSE 'PENDING' END END AS status
-  FROM stable s LEFT JOIN (SELECT session_id, pos, emit FROM walk) w USING (session_id, pos))"""
+  FROM stable s LEFT JOIN (SELECT {part}, pos, emit FROM walk) w USING ({part}, pos))"""
+
+
+EMIT = emit_sql()
 BASE = vote_sql()
 FULL = f"{BASE}, {EMIT}"
 
@@ -203,3 +210,24 @@ def _(t):
     out = lv.windowed_metrics(t.predictions(), "1 day")
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "model", "predictions_total", "uncertain_total",
                       r6("uncertain_rate"), F.round(F.col("confidence_mean") + 1e-9, 6).alias("confidence_mean"), "confidence_max", r6("latency_mean"), "latency_max")
+
+
+LOG_SQL = """p AS (SELECT time_bucket(INTERVAL 1 DAY, "timestamp") AS window_start, model, count(*) AS predictions_total, sum((status = 'UNCERTAIN')::INT) AS uncertain_total, avg(confidence) AS cm,
+  avg(nullif(latency_ms, 0)) AS lm, quantile_disc(nullif(latency_ms, 0), 0.5) AS p50, quantile_disc(nullif(latency_ms, 0), 0.95) AS p95 FROM predictions GROUP BY 1, 2),
+ f AS (SELECT time_bucket(INTERVAL 1 DAY, "timestamp") AS window_start, model, count(*) AS feedback_total, count(corrected_class) AS corrections_total, count(*) FILTER (human_action = 'ACCEPT') AS accept_total,
+  count(*) FILTER (human_action = 'CORRECT') AS correct_total, count(*) FILTER (human_action = 'REJECT') AS reject_total FROM feedback GROUP BY 1, 2),
+ lw AS (SELECT window_start, model, coalesce(predictions_total, 0) AS predictions_total, coalesce(feedback_total, 0) AS feedback_total, coalesce(corrections_total, 0) AS corrections_total,
+  coalesce(accept_total, 0) AS accept_total, coalesce(correct_total, 0) AS correct_total, coalesce(reject_total, 0) AS reject_total, coalesce(uncertain_total, 0)::BIGINT AS uncertain_total,
+  round(coalesce(cm, 0) + 1e-9, 6) AS confidence_mean, coalesce(p50, 0) AS latency_p50, coalesce(p95, 0) AS latency_p95, round(coalesce(1000 / lm, 0), 6) AS throughput_fps,
+  round(accept_total / nullif(accept_total + correct_total + reject_total, 0), 6) AS agreement_rate FROM p FULL JOIN f USING (window_start, model))"""
+
+
+def log_row(out):
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "model", "predictions_total", "feedback_total", "corrections_total", "accept_total",
+                      "correct_total", "reject_total", "uncertain_total", F.round(F.col("confidence_mean") + 1e-9, 6).alias("confidence_mean"), "latency_p50", "latency_p95",
+                      r6("throughput_fps"), r6("agreement_rate"))
+
+
+@query("T12_log_windows", with_sql("predictions feedback", f"WITH {LOG_SQL} SELECT * FROM lw"))
+def _(t):
+    return log_row(lv.log_windows(t.predictions(), t.feedback(), "1 day"))

@@ -8,7 +8,7 @@ from limbwise.sources.workspace import scratch_path
 from limbwise.streaming import logs as sl
 from limbwise.streaming import sessions as ss
 from workbench.fixtures import SMALL, with_sql
-from workbench.q_smoothing import EMIT, LIVE, LOSS, hand_stream, vote_sql
+from workbench.q_smoothing import EMIT, LIVE, LOG_SQL, LOSS, emit_sql, hand_stream, log_row, vote_sql
 from workbench.registry import query
 
 r6 = lambda c: F.round(c, 6).alias(c)
@@ -31,6 +31,17 @@ def replay(t, df, time, batches=2):
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(path)
 
 
+def replay_late(t, df, time, key, seconds, batches=3):
+    """Write ``df`` in the order of an arrival up to ``seconds`` after the row's time, one group of files per micro-batch."""
+    path = scratch_path(t.spark, "late")
+    arrival = F.unix_micros(time) + F.pmod(F.xxhash64(*key), F.lit(seconds * 1_000_000))
+    low, high = df.agg(F.min(arrival), F.max(arrival)).first()
+    edges = [low + (high + 1 - low) * i // batches for i in range(batches + 1)]
+    for a, b in zip(edges, edges[1:]):
+        df.where((arrival >= a) & (arrival < b)).repartition(4).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(path)
+
+
 def drain(t, df, mode="append"):
     path, checkpoint = scratch_path(t.spark, "sink"), scratch_path(t.spark, "checkpoint")
     sl.run_available(df, path, checkpoint, mode)
@@ -88,6 +99,20 @@ def _(t):
     return out.select("event_id", "predicted_class", "ord", "f_action", "f_class")
 
 
+@query("T13_last_verdicts", with_sql("predictions feedback", """WITH v AS (SELECT event_id, arg_max(human_action, ord) AS human_action, arg_max(coalesce(corrected_class, ''), ord) AS corrected_class FROM feedback GROUP BY 1)
+ SELECT p.event_id, p.predicted_class, p.confidence, v.human_action, nullif(v.corrected_class, '') AS corrected_class, coalesce(v.corrected_class <> '' OR v.human_action = 'REJECT', false) AS wrong FROM predictions p LEFT JOIN v USING (event_id)"""))
+def _(t):
+    ss.use_rocksdb(t.spark)
+    late = sl.last_verdict_stream(replay_late(t, t.predictions(), "timestamp", ["event_id"], 86400), replay_late(t, t.feedback(), "timestamp", ["ord", "event_id"], 86400), "3 days", "1 day")
+    return sl.current_verdicts(drain(t, late)).select("event_id", "predicted_class", "confidence", "human_action", "corrected_class", "wrong")
+
+
+@query("T12_log_windows_stream", with_sql("predictions feedback", f"""WITH {LOG_SQL}, mark AS (SELECT least((SELECT max(epoch_us("timestamp")) FROM predictions), (SELECT max(epoch_us("timestamp")) FROM feedback)) // 1000 * 1000 - 3600000000 AS wm)
+ SELECT * FROM lw WHERE epoch_us(window_start) + 86400000000 <= (SELECT wm FROM mark)"""))
+def _(t):
+    return log_row(drain(t, sl.log_windows_stream(replay(t, t.predictions(), "timestamp"), replay(t, t.feedback(), "timestamp"), "1 day")))
+
+
 @query("T6_session_stream", f"""WITH {MARK}, g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 43200000000 THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
  s AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g) SELECT user_id AS session_id, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM s GROUP BY user_id, s
  HAVING epoch_us(max(ts)) + 43200000000 <= (SELECT wm FROM mark)""")
@@ -105,6 +130,39 @@ def _(t):
     return out.select("client", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "requests", "over_limit")
 
 
+# the label stream sixty times as fast: pauses of users are minutes, so sessions end by the 900 s of the default settings
+FAST = replace(LIVE, cooldown_seconds=1440.0, session_slice_seconds=2880)
+FAST_SQL = """fast AS (SELECT * REPLACE (make_timestamp(epoch_us(now) // 60) AS now) FROM label_stream),
+ gaps AS (SELECT *, coalesce((epoch_us(now) - lag(epoch_us(now)) OVER (PARTITION BY session_id ORDER BY now, seq) > 900000000)::INT, 0) AS c FROM fast),
+ lived AS (SELECT * EXCLUDE (c), sum(c) OVER (PARTITION BY session_id ORDER BY now, seq)::BIGINT AS life FROM gaps),
+ mark AS (SELECT max(epoch_us(now)) // 1000 * 1000 - 600000000 AS wm FROM fast)"""
+
+
+def fast_stream(t):
+    return t.label_stream().withColumn("ts", F.expr("timestamp_micros(unix_micros(now) div 60)")).drop("now")
+
+
+@query("T4_reordered_stream", with_sql("label_stream", f"""WITH {FAST_SQL}, {vote_sql(part="session_id, life", source="lived")}, {emit_sql("session_id, life", 1440)}
+ SELECT session_id, seq, candidate, round(smoothed, 6) AS smoothed, votes, streak, stable, should_emit, status FROM full_ WHERE epoch_us(now) <= (SELECT wm FROM mark)""", True))
+def _(t):
+    ss.use_rocksdb(t.spark)
+    labels = fast_stream(t).withColumn("epoch", F.lit(0).cast("bigint"))
+    out = drain(t, ss.smooth_stream(replay_late(t, labels, "ts", ["seq"], 600), FAST, "10 minutes", reorder=True))
+    return out.select("session_id", "seq", "candidate", r6("smoothed"), F.col("votes").cast("bigint").alias("votes"), "streak", "stable", "should_emit", "status")
+
+
+@query("T9_T10_reordered_frames", with_sql("label_stream", f"""WITH {FAST_SQL}, e AS (SELECT *, sum((label = 'signup')::INT) OVER (PARTITION BY session_id, life ORDER BY now, seq) AS ep FROM lived),
+ f AS (SELECT *, row_number() OVER (PARTITION BY session_id, life, ep ORDER BY now, seq) AS pushes, row_number() OVER (PARTITION BY session_id, life ORDER BY now, seq) AS k FROM e WHERE label <> 'signup')
+ SELECT session_id, seq, pushes, pushes >= 4 AS ready, max(epoch_us(now) // 1000 - k) OVER (PARTITION BY session_id, life ORDER BY k) + k AS frame_ms FROM f
+ QUALIFY epoch_us(now) <= (SELECT wm FROM mark)"""))
+def _(t):
+    ss.use_rocksdb(t.spark)
+    rows = fast_stream(t).select("session_id", "seq", "ts", F.when(F.col("label") == "signup", "reset").otherwise("frame").alias("kind"),
+                                 F.lit(True).alias("has_hands"), F.array("confidence").alias("value"))
+    out = drain(t, ss.process_frames(replay_late(t, rows, "ts", ["seq"], 600), FAST, throttle=False, watermark="10 minutes", reorder=True))
+    return out.select("session_id", "seq", "pushes", "ready", "frame_ms")
+
+
 def live_frames(t):
     """Detector output of the clips as camera sessions: a frame every 33 ms, a session per label."""
     c, i = F.col("clip_id"), F.col("frame_idx")
