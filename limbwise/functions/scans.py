@@ -11,18 +11,23 @@ are a group like any other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from limbwise.functions.columns import keyed_join
 from limbwise.sources.workspace import cut
 
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
+#: Slices of a piece whose transfer tables are followed in one group; longer pieces are walked by pointer doubling
+FOLLOWED = 256
 
 
 class Scan(NamedTuple):
@@ -103,6 +108,37 @@ def trailing(df: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence
     return joined.select(*cols)
 
 
+def sliding(df: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence[str], value: str, size: int,
+            fold: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], outputs: str) -> DataFrame:
+    """Figures of the last ``size`` values of each row, where a window function would build an array per row.
+
+    A slice is taken as one group: ``fold(carried, values)`` gets the up to ``size - 1`` values before the slice and those of the
+    slice in order, and gives an array per column of ``outputs`` (a DDL list). Only the carried tails, one a slice, are arrays in Spark.
+    """
+    keys = list(keys)
+    inner = Window.partitionBy("_g")
+    held = df.withColumn("_g", F.struct(*keys, slice_col))
+    ranked = held.select("_g", F.col(value).alias("_v"), F.row_number().over(inner.orderBy(*[F.desc(c) for c in order])).alias("_back"))
+    tails = ranked.groupBy("_g").agg(F.count("*").alias("_n"), F.transform(F.array_sort(F.collect_list(
+        F.when(F.col("_back") < size, F.struct((-F.col("_back")).alias("at"), F.col("_v").alias("v"))))), lambda x: x["v"]).alias("_tail"))
+    by_key = Window.partitionBy(*[f"_g.{k}" for k in keys]).orderBy(f"_g.{slice_col}")
+    reach = Window.partitionBy(*[f"_g.{k}" for k in keys]).orderBy("_end").rangeBetween(-(size - 2), 0) if size > 1 else by_key.rowsBetween(0, 0)
+    carried = (tails.withColumn("_end", F.sum("_n").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
+               .withColumn("_upto", F.flatten(F.collect_list("_tail").over(reach)))
+               .select("_g", F.lag(_last(F.col("_upto"), size - 1)).over(by_key).alias("_carry")))
+    made = T.StructType.fromDDL(outputs).names
+    schema = T.StructType([*held.drop("_g").schema, *T.StructType.fromDDL(outputs)])
+
+    def run(key, rows: pa.Table, carry: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in order], null_placement="at_start"))
+        before = carry["_carry"][0].as_py() if len(carry) else None
+        found = fold(np.array([np.nan if v is None else v for v in before or []], np.float64), rows[value].to_numpy().astype(np.float64))
+        for name in made:
+            rows = rows.append_column(name, pa.array(found[name], from_pandas=True))
+        return rows.select(schema.names)
+    return held.groupBy("_g").cogroup(carried.groupBy("_g")).applyInArrow(run, schema)
+
+
 def _last(arr: Column, size: int) -> Column:
     n = F.size(arr)
     return F.slice(arr, F.greatest(n - size, F.lit(0)) + 1, F.lit(size))
@@ -160,7 +196,7 @@ def _walk_pieces(pieces: DataFrame, keys: list[str], slice_col: str, micros: str
     piece = [*keys, "_at", "_since"]
     folded = late.groupBy(*piece, slice_col).agg(F.array_sort(F.collect_list(F.struct("_p", "_m"))).alias("_rows"))
     spans = folded.groupBy(*piece).agg(F.count("*").alias("_slices")).where(F.col("_slices") > 1)
-    entries = _entries(keyed_join(folded, spans, piece, "left_semi"), piece, slice_col, gap)
+    entries = _entries(keyed_join(folded, spans, piece), piece, slice_col, gap)
     picked = keyed_join(folded, entries, [*piece, slice_col], "left").withColumn("_last", F.coalesce("_last", "_since"))
     types = {f.name: f.dataType.simpleString() for f in picked.schema}
     ddl = ", ".join(f"`{c}` {types[c]}" for c in keys)
@@ -182,13 +218,14 @@ def _walk_pieces(pieces: DataFrame, keys: list[str], slice_col: str, micros: str
 
 
 def _entries(folded: DataFrame, piece: list[str], slice_col: str, gap: int) -> DataFrame:
-    """Last pick before each slice of the pieces that cross slices.
+    """Last pick before each slice of the pieces that cross slices; ``_slices`` has their number in the piece.
 
     Each slice is summed up, in parallel, as a table from the possible entry times (its first
-    ``gap``) to its last pick; only those small tables are followed along the piece.
+    ``gap``) to its last pick. The tables of a piece of up to ``FOLLOWED`` slices are followed in one group; in a longer piece
+    the entries that the walk takes are found by pointer doubling, where no step sees more than one entry.
     """
     types = {f.name: f.dataType.simpleString() for f in folded.schema}
-    ddl = ", ".join(f"`{c}` {types[c]}" for c in [*piece, slice_col])
+    ddl = ", ".join(f"`{c}` {types[c]}" for c in [*piece, slice_col, "_slices"])
 
     def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -203,7 +240,7 @@ def _entries(folded: DataFrame, piece: list[str], slice_col: str, gap: int) -> D
                 ways = int(np.searchsorted(times, times[0] + gap)) + 1
                 entry.append(times[:ways].tolist())
                 leave.append(times[final[:ways]].tolist())
-            out = pdf[[*piece, slice_col]].copy()
+            out = pdf[[*piece, slice_col, "_slices"]].copy()
             out["_entry"], out["_exit"] = entry, leave
             yield out
 
@@ -218,6 +255,39 @@ def _entries(folded: DataFrame, piece: list[str], slice_col: str, gap: int) -> D
         out = pdf[[*piece, slice_col]].copy()
         out["_last"] = begun
         return out
-    times = folded.select(*piece, slice_col, F.transform("_rows", lambda r: r["_m"]).alias("_m"))
-    summed = times.mapInPandas(tables, f"{ddl}, _entry array<bigint>, _exit array<bigint>")
-    return summed.groupBy(*piece).applyInPandas(follow, f"{ddl}, _last bigint")
+    times = folded.select(*piece, slice_col, "_slices", F.transform("_rows", lambda r: r["_m"]).alias("_m"))
+    summed = cut(times.mapInPandas(tables, f"{ddl}, _entry array<bigint>, _exit array<bigint>"), "transfer")
+    short = ", ".join(f"`{c}` {types[c]}" for c in [*piece, slice_col])
+    followed = summed.where(F.col("_slices") <= FOLLOWED).groupBy(*piece).applyInPandas(follow, f"{short}, _last bigint")
+    longest = summed.agg(F.max("_slices")).first()[0] or 0
+    if longest <= FOLLOWED:
+        return followed
+    tabled = summed.where(F.col("_slices") > FOLLOWED)
+    nodes = tabled.select(*piece, slice_col, F.explode(F.array_distinct(F.arrays_zip("_entry", "_exit"))).alias("_x")).select(
+        *piece, F.struct(F.col("_x._entry").alias("t"), F.col(slice_col).alias("s")).alias("_n"), F.col("_x._exit").alias("_out"))
+    taken = _reached(nodes, piece, gap, longest).select(*piece, F.col("_n.s").alias(slice_col), (F.col("_n.t") - gap).alias("_last"))
+    # a slice without a taken entry has no pick: its walk starts behind all times
+    begun = keyed_join(tabled.select(*piece, slice_col), taken, [*piece, slice_col], "left")
+    return followed.unionByName(begun.withColumn("_last", F.coalesce("_last", F.lit(1 << 62))))
+
+
+def _reached(nodes: DataFrame, piece: list[str], gap: int, slices: int) -> DataFrame:
+    """Entries ``_n`` (time and slice) of each piece that the walk from its first entry comes to, one a slice at most.
+
+    An entry leads to the first entry at least ``gap`` after the pick ``_out`` it leaves its slice with. With the pointers that
+    span 2**k entries, the reached ones double each round, so a piece of n slices takes log2(n) rounds of equi-joins on (piece, entry).
+    """
+    kind = nodes.schema["_n"].dataType
+    row = lambda time, kind_, from_, entry: [*piece, time.alias("_t"), F.lit(kind_).alias("_kind"), from_.cast(kind).alias("_n"), entry.cast(kind).alias("_entry")]
+    none = F.lit(None)
+    points = nodes.select(*row(F.col("_out") + gap, 0, F.col("_n"), none)).unionByName(nodes.select(*row(F.col("_n.t"), 1, none, F.col("_n"))))
+    sought = running(points.withColumn("_wide", F.floor(F.col("_t") / (gap * 1024)).cast("bigint")), piece, "_wide",
+                     [F.col("_t"), F.col("_kind")], {"_to": Scan("min", F.col("_entry"), backward=True)})
+    jumps = cut(sought.where((F.col("_kind") == 0) & F.col("_to").isNotNull()).select(*piece, "_n", "_to"), "jumps")
+    reached = cut(nodes.groupBy(*piece).agg(F.min("_n").alias("_n")), "reached")
+    for _ in range(max(1, slices - 1).bit_length()):
+        ahead = keyed_join(reached, jumps, [*piece, "_n"]).select(*piece, F.col("_to").alias("_n"))
+        reached = cut(reached.unionByName(ahead), "reached")
+        onward = jumps.select(*piece, F.col("_n").alias("_to"), F.col("_to").alias("_far"))
+        jumps = cut(keyed_join(jumps, onward, [*piece, "_to"]).select(*piece, "_n", F.col("_far").alias("_to")), "jumps")
+    return reached

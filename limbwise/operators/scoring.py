@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from limbwise.functions.columns import between_ranks, let, one_row, ratio, total
+from limbwise.functions.columns import let, one_row, ratio, total
 from limbwise.functions.quantiles import exact_percentiles
-from limbwise.functions.scans import time_slice, trailing
+from limbwise.functions.scans import sliding, time_slice
 from limbwise.settings import Settings
 from limbwise.sources.workspace import cut
 
@@ -222,13 +225,34 @@ def batch_summary(rows: DataFrame, keys: Sequence[str], settings: Settings = Set
         "errors", "skipped")
 
 
+def sliding_latency(carried: np.ndarray, values: np.ndarray, size: int) -> dict[str, np.ndarray]:
+    """Mean and p95 of the last ``size`` values at each place, missing ones left out of both: the window is kept sorted, one insertion and one removal a step."""
+    mean, p95 = np.full(len(values), np.nan), np.full(len(values), np.nan)
+    window, ranked, total = deque(), [], 0.0
+    for n, value in enumerate((*carried.tolist(), *values.tolist()), -len(carried)):
+        window.append(value)
+        if value == value:
+            insort(ranked, value)
+        if len(window) > size:
+            old = window.popleft()
+            if old == old:
+                del ranked[bisect_left(ranked, old)]
+        if n >= 0 and ranked:
+            at = 0.95 * (len(ranked) - 1)
+            low = int(at)
+            p95[n] = ranked[low] + (ranked[min(low + 1, len(ranked) - 1)] - ranked[low]) * (at - low)
+            mean[n] = math.fsum(ranked) / len(ranked)
+    return {"mean_latency_ms": mean, "p95_latency_ms": p95}
+
+
 def rolling_latency(df: DataFrame, keys: Sequence[str], time: str, tie: str, latency: str = "latency_ms",
                     settings: Settings = Settings()) -> DataFrame:
-    """Mean, p95 and throughput over the last ``latency_window`` rows of each key."""
+    """Mean, p95 and throughput over the last ``latency_window`` rows of each key; rows without a latency take a place but no part.
+
+    The window slides along a slice as one sorted list, so memory per row does not grow with the window.
+    """
     sliced = df.withColumn("_slice", time_slice(F.col(time), settings.session_slice_seconds))
-    recent = trailing(sliced, keys, "_slice", [F.col(time), F.col(tie)], F.col(latency), settings.latency_window, "_recent")
-    mean = total(F.col("_recent")) / F.size("_recent")
-    return (recent.withColumn("mean_latency_ms", mean)
-            .withColumn("p95_latency_ms", between_ranks(F.col("_recent"), 0.95))
-            .withColumn("throughput_fps", F.coalesce(F.try_divide(F.lit(1000.0), F.col("mean_latency_ms")), F.lit(0.0)))
-            .drop("_recent", "_slice"))
+    size = settings.latency_window
+    out = sliding(sliced, keys, "_slice", [time, tie], latency, size, lambda carried, values: sliding_latency(carried, values, size),
+                  "mean_latency_ms double, p95_latency_ms double")
+    return out.withColumn("throughput_fps", F.coalesce(F.try_divide(F.lit(1000.0), F.col("mean_latency_ms")), F.lit(0.0))).drop("_slice")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from limbwise.functions import scans
 from limbwise.functions.quantiles import exact_percentiles
 from limbwise.functions.scans import Scan, greedy_picks, positions, running, trailing
 
@@ -54,8 +55,9 @@ def test_trailing(df, rows, size):
             assert got[r[2]] == (vs[max(0, n + 1 - size):n + 1], n + 1)
 
 
-@pytest.mark.parametrize("gap", [2, 5, 39, 100, 1000])
-def test_greedy_picks_cross_slices(df, rows, gap):
+@pytest.mark.parametrize("gap,followed", [(2, 256), (5, 256), (39, 256), (100, 256), (1000, 256), (5, 1), (39, 1), (100, 2)])
+def test_greedy_picks_cross_slices(df, rows, gap, followed, monkeypatch):
+    monkeypatch.setattr(scans, "FOLLOWED", followed)
     placed = positions(df, ["k"], "s", [F.col("t"), F.col("i")], "p")
     got = {r["i"]: r["picked"] for r in greedy_picks(placed, ["k"], "s", "t", "p", gap).collect()}
     assert len(got) == len(rows)
@@ -103,3 +105,23 @@ def test_a_long_dense_walk(spark):
     df = spark.range(n).select(F.lit(1).alias("k"), F.floor(F.col("id") / 40_000).alias("s"), (F.col("id") * 7_000).alias("m"), (F.col("id") + 1).alias("at"))
     got = sorted(r["m"] for r in greedy_picks(df, ["k"], "s", "m", "at", gap).where("picked").collect())
     assert got == list(range(0, n * 7_000, 21_000))
+
+
+def test_one_piece_of_ten_thousand_slices(spark):
+    """Two rows a slice, so the walk's entry depends on all slices before; a null key and a short key walk beside it."""
+    n, gap = 20_500, 5
+    rng = random.Random(4)
+    times, t = [], 0
+    for _ in range(n):
+        t += rng.choice([1, 2, 2, 3])
+        times.append(t)
+    long = spark.createDataFrame([(x, i + 1) for i, x in enumerate(times)], "m long, at long")
+    df = long.select(F.lit(None).cast("string").alias("k"), "m", "at").unionByName(long.where("at <= 300").select(F.lit("b").alias("k"), "m", "at")).withColumn("s", F.floor(F.col("m") / 4))
+    got = greedy_picks(df, ["k"], "s", "m", "at", gap).where("picked").collect()
+    want, last = [], None
+    for i, x in enumerate(times, 1):
+        if last is None or x - last >= gap:
+            want.append(i)
+            last = x
+    assert sorted(r["at"] for r in got if r["k"] is None) == want
+    assert sorted(r["at"] for r in got if r["k"] == "b") == [i for i in want if i <= 300]

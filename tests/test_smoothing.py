@@ -162,6 +162,19 @@ def test_throttle_and_rates(spark):
     assert [(r["requests"], r["over_limit"]) for r in counts] == [(1, False), (2, False), (3, False), (3, False), (4, True), (1, False)]
 
 
+def test_rates_of_a_busy_client_to_the_microsecond(spark):
+    rng, rows = random.Random(1), []
+    for i in range(900):
+        rows.append((i, None if i % 10 == 0 else "busy" if i % 3 else f"c{i % 7}", START + timedelta(microseconds=rng.choice([0, 1, 10 ** 6 * rng.randrange(90), 60_000_000 + rng.randrange(3)]))))
+    rows += [(1000, "busy", None)]
+    got = {r["id"]: r["requests"] for r in live.request_rates(spark.createDataFrame(rows, "id long, client string, ts timestamp"), S).collect()}
+    assert got.pop(1000) is None
+    for i, client, t in rows[:-1]:
+        assert got[i] == sum(c == client and t - timedelta(seconds=60) < x <= t for _, c, x in rows[:-1]), i
+    plan = live.request_rates(spark.createDataFrame(rows, "id long, client string, ts timestamp"), S)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan
+
+
 def test_monotone_time_and_rate_average(spark):
     rows = [(1, i, START + timedelta(seconds=90 * i), t) for i, t in enumerate([5, 9, 7, 7, 20, 3])]
     df = spark.createDataFrame(rows, "session_id long, seq long, arrival timestamp, ts_ms long")
