@@ -8,10 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from limbwise.functions.columns import dot, one_row, ratio, total
+from limbwise.functions.columns import dot, keyed_join, one_row, ratio, total
 from limbwise.functions.draws import lane, digest
 from limbwise.functions.quantiles import exact_percentiles
 from limbwise.operators.landmarks import group_flags, normalise
+from limbwise.operators.nearcounts import COUNTS, WEIGHTS, inner_counts, near_counts
 from limbwise.settings import Settings
 
 RATES = ("pose_rate", "left_hand_rate", "right_hand_rate", "any_hand_rate", "both_hands_rate", "empty_frame_rate")
@@ -61,6 +62,12 @@ def _unit(sig: Column) -> Column:
     return F.transform(sig, lambda v: v / F.sqrt(dot(sig, sig)))
 
 
+def _project(u: Column, k: int) -> Column:
+    """Projection on the k-th direction, a unit vector with signs drawn by position: |projection difference| <= distance."""
+    sign = lambda i: F.when(F.xxhash64(F.lit(k), i).bitwiseAND(F.lit(1)) == 0, -1.0).otherwise(1.0)
+    return total(F.transform(u, lambda v, i: v * sign(i))) / F.sqrt(F.size(u).cast("double"))
+
+
 def duplicate_groups(signed: DataFrame, group: str = "label") -> DataFrame:
     """Clips of a label with exactly the same signature as one row with counts per split.
 
@@ -83,12 +90,8 @@ def similar_representatives(groups: DataFrame, group: str = "label", threshold:
     """
     radius = math.sqrt(2.0 - 2.0 * threshold) + 1e-9
     unit = groups.withColumn("_u", _unit(F.col("sig")))
-    # A unit vector per direction with signs drawn by position: |projection difference| <= distance.
-    def project(k: int) -> Column:
-        sign = lambda i: F.when(F.xxhash64(F.lit(k), i).bitwiseAND(F.lit(1)) == 0, -1.0).otherwise(1.0)
-        return total(F.transform("_u", lambda v, i: v * sign(i))) / F.sqrt(F.size("_u").cast("double"))
     # candidates meet with ids and projections only; vectors are fetched for those that are left
-    proj = unit.select(group, "rep", F.array(*[project(k) for k in range(directions)]).alias("_p"))
+    proj = unit.select(group, "rep", F.array(*[_project(F.col("_u"), k) for k in range(directions)]).alias("_p"))
     cell = [F.floor(F.col("_p")[k] / radius).cast("bigint") for k in range(grid)]
     side = lambda s, p: proj.select(F.col(group).alias(f"g{s}"), F.col("rep").alias(s), F.col("_p").alias(p), *[c.alias(f"c{k}{s}") for k, c in enumerate(cell)])
     left, right = side("a", "pa"), side("b", "pb")
@@ -107,33 +110,22 @@ def similar_representatives(groups: DataFrame, group: str = "label", threshold:
             .select(group, "a", "b", "similarity"))
 
 
-def _choose2(n: Column) -> Column:
-    return (n * (n - 1) / 2).cast("bigint")
-
-
 def duplicate_counts(signed: DataFrame, group: str = "label", threshold: float = 0.999) -> DataFrame:
     """Per label: pairs checked, near-duplicate pairs, pairs across splits (two readings).
 
     ``cross_any`` counts pairs whose splits differ with a train or test side, ``cross_train_test``
-    only train against test. Every count is combinatorial over the collapsed groups.
+    only train against test. Copies are counted combinatorially, other pairs over a recursive grid (``nearcounts``).
     """
-    groups = duplicate_groups(signed, group)
-    n, tr, va, te = (F.col(c) for c in ("copies", "n_train", "n_val", "n_test"))
-    sizes = groups.groupBy(group).agg(F.sum("copies").alias("_clips"))
-    inner = groups.select(group, _choose2(n).alias("dup"), (tr * va + tr * te + va * te).alias("cross_any"),
-                          (tr * te).alias("cross_train_test"))
-    side = lambda s: groups.select(group, F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("copies", "n_train", "n_val", "n_test")])
-    pairs = similar_representatives(groups, group, threshold).join(side("a"), [group, "a"]).join(side("b"), [group, "b"])
-    at = lambda s, c: F.col(f"{s}_n_{c}")
-    cross_tt = at("a", "train") * at("b", "test") + at("a", "test") * at("b", "train")
-    cross_val = sum(((at("a", x) * at("b", "val") + at("a", "val") * at("b", x)) for x in ("train", "test")), F.lit(0))
-    outer = pairs.select(group, (F.col("a_copies") * F.col("b_copies")).alias("dup"),
-                         (cross_tt + cross_val).alias("cross_any"), cross_tt.alias("cross_train_test"))
-    sums = inner.unionByName(outer).groupBy(group).agg(
-        *[F.sum(c).cast("bigint").alias(c) for c in ("dup", "cross_any", "cross_train_test")])
-    return sizes.join(sums, group, "left").select(
-        group, _choose2(F.col("_clips")).alias("pairs_checked"), F.col("dup").alias("near_duplicates"),
-        "cross_any", "cross_train_test")
+    groups = duplicate_groups(signed, group).withColumn("u", _unit(F.col("sig")))
+    radius = math.sqrt(2.0 - 2.0 * threshold) + 1e-9
+    cells = [F.floor(_project(F.col("u"), k) / radius).cast("bigint") for k in range(2)]
+    own = inner_counts({c: F.col(c) for c in WEIGHTS})
+    sizes = groups.groupBy(group).agg(F.sum("copies").alias("copies"))
+    inner = groups.select(group, *[own[c].alias(c) for c in COUNTS])
+    sums = inner.unionByName(near_counts(groups, cells, radius, group, threshold)).groupBy(group).agg(*[F.sum(c).cast("bigint").alias(c) for c in COUNTS])
+    checked = (F.col("copies") * (F.col("copies") - 1) / 2).cast("bigint")
+    return keyed_join(sizes, sums, [group], "left").select(
+        group, checked.alias("pairs_checked"), F.col("dup").alias("near_duplicates"), "cross_any", "cross_train_test")
 
 
 def top_duplicate_pairs(signed: DataFrame, limit: int = 200, group: str = "label", threshold: float = 0.999) -> DataFrame:
