@@ -102,6 +102,48 @@ def check_samples(samples: DataFrame, profiles: DataFrame, index: DataFrame, set
             .drop("_k", "_official", "_classes"))
 
 
+def check_uploads(uploads: DataFrame, profiles: DataFrame, index: DataFrame, settings: Settings = Settings(),
+                  stored: DataFrame | None = None) -> DataFrame:
+    """Uploads ``upload, name, features, labels`` (clips of frames, a label each) with official ``labels`` and a ``reason`` if refused.
+
+    An upload is taken or refused as a whole: ``features_shape`` when a frame has not ``input_width`` values or a clip has no
+    frames, ``label_count`` unless there is one label per clip, ``unknown_profile``, ``unknown_label``, ``outside_vocabulary``, and
+    ``stored_layout`` when the profile's ``stored`` samples (``name, features`` of one clip) have frames of another width. The first that applies, in this
+    order, is given. An upload without clips is well formed.
+    """
+    clips, said = F.coalesce("features", F.array()), F.coalesce("labels", F.array())
+    framed = F.forall(clips, lambda clip: F.coalesce((F.size(clip) > 0) & F.forall(clip, lambda f: F.coalesce(F.size(f) == settings.input_width, F.lit(False))), F.lit(False)))
+    # the class list is one value; which spelling is official is looked up in it, so labels need no join
+    known = effective_vocabulary(profiles, index, settings).select("name", F.col("classes").alias("_classes"))
+    joined = uploads.join(known, "name", "left").withColumn("_every", class_array(index).scalar())
+    spelled = F.transform(said, lambda x: F.get(F.filter("_every", lambda c: F.upper(c) == F.upper(F.trim(x))), F.lit(0)))
+    joined = joined.withColumn("_labels", spelled)
+    other = F.lit(False)
+    if stored is not None:
+        widths = stored.groupBy("name").agg(F.count_if(F.size(F.col("features")[0]) != settings.input_width).alias("_other"))
+        joined, other = joined.join(widths, "name", "left"), F.coalesce(F.col("_other") > 0, F.lit(False))
+    reason = (F.when(~framed, "features_shape").when(F.size(clips) != F.size(said), "label_count").when(F.col("_classes").isNull(), "unknown_profile")
+              .when(F.exists("_labels", lambda x: x.isNull()), "unknown_label")
+              .when(F.exists("_labels", lambda x: ~F.array_contains("_classes", x)), "outside_vocabulary").when(other, "stored_layout"))
+    kept = [F.when(reason.isNull(), F.col("_labels")).otherwise(F.col("labels")).alias("labels") if c == "labels" else F.col(c) for c in uploads.columns]
+    return joined.select(*kept, reason.alias("reason"))
+
+
+def uploaded_samples(checked: DataFrame) -> DataFrame:
+    """The clips of the uploads that were taken: ``name, upload, place, label, features``."""
+    return (checked.where("reason IS NULL").select("name", "upload", F.posexplode(F.arrays_zip("features", "labels")).alias("place", "_s"))
+            .select("name", "upload", "place", F.col("_s.labels").alias("label"), F.col("_s.features").alias("features")))
+
+
+def with_totals(profiles: DataFrame, samples: DataFrame) -> DataFrame:
+    """Profiles with ``calibration_samples`` and ``per_class_samples``, over all samples that were ever taken."""
+    counts = sample_counts(samples).groupBy("name").agg(
+        F.sum("samples").alias("calibration_samples"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "samples")))).alias("per_class_samples"))
+    none = F.create_map().cast("map<string,bigint>")
+    return profiles.join(counts, "name", "left").withColumn("calibration_samples", F.coalesce("calibration_samples", F.lit(0))).withColumn(
+        "per_class_samples", F.coalesce("per_class_samples", none))
+
+
 def sample_counts(samples: DataFrame) -> DataFrame:
     return samples.groupBy("name", "label").agg(F.count("*").alias("samples"))
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
+from limbwise.sources.snapshots import Snapshots
+
 # The record layouts of the three logs.
 PREDICTION = ("event_id string, timestamp timestamp, model string, predicted_class string, confidence double, "
               "status string, latency_ms double, fps double, human_action string, corrected_class string, "
@@ -59,6 +61,20 @@ def append_stream(df: DataFrame, path: str, checkpoint: str, time: str = "timest
             .option("checkpointLocation", checkpoint).partitionBy("day").trigger(availableNow=True).start(path))
 
 
+def read_log(spark: SparkSession, path: str, days: tuple[str, str] | None = None, schema: str | None = None) -> DataFrame:
+    """The records that ``append_log`` or ``append_stream`` wrote, of the days from the first to the last of ``days``; other days are not opened.
+
+    A missing path is an empty log where ``schema`` tells its columns.
+    """
+    try:
+        log = spark.read.parquet(path)
+    except AnalysisException as exc:
+        if schema is None or not _path_missing(exc):
+            raise
+        log = spark.createDataFrame([], f"{schema}, day date")
+    return log.where(F.col("day").between(*[F.lit(d).cast("date") for d in days])) if days else log
+
+
 def write_training_set(copies: DataFrame, path: str, protocol: str) -> None:
     """Tensors as 32-bit floats, one row per clip copy, partitioned by protocol and split."""
     (copies.withColumn("protocol", F.lit(protocol)).withColumn("seq", F.col("seq").cast("array<array<float>>"))
@@ -78,16 +94,18 @@ def training_summary(copies: DataFrame, rejected: DataFrame) -> DataFrame:
         "split", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("samples", "clips", "skipped")])
 
 
-def stored_index(spark: SparkSession, path: str, build: Callable[[], DataFrame], force_rebuild: bool = False) -> DataFrame:
-    """The stored index; built and written when absent or when a rebuild is asked for."""
-    if not force_rebuild:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException as exc:
-            if not _path_missing(exc):
-                raise
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def stored_index(spark: SparkSession, path: str, build: Callable[[], DataFrame], force_rebuild: bool = False, grace: float = 86_400.0) -> DataFrame:
+    """The stored index; built and written when absent or when a rebuild is asked for.
+
+    A rebuild is a new snapshot: readers of the old one are not disturbed, and a build that fails leaves it in place. Snapshots
+    replaced more than ``grace`` seconds ago are removed.
+    """
+    table = Snapshots(spark, path)
+    index = None if force_rebuild else table.read()
+    if index is None:
+        index = table.replace(build())
+        table.prune(grace)
+    return index
 
 
 def write_metrics_csv(df: DataFrame, path: str) -> None:

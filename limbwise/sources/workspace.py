@@ -28,8 +28,17 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for one table of one run."""
-    return f"{scratch_root(spark)}/limbwise-{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path for one table of one run, in the application's own folder."""
+    return f"{scratch_root(spark)}/limbwise-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_scratch(spark: SparkSession, application: str | None = None) -> bool:
+    """Remove the stored intermediates of this application, or of an ended one; was there anything.
+
+    Call it when no DataFrame made so far is needed any more: results that were not written are read from these tables.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/limbwise-{application or spark.sparkContext.applicationId}")
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

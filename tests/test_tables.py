@@ -4,15 +4,16 @@ import itertools
 import json
 import os
 import random
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from limbwise.operators import audit, evaluation, events, metadata, profiles, splits, thresholds, validate
+from limbwise.operators import audit, evaluation, events, metadata, nearcounts, profiles, scoring, splits, thresholds, validate
 from limbwise.settings import Settings
-from limbwise.sources import catalogue, keypoints, logs
+from limbwise.sources import catalogue, keypoints, logs, snapshots, workspace
 from limbwise.sources.workspace import scratch_path
 
 S = Settings()
@@ -140,6 +141,45 @@ def test_duplicates_equal_brute_force_with_a_group_of_copies(spark):
     assert sorted(got) == want
 
 
+def brute_counts(rows, threshold=0.999):
+    """Clip pairs per label by comparing all."""
+    out = {}
+    for label in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == label and np.linalg.norm(r[2]) >= 1e-6]
+        u = np.array([np.array(r[2]) / np.linalg.norm(r[2]) for r in own]).reshape(len(own), -1)
+        a, b = np.nonzero(np.triu(u @ u.T > threshold, 1)) if len(own) else ((), ())
+        split = [(own[i][3], own[j][3]) for i, j in zip(a, b)]
+        out[label] = (len(own) * (len(own) - 1) // 2, len(split), sum(x != y for x, y in split), sum({x, y} == {"train", "test"} for x, y in split))
+    return out
+
+
+@pytest.mark.parametrize("leaf", [2, 7, 256])
+def test_duplicate_counts_over_divided_cells(spark, leaf, monkeypatch):
+    """Heaps inside the radius, around it and spread out, copies, opposite and tiny vectors, a null label."""
+    monkeypatch.setattr(nearcounts, "LEAF", leaf)
+    rng = np.random.default_rng(leaf)
+    rows = []
+    for i in range(420):
+        centre = np.eye(6)[i % 3] * (-1 if i % 50 == 0 else 1)
+        v = centre + rng.normal(0, [0.001, 0.02, 0.3][i % 3 if i % 2 else (i // 7) % 3], 6)
+        rows.append((i, ["A", "A", "A", "B", None][i % 5], (v * (1e-8 if i % 97 == 0 else 1 + i % 3)).tolist(), ["train", "val", "test"][i % 7 % 3]))
+    rows += [(1000 + i, "A", rows[i % 5][2], "test") for i in range(40)] + [(2000, "lone", [1.0] * 6, "train")]
+    df = spark.createDataFrame(rows, "clip_id long, label string, sig array<double>, split string")
+    got = {r["label"]: (r["pairs_checked"], r["near_duplicates"], r["cross_any"], r["cross_train_test"]) for r in audit.duplicate_counts(df).collect()}
+    assert got == brute_counts(rows) and got["A"][1] > 2000
+    assert audit.duplicate_counts(df.limit(0)).count() == 0
+
+
+def test_a_dense_cell_is_counted_whole(spark):
+    """120,000 different signatures in one cell: some seven thousand million pairs, none of them listed or compared one by one."""
+    n = 120_000
+    noise = lambda k: (F.rand(k) - 0.5) * 0.004
+    heap = spark.range(n).select(F.col("id").alias("clip_id"), F.lit("A").alias("label"), F.array(F.lit(1.0), *[noise(k) for k in range(4)]).alias("sig"),
+                                 F.element_at(F.array(F.lit("train"), F.lit("test")), (F.col("id") % 2 + 1).cast("int")).alias("split"))
+    row = audit.duplicate_counts(heap).first()
+    assert (row["pairs_checked"], row["near_duplicates"], row["cross_train_test"]) == (n * (n - 1) // 2, n * (n - 1) // 2, n * n // 4)
+
+
 # -- evaluation --------------------------------------------------------------
 def test_scores_by_hand(spark):
     rows = [("m", t, p) for t, p in [("a", "a")] * 3 + [("a", "b")] + [("b", "b")] * 2 + [("b", "c")] * 2 + [("c", "a")]]
@@ -154,6 +194,25 @@ def test_scores_by_hand(spark):
     assert avg["weighted_f1"] == pytest.approx((0.75 * 4 + f1_b * 4) / 9) and avg["n_samples"] == 9
 
 
+@pytest.mark.parametrize("window", [1, 2, 7, 200])
+def test_rolling_latency_slides_over_slices(spark, window):
+    rng, rows = random.Random(window), []
+    for i in range(600):
+        rows.append(("gru" if i % 9 else None, datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(40_000)), i, None if i % 50 == 3 else float(rng.randrange(100))))
+    df = spark.createDataFrame(rows, "model string, ts timestamp, seq long, latency_ms double")
+    out = {r["seq"]: r for r in scoring.rolling_latency(df, ["model"], "ts", "seq", settings=replace(S, latency_window=window, session_slice_seconds=600)).collect()}
+    assert len(out) == len(rows)
+    for model in ("gru", None):
+        own = sorted((r for r in rows if r[0] == model), key=lambda r: (r[1], r[2]))
+        for n, r in enumerate(own):
+            last = [x[3] for x in own[max(0, n + 1 - window):n + 1] if x[3] is not None]
+            got = out[r[2]]
+            if not last:
+                assert got["mean_latency_ms"] is None and got["p95_latency_ms"] is None and got["throughput_fps"] == 0
+            else:
+                assert got["mean_latency_ms"] == pytest.approx(np.mean(last)) and got["p95_latency_ms"] == pytest.approx(np.percentile(last, 95))
+
+
 def test_sweep_by_hand(spark):
     df = spark.createDataFrame([("m", c, ok) for c, ok in [(0.2, True), (0.5, False), (0.9, True), (0.1, True)]], "model string, confidence double, correct boolean")
     rows = {r["threshold"]: r for r in thresholds.sweep(df, ["model"]).collect()}
@@ -241,6 +300,44 @@ def test_file_resolution_prefers_exact_folders(spark):
                    "Home/3. Hat/MVI_3.MOV": (None, None), "short.mov": (None, None)}
 
 
+def test_a_rebuild_does_not_disturb_a_reader(spark):
+    path = scratch_path(spark, "snapshots")
+    table = snapshots.Snapshots(spark, path)
+    assert table.read() is None and table.current() is None
+    before = logs.stored_index(spark, path, lambda: spark.range(5).repartition(3))
+    assert logs.stored_index(spark, path, lambda: spark.range(9)).count() == 5
+    with pytest.raises(Exception):
+        logs.stored_index(spark, path, lambda: spark.range(7).withColumn("x", F.raise_error(F.lit("no"))), force_rebuild=True)
+    assert logs.stored_index(spark, path, lambda: None).count() == 5            # a failed rebuild is never seen
+    after = logs.stored_index(spark, path, lambda: table.read().union(spark.range(2)), force_rebuild=True)
+    assert (before.count(), after.count(), table.read().count()) == (5, 7, 7)   # the reader of the old one goes on
+    assert len(table.prune(3600)) == 0 and before.count() == 5
+    left = table.prune(0)
+    assert len(left) == 2 and sorted(os.listdir(path))[0].startswith("data-") and table.read().count() == 7   # the old one and the failed one
+    assert len([n for n in os.listdir(path) if n.startswith("data-")]) == 1
+
+
+def test_two_writers_leave_one_current_snapshot(spark):
+    path = scratch_path(spark, "snapshots")
+    a, b = snapshots.Snapshots(spark, path), snapshots.Snapshots(spark, path)
+    known = b._listed()
+    a.replace(spark.range(1))
+    b._listed, listed = lambda: known, b._listed            # the second writer has not seen the first one's manifest
+    b.replace(spark.range(2))
+    b._listed = listed
+    assert a.current() == b.current() and a.read().count() in (1, 2)
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    kept = workspace.cut(spark.range(3), "kept")
+    assert kept.count() == 3
+    folder = os.path.dirname(scratch_path(spark, "x"))
+    ended = os.path.join(os.path.dirname(folder), "limbwise-ended")
+    os.makedirs(ended)
+    assert workspace.clear_scratch(spark, "ended") and not os.path.exists(ended) and not workspace.clear_scratch(spark, "ended")
+    assert os.path.exists(folder) and kept.count() == 3
+
+
 # -- profiles ----------------------------------------------------------------
 def test_profile_state_and_threshold(spark):
     day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
@@ -254,6 +351,29 @@ def test_profile_state_and_threshold(spark):
     assert [round(r[0], 6) for r in clamp] == [0.18, 0.4, 0.58]
 
 
+def test_uploads_are_taken_whole(spark):
+    day = datetime(2024, 1, 1)
+    profile = profiles.current_profiles(spark.createDataFrame([("a", day, 1, "create", None, None, ["HELLO", "BANK"]), ("b", day, 2, "create", None, None, None)],
+                                                              "name string, changed_at timestamp, seq int, action string, base_model string, threshold double, vocabulary array<string>"), ["changed_at", "seq"])
+    index = spark.createDataFrame([("HELLO",), ("BANK",), ("WATER",)], "label string")
+    s = replace(S, layout=replace(S.layout, groups=(("pose", 1),)))
+    clip, narrow = [[0.0] * 3] * 2, [[0.0] * 2] * 2
+    rows = [(1, "a", [clip] * 3, ["hello", " BANK", "HELLO"]), (2, "a", [clip, narrow], ["HELLO"] * 2), (3, "a", [clip], ["HELLO"] * 2), (4, "a", [clip], ["NOPE"]),
+            (5, "a", [clip] * 2, ["HELLO", "WATER"]), (6, "x", [clip], ["HELLO"]), (7, "b", [clip], ["water"]), (8, "a", None, None), (9, "a", [clip], None),
+            (10, "a", [[]], ["HELLO"]), (11, "a", [clip, None], ["HELLO"] * 2), (12, "a", [clip], [None]), (13, "a", [clip], ["BANK"])]
+    uploads = spark.createDataFrame(rows, "upload int, name string, features array<array<array<double>>>, labels array<string>")
+    checked = profiles.check_uploads(uploads, profile, index, s)
+    assert {r["upload"]: r["reason"] for r in checked.collect()} == {
+        1: None, 2: "features_shape", 3: "label_count", 4: "unknown_label", 5: "outside_vocabulary", 6: "unknown_profile", 7: None, 8: None, 9: "label_count",
+        10: "features_shape", 11: "features_shape", 12: "unknown_label", 13: None}
+    samples = profiles.uploaded_samples(checked)
+    totals = {r["name"]: (r["calibration_samples"], r["per_class_samples"]) for r in profiles.with_totals(profile, samples).collect()}
+    assert totals == {"a": (4, {"HELLO": 2, "BANK": 2}), "b": (1, {"WATER": 1})}
+    old = spark.createDataFrame([("a", [[0.0] * 7])], "name string, features array<array<double>>")
+    again = {r["upload"]: r["reason"] for r in profiles.check_uploads(uploads, profile, index, s, old).collect()}
+    assert again[1] == "stored_layout" and again[7] is None
+
+
 def test_hold_out_leaves_two_train_rows(spark):
     rows = [("a", i) for i in range(25)] + [("b", i) for i in range(2)]
     out = profiles.hold_out(spark.createDataFrame(rows, "name string, sample long"), "sample").groupBy("name", "part").count().collect()

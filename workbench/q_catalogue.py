@@ -177,7 +177,19 @@ def _(t):
     return sp.session_clusters(t.clip_index(), slice_width=1000).select("FilePath", "cluster")
 
 
-@query("V5_cluster_disjoint_split")
+# the greedy allocation cluster by cluster: each step takes the free cluster whose size is nearest to the open quota, the larger and then the first by hash on ties
+ALLOCATED = CLUSTERS + """, cl AS (SELECT label, cluster, count(*)::BIGINT AS n, md5('42|' || cluster) AS h FROM clustered GROUP BY ALL),
+ walk AS (SELECT label, 'test' AS phase, list({'n': n, 'h': h, 'c': cluster}) AS free, 0::BIGINT AS filled, greatest(1, round_even(sum(n) * 0.15::DOUBLE, 0))::BIGINT AS quota,
+   greatest(1, round_even(sum(n) * 0.1::DOUBLE, 0))::BIGINT AS later, NULL::VARCHAR AS took, NULL::VARCHAR AS side FROM cl GROUP BY label
+  UNION ALL SELECT label, CASE WHEN over THEN CASE phase WHEN 'test' THEN 'val' ELSE 'end' END ELSE phase END, CASE WHEN over THEN free ELSE list_filter(free, lambda x: x.c <> best.c) END,
+   CASE WHEN over THEN 0 ELSE filled - best.n END, CASE WHEN over THEN later ELSE quota END, later, CASE WHEN NOT over THEN best.c END, CASE WHEN NOT over THEN phase END
+  FROM (SELECT *, coalesce(filled >= quota OR len(free) = 0 OR (-best.n > quota - filled AND filled >= 0.6::DOUBLE * quota), true) AS over
+        FROM (SELECT *, list_min(list_transform(free, lambda x: {'gap': abs(quota - filled - x.n), 'n': -x.n, 'h': x.h, 'c': x.c})) AS best FROM walk WHERE phase <> 'end'))),
+ taken AS (SELECT label, took AS cluster, side FROM walk WHERE took IS NOT NULL),
+ disjoint AS (SELECT c."FilePath", c.label, c.cluster, coalesce(side, 'train') AS split FROM clustered c LEFT JOIN taken t ON t.label = c.label AND t.cluster = c.cluster)"""
+
+
+@query("V5_cluster_disjoint_split", with_sql("clip_index", f'WITH {ALLOCATED} SELECT "FilePath", label, cluster, split FROM disjoint', True))
 def _(t):
     return sp.cluster_disjoint_split(sp.session_clusters(t.clip_index()), SMALL).select("FilePath", "label", "cluster", "split")
 
@@ -210,7 +222,9 @@ def _(t):
     return sp.split_summary(sp.build_index(c.where(F.col("split") != "test"), c.where(F.col("split") == "test"), "official", settings=SMALL), "official")
 
 
-@query("V7_disjoint_index_summary")
+@query("V7_disjoint_index_summary", with_sql("clip_index", f"""WITH {ALLOCATED} SELECT 'session_disjoint' AS protocol, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test,
+ count(DISTINCT label) FILTER (split = 'train') AS classes_train, count(DISTINCT label) FILTER (split = 'val') AS classes_val, count(DISTINCT label) FILTER (split = 'test') AS classes_test,
+ (SELECT count(*) FROM (SELECT regexp_extract("FilePath", 'MVI_([0-9]+)', 1) FROM disjoint WHERE split = 'train' INTERSECT SELECT regexp_extract("FilePath", 'MVI_([0-9]+)', 1) FROM disjoint WHERE split = 'test')) AS session_overlap_train_test FROM disjoint""", True))
 def _(t):
     c = t.clip_index()
     return sp.split_summary(sp.build_index(c.where(F.col("split") != "test"), c.where(F.col("split") == "test"), "session_disjoint", settings=SMALL), "session_disjoint")

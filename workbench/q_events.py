@@ -170,7 +170,7 @@ def _(t):
 
 @query("J8_newest_failures", """
 SELECT substr(sha256('f|' || event_id), 1, 12) AS failure_id, user_id AS session_id, event_type AS stage
-FROM events WHERE event_type = 'error' ORDER BY ts DESC, substr(sha256('f|' || event_id), 1, 12) DESC LIMIT 1000""")
+FROM events WHERE event_type = 'error' ORDER BY ts DESC, substr(sha256('f|' || event_id), 1, 12) DESC LIMIT 5000""")
 def _(t):
     raw = t.events().where(F.col("event_type") == "error").select(
         F.lit("f").alias("k"), "event_id", F.col("ts").alias("timestamp"), F.col("event_type").alias("stage"),

@@ -98,6 +98,37 @@ def _(t):
     return pr.sample_counts(checked(t).where("reason IS NULL"))
 
 
+def uploads(t):
+    """Clicks of a user as an upload: ``value`` decides its clips, frames, widths and labels."""
+    clips, k = F.floor("value").cast("int") % 4, F.col("event_id")
+    width = F.when(k % 7 == 3, SMALL.input_width - 1).otherwise(SMALL.input_width)
+    frames = F.when(k % 11 == 5, 0).otherwise(3)
+    label = F.when(k % 13 == 6, F.lit("wave")).otherwise(F.concat(F.upper("event_type"), F.lit(" ")))
+    return t.events().select(
+        k.alias("upload"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"),
+        F.array_repeat(F.array_repeat(F.array_repeat(F.lit(0.5), width), frames), clips).alias("features"),
+        F.array_repeat(label, clips + (k % 5 == 2).cast("int")).alias("labels"))
+
+
+UPLOADS = EFFECTIVE + """, up AS (SELECT event_id AS upload, 'u' || user_id AS name, floor(value)::INT % 4 AS clips, CASE WHEN event_id % 13 = 6 THEN 'wave' ELSE event_type END AS label,
+  floor(value)::INT % 4 > 0 AND (event_id % 7 = 3 OR event_id % 11 = 5) AS shape, event_id % 5 = 2 AS uneven FROM events),
+ uc AS (SELECT up.*, CASE WHEN shape THEN 'features_shape' WHEN uneven THEN 'label_count' WHEN e.classes IS NULL THEN 'unknown_profile' WHEN clips > 0 AND label = 'wave' THEN 'unknown_label'
+  WHEN clips > 0 AND NOT list_contains(string_split(e.classes, '|'), label) THEN 'outside_vocabulary' END AS reason FROM up LEFT JOIN eff e USING (name))"""
+
+
+@query("U5_check_uploads", f"WITH {UPLOADS} SELECT upload, name, reason FROM uc")
+def _(t):
+    return pr.check_uploads(uploads(t), profiles(t), event_vocab(t), SMALL).select("upload", "name", "reason")
+
+
+@query("U5_sample_totals", f"""WITH {UPLOADS}, s AS (SELECT name, label, sum(clips)::BIGINT AS n FROM uc WHERE reason IS NULL AND clips > 0 GROUP BY ALL),
+ g AS (SELECT name, sum(n)::BIGINT AS n, '{{' || string_agg('"' || label || '":' || n, ',' ORDER BY label) || '}}' AS per FROM s GROUP BY name)
+ SELECT p.name, coalesce(g.n, 0) AS calibration_samples, coalesce(per, '{{}}') AS per_class_samples FROM profiles p LEFT JOIN g USING (name)""")
+def _(t):
+    taken = pr.uploaded_samples(pr.check_uploads(uploads(t), profiles(t), event_vocab(t), SMALL))
+    return pr.with_totals(profiles(t), taken).select("name", "calibration_samples", F.to_json("per_class_samples").alias("per_class_samples"))
+
+
 @query("U6_eligibility", f"""WITH {SAMPLES}, s AS (SELECT p.name, coalesce(sum(samples), 0)::BIGINT AS samples, count(label) AS classes FROM profiles p LEFT JOIN cnt USING (name) GROUP BY p.name)
  SELECT *, CASE WHEN samples < 20 THEN 'need at least 20 calibration samples, have ' || samples WHEN classes < 2 THEN 'at least two distinct classes are required' ELSE 'ok' END AS reason,
  samples >= 20 AND classes >= 2 AS eligible FROM s""")
@@ -196,6 +227,24 @@ def _(t):
         F.count("*").alias("n"), F.round(F.sum("confidence"), 6).alias("conf"))
 
 
+@query("S11_stream_logs", with_sql("predictions feedback", """WITH f AS (SELECT ord, event_id, human_action, predicted_class, coalesce(corrected_class, '') AS corrected_class, "timestamp" FROM feedback)
+ SELECT 'feedback' AS log, "timestamp"::DATE::VARCHAR AS day, human_action AS what, count(*) AS n, count(nullif(corrected_class, '')) AS extra FROM f GROUP BY ALL
+ UNION ALL SELECT 'failure', ts::DATE::VARCHAR, event_type, count(*), count(DISTINCT substr(sha256('f|' || event_id), 1, 12)) FROM events WHERE event_type = 'error' GROUP BY ALL"""))
+def _(t):
+    """Verdicts and failures appended by two streams, then read back."""
+    from workbench.q_streaming import replay
+    said = ev.feedback_events(replay(t, t.feedback().withColumn("confidence", F.lit(0.5)), "timestamp"), ["event_id", "ord"]).withColumn("note", F.lit(None).cast("string"))
+    broken = t.events().where(F.col("event_type") == "error").select(F.lit("f").alias("k"), "event_id", F.col("ts").alias("timestamp"), F.col("event_type").alias("stage"),
+                                                                      F.col("props").alias("message"), F.col("user_id").cast("string").alias("session_id"))
+    paths = {}
+    for name, stream in (("feedback", said), ("failure", ev.failure_events(replay(t, broken, "timestamp"), ["k", "event_id"]))):
+        paths[name] = scratch_path(t.spark, name)
+        logs.append_stream(stream, paths[name], scratch_path(t.spark, f"{name}-check")).awaitTermination()
+    back = lambda name, what, extra: logs.read_log(t.spark, paths[name]).groupBy(F.lit(name).alias("log"), F.col("day").cast("string").alias("day"), F.col(what).alias("what")).agg(
+        F.count("*").alias("n"), F.count_distinct(extra).alias("extra") if extra == "failure_id" else F.count(extra).alias("extra"))
+    return back("feedback", "human_action", "corrected_class").unionByName(back("failure", "stage", "failure_id"))
+
+
 @query("S12_training_set", with_sql("seq", """WITH c AS (SELECT DISTINCT clip_id, CASE WHEN clip_id % 3 = 0 THEN 'test' ELSE 'train' END AS split FROM seq) SELECT split, sum(CASE split WHEN 'train' THEN 2 ELSE 1 END)::BIGINT AS samples, count(*) AS clips FROM c GROUP BY split"""))
 def _(t):
     from limbwise.operators.augment import training_copies

@@ -113,7 +113,7 @@ POLICY = replace(SMALL, frame_repeat_prob=0.3, group_dropout_prob=0.2, crop_frac
 KEY = ("'42'", "clip_id", "1")
 
 
-@query("Q10_augmentation", with_sql("seq", f"""WITH k AS (SELECT clip_id, 9 AS keep, floor({draw_sql("'crop'", *KEY)} * (12 - 9 + 1))::INT AS start FROM (SELECT DISTINCT clip_id FROM seq)),
+AUGMENTED = f"""k AS (SELECT clip_id, 9 AS keep, floor({draw_sql("'crop'", *KEY)} * (12 - 9 + 1))::INT AS start FROM (SELECT DISTINCT clip_id FROM seq)),
  c AS (SELECT g.i, a.clip_id, a.d, a.v + (b.v - a.v) * (g.i * 8 / 11.0::DOUBLE - floor(g.i * 8 / 11.0::DOUBLE)) AS v FROM range(0, 12) g(i) JOIN k ON true
    JOIN seq a ON a.clip_id = k.clip_id AND a.i = k.start + floor(g.i * 8 / 11.0::DOUBLE)
    JOIN seq b ON b.clip_id = k.clip_id AND b.d = a.d AND b.i = k.start + least(floor(g.i * 8 / 11.0::DOUBLE) + 1, 8)),
@@ -121,9 +121,11 @@ KEY = ("'42'", "clip_id", "1")
    FROM c f LEFT JOIN c p ON p.clip_id = f.clip_id AND p.d = f.d AND p.i = f.i - 1),
  g AS (SELECT clip_id, i, d, CASE WHEN {draw_sql("'group'", *KEY, "i", GROUP)} < 0.2::DOUBLE THEN 0 ELSE v END AS v FROM r),
  n AS (SELECT clip_id, i, d, v + 0.02::DOUBLE * ({normal_sql(("'jitter'", *KEY, "i", "d // 3"), "d % 3")}) AS v FROM g),
- m AS (SELECT *, {draw_sql("'mirror'", *KEY)} < 0.5::DOUBLE AS mir FROM n)
- SELECT clip_id, i::INT AS i, (CASE WHEN mir AND d >= 48 THEN d - 15 WHEN mir AND d >= 33 THEN d + 15 ELSE d END)::INT AS d,
-  round(CASE WHEN mir AND d % 3 = 0 THEN -v ELSE v END, 6) AS v FROM m"""))
+ m AS (SELECT *, {draw_sql("'mirror'", *KEY)} < 0.5::DOUBLE AS mir FROM n)"""
+MIRRORED = "clip_id, i::INT AS i, (CASE WHEN mir AND d >= 48 THEN d - 15 WHEN mir AND d >= 33 THEN d + 15 ELSE d END)::INT AS d, round(CASE WHEN mir AND d % 3 = 0 THEN -v ELSE v END, 6) AS v"
+
+
+@query("Q10_augmentation", with_sql("seq", f"WITH {AUGMENTED} SELECT {MIRRORED} FROM m"))
 def _(t):
     return long(sequences(t).withColumn("seq", ag.augment(F.col("seq"), [42, F.col("clip_id"), F.lit(1)], POLICY)))
 
@@ -159,7 +161,9 @@ def _(t):
     return training(t).select("clip_id", "split", "copy", F.col("label").cast("string").alias("label"), F.size("seq").alias("frames"))
 
 
-@query("Q12_training_set")
+@query("Q12_training_set", with_sql("seq", f"""WITH {AUGMENTED}, side AS (SELECT clip_id, CASE WHEN {US} < 0.15::DOUBLE THEN 'test' WHEN {US} < 0.25::DOUBLE THEN 'val' ELSE 'train' END AS split FROM (SELECT DISTINCT clip_id FROM seq)),
+ every AS (SELECT {OUT}, 0 AS copy FROM seq UNION ALL SELECT {MIRRORED}, 1 FROM m)
+ SELECT every.clip_id, split, copy::INT AS copy, i, d, v FROM every JOIN side ON side.clip_id = every.clip_id WHERE copy = 0 OR split = 'train'"""))
 def _(t):
     return long(training(t), ("clip_id", "split", "copy"))
 
