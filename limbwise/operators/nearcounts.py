@@ -13,6 +13,7 @@ between near and far. Each round is a few equi-joins of node tables.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ def inner_counts(w: dict[str, Column]) -> dict[str, Column]:
     return {"dup": (w["copies"] * (w["copies"] - 1) / 2).cast("bigint"), "cross_any": tt + (w["n_train"] + w["n_test"]) * w["n_val"], "cross_train_test": tt}
 
 
-def _trees(points: DataFrame, node: list[str], width: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes with box, sums and ``leaf``; points with the ``path`` of their leaf)."""
+def _trees(points: DataFrame, node: list[str], width: int) -> tuple[DataFrame, DataFrame, int]:
+    """(nodes with box, sums and ``leaf``; points with the ``path`` of their leaf; depth)."""
     sums = [F.sum(c).cast("bigint").alias(c) for c in (*WEIGHTS, *[f"own_{c}" for c in COUNTS])]
     box = [F.array(*[fold(F.col("u")[i]) for i in range(width)]).alias(name) for fold, name in ((F.min, "lo"), (F.max, "hi"))]
     nodes, leaves, open_points = [], [], points
@@ -55,15 +56,14 @@ def _trees(points: DataFrame, node: list[str], width: int) -> tuple[DataFrame, D
         low, high = F.get("lo", axis), F.get("hi", axis)
         middle = low + (high - low) / 2
         halves = found.where(~F.col("leaf")).select(*node, axis.alias("_axis"), F.when(middle > low, middle).otherwise(high).alias("_at"))
-        told = keyed_join(open_points, halves, node, "left")
         if halves.isEmpty():
             leaves.append(open_points)
             break
+        told = keyed_join(open_points, halves, node, "left")
         leaves.append(told.where("_axis IS NULL").drop("_axis", "_at"))
         side = F.when(F.get("u", F.col("_axis")) < F.col("_at"), "0").otherwise("1")
         open_points = cut(told.where("_axis IS NOT NULL").withColumn("path", F.concat("path", side)).select(*points.columns), "halved")
-    union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
-    return cut(union(nodes), "nodes"), union(leaves)
+    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, leaves), len(nodes) - 1
 
 
 def _leaf_sums(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -100,7 +100,7 @@ def near_counts(groups: DataFrame, cells: list[Column], radius: float, group: st
     width = points.agg(F.max(F.size("u"))).first()[0]
     if width is None:
         return groups.sparkSession.createDataFrame([], groups.select(group).schema.add("dup", "bigint").add("cross_any", "bigint").add("cross_train_test", "bigint"))
-    nodes, leaves = _trees(points, node, width)
+    nodes, leaves, depth = _trees(points, node, width)
     tree = nodes.select(F.struct(*node).alias("key"), "leaf", "lo", "hi", *WEIGHTS, *[f"own_{c}" for c in COUNTS])
     side = lambda s: tree.select(F.col("key").alias(s), F.struct("leaf", "lo", "hi", *WEIGHTS, *[f"own_{c}" for c in COUNTS]).alias(f"{s}_node"))
     roots = nodes.where("path = ''").select(*node)
@@ -108,7 +108,8 @@ def near_counts(groups: DataFrame, cells: list[Column], radius: float, group: st
     frontier = roots.withColumn("d", step).select(F.struct(*node).alias("a"), F.struct(
         "_group", (F.col("c0") + F.col("d.x")).alias("c0"), (F.col("c1") + F.col("d.y")).alias("c1"), "path").alias("b"))
     counted, left = [], []
-    while True:
+    # each round goes a level down in every node that is not a leaf, so after the depth of the trees only leaves are left
+    for level in range(depth + 1):
         met = cut(frontier.join(side("a"), "a").join(side("b"), "b"), "frontier")
         corner = lambda f: total(F.transform(F.arrays_zip(*[F.col(c).alias(n) for c, n in (("a_node.lo", "al"), ("a_node.hi", "ah"), ("b_node.lo", "bl"), ("b_node.hi", "bh"))]), f))
         gap = corner(lambda x: F.pow(F.greatest(F.lit(0.0), x["al"] - x["bh"], x["bl"] - x["ah"]), F.lit(2.0)))
@@ -125,15 +126,14 @@ def near_counts(groups: DataFrame, cells: list[Column], radius: float, group: st
         child = lambda s: F.explode(F.when(F.col(f"{s}_node.leaf"), F.array(F.col(s))).otherwise(F.array(
             *[F.struct(*[F.col(f"{s}.{c}") for c in node[:3]], F.concat(f"{s}.path", F.lit(h)).alias("path")) for h in "01"]))).alias(f"{s}_")
         split = rest.where(~both).select("a", "b", "b_node", child("a")).select("a", "b", "a_", child("b")).where((F.col("a") != F.col("b")) | (F.col("a_") <= F.col("b_")))
-        frontier = cut(split.select(F.col("a_").alias("a"), F.col("b_").alias("b")), "pairs")
-        if frontier.isEmpty():
+        frontier = split.select(F.col("a_").alias("a"), F.col("b_").alias("b"))
+        if level < depth and frontier.isEmpty():
             break
-    union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
     members = cut(leaves.groupBy(F.struct(*node).alias("key")).agg(F.collect_list(F.struct("u", F.array(*WEIGHTS).alias("w"))).alias("m")).select(
         "key", F.flatten(F.transform("m", lambda x: x["u"])).alias("u"), F.flatten(F.transform("m", lambda x: x["w"])).alias("w")), "leaves")
     held = lambda s: members.select(F.col("key").alias(s), F.col("u").alias(f"u{s}"), F.col("w").alias(f"w{s}"))
-    compared = union(left).join(held("a"), "a").join(held("b"), "b").select("a._group", (F.col("a") == F.col("b")).alias("same"), "ua", "wa", "ub", "wb")
+    compared = reduce(DataFrame.unionByName, left).join(held("a"), "a").join(held("b"), "b").select("a._group", (F.col("a") == F.col("b")).alias("same"), "ua", "wa", "ub", "wb")
     schema = f"_group {compared.schema['_group'].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in COUNTS)
     sums = compared.mapInArrow(lambda batches: _leaf_sums(batches, threshold), schema)
-    out = union([*counted, sums]).groupBy("_group").agg(*[F.sum(c).cast("bigint").alias(c) for c in COUNTS])
+    out = reduce(DataFrame.unionByName, [*counted, sums]).groupBy("_group").agg(*[F.sum(c).cast("bigint").alias(c) for c in COUNTS])
     return out.select(F.col(f"_group.{group}").alias(group), *COUNTS)

@@ -149,14 +149,11 @@ def sample_counts(samples: DataFrame) -> DataFrame:
 
 
 def eligibility(profiles: DataFrame, counts: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Whether a profile may be tuned: enough samples of at least two classes, with the reason."""
-    need = settings.calibration_min_samples
+    """Whether a profile may be tuned: ``few_samples`` below the least number, ``one_class`` below two classes, else ``ok``."""
     sums = counts.groupBy("name").agg(F.sum("samples").alias("samples"), F.count("*").alias("classes"))
     out = profiles.select("name").join(sums, "name", "left").select(
         "name", F.coalesce("samples", F.lit(0)).alias("samples"), F.coalesce("classes", F.lit(0)).alias("classes"))
-    reason = (F.when(F.col("samples") < need, F.concat(F.lit(f"need at least {need} calibration samples, have "),
-                                                       F.col("samples").cast("string")))
-              .when(F.col("classes") < 2, "at least two distinct classes are required").otherwise("ok"))
+    reason = F.when(F.col("samples") < settings.calibration_min_samples, "few_samples").when(F.col("classes") < 2, "one_class").otherwise("ok")
     return out.withColumn("reason", reason).withColumn("eligible", F.col("reason") == "ok")
 
 

@@ -83,6 +83,31 @@ def fit_logistic(train: DataFrame, label: str, features: Column, max_iter: int =
         LogisticRegression(featuresCol="features", labelCol="y", maxIter=max_iter, regParam=0.01)]).fit(prepared)
 
 
+def training_report(model: PipelineModel, train: DataFrame, val: DataFrame, label: str, features: Column) -> DataFrame:
+    """One row: parameters of the fit, its ``objective`` after each iteration, and rows and accuracy of ``train`` and ``val``.
+
+    Rows whose label is null or was not learned count as wrong; without rows the accuracy is null.
+    """
+    fitted, names = model.stages[-1], F.array(*[F.lit(c) for c in model.stages[0].labels])
+
+    def scored(df: DataFrame, name: str) -> DataFrame:
+        hit = F.coalesce(F.get(names, argmax(F.col("probs"))) == F.col(label).cast("string"), F.lit(False)).cast("double")
+        return logistic_probabilities(model, df, features).agg(F.count("*").alias(f"{name}_rows"), F.avg(hit).alias(f"{name}_accuracy"))
+    own = train.sparkSession.createDataFrame([(len(model.stages[0].labels), fitted.numFeatures, fitted.getMaxIter(), fitted.getRegParam(), [float(x) for x in fitted.summary.objectiveHistory])],
+                                             "classes int, features int, max_iter int, reg_param double, objective array<double>")
+    return one_row(own, scored(train, "train"), scored(val, "val"))
+
+
+def store_model(model: PipelineModel, report: DataFrame, path: str) -> None:
+    """The fitted model and, beside it, its report."""
+    model.write().save(f"{path}/model")
+    report.write.json(f"{path}/report")
+
+
+def stored_model(path: str) -> PipelineModel:
+    return PipelineModel.load(f"{path}/model")
+
+
 def logistic_probabilities(model: PipelineModel, df: DataFrame, features: Column) -> DataFrame:
     scored = model.stages[-1].transform(df.withColumn("features", array_to_vector(features)))
     return scored.withColumn("probs", vector_to_array("probability")).drop(

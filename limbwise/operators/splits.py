@@ -147,6 +147,24 @@ def split_summary(index: DataFrame, protocol: str) -> DataFrame:
     return one_row(pivot, overlap).withColumn("protocol", F.lit(protocol))
 
 
+#: How each protocol comes by its validation split
+VAL_STRATEGY = {"session_disjoint": "whole_clusters", "official": "whole_train_sessions", "hf": "given"}
+
+
+def index_summary(index: DataFrame, protocol: str, settings: Settings = Settings()) -> DataFrame:
+    """``split_summary`` with ``val_strategy`` and the settings that the split depends on."""
+    drawn = protocol != "hf"
+    return split_summary(index, protocol).withColumn("val_strategy", F.lit(VAL_STRATEGY[protocol])).withColumn(
+        "val_fraction", F.lit(settings.val_fraction if drawn else None).cast("double")).withColumn("seed", F.lit(settings.seed if drawn else None).cast("bigint"))
+
+
+def official_overlap(train: DataFrame, test: DataFrame) -> DataFrame:
+    """One row over the splits as published, before validation is carved out: sessions of ``test``, and how many of them ``train`` has too."""
+    ids = lambda df: df.select(session_id(F.col("FilePath")).alias("session")).distinct()
+    both = ids(test).join(ids(train).withColumn("_hit", F.lit(1)), "session", "left")
+    return both.agg(F.count("*").alias("test_sessions"), F.count("_hit").alias("overlap"))
+
+
 def spanning_clusters(clustered: DataFrame) -> DataFrame:
     """Clusters present in more than one split."""
     return (clustered.select("cluster", "split").distinct().groupBy("cluster")

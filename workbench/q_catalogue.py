@@ -230,6 +230,22 @@ def _(t):
     return sp.split_summary(sp.build_index(c.where(F.col("split") != "test"), c.where(F.col("split") == "test"), "session_disjoint", settings=SMALL), "session_disjoint")
 
 
+@query("V7_index_summary", with_sql("clip_index", """SELECT 'hf' AS protocol, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test,
+ count(DISTINCT label) FILTER (split = 'train') AS classes_train, count(DISTINCT label) FILTER (split = 'val') AS classes_val, count(DISTINCT label) FILTER (split = 'test') AS classes_test,
+ 0::BIGINT AS session_overlap_train_test, 'given' AS val_strategy, NULL::DOUBLE AS val_fraction, NULL::BIGINT AS seed FROM clip_index"""))
+def _(t):
+    c = t.clip_index()
+    part = lambda s: c.where(F.col("split") == s)
+    return sp.index_summary(sp.build_index(part("train"), part("test"), "hf", part("val")), "hf", SMALL)
+
+
+@query("V9_official_overlap", with_sql("clip_index", f"""WITH {MIXED}, s AS (SELECT DISTINCT session, split FROM ms JOIN clip_index USING (row_no))
+ SELECT count(*) AS test_sessions, count(*) FILTER (session IN (SELECT session FROM s WHERE split = 'train')) AS overlap FROM s WHERE split = 'test'"""))
+def _(t):
+    both = mixed(t).join(t.clip_index().select("row_no", "split"), "row_no")
+    return sp.official_overlap(both.where("split = 'train'"), both.where("split = 'test'"))
+
+
 @query("V7_hf_index", with_sql("clip_index", 'SELECT "FilePath", label, split FROM clip_index'))
 def _(t):
     c = t.clip_index()

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from limbwise.functions.columns import one_row
 from limbwise.functions.draws import uniform
 from limbwise.operators import evaluation as ev
 from limbwise.operators import scoring as sc
@@ -145,6 +146,26 @@ def _(t):
         (F.get(names, sc.argmax(F.col("probs"))) == F.col("label")).cast("double")).alias("accuracy"))
 
 
+@query("G2_training_report", """WITH s AS (SELECT vec_id, label, ('0x' || substr(md5('fit|' || vec_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.8::DOUBLE AS train FROM embeddings)
+ SELECT count(DISTINCT label) FILTER (train)::INT AS classes, 64 AS features, 10 AS max_iter, count(*) FILTER (train) AS train_rows, count(*) FILTER (NOT train) AS val_rows,
+ true AS falls, true AS learned, 0::BIGINT AS bad_rows, 0::BIGINT AS changed_rows FROM s""")
+def _(t):
+    """Fit, store, load again: the history falls, the train rows are told better than by chance, probabilities are distributions, the loaded model gives the same."""
+    from limbwise.sources.workspace import scratch_path
+    vec, path = F.col("embedding").cast("array<double>"), scratch_path(t.spark, "logistic")
+    base = t.table("embeddings").withColumn("label", F.col("label").cast("string"))
+    train, val = (base.where((uniform("fit", F.col("vec_id")) < 0.8) == F.lit(side)) for side in (True, False))
+    model = sc.fit_logistic(train, "label", vec, 10)
+    sc.store_model(model, sc.training_report(model, train, val, "label", vec), path)
+    again = sc.stored_model(path)
+    one, two = (sc.logistic_probabilities(m, base, vec).select("vec_id", F.col("probs").alias(f"p{k}")) for k, m in enumerate((model, again)))
+    total = F.aggregate("p0", F.lit(0.0), lambda a, p: a + p)
+    sums = one.join(two, "vec_id").agg(F.count_if((F.abs(total - 1) > 1e-9) | F.exists("p0", lambda p: p < 0)).alias("bad_rows"), F.count_if(F.col("p0") != F.col("p1")).alias("changed_rows"))
+    report = t.spark.read.schema("classes int, features int, max_iter int, reg_param double, objective array<double>, train_rows bigint, train_accuracy double, val_rows bigint, val_accuracy double").json(f"{path}/report")
+    falls = F.forall(F.sequence(F.lit(1), F.size("objective") - 1), lambda i: F.get("objective", i) <= F.get("objective", i - 1) + 1e-9)
+    return one_row(report.select("classes", "features", "max_iter", "train_rows", "val_rows", falls.alias("falls"), (F.col("train_accuracy") > 1.2 / F.col("classes")).alias("learned")), sums)
+
+
 @query("E1_confusion", q("WITH " + CELLS + "SELECT * FROM cells"))
 def _(t):
     return cells(t)

@@ -56,3 +56,33 @@ def _(t):
     decided = out.decided.withColumn("reasons", F.lit("")).withColumn("confidence", F.round("confidence", 6)).select(*cols)
     refused = out.refused.withColumn("reasons", F.array_join("reasons", ",")).select("clip_id", "reasons")
     return decided.unionByName(refused, allowMissingColumns=True)
+
+
+US3 = f"CASE WHEN {US} < 0.15::DOUBLE THEN 'test' WHEN {US} < 0.25::DOUBLE THEN 'val' ELSE 'train' END"
+SET = f"""idx AS (SELECT clip_id, label::VARCHAR AS label, {US3} AS split, t, usable, dense_rank() OVER (ORDER BY label::VARCHAR) - 1 AS class_index FROM clips),
+ told AS (SELECT *, CASE WHEN clip_id % 11 = 3 THEN 'damaged' WHEN usable < 5 THEN 'too few usable frames' END AS reason FROM idx)"""
+
+
+def training_set(t):
+    u = uniform("split", F.col("clip_id"))
+    clips = t.frames().groupBy("clip_id").agg(F.min_by(F.col("label").cast("string"), "frame_idx").alias("label")).withColumn(
+        "split", F.when(u < 0.15, "test").when(u < 0.25, "val").otherwise("train"))
+    return dataset.training_tables(clips, t.frames(), clips.where(F.col("clip_id") % 11 == 3).select("clip_id", F.lit("damaged").alias("error")), SMALL)
+
+
+@query("S12_training_meta", with_sql("clips", f"""WITH {SET} SELECT clip_id, label, class_index::INT AS class_index, split, copy::INT AS copy, t::INT AS frames_source, 12 AS frames FROM told, range(0, 2) r(copy)
+ WHERE reason IS NULL AND (copy = 0 OR split = 'train')"""))
+def _(t):
+    return training_set(t)[0].select("clip_id", "label", "class_index", "split", "copy", "frames_source", F.size("seq").alias("frames"))
+
+
+@query("S12_skipped_clips", with_sql("clips", f"WITH {SET} SELECT clip_id, label, split, reason FROM told WHERE reason IS NOT NULL"))
+def _(t):
+    return training_set(t)[1]
+
+
+@query("S12_training_counts", with_sql("clips", f"""WITH {SET} SELECT split, sum(CASE WHEN reason IS NOT NULL THEN 0 WHEN split = 'train' THEN 2 ELSE 1 END)::BIGINT AS samples, count(*) FILTER (reason IS NULL) AS clips,
+ count(reason) AS skipped FROM told GROUP BY split"""))
+def _(t):
+    from limbwise.sources import logs
+    return logs.training_summary(*training_set(t))

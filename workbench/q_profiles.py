@@ -130,7 +130,7 @@ def _(t):
 
 
 @query("U6_eligibility", f"""WITH {SAMPLES}, s AS (SELECT p.name, coalesce(sum(samples), 0)::BIGINT AS samples, count(label) AS classes FROM profiles p LEFT JOIN cnt USING (name) GROUP BY p.name)
- SELECT *, CASE WHEN samples < 20 THEN 'need at least 20 calibration samples, have ' || samples WHEN classes < 2 THEN 'at least two distinct classes are required' ELSE 'ok' END AS reason,
+ SELECT *, CASE WHEN samples < 20 THEN 'few_samples' WHEN classes < 2 THEN 'one_class' ELSE 'ok' END AS reason,
  samples >= 20 AND classes >= 2 AS eligible FROM s""")
 def _(t):
     return pr.eligibility(profiles(t), pr.sample_counts(checked(t).where("reason IS NULL")), SMALL)
