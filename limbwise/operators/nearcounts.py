@@ -99,7 +99,7 @@ def near_counts(groups: DataFrame, cells: list[Column], radius: float, group: st
                                *[own[c].alias(f"own_{c}") for c in COUNTS]), "points")
     width = points.agg(F.max(F.size("u"))).first()[0]
     if width is None:
-        return groups.sparkSession.createDataFrame([], groups.select(group).schema.add("dup", "bigint").add("cross_any", "bigint").add("cross_train_test", "bigint"))
+        return groups.select(group, *[F.lit(0).cast("bigint").alias(c) for c in COUNTS]).limit(0)
     nodes, leaves, depth = _trees(points, node, width)
     tree = nodes.select(F.struct(*node).alias("key"), "leaf", "lo", "hi", *WEIGHTS, *[f"own_{c}" for c in COUNTS])
     side = lambda s: tree.select(F.col("key").alias(s), F.struct("leaf", "lo", "hi", *WEIGHTS, *[f"own_{c}" for c in COUNTS]).alias(f"{s}_node"))
