@@ -3,27 +3,29 @@
 A line is the set of its words. Two lines match when the Jaccard similarity of their sets is 0.8 or more. In the order
 of (doc_id, line number) a line goes when an earlier line of any document matches it, be that one kept or not.
 
-Equal lines are one text with its first place. Words are ordered by rarity: the corpus counts of
+Equal lines (by 128 bits of hash) are one text with its first place. Words are ordered by rarity: the corpus counts of
 ``BUCKETS`` hash buckets give their order (a fixed-size table, whatever the vocabulary). Texts that
 match share a word among the first n - ceil(0.8 n) + 1 of each; those meet by equi-join, and are let through only if
-their lengths, the places of the shared word, and a 64-bit parity sketch of both sets (its differing bits are at
+their lengths, the places of the shared word, and a 128-bit parity sketch of both sets (its differing bits are at
 most the differing words) allow 0.8. The pairs left are verified on their words. Hot lines are
 counted before they are shuffled, and hot words are the last in order, so they rarely meet at all.
 
-Lines are fetched for verification, and documents rebuilt, only where a bitmap of fixed size marks them; it
+Lines are fetched for verification, and documents rebuilt, only where a bitmap marks them; it has some 16 bits a key up to ``MARKS`` longs (8 MB) and
 may mark too many, never too few. Null text stays null. Lines without words never match and stay. Rows equal in doc_id and
 text are one document and get the same result. Null ids come first. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limbwise.llm.words import word_array
+from limbwise.llm.words import GAP
 from limbwise.sources.workspace import cut
 
-BUCKETS, MARKS = 16_384, 65_536
+BUCKETS, MARKS = 16_384, 1 << 20
 
 
 def _long(n: Column | int) -> Column:
@@ -42,21 +44,24 @@ def dense(df: DataFrame, key: str, value: str, size: int) -> Column:
     return cut(one.select(F.transform("all", lambda x: x["v"]).alias("all")), "dense").scalar()
 
 
-def marked(keys: DataFrame, key: str) -> Column:
-    """Bitmap of 64 * ``MARKS`` bits as an array: does a key's bit stand."""
-    bit = F.pmod(F.col(key), _long(64 * MARKS))
-    words = keys.select(F.shiftright(bit, 6).alias("at"), _bit(bit).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    return dense(words, "at", "bits", MARKS)
+def marked(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """Test by a bitmap of the stored ``keys``, held as an array: does the bit of a key stand."""
+    size = 64
+    while size < MARKS and 4 * size < keys.count():
+        size *= 2
+    place = lambda k: F.pmod(k, _long(64 * size))
+    words = keys.select(F.shiftright(place(F.col(key)), 6).alias("at"), _bit(place(F.col(key))).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    bitmap = dense(words, "at", "bits", size)
+    return lambda k: F.get(bitmap, F.shiftright(place(k), 6).cast("int")).bitwiseAND(_bit(place(k))) != 0
 
 
-def is_marked(bitmap: Column, key: Column) -> Column:
-    bit = F.pmod(key, _long(64 * MARKS))
-    return F.get(bitmap, F.shiftright(bit, 6).cast("int")).bitwiseAND(_bit(bit)) != 0
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, GAP), "")
 
 
 def rarity(docs: DataFrame) -> Column:
     """Rank of every hash bucket of words, the rarest first, as one constant array of ``BUCKETS`` numbers."""
-    counted = (docs.select(F.explode(word_array(F.col("text"))).alias("w"))
+    counted = (docs.select(F.explode(_words(F.col("text"))).alias("w"))
                .groupBy(F.pmod(F.xxhash64("w"), _long(BUCKETS)).alias("bucket")).agg(F.count("*").alias("n")).collect())
     counts = {r["bucket"]: r["n"] for r in counted}
     ranks = {bucket: rank for rank, bucket in enumerate(sorted(range(BUCKETS), key=lambda x: (counts.get(x, 0), x)))}
@@ -68,10 +73,10 @@ def document_key() -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``id`` (hash of the line), ``place`` (doc_id, key, line number) and ``line`` of every line that has a word."""
+    """``id`` and ``check`` (hashes of the line), ``place`` (doc_id, key, line number) and ``line`` of every line that has a word."""
     return (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), document_key().alias("key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
             .where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-            .select(F.xxhash64("line").alias("id"), F.struct("doc_id", "key", "at").alias("place"), "line"))
+            .select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("check"), F.struct("doc_id", "key", "at").alias("place"), "line"))
 
 
 def _tokens(line: Column, ranks: Column) -> Column:
@@ -79,60 +84,65 @@ def _tokens(line: Column, ranks: Column) -> Column:
     def token(w: Column) -> Column:
         h = F.xxhash64(w)
         return F.shiftleft(F.get(ranks, F.pmod(h, _long(BUCKETS)).cast("int")), 49).bitwiseOR(F.shiftrightunsigned(h, 15))
-    return F.sort_array(F.array_distinct(F.transform(word_array(line), token)))
+    return F.sort_array(F.array_distinct(F.transform(_words(line), token)))
 
 
 def shaped(lines: DataFrame, ranks: Column) -> DataFrame:
-    """``id`` and ``shape`` of lines: ``n`` words, ``sketch`` and the ``prefix`` of tokens."""
+    """``id, check`` and ``shape`` of lines: ``n`` words, the halves ``s0`` and ``s1`` of the sketch and the ``prefix`` of tokens.
+
+    The one-element explode makes the tokens once; the optimizer would repeat them in each of the four figures.
+    """
     n = F.size("t")
-    return lines.select("id", _tokens(F.col("line"), ranks).alias("t")).select("id", F.struct(
-        n.alias("n"), F.aggregate("t", _long(0), lambda a, t: a.bitwiseXOR(_bit(t))).alias("sketch"),
+    sketch = lambda half: F.aggregate("t", _long(0), lambda a, t: F.when(F.shiftright(t, 6).bitwiseAND(1) == half, a.bitwiseXOR(_bit(t))).otherwise(a))
+    return lines.select("id", "check", F.explode(F.array(_tokens(F.col("line"), ranks))).alias("t")).select("id", "check", F.struct(
+        n.alias("n"), sketch(0).alias("s0"), sketch(1).alias("s1"),
         F.slice("t", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1).alias("prefix")).alias("shape"))
 
 
 def shapes(lines: DataFrame, texts: DataFrame, ranks: Column) -> DataFrame:
     """Each line text once: only texts that may have copies, by the bitmap, are brought together by ``id``."""
-    repeated = is_marked(marked(texts.where("copies > 1"), "id"), F.col("id"))
+    repeated = marked(texts.where("copies > 1"), "id")(F.col("id"))
     once = shaped(lines.where(~repeated), ranks)
-    again = shaped(lines.where(repeated), ranks).groupBy("id").agg(F.first("shape").alias("shape"))
+    again = shaped(lines.where(repeated), ranks).groupBy("id", "check").agg(F.first("shape").alias("shape"))
     return once.union(again).select("id", "shape.*")
 
 
 def candidates(texts: DataFrame) -> DataFrame:
     """Pairs (``a``, ``b``) of different line texts that pass the prefix, length, position and sketch filters."""
-    rows = texts.select("id", "n", "sketch", F.posexplode("prefix").alias("pos", "token"))
+    rows = texts.select("id", "n", "s0", "s1", F.posexplode("prefix").alias("pos", "token"))
     a, b = (rows.select(*[F.col(c).alias(f"{c}_{s}") for c in rows.columns]) for s in "ab")
     need = F.floor((4 * (F.col("n_a") + F.col("n_b")) + 8) / 9)
+    differ = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
     close = ((F.col("id_a") < F.col("id_b")) & (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
              & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need)
-             & (F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= F.col("n_a") + F.col("n_b") - 2 * need))
+             & (differ("s0") + differ("s1") <= F.col("n_a") + F.col("n_b") - 2 * need))
     return a.join(b, (F.col("token_a") == F.col("token_b")) & close).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def links(lines: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) of line texts that are similar enough on their words, with their first places."""
+    """The pairs (``a``, ``b``) of line texts, as (id, check), that are similar enough on their words, with their first places."""
     needed = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
-    found = (lines.where(is_marked(marked(needed, "id"), F.col("id"))).groupBy("id").agg(F.first("line").alias("line"))
-             .join(needed, "id").join(texts.select("id", "place"), "id").select("id", "place", F.array_distinct(word_array(F.col("line"))).alias("words")))
+    found = (lines.where(marked(needed, "id")(F.col("id"))).groupBy("id", "check").agg(F.first("line").alias("line")).join(needed, "id")
+             .join(texts.select("id", "check", "place"), ["id", "check"]).select("id", "check", "place", F.array_distinct(_words(F.col("line"))).alias("words")))
     found = cut(found, "lines")
-    side = lambda s: found.select(F.col("id").alias(s), F.col("place").alias(f"place_{s}"), F.col("words").alias(f"words_{s}"))
+    side = lambda s: found.select(F.col("id").alias(s), F.struct("id", "check").alias(f"text_{s}"), F.col("place").alias(f"place_{s}"), F.col("words").alias(f"words_{s}"))
     both = F.size(F.array_intersect("words_a", "words_b"))
     return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(9 * both >= 4 * (F.size("words_a") + F.size("words_b")))
-               .select("a", "b", "place_a", "place_b"), "links")
+               .select(F.col("text_a").alias("a"), F.col("text_b").alias("b"), "place_a", "place_b"), "links")
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """Per document with a repeated or matched line: ``key``, the line numbers ``gone`` and ``n_links`` to other line texts."""
     lines = occurrences(docs)
-    texts = cut(lines.groupBy("id").agg(F.min("place").alias("place"), F.count("*").alias("copies")), "texts")
+    texts = cut(lines.groupBy("id", "check").agg(F.min("place").alias("place"), F.count("*").alias("copies")), "texts")
     pairs = cut(candidates(shapes(lines, texts, rarity(docs))), "pairs")
     found = links(lines, texts, pairs)
-    ends = found.select(F.col("a").alias("id"), (F.col("place_b") < F.col("place_a")).alias("late")).union(
-        found.select("b", F.col("place_a") < F.col("place_b")))
-    degree = ends.groupBy("id").agg(F.count("*").alias("links"), F.max("late").alias("late"))
-    known = (texts.select("id", F.col("place").alias("first"), "copies").join(degree, "id", "left")
+    ends = found.select("a.*", (F.col("place_b") < F.col("place_a")).alias("late")).union(
+        found.select("b.*", F.col("place_a") < F.col("place_b")))
+    degree = ends.groupBy("id", "check").agg(F.count("*").alias("links"), F.max("late").alias("late"))
+    known = (texts.select("id", "check", F.col("place").alias("first"), "copies").join(degree, ["id", "check"], "left")
              .where((F.col("copies") > 1) | F.col("links").isNotNull()))
-    hit = (lines.select("id", "place").join(known, "id")
+    hit = (lines.select("id", "check", "place").join(known, ["id", "check"])
            .select("place.key", "place.at", F.coalesce("links", F.lit(0)).alias("links"), (F.coalesce("late", F.lit(False)) | (F.col("place") > F.col("first"))).alias("gone")))
     return hit.dropDuplicates(["key", "at"]).groupBy("key").agg(
         F.collect_list(F.when(F.col("gone"), F.col("at"))).alias("gone"), F.sum("links").alias("n_links"))
@@ -141,12 +151,12 @@ def removals(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as a struct ``doc``, with ``text`` as it is left, ``n_lines`` with words, ``removed`` line numbers and ``n_links``."""
     gone = cut(removals(docs), "gone")
-    bitmap = marked(gone, "key")
+    touched = marked(gone, "key")(F.col("key"))
     named = docs.select(document_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     none = F.array().cast("array<int>")
-    changed = named.where(is_marked(bitmap, F.col("key"))).join(gone, "key", "left").select(
+    changed = named.where(touched).join(gone, "key", "left").select(
         "doc", F.sort_array(F.coalesce("gone", none)).alias("removed"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    same = named.where(~is_marked(bitmap, F.col("key"))).select("doc", none.alias("removed"), F.lit(0).cast("bigint").alias("n_links"))
+    same = named.where(~touched).select("doc", none.alias("removed"), F.lit(0).cast("bigint").alias("n_links"))
     lines = F.split("doc.text", "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed", i)), "\n")
     return changed.union(same).select(
