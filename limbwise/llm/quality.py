@@ -121,14 +121,30 @@ def score_documents(docs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
             .withColumn("kept", _kept("", {r: F.col(f"strict_{r}") for r in RULES})))
 
 
+@F.pandas_udf(T.IntegerType())
+def broken_rules(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The document rules that a text fails, as bits: 1 for the base rules, then one for each of ``RULES``."""
+    for texts in batches:
+        out = []
+        for text in texts:
+            n = dict(zip(COUNTS, count_text(text)))
+            out.append((n["n_words"] < 10 or 100 * n["n_repeat_words"] > 20 * n["n_words"]) | (10 * n["n_symbols"] > n["n_words"]) << 1
+                       | (10 * n["n_dup_lines"] > 3 * n["n_lines"]) << 2 | (2 * n["n_upper"] > n["n_words"]) << 3)
+        yield pd.Series(out, dtype="int32")
+
+
 def keep_documents(docs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """The documents that pass, with their own columns. Texts are not shuffled unless the host table is large."""
+    """The documents that pass, with their own columns. Texts are not shuffled unless the host table is large.
+
+    The counts are made in two passes: one that leaves sums per host, and one that leaves four bits beside each document. Marked as not
+    deterministic, the bits are made once and above no filter, so a task never runs the function twice over its texts.
+    """
     q, host = fresh(docs, "_q", "_h")
-    counted = docs.withColumn(q, text_counts("text"))
-    hosts = host_verdicts(counted.select("source", q), "source", q, tolerance).select(
-        F.struct("_host", *[f"strict_{r}" for r in RULES]).alias(host))
-    return (counted.join(hosts, F.col("source").eqNullSafe(F.col(f"{host}._host")), "left")
-            .where(_kept(q, {r: F.col(f"{host}.strict_{r}") for r in RULES})).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    hosts = host_verdicts(docs.select("source", text_counts("text").alias(q)), "source", q, tolerance).select(
+        F.struct("_host", sum((F.when(F.col(f"strict_{r}"), 2 << k).otherwise(0) for k, r in enumerate(RULES)), F.lit(1)).alias("strict")).alias(host))
+    marked = docs.withColumn(q, broken_rules.asNondeterministic()("text"))
+    return (marked.join(hosts, F.col("source").eqNullSafe(F.col(f"{host}._host")), "left")
+            .where(F.col(q).bitwiseAND(F.col(f"{host}.strict")) == 0).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
