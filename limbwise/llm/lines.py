@@ -88,14 +88,15 @@ def _tokens(line: Column, ranks: Column) -> Column:
 
 
 def shaped(lines: DataFrame, ranks: Column) -> DataFrame:
-    """``id, check`` and ``shape`` of lines: ``n`` words, the halves ``s0`` and ``s1`` of the sketch and the ``prefix`` of tokens.
+    """``id, check`` and ``shape`` of lines: ``n`` words, the halves ``s0`` and ``s1`` of the sketch, a ``doc`` and the ``prefix`` of tokens.
 
     The one-element explode makes the tokens once; the optimizer would repeat them in each of the four figures.
     """
     n = F.size("t")
     sketch = lambda half: F.aggregate("t", _long(0), lambda a, t: F.when(F.shiftright(t, 6).bitwiseAND(1) == half, a.bitwiseXOR(_bit(t))).otherwise(a))
-    return lines.select("id", "check", F.explode(F.array(_tokens(F.col("line"), ranks))).alias("t")).select("id", "check", F.struct(
-        n.alias("n"), sketch(0).alias("s0"), sketch(1).alias("s1"),
+    made = lines.select("id", "check", F.col("place.doc_id").alias("doc"), F.explode(F.array(_tokens(F.col("line"), ranks))).alias("t"))
+    return made.select("id", "check", F.struct(
+        n.alias("n"), sketch(0).alias("s0"), sketch(1).alias("s1"), "doc",
         F.slice("t", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1).alias("prefix")).alias("shape"))
 
 
@@ -107,16 +108,39 @@ def shapes(lines: DataFrame, texts: DataFrame, ranks: Column) -> DataFrame:
     return once.union(again).select("id", "shape.*")
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """Pairs (``a``, ``b``) of different line texts that pass the prefix, length, position and sketch filters."""
-    rows = texts.select("id", "n", "s0", "s1", F.posexplode("prefix").alias("pos", "token"))
-    a, b = (rows.select(*[F.col(c).alias(f"{c}_{s}") for c in rows.columns]) for s in "ab")
+def prefix_rows(texts: DataFrame) -> DataFrame:
+    return texts.select("id", "n", "s0", "s1", "doc", F.posexplode("prefix").alias("pos", "token"))
+
+
+def met(rows: DataFrame, others: DataFrame, once: bool) -> DataFrame:
+    """Pairs (``a`` below ``b``) of different line texts, one of each side, that pass the prefix, length, position and sketch filters; ``once`` where both sides are the same rows."""
+    a, b = (side.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "s0", "s1", "pos", "token")]) for s, side in (("a", rows), ("b", others)))
     need = F.floor((4 * (F.col("n_a") + F.col("n_b")) + 8) / 9)
     differ = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
-    close = ((F.col("id_a") < F.col("id_b")) & (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
+    close = ((F.col("id_a") < F.col("id_b") if once else F.col("id_a") != F.col("id_b")) & (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
              & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need)
              & (differ("s0") + differ("s1") <= F.col("n_a") + F.col("n_b") - 2 * need))
-    return a.join(b, (F.col("token_a") == F.col("token_b")) & close).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    return a.join(b, (F.col("token_a") == F.col("token_b")) & close).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def candidates(texts: DataFrame) -> DataFrame:
+    rows = prefix_rows(texts)
+    return met(rows, rows, True)
+
+
+def late_links(lines: DataFrame, texts: DataFrame, ranks: Column) -> DataFrame:
+    """Links enough to tell of every line text whether an earlier one matches it, without all pairs of a group of near copies.
+
+    First every text meets one hub per shared token, the one of the smallest document. What a hub proves to be late is settled; only
+    the texts that are still open then meet all others.
+    """
+    stored = cut(shapes(lines, texts, ranks), "shapes")
+    rows = prefix_rows(stored)
+    hubs = rows.groupBy("token").agg(F.min(F.struct("doc", "id", "n", "s0", "s1", "pos")).alias("h")).select("token", "h.*")
+    proved = links(lines, texts, cut(met(hubs, rows, False), "pairs"))
+    late = F.when(F.col("place_b") < F.col("place_a"), F.col("a.id")).otherwise(F.col("b.id"))
+    left = stored.join(cut(proved.select(late.alias("id")).distinct(), "settled"), "id", "left_anti")
+    return proved.unionByName(links(lines, texts, cut(met(rows, prefix_rows(left), False), "pairs")))
 
 
 def links(lines: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -131,12 +155,15 @@ def links(lines: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
                .select(F.col("text_a").alias("a"), F.col("text_b").alias("b"), "place_a", "place_b"), "links")
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """Per document with a repeated or matched line: ``key``, the line numbers ``gone`` and ``n_links`` to other line texts."""
+def removals(docs: DataFrame, counted: bool = True) -> DataFrame:
+    """Per document with a repeated or matched line: ``key``, the line numbers ``gone`` and ``n_links`` to other line texts.
+
+    Without ``counted`` the same lines go, but only the links that decide that are made, and ``n_links`` counts these.
+    """
     lines = occurrences(docs)
     texts = cut(lines.groupBy("id", "check").agg(F.min("place").alias("place"), F.count("*").alias("copies")), "texts")
-    pairs = cut(candidates(shapes(lines, texts, rarity(docs))), "pairs")
-    found = links(lines, texts, pairs)
+    ranks = rarity(docs)
+    found = links(lines, texts, cut(candidates(shapes(lines, texts, ranks)), "pairs")) if counted else late_links(lines, texts, ranks)
     ends = found.select("a.*", (F.col("place_b") < F.col("place_a")).alias("late")).union(
         found.select("b.*", F.col("place_a") < F.col("place_b")))
     degree = ends.groupBy("id", "check").agg(F.count("*").alias("links"), F.max("late").alias("late"))
@@ -148,9 +175,9 @@ def removals(docs: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("gone"), F.col("at"))).alias("gone"), F.sum("links").alias("n_links"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, counted: bool = True) -> DataFrame:
     """The rows of ``docs`` as a struct ``doc``, with ``text`` as it is left, ``n_lines`` with words, ``removed`` line numbers and ``n_links``."""
-    gone = cut(removals(docs), "gone")
+    gone = cut(removals(docs, counted), "gone")
     touched = marked(gone, "key")(F.col("key"))
     named = docs.select(document_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     none = F.array().cast("array<int>")
@@ -166,7 +193,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def remove_lines(docs: DataFrame) -> DataFrame:
     """The documents without their later matching lines; a document that loses all its words goes. Columns are kept."""
-    out = deduplicated(docs).where((F.size("removed") < F.col("n_lines")) | (F.col("n_lines") == 0))
+    out = deduplicated(docs, counted=False).where((F.size("removed") < F.col("n_lines")) | (F.col("n_lines") == 0))
     cols = {c: F.col("doc").getField(c).alias(c) for c in docs.columns}
     cols["text"] = F.col("text")
     if "n_chars" in cols:

@@ -76,3 +76,21 @@ def test_odd_lines(spark):
 def test_no_python_in_line_plans(spark):
     plan = lines.deduplicated(docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_same_lines_go_without_counting_links(spark):
+    """Groups of near copies, some near their neighbours only: what hubs leave open is met with all others."""
+    import random
+    rng, rows = random.Random(6), []
+    for g in range(4):
+        line = [f"g{g}w{k}" for k in range(25)]
+        for i in range(40):
+            if i % 2:
+                line = line[:]                                   # drifts away from the first of its group
+                line[rng.randrange(25)] = f"x{g}_{i}"
+            rows.append((rng.randrange(10_000), " ".join(line) + ("\n" + " ".join(rows[-1][1].split()[:20]) if i % 5 == 4 else "") + f"\nown{g}_{i}", "en", "a", 1))
+    frame = docs(spark, rows + rows[:3])
+    told = [{(r["doc_id"], r["text"], tuple(r["removed"])) for r in lines.deduplicated(frame, counted).select("doc.doc_id", "text", "removed").collect()} for counted in (True, False)]
+    assert told[0] == told[1] and 60 < sum(len(x[2]) for x in told[0]) < len(rows) + 32
+    plan = lines.deduplicated(frame, False)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
