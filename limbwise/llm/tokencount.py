@@ -6,8 +6,8 @@ holds for the normalizer and the split pattern that ``bpe.known_cuts`` names; fo
 is one pre-token.) The library counts each distinct pre-token once; ids are never kept.
 
 The first pass over the texts gives the distinct pre-tokens with their occurrences, pre-aggregated in each task.
-The commonest short ones, ``HOT`` of at most ``HOT_BYTES`` bytes (under 10 MB in all), are sent to the tasks of the second pass,
-which adds them up on the spot. All others leave a task as postings, one row per pre-token and buffer with the rows
+The commonest short ones, at most ``HOT`` of at most ``HOT_BYTES`` bytes (under 10 MB in all), are sent to the tasks of the second pass,
+which adds them up on the spot; they are those above a count that a histogram of the counts gives. All others leave a task as postings, one row per pre-token and buffer with the rows
 and frequencies it was found with, so a long pre-token that stands in a third of all texts is a row per buffer and not one per text.
 The postings meet the counted pre-tokens in an equi-join, and their products are summed by row.
 
@@ -144,11 +144,24 @@ def postings(docs: DataFrame, hot: dict[bytes, int], tokenizer: str) -> DataFram
     return cut(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(split, schema), "postings")
 
 
+def common_pieces(pieces: DataFrame, most: int) -> dict[bytes, int]:
+    """Tokens of at most ``most`` short pre-tokens: those of the highest counts, by whole steps of an eighth of a power of two."""
+    short = pieces.where(F.length("piece") <= HOT_BYTES).withColumn("step", F.floor(8 * F.log2("n")))
+    least, left = None, most
+    for row in short.groupBy("step").count().orderBy(F.desc("step")).collect():
+        left -= row["count"]
+        if left < 0:
+            break
+        least = row["step"]
+    if least is None:
+        return {}
+    return {bytes(r["piece"]): r["n_tokens"] for r in short.where(F.col("step") >= least).select("piece", "n_tokens").collect()}
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every row of ``docs``."""
     pieces = distinct_pieces(docs.select(F.col("text").cast("binary").alias("text")), tokenizer)
-    common = pieces.where(F.length("piece") <= HOT_BYTES).orderBy(F.desc("n"), "piece").limit(hot).select("piece", "n_tokens")
-    stored = postings(docs, {bytes(r["piece"]): r["n_tokens"] for r in common.collect()}, tokenizer)
+    stored = postings(docs, common_pieces(pieces, hot), tokenizer)
     met = (stored.where("piece IS NOT NULL").select("piece", "rows", "freqs").join(pieces.select("piece", "n_tokens"), "piece")
            .select("n_tokens", F.explode(F.arrays_zip("rows", "freqs")).alias("x"))
            .select(F.col("x.rows").alias("row"), (F.col("x.freqs") * F.col("n_tokens")).alias("n_tokens")))
