@@ -6,12 +6,13 @@ weight per place and byte value, so the convolution of one-hot bytes is a sum of
 rows), their rectified maxima per chunk are pooled once more over the document, by mean and by
 maximum, and combined by logistic regression into one probability.
 
-Learning: up to ``per_class`` labelled rows of each class by hash of the id, of each up to ``train_blocks`` blocks
-spread evenly over it (documented bounds of the sample); the intercept is then moved from the sample's class
-balance to that of all labelled training rows. Scoring reads every byte.
+Learning: the whole texts of about ``per_class`` labelled rows of each class, those with the smallest hashes of the id (the documented bound of
+the sample); the intercept is then moved from the sample's class balance to that of all labelled training rows. Scoring reads every byte.
+A filter that reaches over the end of a text reads zeros there, so a score depends on its own text alone.
 
 Null or empty text: the pooled values are zero and the intercept gives the score. Labels of one class only: its
-share as the score. No labels: 0.5. Repeated rows get equal scores.
+share as the score. No labels: 0.5. Repeated rows get equal scores; labelled rows that repeat count once, of several texts of an id the smallest is learned.
+Further columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -38,28 +39,31 @@ class Model(NamedTuple):
 
 
 def laid_out(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts, each padded with zeros to whole blocks, and blocks per text."""
-    blocks = np.array([-(-len(x) // BLOCK) for x in found], np.int64)
-    raw = np.zeros(int(blocks.sum()) * BLOCK + WIDTH, np.uint8)
-    at = 0
+    """(block, BLOCK + WIDTH - 1) bytes: the blocks of all texts, each with the bytes that follow in the same text or zeros; blocks per text."""
+    blocks, parts = np.array([-(-len(x) // BLOCK) for x in found], np.int64), []
     for x, n in zip(found, blocks.tolist()):
-        raw[at:at + len(x)] = np.frombuffer(x, np.uint8)
-        at += n * BLOCK
-    return raw, blocks
+        if n:
+            own = np.frombuffer(x.ljust(n * BLOCK + WIDTH - 1, b"\0"), np.uint8)
+            parts.append(np.lib.stride_tricks.as_strided(own, (n, BLOCK + WIDTH - 1), (BLOCK, 1)))
+    return np.concatenate(parts) if parts else np.zeros((0, BLOCK + WIDTH - 1), np.uint8), blocks
 
 
-def responses(raw: np.ndarray, model: Model, lo: int, hi: int) -> np.ndarray:
-    """(block, position, filter) for the blocks ``lo`` to ``hi``."""
-    n = (hi - lo) * BLOCK
-    out = model.tables[0][raw[lo * BLOCK:lo * BLOCK + n]]
+def responses(raw: np.ndarray, model: Model) -> np.ndarray:
+    """(block, position, filter)."""
+    out = model.tables[0][raw[:, :BLOCK]]
     for k in range(1, WIDTH):
-        out += model.tables[k][raw[lo * BLOCK + k:lo * BLOCK + k + n]]
-    return out.reshape(hi - lo, BLOCK, FILTERS)
+        out += model.tables[k][raw[:, k:k + BLOCK]]
+    return out
 
 
-def block_maxima(raw: np.ndarray, total: int, model: Model, step: int = 512) -> np.ndarray:
-    parts = [responses(raw, model, lo, min(lo + step, total)).max(1) for lo in range(0, total, step)]
-    return np.concatenate(parts) if parts else np.zeros((0, FILTERS), np.float32)
+def block_maxima(raw: np.ndarray, model: Model, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """(block, filter): the largest response and its position."""
+    top, place = np.zeros((len(raw), FILTERS), model.tables.dtype), np.zeros((len(raw), FILTERS), np.int64)
+    for lo in range(0, len(raw), step):
+        act = responses(raw[lo:lo + step], model)
+        place[lo:lo + step] = at = act.argmax(1)
+        top[lo:lo + step] = np.take_along_axis(act, at[:, None], 1)[:, 0]
+    return top, place
 
 
 def chunked(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +76,7 @@ def chunked(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def pooled(maxima: np.ndarray, blocks: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """(text, 2 * filter): mean and maximum over the chunks of each text."""
-    out = np.zeros((len(blocks), 2 * FILTERS), np.float32)
+    out = np.zeros((len(blocks), 2 * FILTERS), np.result_type(maxima, bias))
     if not len(maxima):
         return out
     inner, starts = chunked(blocks)
@@ -88,17 +92,9 @@ def pooled(maxima: np.ndarray, blocks: np.ndarray, bias: np.ndarray) -> np.ndarr
 
 def probabilities(found: list[bytes], model: Model) -> np.ndarray:
     raw, blocks = laid_out(found)
-    z = pooled(block_maxima(raw, int(blocks.sum()), model), blocks, model.bias) @ np.concatenate((model.mean, model.top)) + model.intercept
-    return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -40, 40)))
-
-
-def spread_blocks(text: bytes, most: int) -> bytes:
-    """At most ``most`` blocks in pairs, spread evenly over the text."""
-    pairs = -(-len(text) // (2 * BLOCK))
-    if pairs <= most // 2:
-        return text
-    at = np.linspace(0, pairs - 1, most // 2).astype(int)
-    return b"".join(text[2 * BLOCK * i:2 * BLOCK * (i + 1)] for i in at.tolist())
+    # row sums instead of a matrix product, whose rounding depends on the number of rows
+    z = (pooled(block_maxima(raw, model)[0], blocks, model.bias).astype(np.float64) * np.concatenate((model.mean, model.top))).sum(1) + model.intercept
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.02, seed: int = 3) -> Model:
@@ -125,9 +121,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 10, batch: int = 6
 def _gradients(texts: list[bytes], labels: np.ndarray, model: Model) -> list[np.ndarray]:
     raw, blocks = laid_out(texts)
     total = int(blocks.sum())
-    act = responses(raw, model, 0, total)
-    where = act.argmax(1)
-    maxima = np.take_along_axis(act, where[:, None], 1)[:, 0]
+    maxima, where = block_maxima(raw, model)
     inner, starts = chunked(blocks)
     nxt = np.arange(total) + inner
     second = maxima[nxt] > maxima
@@ -135,44 +129,43 @@ def _gradients(texts: list[bytes], labels: np.ndarray, model: Model) -> list[np.
     chunk = np.maximum(np.where(second, maxima[nxt], maxima) + model.bias, 0)
     owner = np.repeat(np.arange(len(texts)), blocks)
     full = blocks > 0
-    features = np.zeros((len(texts), 2 * FILTERS), np.float32)
-    features[full, :FILTERS] = np.add.reduceat(chunk, starts[full]) / blocks[full, None]
-    features[full, FILTERS:] = np.maximum.reduceat(chunk, starts[full])
+    features = pooled(maxima, blocks, model.bias)
     z = features @ np.concatenate((model.mean, model.top)) + model.intercept
-    dz = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) / len(texts)).astype(np.float32)
+    dz = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) / len(texts)).astype(chunk.dtype)
     is_top = chunk == features[owner, FILTERS:]
     is_top &= np.cumsum(is_top, 0) == (np.cumsum(is_top, 0) - is_top)[starts[owner]] + 1  # the first one only
     dchunk = dz[owner, None] * (model.mean / blocks[owner, None] + model.top * is_top) * (chunk > 0)
-    place = source * BLOCK + where[source, np.arange(FILTERS)]
+    place = where[source, np.arange(FILTERS)]
     tables = np.empty_like(model.tables)
     for k in range(WIDTH):
-        cell = raw[place + k].astype(np.int64) * FILTERS + np.arange(FILTERS)
+        cell = raw[source, place + k].astype(np.int64) * FILTERS + np.arange(FILTERS)
         tables[k] = np.bincount(cell.ravel(), dchunk.ravel(), 256 * FILTERS).reshape(256, FILTERS)
     w = features.T @ dz
     return [tables, dchunk.sum(0), w[:FILTERS], w[FILTERS:], np.array([dz.sum()], np.float32)]
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500, train_blocks: int = 32) -> Model:
-    """Fit on labelled rows whose id's crc32 modulo 4 is not 2; only a bounded sample reaches the driver."""
-    usable = labels.where((crc_mod(F.col("doc_id"), 4) != 2) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int"))
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
+    """Fit on labelled rows whose id's crc32 modulo 4 is not 2; only a sample of at most ``per_class`` rows a class reaches the driver.
+
+    The rows of a class are thinned by a hash threshold before they are ranked, so a ranked class is little more than its sample.
+    """
+    usable = labels.where((crc_mod(F.col("doc_id"), 4) != 2) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int")).distinct()
     counts = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
     empty = Model(np.zeros((WIDTH, 256, FILTERS), np.float32), *[np.zeros(FILTERS, np.float32)] * 3, 0.0)
     if len(counts) < 2:
         n0, n1 = counts.get(0, 0), counts.get(1, 0)
         return empty._replace(intercept=float(np.log((n1 + 0.5) / (n0 + 0.5))) if n0 + n1 else 0.0)
-    by_hash = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = usable.withColumn("_at", F.row_number().over(by_hash)).where(F.col("_at") <= per_class).select("doc_id", "quality")
-
-    @F.pandas_udf("binary")
-    def shortened(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: spread_blocks((t or "").encode("utf-8", "surrogatepass"), train_blocks))
-    rows = (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", shortened("text").alias("part"))
-            .limit(4 * per_class).collect())
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"], bytes(r["part"])))
+    steps, hashed = 1 << 30, F.xxhash64("doc_id")
+    enough = {q: min(steps, int(steps * (per_class + 6 * per_class ** 0.5 + 40) / n)) for q, n in counts.items()}
+    near = F.pmod(hashed, F.lit(steps)) < F.when(F.col("quality") == 1, enough[1]).otherwise(enough[0])
+    by_hash = Window.partitionBy("quality").orderBy(F.pmod(hashed, F.lit(steps)), "doc_id")
+    picked = usable.where(near).withColumn("_at", F.row_number().over(by_hash)).where(F.col("_at") <= per_class).select("doc_id", "quality")
+    rows = (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect())
+    rows.sort(key=lambda r: (r["doc_id"], r["quality"]))
     y = np.array([r["quality"] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return empty._replace(intercept=float(np.log(counts[1] / counts[0])))
-    model = fit([bytes(r["part"]) for r in rows], y)
+    model = fit([(r["text"] or "").encode("utf-8", "surrogatepass") for r in rows], y)
     shift = np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum()))
     return model._replace(intercept=model.intercept + float(shift))
 

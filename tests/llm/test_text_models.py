@@ -282,3 +282,35 @@ def test_classifier_odd_rows(spark):
     assert all(r["score"] > 0.5 for r in classify.score(docs(spark), one).collect())
     assert {r["score"] for r in classify.score(docs(spark), classify.learn(docs(spark), labels.limit(0))).collect()} == {0.5}
     assert classify.score(docs(spark, []), one).count() == 0
+
+
+def plain_score(text, model):
+    """The classifier written out position by position."""
+    n = -(-len(text) // classify.BLOCK)
+    if not n:
+        return 1 / (1 + np.exp(-model.intercept))
+    padded = text + bytes(n * classify.BLOCK + classify.WIDTH - len(text))
+    act = np.array([[sum(float(model.tables[k][padded[p + k]][f]) for k in range(classify.WIDTH)) for f in range(classify.FILTERS)] for p in range(n * classify.BLOCK)]).reshape(n, -1, classify.FILTERS)
+    chunks = np.array([np.maximum(act[b:b + 2].reshape(-1, classify.FILTERS).max(0) + model.bias, 0) for b in range(n)])
+    mean, top = chunks.mean(0), chunks.max(0)
+    return 1 / (1 + np.exp(-(mean @ model.mean + top @ model.top + model.intercept)))
+
+
+def test_scores_equal_a_plain_convolution_in_any_company():
+    rng = np.random.default_rng(4)
+    model = classify.Model(rng.normal(0, 0.3, (classify.WIDTH, 256, classify.FILTERS)), rng.normal(0, 0.1, classify.FILTERS),
+                           rng.normal(0, 0.3, classify.FILTERS), rng.normal(0, 0.3, classify.FILTERS), -0.2)
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (0, 1, 60, 61, 63, 64, 65, 128, 300, 1000)] + [b"same", b"same", b"\0" * 64]
+    want = [plain_score(t, model) for t in texts]
+    assert np.allclose(classify.probabilities(texts, model), want, atol=1e-9)
+    for order in (list(range(len(texts)))[::-1], rng.permutation(len(texts)).tolist()):
+        for step in (1, 3, len(texts)):
+            got = np.concatenate([classify.probabilities([texts[i] for i in order[lo:lo + step]], model) for lo in range(0, len(order), step)])
+            assert np.allclose(got, [want[i] for i in order], atol=1e-12)
+
+
+def test_sample_is_the_same_in_any_order(spark):
+    rows = [(i, f"text number {i} " * (1 + i % 9), "en", "a", 1) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(8, 0)] * 50, "doc_id bigint, quality int")
+    a, b = classify.learn(docs(spark, rows), labels, 40), classify.learn(docs(spark, rows[::-1] + rows[:20]).repartition(5), labels.repartition(7), 40)
+    assert all(np.array_equal(x, y) for x, y in zip(a, b))
