@@ -143,22 +143,32 @@ def grouped(probes: list[tuple[int, int]], leaves_a_part: int) -> list[dict]:
 
 
 def _best(asking: pa.Table, held: pa.Table) -> pa.Table:
-    """The best ``K`` + 1 entries of a block, and a few more, for each query, among the leaves it asks."""
+    """The best ``K`` + 1 entries of a block for each query, among the leaves it asks; ties go to the smaller first id.
+
+    Matrix products round otherwise than the exact score does, so all entries from the (``K`` + 1)-th down to twice the
+    largest rounding error below it are scored again and ranked by score and first id.
+    """
     out = pa.schema([("q", pa.string()), ("key", pa.string()), ("first", pa.int64()), ("score", pa.float64())])
     if not len(asking) or not len(held):
         return out.empty_table()
     vs, leaf = np.array(held["v"].to_pylist(), np.float64), held["leaf"].to_numpy()
-    most, wanted, parts, at_once = min(K + 4, len(vs)), asking["leaves"].to_pylist(), [], 256
-    qs = np.array(asking["qv"].to_pylist(), np.float64)
+    most, wanted, parts, at_once = min(K + 1, len(vs)), asking["leaves"].to_pylist(), [], 256
+    qs, first = np.array(asking["qv"].to_pylist(), np.float64), held["first"].to_numpy()
+    error = 4 * vs.shape[1] * np.finfo(np.float64).eps * np.sqrt((vs * vs).sum(1).max() * (qs * qs).sum(1))
     for lo in range(0, len(qs), at_once):
         here = qs[lo:lo + at_once]
         allowed = np.zeros((len(here), int(leaf.max()) + 1), bool)
         for i, found in enumerate(wanted[lo:lo + at_once]):
             allowed[i, [x for x in found if x < allowed.shape[1]]] = True
         rough = np.where(allowed[:, leaf], here @ vs.T, -np.inf)
-        pick = np.argpartition(-rough, most - 1, axis=1)[:, :most]
-        row, col = np.nonzero(np.take_along_axis(rough, pick, 1) > -np.inf)
-        parts.append((row + lo, pick[row, col]))
+        least = np.partition(rough, len(vs) - most, axis=1)[:, len(vs) - most] - 2 * error[lo:lo + at_once]
+        row, col = np.nonzero((rough >= least[:, None]) & (rough > -np.inf))
+        exact = (here[row] * vs[col]).sum(-1)
+        order = np.lexsort((first[col], -exact, row))
+        row, col = row[order], col[order]
+        begins = np.searchsorted(row, row)
+        kept = np.arange(len(row)) - begins < most
+        parts.append((row[kept] + lo, col[kept]))
     q, v = (np.concatenate(x) for x in zip(*parts))
     return pa.table([asking["q"].take(pa.array(q)).cast(pa.string()), held["key"].take(pa.array(v)).cast(pa.string()),
                      held["first"].take(pa.array(v)).cast(pa.int64()), pa.array((qs[q] * vs[v]).sum(-1))], schema=out)

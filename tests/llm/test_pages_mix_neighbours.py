@@ -175,6 +175,20 @@ def test_neighbours_with_copies_and_odd_rows(spark):
     assert neighbours.nearest(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_ties_go_to_the_smaller_id(spark):
+    """Different vectors that tie with each other, in one block and across leaves."""
+    import pyarrow as pa
+    rng = np.random.default_rng(8)
+    rows = [(0, [1.0] + [0.0] * 15)] + [(i, [0.5, *rng.choice([-1.0, 1.0], 15).tolist()]) for i in range(1, 400)]
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0).collect():
+        got[r["rank"]] = (r["vec_id"], r["score"])
+    assert got == {n: (n, 0.5) for n in range(1, 21)}
+    asking = pa.table({"q": ["a"], "qv": [rows[0][1]], "leaves": [[0]]})
+    held = pa.table({"key": [str(i) for i in range(300, 0, -1)], "v": [[0.5, *rng.normal(size=15).tolist()] for _ in range(300)], "first": list(range(300, 0, -1)), "leaf": [0] * 300})
+    assert sorted(neighbours._best(asking, held)["first"].to_pylist()) == list(range(1, 22))
+
+
 def test_pipeline(spark):
     frame = spark.read.parquet(f"{SF}/documents.parquet")
     columns = frame.columns
