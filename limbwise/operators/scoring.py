@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
@@ -75,6 +76,75 @@ def fit_centroids(df: DataFrame, label: str, features: Column, settings: Setting
     return CentroidScorer(tuple(r["label"] for r in means), np.array([r["m"] for r in means]), sharpness)
 
 
+@dataclass(frozen=True)
+class BlockedCentroids:
+    """A nearest-centroid model of any size: a stored table of ``block``, ``label`` and mean ``m``, never held whole by a task."""
+
+    model: DataFrame
+    blocks: int
+    sharpness: float = 8.0
+
+    def top_classes(self, df: DataFrame, keys: Sequence[str], features: Column, k: int = 5, slice_bytes: int = 64 << 20) -> DataFrame:
+        """``keys`` and ``best``, the ``k`` likeliest classes as ``(label, p)``, likeliest first, ties in label order.
+
+        A product of blocks: a task holds one slice of the rows (about ``slice_bytes`` of features) and one block of
+        classes, and gives each row's largest logit there, the mass of exponentials below it and its ``k`` best
+        classes; one aggregate per row merges these into probabilities over all classes. ``keys`` must be unique;
+        rows without features, or an empty model, give no row.
+        """
+        keys, sharpness = list(keys), self.sharpness
+        rows = cut(df.select(*keys, features.cast("array<double>").alias("_x")).where(F.col("_x").isNotNull()), "rows")
+        size = rows.agg(F.sum(8 * F.size("_x"))).first()[0] or 0
+        slices = max(1, math.ceil(size / slice_bytes))
+        left = rows.select("*", F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int").alias("_slice"),
+                           F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))).alias("_block"))
+        right = self.model.select(F.col("block").alias("_block"), "label", "m",
+                                  F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"))
+
+        def tile(some: pa.Table, classes: pa.Table) -> pa.Table:
+            kept = some.select([*keys, "_block"])
+            labels = classes["label"].to_pylist()
+            if not labels or not some.num_rows:
+                some, kept = some.slice(0, 0), kept.slice(0, 0)
+            order = sorted(range(len(labels)), key=labels.__getitem__)
+            x, m = _matrix(some["_x"]), _matrix(classes["m"])[order]
+            squares, names = (m ** 2).sum(axis=1), np.array([labels[i] for i in order], dtype=object)
+            top, mass, best = [], [], []
+            step = max(1, 4_000_000 // max(1, len(labels)))
+            for at in range(0, len(x), step):
+                part = x[at:at + step]
+                z = -sharpness * ((part ** 2).sum(axis=1)[:, None] - 2.0 * part @ m.T + squares[None, :])
+                high = z.max(axis=1)
+                first = np.argsort(-z, axis=1, kind="stable")[:, :k]
+                top += high.tolist()
+                mass += np.exp(z - high[:, None]).sum(axis=1).tolist()
+                best += [[{"z": float(row[i]), "label": names[i]} for i in own] for row, own in zip(z, first)]
+            return (kept.append_column("_top", pa.array(top, pa.float64())).append_column("_mass", pa.array(mass, pa.float64()))
+                    .append_column("_best", pa.array(best, pa.list_(pa.struct([("z", pa.float64()), ("label", pa.string())])))))
+        schema = ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys],
+                            "_block int, _top double, _mass double, _best array<struct<z: double, label: string>>"])
+        tiles = left.groupBy("_block", "_slice").cogroup(right.groupBy("_block", "_slice")).applyInArrow(tile, schema)
+        merged = tiles.groupBy(*keys).agg(F.max("_top").alias("_high"), F.sort_array(F.collect_list(F.struct("_block", "_top", "_mass", "_best"))).alias("_parts"))
+        mass = F.aggregate("_parts", F.lit(0.0), lambda a, b: a + b["_mass"] * F.exp(b["_top"] - F.col("_high")))
+        ranked = F.array_sort(F.transform(F.flatten(F.col("_parts._best")), lambda b: F.struct((-b["z"]).alias("down"), b["label"].alias("label"))))
+        return merged.select(*keys, "_high", mass.alias("_mass"), F.slice(ranked, 1, k).alias("_ranked")).select(*keys, F.transform(
+            "_ranked", lambda b: F.struct(b["label"].alias("label"), (F.exp(-b["down"] - F.col("_high")) / F.col("_mass")).alias("p"))).alias("best"))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of equally long lists as rows of a matrix."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+
+def fit_centroid_blocks(df: DataFrame, label: str, features: Column, sharpness: float = 8.0, block_bytes: int = 64 << 20) -> BlockedCentroids:
+    """Mean feature vector per class, stored in blocks of about ``block_bytes``; nothing but the size reaches the driver. Null labels are no class."""
+    means = cut(df.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("label"))
+                .agg(vector_to_array(Summarizer.mean(array_to_vector(features))).alias("m")), "centroids")
+    blocks = max(1, math.ceil((means.agg(F.sum(8 * F.size("m"))).first()[0] or 0) / block_bytes))
+    return BlockedCentroids(means.withColumn("block", F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int")), blocks, sharpness)
+
+
 def fit_logistic(train: DataFrame, label: str, features: Column, max_iter: int = 20) -> PipelineModel:
     """Multinomial logistic regression on the flattened sequence (trained on the cluster); one class per label that occurs."""
     prepared = train.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), array_to_vector(features).alias("features"))

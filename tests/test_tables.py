@@ -388,3 +388,32 @@ def test_payload_reasons(spark):
     assert [r["reasons"] for r in checked.collect()] == [
         [], ["empty"], ["too_few_frames", "both_sources", "threshold_range", "unknown_model", "profile_too_long"], ["wrong_width"], []]
     assert validate.accepted(checked).count() == 2 and validate.quarantined(checked).count() == 3
+
+
+# -- models beyond one task --------------------------------------------------
+@pytest.mark.parametrize("block_bytes,slice_bytes", [(1 << 20, 1 << 20), (200, 600)])
+def test_blocked_model_equals_the_small_one(spark, block_bytes, slice_bytes):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 6))
+    rows = [(i, None if i % 7 == 0 else i % 5, f"c{i % 40:02d}", (centres[i % 40] + rng.normal(scale=0.4, size=6)).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, part long, label string, x array<double>")
+    small = scoring.fit_centroids(df, "label", F.col("x"), sharpness=0.5)
+    want = {r["id"]: sorted(zip((-p for p in r["probs"]), small.classes))[:4] for r in small.score(df, F.col("x")).collect()}
+    model = scoring.fit_centroid_blocks(df.union(spark.createDataFrame([(900, 1, None, [9.0] * 6)], df.schema)), "label", F.col("x"), 0.5, block_bytes)
+    assert model.blocks == (1 if block_bytes > 2000 else 10)
+    got = {r["id"]: (r["part"], r["best"]) for r in model.top_classes(
+        df.union(spark.createDataFrame([(901, 1, "c00", None)], df.schema)), ["id", "part"], F.col("x"), 4, slice_bytes).collect()}
+    assert len(got) == 400
+    for i, part, _, _ in rows:
+        assert got[i][0] == part
+        assert [b["label"] for b in got[i][1]] == [c for _, c in want[i]]
+        assert [b["p"] for b in got[i][1]] == pytest.approx([-p for p, _ in want[i]], rel=1e-9)
+
+
+def test_blocked_model_ties_and_empty_tables(spark):
+    df = spark.createDataFrame([(c, [1.0, 2.0]) for c in "dbca"], "label string, x array<double>")
+    best = scoring.fit_centroid_blocks(df, "label", F.col("x"), block_bytes=16).top_classes(df.limit(1), ["label"], F.col("x"), 9).first()["best"]
+    assert [(b["label"], b["p"]) for b in best] == [(c, pytest.approx(0.25)) for c in "abcd"]
+    none = scoring.fit_centroid_blocks(df.limit(0), "label", F.col("x"))
+    assert none.top_classes(df, ["label"], F.col("x")).count() == 0
+    assert scoring.fit_centroid_blocks(df, "label", F.col("x")).top_classes(df.limit(0), ["label"], F.col("x")).count() == 0

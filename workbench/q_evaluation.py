@@ -50,6 +50,16 @@ def _(t):
         "model", "vec_id", F.get(class_names(), F.col("i")).alias("class"), r6("p"))
 
 
+@query("G1_top_classes_in_blocks", q("""
+SELECT vec_id, rank, class, p FROM (SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, c))::INT AS rank, c::VARCHAR AS class, round(p, 6) AS p
+ FROM scored WHERE model = 'gru_mha') WHERE rank <= 3""", "scored"))
+def _(t):
+    base, e = t.table("embeddings").withColumn("label", F.col("label").cast("string")), F.col("embedding").cast("array<double>")
+    model = sc.fit_centroid_blocks(base.where(uniform("fit", F.col("vec_id")) < 0.8), "label", e, block_bytes=2048)
+    return model.top_classes(base, ["vec_id"], e, 3).select("vec_id", F.posexplode("best").alias("i", "b")).select(
+        "vec_id", (F.col("i") + 1).alias("rank"), F.col("b.label").alias("class"), F.round("b.p", 6).alias("p"))
+
+
 @query("G3_vocabulary_filter", q("""
 SELECT vec_id, model, c::VARCHAR AS class, round(CASE WHEN c IN (1, 4, 7) THEN p / s ELSE 0 END, 6) AS p
 FROM (SELECT *, sum(CASE WHEN c IN (1, 4, 7) THEN p ELSE 0 END) OVER (PARTITION BY model, vec_id) AS s FROM scored)""", "scored"))
