@@ -71,7 +71,8 @@ def resolve_files(index: DataFrame, files: DataFrame, suffix: str) -> DataFrame:
 
     Exact folders win in the order word, word/extra, word/Extra, word/Extra Videos; else the
     first file of that name, ignoring case, below a folder named like the category. Files are
-    keyed by (folder on their path, stem), so equal file names alone never pair up.
+    keyed by (folder on their path, stem), so equal file names alone never pair up. Paths compress
+    well, so the size of a stored table says little about its rows: the joins are merge joins, never broadcasts.
     """
     parts = F.split("FilePath", "/")
     wanted = index.where(F.size(parts) >= 3).select(
@@ -82,16 +83,16 @@ def resolve_files(index: DataFrame, files: DataFrame, suffix: str) -> DataFrame:
     listed = files.where(F.lower("path").endswith(suffix.lower())).select(
         "path", stem(F.col("path")).alias("_file"), F.array_join(folders, "/").alias("_at"),
         F.explode(F.array_distinct(F.transform(folders, F.lower))).alias("_kcat"))
-    pairs = wanted.join(listed, (F.lower("_cat") == F.col("_kcat")) & (F.lower("_stem") == F.lower("_file")))
+    pairs = wanted.hint("merge").join(listed, (F.lower("_cat") == F.col("_kcat")) & (F.lower("_stem") == F.lower("_file")))
     rank = F.when(F.col("_stem") != F.col("_file"), 4)
     for k, tail in enumerate(("", "/extra", "/Extra", "/Extra Videos")):
         there = F.concat(F.col("_dir"), F.lit(tail))
         rank = rank.when((F.col("_at") == there) | F.endswith(F.col("_at"), F.concat(F.lit("/"), there)), k)
     best = pairs.withColumn("_rank", rank.otherwise(4)).groupBy("FilePath").agg(
         F.min(F.struct("_rank", "path")).alias("_best"))
-    return (index.join(best.select("FilePath", F.col("_best.path").alias("member"),
-                                   F.when(F.col("_best._rank") < 4, "exact").otherwise("fallback").alias("match")),
-                       "FilePath", "left"))
+    return index.join(best.select("FilePath", F.col("_best.path").alias("member"),
+                                  F.when(F.col("_best._rank") < 4, "exact").otherwise("fallback").alias("match")).hint("merge"),
+                      "FilePath", "left")
 
 
 def without_corrupt(index: DataFrame, corrupt: DataFrame, key: str = "FilePath") -> DataFrame:

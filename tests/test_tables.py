@@ -417,3 +417,11 @@ def test_blocked_model_ties_and_empty_tables(spark):
     none = scoring.fit_centroid_blocks(df.limit(0), "label", F.col("x"))
     assert none.top_classes(df, ["label"], F.col("x")).count() == 0
     assert scoring.fit_centroid_blocks(df, "label", F.col("x")).top_classes(df.limit(0), ["label"], F.col("x")).count() == 0
+
+
+def test_files_are_resolved_without_a_broadcast(spark):
+    """Paths compress well: by its bytes a table of a million paths would be broadcast through the driver."""
+    index = spark.createDataFrame([("Home/1. Fan/MVI_1.MOV",)], "FilePath string")
+    files = spark.createDataFrame([("Z/Home/1. Fan/MVI_1.npz",)], "path string")
+    plan = catalogue.resolve_files(index, files, ".npz")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
