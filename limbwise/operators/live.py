@@ -140,13 +140,35 @@ def monotone_time(frames: DataFrame, settings: Settings = Settings(), keys: tupl
             .withColumn("frame_ms", F.col("_lift") + F.col("_at")).drop("_slice", "_at", "_lift"))
 
 
-def stage_timings(rows: DataFrame, stages: list[str], time: str, width: str = "1 hour", accuracy: int = 10000) -> DataFrame:
-    """Mean and approximate p95 of each stage per time window."""
+def discrete_percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """One row per key with the lowest value that at least the share ``q`` of the key's values do not exceed; exact.
+
+    ``df`` has counts ``n`` per key and value. A value falls into a slice, 1024 of which make a power of two; the counts of the slices tell
+    which hold a wanted rank, and only their values are sorted, a slice in a task.
+    """
+    size = F.log2(F.least(F.greatest(F.abs(value), F.lit(1e-300)), F.lit(1e300)))
+    step = F.floor(size * 1024) + F.lit(1_100_000)
+    sliced = df.where(F.col(value).isNotNull()).withColumn("_slice", F.when(F.col(value) == 0, 0).when(F.col(value) < 0, -step).otherwise(step).cast("bigint"))
+    whole, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = (sliced.groupBy(*keys, "_slice").agg(F.sum("n").alias("_in"))
+              .withColumn("_before", F.coalesce(F.sum("_in").over(upto), F.lit(0))).withColumn("_total", F.sum("_in").over(whole)))
+    rank = lambda q: F.greatest(F.ceil(F.col("_total") * F.lit(q)), F.lit(1))
+    holds = F.lit(False)
+    for q in wanted.values():
+        holds = holds | ((F.col("_before") < rank(q)) & (rank(q) <= F.col("_before") + F.col("_in")))
+    own = Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = keyed_join(sliced, slices.where(holds), [*keys, "_slice"]).withColumn("_upto", F.col("_before") + F.sum("n").over(own))
+    return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") >= rank(q), F.col(value))).alias(name) for name, q in wanted.items()])
+
+
+def stage_timings(rows: DataFrame, stages: list[str], time: str, width: str = "1 hour") -> DataFrame:
+    """Mean and exact p95 (the lowest time that 95 % of the rows do not exceed) of each stage per time window."""
     long = rows.select(F.window(time, width)["start"].alias("window_start"), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("stage"), F.col(c).alias("ms")) for c in stages])).alias("s"))
-    return long.groupBy("window_start", F.col("s.stage").alias("stage")).agg(
-        F.count("*").alias("frames"), F.avg("s.ms").alias("mean_ms"),
-        F.percentile_approx("s.ms", 0.95, accuracy).alias("p95_ms"))
+        F.struct(F.lit(c).alias("stage"), F.col(c).alias("ms")) for c in stages])).alias("s")).select("window_start", "s.stage", "s.ms")
+    keys = ["window_start", "stage"]
+    means = long.groupBy(*keys).agg(F.count("*").alias("frames"), F.avg("ms").alias("mean_ms"))
+    tails = discrete_percentiles(long.groupBy(*keys, "ms").agg(F.count("*").alias("n")), keys, "ms", {"p95_ms": 0.95})
+    return keyed_join(means, tails, keys, "left")
 
 
 def windowed_metrics(predictions: DataFrame, width: str = "1 day", slide: str | None = None, by: tuple[str, ...] = ("model",),
@@ -163,40 +185,56 @@ def windowed_metrics(predictions: DataFrame, width: str = "1 day", slide: str |
                       "confidence_mean", "confidence_min", "confidence_max", "latency_mean", "latency_max")
 
 
-def log_windows(predictions: DataFrame, feedback: DataFrame, width: str = "1 day", slide: str | None = None, by: tuple[str, ...] = ("model",),
-                settings: Settings = Settings(), k: int = 2048) -> DataFrame:
-    """The figures of ``events.log_metrics`` per event-time window, in one aggregate that also runs on streams.
+def log_counts_by_latency(predictions: DataFrame, feedback: DataFrame, width: str = "1 day", slide: str | None = None, by: tuple[str, ...] = ("model",),
+                          settings: Settings = Settings()) -> DataFrame:
+    """The counts that ``log_window_figures`` needs, per event-time window, ``by`` and latency, in one aggregate that also runs on streams.
 
-    Both logs go through it as one union. p50 and p95 come from a mergeable quantile sketch of size ``k``: exact (the lowest value with that
-    share of values at or below it) while a window holds at most ``k`` latencies, and beyond that within about 2.3 / k**0.9 of the
-    wanted rank (0.3 % at 2,048). Null and zero latencies are left out; a share without rows is 0, the agreement without verdicts null.
+    Both logs go through it as one union. Null and zero latencies share the row without a latency, as do verdicts.
     """
     keys = [F.col(c) for c in by]
     p = predictions.select(F.col("timestamp"), *keys, F.lit(True).alias("_p"), "status", "confidence", F.nullif("latency_ms", F.lit(0)).cast("double").alias("latency"))
     f = feedback.select(F.col("timestamp"), *keys, F.lit(False).alias("_p"), "human_action", "corrected_class")
     win = F.window("timestamp", width, slide) if slide else F.window("timestamp", width)
     action = lambda name: F.count_if(F.col("human_action") == name)
-    out = p.unionByName(f, allowMissingColumns=True).groupBy(win.alias("w"), *by).agg(
-        F.count_if("_p").alias("predictions_total"), F.count_if(~F.col("_p")).alias("feedback_total"),
+    out = p.unionByName(f, allowMissingColumns=True).groupBy(win.alias("w"), *by, "latency").agg(
+        F.count("*").alias("n"), F.count_if("_p").alias("predictions_total"), F.count_if(~F.col("_p")).alias("feedback_total"),
         F.count_if(F.col("_p") & (F.col("status") == settings.uncertain)).alias("uncertain_total"),
         action("ACCEPT").alias("accept_total"), action("CORRECT").alias("correct_total"), action("REJECT").alias("reject_total"),
-        F.count_if(F.length("corrected_class") > 0).alias("corrections_total"),
-        F.avg("confidence").alias("confidence_mean"), F.min("confidence").alias("confidence_min"), F.max("confidence").alias("confidence_max"),
-        F.avg("latency").alias("latency_mean"), F.max("latency").alias("latency_max"), F.count("latency").alias("_n"),
-        F.kll_sketch_agg_double("latency", F.lit(k)).alias("_sketch"))
-    rank = lambda q: F.when(F.col("_n") > 0, F.kll_sketch_get_quantile_double("_sketch", F.lit(q)))
+        F.count_if(F.length("corrected_class") > 0).alias("corrections_total"), F.count("confidence").alias("confidences"),
+        F.sum("confidence").alias("confidence_sum"), F.min("confidence").alias("confidence_min"), F.max("confidence").alias("confidence_max"))
+    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "latency", *out.columns[2 + len(by):])
+
+
+def log_window_figures(counts: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame:
+    """The figures of ``events.log_metrics`` per window from ``log_counts_by_latency``, or from what its stream has stored.
+
+    p50 and p95 are exact: the lowest latency with that share of the latencies at or below it. Null and zero latencies are left out; a share
+    without rows is 0, the agreement without verdicts null.
+    """
+    keys = ["window_start", "window_end", *by]
+    totals = ["predictions_total", "feedback_total", "accept_total", "correct_total", "reject_total", "corrections_total", "uncertain_total"]
+    timed = F.when(F.col("latency").isNotNull(), F.col("n"))
+    out = counts.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in totals], F.try_divide(F.sum("confidence_sum"), F.sum("confidences")).alias("confidence_mean"),
+        F.min("confidence_min").alias("confidence_min"), F.max("confidence_max").alias("confidence_max"),
+        F.try_divide(F.sum(F.col("latency") * timed), F.sum(timed)).alias("latency_mean"), F.max("latency").alias("latency_max"))
+    tails = discrete_percentiles(counts.select(*keys, "latency", "n"), keys, "latency", {"latency_p50": 0.5, "latency_p95": 0.95})
     decided = F.col("accept_total") + F.col("correct_total") + F.col("reject_total")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return out.select(
-        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by,
-        "predictions_total", "feedback_total", "corrections_total", "accept_total", "correct_total", "reject_total", "uncertain_total",
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return keyed_join(out, tails, keys, "left").select(
+        *keys, "predictions_total", "feedback_total", "corrections_total", "accept_total", "correct_total", "reject_total", "uncertain_total",
         ratio(F.col("uncertain_total"), F.col("predictions_total")).alias("uncertain_rate"),
-        *[zero(F.col(c)).alias(c) for c in ("confidence_mean", "confidence_min", "confidence_max", "latency_mean")],
-        zero(rank(0.5)).alias("latency_p50"), zero(rank(0.95)).alias("latency_p95"), zero(F.col("latency_max")).alias("latency_max"),
-        zero(F.try_divide(F.lit(1000.0), F.col("latency_mean"))).alias("throughput_fps"),
+        *map(zero, ("confidence_mean", "confidence_min", "confidence_max", "latency_mean", "latency_p50", "latency_p95", "latency_max")),
+        F.coalesce(F.try_divide(F.lit(1000.0), F.col("latency_mean")), F.lit(0.0)).alias("throughput_fps"),
         F.try_divide(F.col("accept_total").cast("double"), decided).alias("agreement_rate"))
 
 
+def log_windows(predictions: DataFrame, feedback: DataFrame, width: str = "1 day", slide: str | None = None, by: tuple[str, ...] = ("model",),
+                settings: Settings = Settings()) -> DataFrame:
+    """The figures of ``events.log_metrics`` per event-time window of two stored logs."""
+    return log_window_figures(log_counts_by_latency(predictions, feedback, width, slide, by, settings), by)
+
+
 def control_epochs(rows: DataFrame, settings: Settings = Settings(), session: str = "session_id", time: str = "ts", tie: str = "seq",
                    kind: str = "kind") -> DataFrame:
     """The frames among ``rows`` with ``life`` and ``resets``: how often the session had been silent too long, and how many control rows

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from limbwise.operators.events import is_wrong
-from limbwise.operators.live import log_windows, windowed_metrics
+from limbwise.operators.live import log_counts_by_latency, windowed_metrics
 from limbwise.settings import Settings
 from limbwise.streaming.sessions import bucket, next_timer
 
@@ -24,10 +24,13 @@ def metrics_stream(predictions: DataFrame, width: str = "1 day", slide: str | No
 
 
 def log_windows_stream(predictions: DataFrame, feedback: DataFrame, width: str = "1 day", slide: str | None = None, by: tuple[str, ...] = ("model",),
-                       delay: str = "1 hour", settings: Settings = Settings(), k: int = 2048) -> DataFrame:
-    """``live.log_windows`` of two streams: one aggregate over their union, so both share one watermark."""
+                       delay: str = "1 hour", settings: Settings = Settings()) -> DataFrame:
+    """``live.log_counts_by_latency`` of two streams: one aggregate over their union, so both share one watermark.
+
+    A window comes out as counts per latency, so no row of the state grows with the log; give the sink to ``live.log_window_figures``.
+    """
     timed = [df.withWatermark("timestamp", delay) for df in (predictions, feedback)]
-    return log_windows(*timed, width, slide, by, settings, k)
+    return log_counts_by_latency(*timed, width, slide, by, settings)
 
 
 def _fields(row) -> tuple:

@@ -4,6 +4,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from limbwise.operators.live import log_window_figures
 from limbwise.sources.workspace import scratch_path
 from limbwise.streaming import logs as sl
 from limbwise.streaming import sessions as ss
@@ -110,7 +111,8 @@ def _(t):
 @query("T12_log_windows_stream", with_sql("predictions feedback", f"""WITH {LOG_SQL}, mark AS (SELECT least((SELECT max(epoch_us("timestamp")) FROM predictions), (SELECT max(epoch_us("timestamp")) FROM feedback)) // 1000 * 1000 - 3600000000 AS wm)
  SELECT * FROM lw WHERE epoch_us(window_start) + 86400000000 <= (SELECT wm FROM mark)"""))
 def _(t):
-    return log_row(drain(t, sl.log_windows_stream(replay(t, t.predictions(), "timestamp"), replay(t, t.feedback(), "timestamp"), "1 day")))
+    counts = drain(t, sl.log_windows_stream(replay(t, t.predictions(), "timestamp"), replay(t, t.feedback(), "timestamp"), "1 day"))
+    return log_row(log_window_figures(counts))
 
 
 @query("T6_session_stream", f"""WITH {MARK}, g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 43200000000 THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
