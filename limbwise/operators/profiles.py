@@ -115,14 +115,16 @@ def check_uploads(uploads: DataFrame, profiles: DataFrame, index: DataFrame, set
     framed = F.forall(clips, lambda clip: F.coalesce((F.size(clip) > 0) & F.forall(clip, lambda f: F.coalesce(F.size(f) == settings.input_width, F.lit(False))), F.lit(False)))
     # the class list is one value; which spelling is official is looked up in it, so labels need no join
     known = effective_vocabulary(profiles, index, settings).select("name", F.col("classes").alias("_classes"))
-    joined = uploads.join(known, "name", "left").withColumn("_every", class_array(index).scalar())
+    # the shape is judged below the join, which then carries the features only where a caller asks for them
+    shaped = uploads.withColumn("_framed", framed).withColumn("_clips", F.size(clips))
+    joined = shaped.join(known, "name", "left").withColumn("_every", class_array(index).scalar())
     spelled = F.transform(said, lambda x: F.get(F.filter("_every", lambda c: F.upper(c) == F.upper(F.trim(x))), F.lit(0)))
     joined = joined.withColumn("_labels", spelled)
     other = F.lit(False)
     if stored is not None:
         widths = stored.groupBy("name").agg(F.count_if(F.size(F.col("features")[0]) != settings.input_width).alias("_other"))
         joined, other = joined.join(widths, "name", "left"), F.coalesce(F.col("_other") > 0, F.lit(False))
-    reason = (F.when(~framed, "features_shape").when(F.size(clips) != F.size(said), "label_count").when(F.col("_classes").isNull(), "unknown_profile")
+    reason = (F.when(~F.col("_framed"), "features_shape").when(F.col("_clips") != F.size(said), "label_count").when(F.col("_classes").isNull(), "unknown_profile")
               .when(F.exists("_labels", lambda x: x.isNull()), "unknown_label")
               .when(F.exists("_labels", lambda x: ~F.array_contains("_classes", x)), "outside_vocabulary").when(other, "stored_layout"))
     kept = [F.when(reason.isNull(), F.col("_labels")).otherwise(F.col("labels")).alias("labels") if c == "labels" else F.col(c) for c in uploads.columns]
@@ -135,6 +137,11 @@ def uploaded_samples(checked: DataFrame) -> DataFrame:
             .select("name", "upload", "place", F.col("_s.labels").alias("label"), F.col("_s.features").alias("features")))
 
 
+def uploaded_labels(checked: DataFrame) -> DataFrame:
+    """``uploaded_samples`` without the features: enough to count them. An upload that was taken has a label per clip."""
+    return checked.where("reason IS NULL").select("name", "upload", F.posexplode("labels").alias("place", "label"))
+
+
 def with_totals(profiles: DataFrame, samples: DataFrame) -> DataFrame:
     """Profiles with ``calibration_samples`` and ``per_class_samples``, over all samples that were ever taken."""
     counts = sample_counts(samples).groupBy("name").agg(

@@ -425,3 +425,22 @@ def test_files_are_resolved_without_a_broadcast(spark):
     files = spark.createDataFrame([("Z/Home/1. Fan/MVI_1.npz",)], "path string")
     plan = catalogue.resolve_files(index, files, ".npz")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+
+
+@pytest.mark.parametrize("name", ["U5_check_uploads", "U5_sample_totals"])
+def test_features_are_not_carried_through_the_join(spark, name):
+    """What is not asked for is left below the join with the profiles, so sorting uploads by name holds no frames."""
+    import __spark_entry__ as entry
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    judged = next(i for i, line in enumerate(plan) if "forall(coalesce(features" in line)
+    assert "Join LeftOuter" in plan[judged - 1] and not any("features#" in line for line in plan[:judged])
+
+
+def test_labels_of_taken_uploads_are_those_of_their_samples(spark):
+    frame = [0.0] * S.input_width
+    rows = [("a", 1, [[frame], [frame]], ["x", "Y"]), ("a", 2, [[frame]], ["x", "x"]), ("b", 3, [], []), ("b", 4, None, None), ("c", 5, [[]], ["x"]), ("d", 6, [[frame]], ["x"])]
+    uploads = spark.createDataFrame(rows, "name string, upload long, features array<array<array<double>>>, labels array<string>")
+    own = spark.createDataFrame([(n, [], "gru") for n in "abc"], "name string, vocabulary array<string>, base_model string")
+    checked = profiles.check_uploads(uploads, own, spark.createDataFrame([("X",), ("Y",)], "label string"), S)
+    labels = sorted(map(tuple, profiles.uploaded_labels(checked).collect()))
+    assert labels == sorted(tuple(r)[:4] for r in profiles.uploaded_samples(checked).collect()) == [("a", 1, 0, "X"), ("a", 1, 1, "Y")]

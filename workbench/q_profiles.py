@@ -125,7 +125,7 @@ def _(t):
  g AS (SELECT name, sum(n)::BIGINT AS n, '{{' || string_agg('"' || label || '":' || n, ',' ORDER BY label) || '}}' AS per FROM s GROUP BY name)
  SELECT p.name, coalesce(g.n, 0) AS calibration_samples, coalesce(per, '{{}}') AS per_class_samples FROM profiles p LEFT JOIN g USING (name)""")
 def _(t):
-    taken = pr.uploaded_samples(pr.check_uploads(uploads(t), profiles(t), event_vocab(t), SMALL))
+    taken = pr.uploaded_labels(pr.check_uploads(uploads(t), profiles(t), event_vocab(t), SMALL))
     return pr.with_totals(profiles(t), taken).select("name", "calibration_samples", F.to_json("per_class_samples").alias("per_class_samples"))
 
 
