@@ -168,6 +168,14 @@ def training_report(model: PipelineModel, train: DataFrame, val: DataFrame, labe
     return one_row(own, scored(train, "train"), scored(val, "val"))
 
 
+def beats_chance(accuracy: Column, rows: Column, share: Column) -> Column:
+    """Is ``accuracy`` over ``rows`` more than three standard errors above ``share``, that of always naming the commonest class.
+
+    A fixed factor would not do: what a fit gains on labels that say little shrinks as 1 / sqrt(rows), as the standard error does.
+    """
+    return accuracy > share + 3 * F.sqrt(share * (1 - share) / rows)
+
+
 def store_model(model: PipelineModel, report: DataFrame, path: str) -> None:
     """The fitted model and, beside it, its report."""
     model.write().save(f"{path}/model")
