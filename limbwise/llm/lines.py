@@ -19,13 +19,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from limbwise.llm.words import GAP
 from limbwise.sources.workspace import cut
 
 BUCKETS, MARKS = 16_384, 1 << 20
+KEYS, HUBS, FIRST = 4, 4, -(1 << 63)
 
 
 def _long(n: Column | int) -> Column:
@@ -88,59 +89,81 @@ def _tokens(line: Column, ranks: Column) -> Column:
 
 
 def shaped(lines: DataFrame, ranks: Column) -> DataFrame:
-    """``id, check`` and ``shape`` of lines: ``n`` words, the halves ``s0`` and ``s1`` of the sketch, a ``doc`` and the ``prefix`` of tokens.
+    """``id, check`` and ``shape`` of lines: the ``doc`` (``FIRST`` if null), ``n`` words, the halves ``s0`` and ``s1`` of the sketch and the ``prefix`` of tokens.
 
     The one-element explode makes the tokens once; the optimizer would repeat them in each of the four figures.
     """
     n = F.size("t")
     sketch = lambda half: F.aggregate("t", _long(0), lambda a, t: F.when(F.shiftright(t, 6).bitwiseAND(1) == half, a.bitwiseXOR(_bit(t))).otherwise(a))
-    made = lines.select("id", "check", F.col("place.doc_id").alias("doc"), F.explode(F.array(_tokens(F.col("line"), ranks))).alias("t"))
+    made = lines.select("id", "check", F.coalesce("place.doc_id", _long(FIRST)).alias("doc"), F.explode(F.array(_tokens(F.col("line"), ranks))).alias("t"))
     return made.select("id", "check", F.struct(
-        n.alias("n"), sketch(0).alias("s0"), sketch(1).alias("s1"), "doc",
+        "doc", n.alias("n"), sketch(0).alias("s0"), sketch(1).alias("s1"),
         F.slice("t", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1).alias("prefix")).alias("shape"))
 
 
 def shapes(lines: DataFrame, texts: DataFrame, ranks: Column) -> DataFrame:
-    """Each line text once: only texts that may have copies, by the bitmap, are brought together by ``id``."""
+    """Each line text once, with its first document: only texts that may have copies, by the bitmap, are brought together by ``id``."""
     repeated = marked(texts.where("copies > 1"), "id")(F.col("id"))
     once = shaped(lines.where(~repeated), ranks)
-    again = shaped(lines.where(repeated), ranks).groupBy("id", "check").agg(F.first("shape").alias("shape"))
+    again = shaped(lines.where(repeated), ranks).groupBy("id", "check").agg(F.min("shape").alias("shape"))
     return once.union(again).select("id", "shape.*")
 
 
-def prefix_rows(texts: DataFrame) -> DataFrame:
-    return texts.select("id", "n", "s0", "s1", "doc", F.posexplode("prefix").alias("pos", "token"))
+def prefix_rows(texts: DataFrame, *more: str) -> DataFrame:
+    return texts.select("id", "n", "s0", "s1", *more, F.posexplode("prefix").alias("pos", "token"))
 
 
-def met(rows: DataFrame, others: DataFrame, once: bool) -> DataFrame:
-    """Pairs (``a`` below ``b``) of different line texts, one of each side, that pass the prefix, length, position and sketch filters; ``once`` where both sides are the same rows."""
-    a, b = (side.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "s0", "s1", "pos", "token")]) for s, side in (("a", rows), ("b", others)))
-    need = F.floor((4 * (F.col("n_a") + F.col("n_b")) + 8) / 9)
+def need() -> Column:
+    """Words that texts of ``n_a`` and ``n_b`` words must share."""
+    return F.floor((4 * (F.col("n_a") + F.col("n_b")) + 8) / 9)
+
+
+def close() -> Column:
+    """Do the lengths and sketches of the sides ``_a`` and ``_b`` allow a match."""
     differ = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
-    close = ((F.col("id_a") < F.col("id_b") if once else F.col("id_a") != F.col("id_b")) & (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b"))
-             & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need)
-             & (differ("s0") + differ("s1") <= F.col("n_a") + F.col("n_b") - 2 * need))
-    return a.join(b, (F.col("token_a") == F.col("token_b")) & close).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    return (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")) & (differ("s0") + differ("s1") <= F.col("n_a") + F.col("n_b") - 2 * need())
+
+
+def met(rows: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Pairs (``a`` below ``b``) of different line texts that pass the prefix, length, position and sketch filters, and ``wanted`` of the columns of both.
+
+    All columns are used of both sides, so that one shuffle serves both.
+    """
+    a, b = (rows.select(*[F.col(c).alias(f"{c}_{s}") for c in rows.columns]) for s in "ab")
+    reach = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need()
+    on = (F.col("token_a") == F.col("token_b")) & (F.col("id_a") < F.col("id_b")) & close() & reach
+    return a.join(b, on if wanted is None else on & wanted).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def candidates(texts: DataFrame) -> DataFrame:
-    rows = prefix_rows(texts)
-    return met(rows, rows, True)
+    return met(prefix_rows(texts))
+
+
+def hub_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs of a text and a close one among the ``HUBS`` first of those that share one of its ``KEYS`` keys, the least hashes of its prefix tokens."""
+    keys = texts.select("id", "n", "s0", "s1", "doc", F.explode(F.slice(F.sort_array(F.transform("prefix", lambda t: F.xxhash64(t))), 1, KEYS)).alias("key"))
+    before = Window.partitionBy("key").orderBy("doc", "id").rowsBetween(Window.unboundedPreceding, -1)
+    shape = F.struct(*[F.col(c).alias(f"{c}_a") for c in ("id", "n", "s0", "s1")])
+    hubs = keys.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "n", "s0", "s1")], F.array(*[F.nth_value(shape, k + 1).over(before) for k in range(HUBS)]).alias("hubs"))
+    pairs = hubs.select("id_b", "n_b", "s0_b", "s1_b", F.explode("hubs").alias("hub")).select("*", "hub.*").where(F.col("id_a").isNotNull() & (F.col("id_a") != F.col("id_b")) & close())
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def late_links(lines: DataFrame, texts: DataFrame, ranks: Column) -> DataFrame:
     """Links enough to tell of every line text whether an earlier one matches it, without all pairs of a group of near copies.
 
-    First every text meets one hub per shared token, the one of the smallest document. What a hub proves to be late is settled; only
-    the texts that are still open then meet all others.
+    First every text meets a few hubs, early texts that share a key with it. What a hub proves to be late is settled; the texts that are
+    still open then meet all that may be earlier than they.
     """
     stored = cut(shapes(lines, texts, ranks), "shapes")
-    rows = prefix_rows(stored)
-    hubs = rows.groupBy("token").agg(F.min(F.struct("doc", "id", "n", "s0", "s1", "pos")).alias("h")).select("token", "h.*")
-    proved = links(lines, texts, cut(met(hubs, rows, False), "pairs"))
+    proved = links(lines, texts, cut(hub_pairs(stored), "pairs"))
     late = F.when(F.col("place_b") < F.col("place_a"), F.col("a.id")).otherwise(F.col("b.id"))
-    left = stored.join(cut(proved.select(late.alias("id")).distinct(), "settled"), "id", "left_anti")
-    return proved.unionByName(links(lines, texts, cut(met(rows, prefix_rows(left), False), "pairs")))
+    settled = cut(proved.select(late.alias("id")).distinct(), "settled")
+    perhaps = marked(settled, "id")(F.col("id"))
+    flagged = stored.where(~perhaps).withColumn("open", F.lit(True)).union(
+        stored.where(perhaps).join(settled.withColumn("known", F.lit(True)), "id", "left").withColumn("open", F.col("known").isNull()).select(*stored.columns, "open"))
+    earlier = (F.col("open_b") & (F.col("doc_a") <= F.col("doc_b"))) | (F.col("open_a") & (F.col("doc_b") <= F.col("doc_a")))
+    return proved.unionByName(links(lines, texts, cut(met(prefix_rows(flagged, "doc", "open"), earlier), "pairs")))
 
 
 def links(lines: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:

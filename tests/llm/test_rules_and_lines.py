@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from limbwise.llm import lines, quality
 from tests.llm.cases import ROWS, crowded, docs, words
 
@@ -94,3 +96,25 @@ def test_same_lines_go_without_counting_links(spark):
     assert told[0] == told[1] and 60 < sum(len(x[2]) for x in told[0]) < len(rows) + 32
     plan = lines.deduplicated(frame, False)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_few_pairs_in_a_group_of_near_copies(spark):
+    """Most pairs of the group match, but not all: no text may meet all others to be told late."""
+    import random
+    rng, size = random.Random(8), 300
+    base = [f"w{k}" for k in range(40)]
+    texts = []
+    for i in range(size):
+        line = base[:]
+        for k in rng.sample(range(40), rng.choice((2, 3))):
+            line[k] = f"x{i}_{k}"
+        texts.append(" ".join(line))
+    frame = docs(spark, [(10_000 - i, t, "en", "a", 1) for i, t in enumerate(texts)])
+    sets = [set(t.split()) for t in texts]
+    late = {10_000 - i for i in range(size) if any(10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) for j in range(i + 1, size))}
+    found = lines.occurrences(frame)
+    firsts = found.groupBy("id", "check").agg(F.min("place").alias("place"), F.count("*").alias("copies"))
+    made = lines.late_links(found, firsts, lines.rarity(frame)).count()
+    assert made < 30 * size
+    out = lines.deduplicated(frame, counted=False).where(F.size("removed") > 0).select("doc.doc_id").collect()
+    assert {r["doc_id"] for r in out} == late and 0.5 * size < len(late) < size - 1
