@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from limbwise.llm.words import give_back
+
 ENCODED = T.StructType([T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()),
                         T.StructField("decoded", T.StringType())])
 _SPACE = np.zeros(256, bool)
@@ -219,10 +221,11 @@ def encoded(text: Column, tokenizer: str, bits: int = 5, rows: int = 256) -> Col
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = ChunkCoder(tokenizer, bits)
         for texts in batches:
-            out = []
             for at in range(0, len(texts), rows):
-                out.extend(coder.encode(texts.iloc[at:at + rows].tolist()))
-            yield pd.DataFrame(out, columns=ENCODED.names)
+                yield pd.DataFrame(coder.encode(texts.iloc[at:at + rows].tolist()), columns=ENCODED.names)
+            texts = None
+        coder = None
+        give_back()
     return run(text)
 
 

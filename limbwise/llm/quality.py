@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limbwise.llm.words import fresh, words
+from limbwise.llm.words import fresh, give_back, words
 from limbwise.sources.workspace import cut
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
@@ -71,6 +71,8 @@ def count_text(text: str | None) -> tuple[int, ...]:
 def text_counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         yield pd.DataFrame([count_text(t) for t in texts], columns=list(COUNTS), dtype="int64")
+        texts = None
+    give_back()
 
 
 def failures(at: str = "") -> dict[str, Column]:
@@ -131,6 +133,8 @@ def broken_rules(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             out.append((n["n_words"] < 10 or 100 * n["n_repeat_words"] > 20 * n["n_words"]) | (10 * n["n_symbols"] > n["n_words"]) << 1
                        | (10 * n["n_dup_lines"] > 3 * n["n_lines"]) << 2 | (2 * n["n_upper"] > n["n_words"]) << 3)
         yield pd.Series(out, dtype="int32")
+        texts = None
+    give_back()
 
 
 def keep_documents(docs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +56,12 @@ class HashCache(dict):
         return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker stays with its executor after the task, beside the next stages."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over 64 bits."""
     x = x ^ (x >> np.uint64(33))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from limbwise.llm import divergence, tokencount, variants
+from limbwise.llm import bpe, divergence, tokencount, variants
 from limbwise.llm.bpe import tokenizer_json
 from tests.llm.cases import ROWS, crowded, docs
 
@@ -184,3 +184,11 @@ def test_equal_subtrees_are_one_node():
     counts = np.array([[0, 0, 0, 0, 1, 0, 1, 0], [1, 0, 1, 0, 0, 0, 0, 0]])
     values, levels, top = divergence.consed(counts)
     assert [len(left) for left, _ in levels] == [2, 2, 2] and len(set(top.tolist())) == 2
+
+
+def test_every_row_of_a_large_batch_keeps_its_own_ids(spark):
+    texts = [f"text {i} of many" if i % 7 else None for i in range(700)]
+    frame = docs(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)]).coalesce(1)
+    coder = bpe.ChunkCoder(tokenizer_json())
+    got = {r["doc_id"]: bytes(r["token_ids"]) for r in bpe.encode_documents(frame, tokenizer_json()).collect()}
+    assert got == {i: coder.whole(t or "")[0] for i, t in enumerate(texts)}
