@@ -3,11 +3,11 @@
 A line is the set of its words. Two lines match when the Jaccard similarity of their sets is 0.8 or more. In the order
 of (doc_id, line number) a line goes when an earlier line of any document matches it, be that one kept or not.
 
-Equal lines (by 128 bits of hash) are one text with its first place. Words are ordered by rarity: the corpus counts of
-``BUCKETS`` hash buckets give their order (a fixed-size table, whatever the vocabulary). Texts that
+Equal lines (by 128 bits of hash) are one text with its first place. Words are ordered by rarity: a byte of logarithm of the corpus count of
+each of ``BUCKETS`` hash buckets gives their order (a fixed-size table, whatever the vocabulary). Texts that
 match share a word among the first n - ceil(0.8 n) + 1 of each; those meet by equi-join, and are let through only if
-their lengths, the places of the shared word, and a 128-bit parity sketch of both sets (its differing bits are at
-most the differing words) allow 0.8. The pairs left are verified on their words. Hot lines are
+their lengths, the places of the shared word, and a parity sketch of both sets (its differing bits are at
+most the differing words) allow 0.8; the sketch has 64 bits, 128 where both have more than ``WIDE`` words. The pairs left are verified on their words. Hot lines are
 counted before they are shuffled, and hot words are the last in order, so they rarely meet at all.
 
 Lines are fetched for verification, and documents rebuilt, only where a bitmap marks them; it has some 16 bits a key up to ``MARKS`` longs (8 MB) and
@@ -19,13 +19,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from limbwise.llm.words import GAP
 from limbwise.sources.workspace import cut
 
-BUCKETS, MARKS = 16_384, 1 << 20
+BUCKETS, MARKS, WIDE = 1 << 19, 1 << 20, 80
 KEYS, HUBS, FIRST = 4, 4, -(1 << 63)
 
 
@@ -57,16 +58,20 @@ def marked(keys: DataFrame, key: str) -> Callable[[Column], Column]:
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, GAP), "")
+    """Words of a text; the usual one, without tabs and the like, is split at single spaces, which needs no pattern."""
+    rare = F.lit(False)
+    for c in "\t\n\x0b\x0c\r":
+        rare = rare | F.contains(line, F.lit(c))
+    return F.array_remove(F.when(rare, F.split(line, GAP)).otherwise(F.split(line, " ")), "")
 
 
 def rarity(docs: DataFrame) -> Column:
-    """Rank of every hash bucket of words, the rarest first, as one constant array of ``BUCKETS`` numbers."""
-    counted = (docs.select(F.explode(_words(F.col("text"))).alias("w"))
-               .groupBy(F.pmod(F.xxhash64("w"), _long(BUCKETS)).alias("bucket")).agg(F.count("*").alias("n")).collect())
-    counts = {r["bucket"]: r["n"] for r in counted}
-    ranks = {bucket: rank for rank, bucket in enumerate(sorted(range(BUCKETS), key=lambda x: (counts.get(x, 0), x)))}
-    return F.split(F.lit(",".join(str(ranks[x]) for x in range(BUCKETS))), ",").cast("array<bigint>")
+    """Rank of every hash bucket of words, the rarest first, as one constant of ``BUCKETS`` bytes below 128."""
+    counted = (docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(_words(F.col("line"))).alias("w"))
+               .groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n")).toArrow())
+    ranks = np.zeros(BUCKETS, np.uint8)
+    ranks[counted["bucket"].to_numpy()] = np.minimum(4 * np.log2(1.0 + counted["n"].to_numpy()), 127)
+    return F.lit(ranks.tobytes())
 
 
 def document_key() -> Column:
@@ -82,30 +87,36 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def _tokens(line: Column, ranks: Column) -> Column:
     """Distinct words of a line as longs: rank of the bucket, then bits of the hash; ascending, so rarest first."""
-    def token(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(ranks, F.pmod(h, _long(BUCKETS)).cast("int")), 49).bitwiseOR(F.shiftrightunsigned(h, 15))
-    return F.sort_array(F.array_distinct(F.transform(_words(line), token)))
+    rank = lambda h: F.ascii(F.substring(ranks, h.bitwiseAND(BUCKETS - 1).cast("int") + 1, 1).cast("string")).cast("bigint")
+    hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))))
 
 
 def shaped(lines: DataFrame, ranks: Column) -> DataFrame:
     """``id, check`` and ``shape`` of lines: the ``doc`` (``FIRST`` if null), ``n`` words, the halves ``s0`` and ``s1`` of the sketch and the ``prefix`` of tokens.
 
-    The one-element explode makes the tokens once; the optimizer would repeat them in each of the four figures.
+    Up to ``WIDE`` words ``s0`` is the whole sketch folded to 64 bits, ``s1`` is 0. The one-element explodes make the tokens and halves once; the
+    optimizer would repeat them in each of the figures.
     """
     n = F.size("t")
-    sketch = lambda half: F.aggregate("t", _long(0), lambda a, t: F.when(F.shiftright(t, 6).bitwiseAND(1) == half, a.bitwiseXOR(_bit(t))).otherwise(a))
+    sketch = lambda tokens: F.aggregate(tokens, _long(0), lambda a, t: a.bitwiseXOR(_bit(t)))
     made = lines.select("id", "check", F.coalesce("place.doc_id", _long(FIRST)).alias("doc"), F.explode(F.array(_tokens(F.col("line"), ranks))).alias("t"))
-    return made.select("id", "check", F.struct(
-        "doc", n.alias("n"), sketch(0).alias("s0"), sketch(1).alias("s1"),
+    half = F.when(n > WIDE, sketch(F.filter("t", lambda t: t.bitwiseAND(64) != 0))).otherwise(_long(0))
+    return made.select("id", "check", "doc", "t", F.explode(F.array(half)).alias("s1")).select("id", "check", F.struct(
+        "doc", n.alias("n"), sketch(F.col("t")).bitwiseXOR(F.col("s1")).alias("s0"), "s1",
         F.slice("t", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1).alias("prefix")).alias("shape"))
 
 
 def shapes(lines: DataFrame, texts: DataFrame, ranks: Column) -> DataFrame:
-    """Each line text once, with its first document: only texts that may have copies, by the bitmap, are brought together by ``id``."""
-    repeated = marked(texts.where("copies > 1"), "id")(F.col("id"))
+    """Each line text once, with its first document.
+
+    Two bitmaps tell which lines may have copies and which of them may be the first; only those are brought together by ``id``.
+    """
+    repeated = marked(cut(texts.where("copies > 1").select("id"), "copied"), "id")(F.col("id"))
+    firsts = cut(texts.where(repeated).select(F.xxhash64("id", "place").alias("first")), "firsts")
     once = shaped(lines.where(~repeated), ranks)
-    again = shaped(lines.where(repeated), ranks).groupBy("id", "check").agg(F.min("shape").alias("shape"))
+    again = (shaped(lines.where(repeated & marked(firsts, "first")(F.xxhash64("id", "place"))), ranks)
+             .groupBy("id", "check").agg(F.min("shape").alias("shape")))
     return once.union(again).select("id", "shape.*")
 
 
@@ -120,8 +131,9 @@ def need() -> Column:
 
 def close() -> Column:
     """Do the lengths and sketches of the sides ``_a`` and ``_b`` allow a match."""
-    differ = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
-    return (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")) & (differ("s0") + differ("s1") <= F.col("n_a") + F.col("n_b") - 2 * need())
+    s0, s1 = (F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")) for c in ("s0", "s1"))
+    differ = F.when(F.least("n_a", "n_b") > WIDE, F.bit_count(s0) + F.bit_count(s1)).otherwise(F.bit_count(s0.bitwiseXOR(s1)))
+    return (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")) & (differ <= F.col("n_a") + F.col("n_b") - 2 * need())
 
 
 def met(rows: DataFrame, wanted: Column | None = None) -> DataFrame:
@@ -190,9 +202,10 @@ def removals(docs: DataFrame, counted: bool = True) -> DataFrame:
     ends = found.select("a.*", (F.col("place_b") < F.col("place_a")).alias("late")).union(
         found.select("b.*", F.col("place_a") < F.col("place_b")))
     degree = ends.groupBy("id", "check").agg(F.count("*").alias("links"), F.max("late").alias("late"))
-    known = (texts.select("id", "check", F.col("place").alias("first"), "copies").join(degree, ["id", "check"], "left")
-             .where((F.col("copies") > 1) | F.col("links").isNotNull()))
-    hit = (lines.select("id", "check", "place").join(known, ["id", "check"])
+    degree = cut(degree, "degree")
+    known = texts.select("id", "check", F.col("place").alias("first"), "copies").where((F.col("copies") > 1) | marked(degree, "id")(F.col("id")))
+    known = cut(known.join(degree, ["id", "check"], "left").where((F.col("copies") > 1) | F.col("links").isNotNull()), "known")
+    hit = (lines.select("id", "check", "place").where(marked(known, "id")(F.col("id"))).join(known, ["id", "check"])
            .select("place.key", "place.at", F.coalesce("links", F.lit(0)).alias("links"), (F.coalesce("late", F.lit(False)) | (F.col("place") > F.col("first"))).alias("gone")))
     return hit.dropDuplicates(["key", "at"]).groupBy("key").agg(
         F.collect_list(F.when(F.col("gone"), F.col("at"))).alias("gone"), F.sum("links").alias("n_links"))

@@ -118,3 +118,42 @@ def test_few_pairs_in_a_group_of_near_copies(spark):
     assert made < 30 * size
     out = lines.deduplicated(frame, counted=False).where(F.size("removed") > 0).select("doc.doc_id").collect()
     assert {r["doc_id"] for r in out} == late and 0.5 * size < len(late) < size - 1
+
+
+def _firsts(found):
+    return found.groupBy("id", "check").agg(F.min("place").alias("place"), F.count("*").alias("copies"))
+
+
+def test_rare_words_lead(spark):
+    """Words of one line come before words of four, also with many words per old bucket: few prefix words are shared."""
+    frame = docs(spark, [(i, " ".join([f"m{(5 * i + k) % 12_500}" for k in range(5)] + [f"u{i}_{k}" for k in range(5)]), "en", "a", 1) for i in range(10_000)])
+    found = lines.occurrences(frame)
+    met = lines.prefix_rows(lines.shapes(found, _firsts(found), lines.rarity(frame))).groupBy("token").count()
+    total, shared = met.agg(F.sum("count"), F.sum(F.when(F.col("count") > 1, F.col("count")).otherwise(0))).first()
+    assert total == 30_000 and shared < 0.05 * total
+
+
+def test_links_of_long_lines(spark):
+    """Sketches of either width: no link of lines on both sides of their border is lost, whatever white space they hold."""
+    import random
+    rng, texts = random.Random(9), []
+    for g, size in enumerate((60, 76, 80, 84, 130, 300)):
+        base = [f"g{g}w{k}" for k in range(size)]
+        for i in range(14):
+            line = base[:rng.randint(int(0.82 * size), size)] + [f"x{g}_{i}_{k}" for k in range(rng.randint(0, size // 9))]
+            texts.append(rng.choice((" ", "  ", "\t", " \x0b", "\r ")).join(rng.sample(line, len(line))))
+    texts += texts[::5]
+    sets = [set(t.split()) for t in texts]
+    want = {i: sum(texts[i] != t and 10 * len(sets[i] & s) >= 8 * len(sets[i] | s) for t, s in {t: set(t.split()) for t in texts}.items()) for i in range(len(texts))}
+    out = lines.deduplicated(docs(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)])).select("doc.doc_id", "n_links").collect()
+    assert {r["doc_id"]: r["n_links"] for r in out} == want and sum(want.values()) > 300
+
+
+def test_a_wrong_mark_loses_no_text(spark, monkeypatch):
+    """Bitmaps of one long mark many lines that have no copy."""
+    monkeypatch.setattr(lines, "MARKS", 64)
+    rows = [(i, f"a{i} b{i} c{i} d{i} e{i % 3000}\nonly {i % 5000}", "en", "a", 1) for i in range(6_000)]
+    frame = docs(spark, rows)
+    found = lines.occurrences(frame)
+    made = lines.shapes(found, _firsts(found), lines.rarity(frame))
+    assert made.count() == made.select("id").distinct().count() == 11_000
