@@ -7,7 +7,8 @@ Equal lines (by 128 bits of hash) are one text with its first place. Words are o
 each of ``BUCKETS`` hash buckets gives their order (a fixed-size table, whatever the vocabulary). Texts that
 match share a word among the first n - ceil(0.8 n) + 1 of each; those meet by equi-join, and are let through only if
 their lengths, the places of the shared word, and a parity sketch of both sets (its differing bits are at
-most the differing words) allow 0.8; the sketch has 64 bits, 128 where both have more than ``WIDE`` words. The pairs left are verified on their words. Hot lines are
+most the differing words) allow 0.8; the sketch has 64 bits, 128 where both have more than ``WIDE`` words. The pairs left are verified on their words.
+Where many near copies crowd together their links are counted without making the pairs: see ``counted_links``. Hot lines are
 counted before they are shuffled, and hot words are the last in order, so they rarely meet at all.
 
 Lines are fetched for verification, and documents rebuilt, only where a bitmap marks them; it has some 16 bits a key up to ``MARKS`` longs (8 MB) and
@@ -23,11 +24,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from limbwise.llm.components import components
 from limbwise.llm.words import GAP
 from limbwise.sources.workspace import cut
 
 BUCKETS, MARKS, WIDE = 1 << 19, 1 << 20, 80
 KEYS, HUBS, FIRST = 4, 4, -(1 << 63)
+CROWD, BLOCK = 256, 256
 
 
 def _long(n: Column | int) -> Column:
@@ -147,13 +150,24 @@ def met(rows: DataFrame, wanted: Column | None = None) -> DataFrame:
     return a.join(b, on if wanted is None else on & wanted).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    return met(prefix_rows(texts))
+def least_keys(texts: DataFrame, tokens: Column, most: int) -> DataFrame:
+    """The ``most`` least hashes of the ``tokens`` of each text as ``key``."""
+    return texts.select("id", "n", "s0", "s1", "doc", F.explode(F.slice(F.sort_array(F.transform(tokens, lambda t: F.xxhash64(t))), 1, most)).alias("key"))
 
 
 def hub_pairs(texts: DataFrame) -> DataFrame:
     """Pairs of a text and a close one among the ``HUBS`` first of those that share one of its ``KEYS`` keys, the least hashes of its prefix tokens."""
-    keys = texts.select("id", "n", "s0", "s1", "doc", F.explode(F.slice(F.sort_array(F.transform("prefix", lambda t: F.xxhash64(t))), 1, KEYS)).alias("key"))
+    return met_hubs(least_keys(texts, F.col("prefix"), KEYS))
+
+
+def crowd_pairs(texts: DataFrame) -> DataFrame:
+    """``hub_pairs`` only for keys of more than ``CROWD`` texts, made of tokens that are not the rarest; each text has two keys."""
+    keys = least_keys(texts, F.filter("prefix", lambda t: F.shiftright(t, 56) > 4), 2)
+    crowded = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"), "crowded")
+    return met_hubs(keys.where(marked(crowded, "key")(F.col("key"))))
+
+
+def met_hubs(keys: DataFrame) -> DataFrame:
     before = Window.partitionBy("key").orderBy("doc", "id").rowsBetween(Window.unboundedPreceding, -1)
     shape = F.struct(*[F.col(c).alias(f"{c}_a") for c in ("id", "n", "s0", "s1")])
     hubs = keys.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "n", "s0", "s1")], F.array(*[F.nth_value(shape, k + 1).over(before) for k in range(HUBS)]).alias("hubs"))
@@ -178,12 +192,65 @@ def late_links(lines: DataFrame, texts: DataFrame, ranks: Column) -> DataFrame:
     return proved.unionByName(links(lines, texts, cut(met(prefix_rows(flagged, "doc", "open"), earlier), "pairs")))
 
 
+def counted_links(lines: DataFrame, texts: DataFrame, ranks: Column) -> DataFrame:
+    """``id``, ``check``, the number of all ``links`` and ``late`` (is there a link to an earlier text) of every line text that has one.
+
+    Texts of crowded keys meet a few hubs; what these prove makes components. Links inside a component are counted block by block, with no row
+    for a pair; only texts that are not of one component meet by the prefix join.
+    """
+    stored = cut(shapes(lines, texts, ranks), "shapes")
+    pairs = cut(crowd_pairs(stored), "pairs")
+    crowd = cut(worded(lines, texts, ends(pairs)), "lines")
+    proved = verified(crowd, pairs)
+    labels = cut(components(proved.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))).withColumnRenamed("node", "id"), "labels")
+    perhaps = marked(labels, "id")(F.col("id"))
+    labelled = stored.where(~perhaps).withColumn("label", F.lit(None).cast("bigint")).union(stored.where(perhaps).join(labels, "id", "left").select(*stored.columns, "label"))
+    apart = F.col("label_a").isNull() | F.col("label_b").isNull() | (F.col("label_a") != F.col("label_b"))
+    found = links(lines, texts, cut(met(prefix_rows(labelled, "label"), apart), "pairs"))
+    both = found.select("a.*", F.lit(1).alias("links"), (F.col("place_b") < F.col("place_a")).alias("late")).union(
+        found.select("b.*", F.lit(1), F.col("place_a") < F.col("place_b")))
+    inside = counted_inside(crowd.join(labels, "id"))
+    return both.union(inside).groupBy("id", "check").agg(F.sum("links").alias("links"), F.max("late").alias("late")).where("links > 0")
+
+
+def counted_inside(members: DataFrame) -> DataFrame:
+    """``id``, ``check``, ``links`` and ``late`` of texts (``id, check, place, words, label``), as far as one block of some ``BLOCK`` texts of their label tells."""
+    members = cut(members, "members")
+    sizes = members.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "label").select(
+        "label", F.pmod(F.xxhash64("id", "check"), F.col("blocks")).cast("int").alias("own"), F.sequence(F.lit(0), F.col("blocks") - 1).alias("all"), F.struct("id", "check", "place", "words").alias("t"))
+    none = F.lit(None).cast(dealt.schema["t"].dataType)
+    sides = dealt.select("label", F.col("own").alias("i"), F.explode("all").alias("j"), F.col("t").alias("x"), none.alias("y")).union(
+        dealt.select("label", F.explode("all").alias("i"), F.col("own").alias("j"), none.alias("x"), F.col("t").alias("y")))
+    blocks = sides.groupBy("label", "i", "j").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
+
+    def match(x: Column, y: Column) -> Column:
+        n, m = F.size(x["words"]), F.size(y["words"])
+        return (x["id"] != y["id"]) & (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.size(F.array_intersect(x["words"], y["words"])) >= 4 * (n + m))
+    own = F.transform("xs", lambda x: F.struct(x["id"].alias("id"), x["check"].alias("check"), x["place"].alias("place"), F.filter("ys", lambda y: match(x, y)).alias("near")))
+    counts = F.transform(own, lambda r: F.struct(
+        r["id"].alias("id"), r["check"].alias("check"), F.size(r["near"]).alias("links"), F.exists(r["near"], lambda y: y["place"] < r["place"]).alias("late")))
+    return blocks.select(F.explode(counts).alias("c")).select("c.*")
+
+
+def worded(lines: DataFrame, texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """``id, check``, first ``place`` and distinct ``words`` of the line texts whose ``id`` is in the stored ``needed``."""
+    return (lines.where(marked(needed, "id")(F.col("id"))).groupBy("id", "check").agg(F.first("line").alias("line")).join(needed, "id")
+            .join(texts.select("id", "check", "place"), ["id", "check"]).select("id", "check", "place", F.array_distinct(_words(F.col("line"))).alias("words")))
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """The ``id`` of every text of the pairs, stored."""
+    return cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
+
+
 def links(lines: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (``a``, ``b``) of line texts, as (id, check), that are similar enough on their words, with their first places."""
-    needed = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
-    found = (lines.where(marked(needed, "id")(F.col("id"))).groupBy("id", "check").agg(F.first("line").alias("line")).join(needed, "id")
-             .join(texts.select("id", "check", "place"), ["id", "check"]).select("id", "check", "place", F.array_distinct(_words(F.col("line"))).alias("words")))
-    found = cut(found, "lines")
+    return verified(cut(worded(lines, texts, ends(pairs)), "lines"), pairs)
+
+
+def verified(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``links`` among pairs, from the stored texts ``found`` with their words."""
     side = lambda s: found.select(F.col("id").alias(s), F.struct("id", "check").alias(f"text_{s}"), F.col("place").alias(f"place_{s}"), F.col("words").alias(f"words_{s}"))
     both = F.size(F.array_intersect("words_a", "words_b"))
     return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(9 * both >= 4 * (F.size("words_a") + F.size("words_b")))
@@ -198,10 +265,13 @@ def removals(docs: DataFrame, counted: bool = True) -> DataFrame:
     lines = occurrences(docs)
     texts = cut(lines.groupBy("id", "check").agg(F.min("place").alias("place"), F.count("*").alias("copies")), "texts")
     ranks = rarity(docs)
-    found = links(lines, texts, cut(candidates(shapes(lines, texts, ranks)), "pairs")) if counted else late_links(lines, texts, ranks)
-    ends = found.select("a.*", (F.col("place_b") < F.col("place_a")).alias("late")).union(
-        found.select("b.*", F.col("place_a") < F.col("place_b")))
-    degree = ends.groupBy("id", "check").agg(F.count("*").alias("links"), F.max("late").alias("late"))
+    if counted:
+        degree = counted_links(lines, texts, ranks)
+    else:
+        found = late_links(lines, texts, ranks)
+        ends = found.select("a.*", (F.col("place_b") < F.col("place_a")).alias("late")).union(
+            found.select("b.*", F.col("place_a") < F.col("place_b")))
+        degree = ends.groupBy("id", "check").agg(F.count("*").alias("links"), F.max("late").alias("late"))
     degree = cut(degree, "degree")
     known = texts.select("id", "check", F.col("place").alias("first"), "copies").where((F.col("copies") > 1) | marked(degree, "id")(F.col("id")))
     known = cut(known.join(degree, ["id", "check"], "left").where((F.col("copies") > 1) | F.col("links").isNotNull()), "known")

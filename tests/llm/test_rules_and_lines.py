@@ -157,3 +157,26 @@ def test_a_wrong_mark_loses_no_text(spark, monkeypatch):
     found = lines.occurrences(frame)
     made = lines.shapes(found, _firsts(found), lines.rarity(frame))
     assert made.count() == made.select("id").distinct().count() == 11_000
+
+
+def test_a_crowd_is_counted_without_its_pairs(spark, monkeypatch):
+    """Links of a large group are exact, in number and lateness, and so are those to texts beside it; few pairs are made."""
+    import random
+    monkeypatch.setattr(lines, "CROWD", 32, raising=False)
+    monkeypatch.setattr(lines, "BLOCK", 48, raising=False)
+    rng, size, made, real = random.Random(10), 300, [], lines.links
+    monkeypatch.setattr(lines, "links", lambda *a: made.append(a[2].count()) or real(*a))
+    base, texts = [f"w{k}" for k in range(40)], []
+    for i in range(size):
+        line = base[:]
+        for k in rng.sample(range(40), rng.choice((1, 2, 2, 4))):
+            line[k] = f"x{i}_{k}"
+        texts.append(" ".join(line))
+    texts += [" ".join(base[:33] + [f"y{i}"]) for i in range(5)] + [" ".join(f"z{k}" for k in range(10 + i)) for i in range(4)] + texts[:3]
+    ids = rng.sample(range(10_000), len(texts))
+    distinct = {t: (set(t.split()), min(i for i, x in zip(ids, texts) if x == t)) for t in texts}
+    near = {t: [at for x, (s, at) in distinct.items() if x != t and 10 * len(own & s) >= 8 * len(own | s)] for t, (own, _) in distinct.items()}
+    out = lines.deduplicated(docs(spark, [(i, t, "en", "a", 1) for i, t in zip(ids, texts)])).select("doc.doc_id", "n_links", F.size("removed")).collect()
+    first = {t: at for t, (_, at) in distinct.items()}
+    assert {tuple(r) for r in out} == {(i, len(near[t]), int(i > first[t] or any(at < first[t] for at in near[t]))) for i, t in zip(ids, texts)}
+    assert sum(map(len, near.values())) > 60 * size and sum(made) < 0.2 * sum(map(len, near.values()))
