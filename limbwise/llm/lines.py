@@ -28,7 +28,7 @@ from limbwise.llm.components import components
 from limbwise.llm.words import GAP
 from limbwise.sources.workspace import cut
 
-BUCKETS, MARKS, WIDE = 1 << 19, 1 << 20, 80
+BUCKETS, MARKS, WIDE = 1 << 18, 1 << 20, 80
 KEYS, HUBS, FIRST = 4, 4, -(1 << 63)
 CROWD, BLOCK = 256, 256
 
