@@ -5,7 +5,7 @@ of (doc_id, line number) a line goes when an earlier line of any document matche
 
 Equal lines (by 128 bits of hash) are one text with its first place. Words are ordered by rarity: a byte of logarithm of the corpus count of
 each of ``BUCKETS`` hash buckets gives their order (a fixed-size table, whatever the vocabulary). Texts that
-match share a word among the first n - ceil(0.8 n) + 1 of each; those meet by equi-join, and are let through only if
+match share a word among the first n - ceil(0.8 n) + 1 of each; those meet by equi-join on the word and a class of lengths, and are let through only if
 their lengths, the places of the shared word, and a parity sketch of both sets (its differing bits are at
 most the differing words) allow 0.8; the sketch has 64 bits, 128 where both have more than ``WIDE`` words. The pairs left are verified on their words.
 Where many near copies crowd together their links are counted without making the pairs: see ``counted_links``. Hot lines are
@@ -29,8 +29,9 @@ from limbwise.llm.words import GAP
 from limbwise.sources.workspace import cut
 
 BUCKETS, MARKS, WIDE = 1 << 18, 1 << 20, 80
-KEYS, HUBS, FIRST = 4, 4, -(1 << 63)
-CROWD, BLOCK = 256, 256
+KEYS, HUBS, FIRST = 2, 4, -(1 << 63)
+CROWD, GROUP, BLOCK = 256, 32, 256
+SPAN = 1.25 ** 3
 
 
 def _long(n: Column | int) -> Column:
@@ -68,13 +69,17 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.when(rare, F.split(line, GAP)).otherwise(F.split(line, " ")), "")
 
 
+def _bucket(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(BUCKETS - 1)
+
+
 def rarity(docs: DataFrame) -> Column:
-    """Rank of every hash bucket of words, the rarest first, as one constant of ``BUCKETS`` bytes below 128."""
+    """Rank of every hash bucket of words, the rarest first, as one constant array of ``BUCKETS`` numbers below 128."""
     counted = (docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(_words(F.col("line"))).alias("w"))
-               .groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n")).toArrow())
-    ranks = np.zeros(BUCKETS, np.uint8)
+               .groupBy(_bucket(F.col("w")).alias("bucket")).agg(F.count("*").alias("n")).toArrow())
+    ranks = np.zeros(BUCKETS, np.int64)
     ranks[counted["bucket"].to_numpy()] = np.minimum(4 * np.log2(1.0 + counted["n"].to_numpy()), 127)
-    return F.lit(ranks.tobytes())
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
 def document_key() -> Column:
@@ -82,32 +87,36 @@ def document_key() -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``id`` and ``check`` (hashes of the line), ``place`` (doc_id, key, line number) and ``line`` of every line that has a word."""
-    return (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), document_key().alias("key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    """``id`` and ``check`` (hashes of the line), ``place`` (doc_id, key, line number) and ``line`` of every line that has a word.
+
+    The key is made below the explode, so that the whole text is hashed once for a document and not once for a line.
+    """
+    return (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), document_key().alias("key"), "text")
+            .select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("at", "line"))
             .where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
             .select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("check"), F.struct("doc_id", "key", "at").alias("place"), "line"))
 
 
 def _tokens(line: Column, ranks: Column) -> Column:
     """Distinct words of a line as longs: rank of the bucket, then bits of the hash; ascending, so rarest first."""
-    rank = lambda h: F.ascii(F.substring(ranks, h.bitwiseAND(BUCKETS - 1).cast("int") + 1, 1).cast("string")).cast("bigint")
-    hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))))
+    rank = lambda w: F.coalesce(F.get(ranks, _bucket(w)), _long(0))
+    return F.sort_array(F.array_distinct(F.transform(_words(line), lambda w: F.shiftleft(rank(w), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8)))))
 
 
 def shaped(lines: DataFrame, ranks: Column) -> DataFrame:
-    """``id, check`` and ``shape`` of lines: the ``doc`` (``FIRST`` if null), ``n`` words, the halves ``s0`` and ``s1`` of the sketch and the ``prefix`` of tokens.
+    """``lines`` with ``shape`` for their ``line`` and place: the ``doc`` (``FIRST`` if null), ``n`` words, the halves ``s0`` and ``s1`` of the sketch, the ``prefix`` of tokens and ``keys``.
 
-    Up to ``WIDE`` words ``s0`` is the whole sketch folded to 64 bits, ``s1`` is 0. The one-element explodes make the tokens and halves once; the
-    optimizer would repeat them in each of the figures.
+    Up to ``WIDE`` words ``s0`` is the whole sketch folded to 64 bits, ``s1`` is 0. Keys are the ``KEYS`` least hashes of prefix tokens that are not the
+    rarest. What several figures use is a column of its own, as the optimizer leaves such a projection apart; its sort then runs on plain longs.
     """
-    n = F.size("t")
+    n, kept = F.size("t"), [c for c in lines.columns if c not in ("line", "place")]
     sketch = lambda tokens: F.aggregate(tokens, _long(0), lambda a, t: a.bitwiseXOR(_bit(t)))
-    made = lines.select("id", "check", F.coalesce("place.doc_id", _long(FIRST)).alias("doc"), F.explode(F.array(_tokens(F.col("line"), ranks))).alias("t"))
+    made = lines.select(*kept, F.coalesce("place.doc_id", _long(FIRST)).alias("doc"), _tokens(F.col("line"), ranks).alias("t"))
     half = F.when(n > WIDE, sketch(F.filter("t", lambda t: t.bitwiseAND(64) != 0))).otherwise(_long(0))
-    return made.select("id", "check", "doc", "t", F.explode(F.array(half)).alias("s1")).select("id", "check", F.struct(
-        "doc", n.alias("n"), sketch(F.col("t")).bitwiseXOR(F.col("s1")).alias("s0"), "s1",
-        F.slice("t", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1).alias("prefix")).alias("shape"))
+    prefix = F.slice("t", F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1)
+    keys = F.slice(F.sort_array(F.transform(F.filter("prefix", lambda t: F.shiftright(t, 56) > 4), lambda t: F.xxhash64(t))), 1, KEYS)
+    return (made.select(*kept, "doc", n.alias("n"), half.alias("s1"), sketch(F.col("t")).alias("s"), prefix.alias("prefix"))
+            .select(*kept, F.struct("doc", "n", F.col("s").bitwiseXOR(F.col("s1")).alias("s0"), "s1", "prefix", keys.alias("keys")).alias("shape")))
 
 
 def shapes(lines: DataFrame, texts: DataFrame, ranks: Column) -> DataFrame:
@@ -117,10 +126,10 @@ def shapes(lines: DataFrame, texts: DataFrame, ranks: Column) -> DataFrame:
     """
     repeated = marked(cut(texts.where("copies > 1").select("id"), "copied"), "id")(F.col("id"))
     firsts = cut(texts.where(repeated).select(F.xxhash64("id", "place").alias("first")), "firsts")
-    once = shaped(lines.where(~repeated), ranks)
-    again = (shaped(lines.where(repeated & marked(firsts, "first")(F.xxhash64("id", "place"))), ranks)
-             .groupBy("id", "check").agg(F.min("shape").alias("shape")))
-    return once.union(again).select("id", "shape.*")
+    needed = lines.where(~repeated | marked(firsts, "first")(F.xxhash64("id", "place")))
+    made = cut(shaped(needed.withColumn("again", repeated), ranks), "shapes")
+    again = made.where("again").groupBy("id", "check").agg(F.min("shape").alias("shape"))
+    return made.where("not again").select("id", "shape.*").union(again.select("id", "shape.*"))
 
 
 def prefix_rows(texts: DataFrame, *more: str) -> DataFrame:
@@ -139,32 +148,36 @@ def close() -> Column:
     return (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")) & (differ <= F.col("n_a") + F.col("n_b") - 2 * need())
 
 
+def size_classes() -> Column:
+    """Classes of lengths in which a prefix row of ``n`` words at ``pos`` is met: its own and, if it may be the shorter side of a match, that of 1.25 n words.
+
+    A class spans a factor of ``SPAN``. The shorter side of a match shares one of its first n - ceil(8 / 9 n) + 1 words.
+    """
+    of = lambda n: F.floor(F.log(SPAN, n)).cast("int")
+    own, longer = of(F.col("n").cast("double")), of(1.25 * F.col("n"))
+    return F.when((longer > own) & (9 * F.col("pos") <= F.col("n")), F.array(own, longer)).otherwise(F.array(own))
+
+
 def met(rows: DataFrame, wanted: Column | None = None) -> DataFrame:
     """Pairs (``a`` below ``b``) of different line texts that pass the prefix, length, position and sketch filters, and ``wanted`` of the columns of both.
 
-    All columns are used of both sides, so that one shuffle serves both.
+    They meet by a token and a class of lengths, so that a frequent token brings together only texts of about one length. All columns are used of
+    both sides, so that one shuffle serves both.
     """
+    others = [c for c in rows.columns if c != "token"]
+    rows = rows.select(*others, "token", F.explode(size_classes()).alias("size")).select(*others, F.xxhash64("token", "size").alias("key"))
     a, b = (rows.select(*[F.col(c).alias(f"{c}_{s}") for c in rows.columns]) for s in "ab")
     reach = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need()
-    on = (F.col("token_a") == F.col("token_b")) & (F.col("id_a") < F.col("id_b")) & close() & reach
-    return a.join(b, on if wanted is None else on & wanted).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-
-
-def least_keys(texts: DataFrame, tokens: Column, most: int) -> DataFrame:
-    """The ``most`` least hashes of the ``tokens`` of each text as ``key``."""
-    return texts.select("id", "n", "s0", "s1", "doc", F.explode(F.slice(F.sort_array(F.transform(tokens, lambda t: F.xxhash64(t))), 1, most)).alias("key"))
-
-
-def hub_pairs(texts: DataFrame) -> DataFrame:
-    """Pairs of a text and a close one among the ``HUBS`` first of those that share one of its ``KEYS`` keys, the least hashes of its prefix tokens."""
-    return met_hubs(least_keys(texts, F.col("prefix"), KEYS))
+    longer = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
+    on = (F.col("key_a") == F.col("key_b")) & longer & close() & reach
+    return a.join(b, on if wanted is None else on & wanted).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
-def crowd_pairs(texts: DataFrame) -> DataFrame:
-    """``hub_pairs`` only for keys of more than ``CROWD`` texts, made of tokens that are not the rarest; each text has two keys."""
-    keys = least_keys(texts, F.filter("prefix", lambda t: F.shiftright(t, 56) > 4), 2)
-    crowded = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"), "crowded")
-    return met_hubs(keys.where(marked(crowded, "key")(F.col("key"))))
+def crowd_pairs(texts: DataFrame, most: int) -> DataFrame:
+    """Pairs of a text and a close one among the ``HUBS`` first of those that share a key with it, for keys of more than ``most`` texts."""
+    keys = texts.select(F.explode("keys").alias("key"))
+    crowded = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key"), "crowded")
+    return met_hubs(texts.select("id", "n", "s0", "s1", "doc", F.explode("keys").alias("key")).where(marked(crowded, "key")(F.col("key"))))
 
 
 def met_hubs(keys: DataFrame) -> DataFrame:
@@ -178,11 +191,11 @@ def met_hubs(keys: DataFrame) -> DataFrame:
 def late_links(lines: DataFrame, texts: DataFrame, ranks: Column) -> DataFrame:
     """Links enough to tell of every line text whether an earlier one matches it, without all pairs of a group of near copies.
 
-    First every text meets a few hubs, early texts that share a key with it. What a hub proves to be late is settled; the texts that are
-    still open then meet all that may be earlier than they.
+    First the texts of a key shared by more than ``GROUP`` meet a few hubs, early texts that share it. What a hub proves to be late is settled; the
+    texts that are still open then meet all that may be earlier than they.
     """
-    stored = cut(shapes(lines, texts, ranks), "shapes")
-    proved = links(lines, texts, cut(hub_pairs(stored), "pairs"))
+    stored = shapes(lines, texts, ranks)
+    proved = links(lines, texts, cut(crowd_pairs(stored, GROUP), "pairs"))
     late = F.when(F.col("place_b") < F.col("place_a"), F.col("a.id")).otherwise(F.col("b.id"))
     settled = cut(proved.select(late.alias("id")).distinct(), "settled")
     perhaps = marked(settled, "id")(F.col("id"))
@@ -195,21 +208,20 @@ def late_links(lines: DataFrame, texts: DataFrame, ranks: Column) -> DataFrame:
 def counted_links(lines: DataFrame, texts: DataFrame, ranks: Column) -> DataFrame:
     """``id``, ``check``, the number of all ``links`` and ``late`` (is there a link to an earlier text) of every line text that has one.
 
-    Texts of crowded keys meet a few hubs; what these prove makes components. Links inside a component are counted block by block, with no row
+    Texts of crowded keys meet a few hubs; those that are close make components. Links inside a component are counted block by block, with no row
     for a pair; only texts that are not of one component meet by the prefix join.
     """
-    stored = cut(shapes(lines, texts, ranks), "shapes")
-    pairs = cut(crowd_pairs(stored), "pairs")
-    crowd = cut(worded(lines, texts, ends(pairs)), "lines")
-    proved = verified(crowd, pairs)
-    labels = cut(components(proved.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))).withColumnRenamed("node", "id"), "labels")
+    stored = shapes(lines, texts, ranks)
+    labels = cut(components(crowd_pairs(stored, CROWD).select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "id"), "labels")
     perhaps = marked(labels, "id")(F.col("id"))
     labelled = stored.where(~perhaps).withColumn("label", F.lit(None).cast("bigint")).union(stored.where(perhaps).join(labels, "id", "left").select(*stored.columns, "label"))
     apart = F.col("label_a").isNull() | F.col("label_b").isNull() | (F.col("label_a") != F.col("label_b"))
-    found = links(lines, texts, cut(met(prefix_rows(labelled, "label"), apart), "pairs"))
+    pairs = cut(met(prefix_rows(labelled, "label"), apart), "pairs")
+    words = cut(worded(lines, texts, cut(ends(pairs).union(labels.select("id")).distinct(), "needed")), "lines")
+    found = links(lines, texts, pairs, words)
     both = found.select("a.*", F.lit(1).alias("links"), (F.col("place_b") < F.col("place_a")).alias("late")).union(
         found.select("b.*", F.lit(1), F.col("place_a") < F.col("place_b")))
-    inside = counted_inside(crowd.join(labels, "id"))
+    inside = counted_inside(words.join(labels, "id"))
     return both.union(inside).groupBy("id", "check").agg(F.sum("links").alias("links"), F.max("late").alias("late")).where("links > 0")
 
 
@@ -222,7 +234,8 @@ def counted_inside(members: DataFrame) -> DataFrame:
     none = F.lit(None).cast(dealt.schema["t"].dataType)
     sides = dealt.select("label", F.col("own").alias("i"), F.explode("all").alias("j"), F.col("t").alias("x"), none.alias("y")).union(
         dealt.select("label", F.explode("all").alias("i"), F.col("own").alias("j"), none.alias("x"), F.col("t").alias("y")))
-    blocks = sides.groupBy("label", "i", "j").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said, as few bytes make long work here and would be put into one task
+    blocks = sides.repartition(tasks, "label", "i", "j").groupBy("label", "i", "j").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
 
     def match(x: Column, y: Column) -> Column:
         n, m = F.size(x["words"]), F.size(y["words"])
@@ -234,19 +247,23 @@ def counted_inside(members: DataFrame) -> DataFrame:
 
 
 def worded(lines: DataFrame, texts: DataFrame, needed: DataFrame) -> DataFrame:
-    """``id, check``, first ``place`` and distinct ``words`` of the line texts whose ``id`` is in the stored ``needed``."""
-    return (lines.where(marked(needed, "id")(F.col("id"))).groupBy("id", "check").agg(F.first("line").alias("line")).join(needed, "id")
-            .join(texts.select("id", "check", "place"), ["id", "check"]).select("id", "check", "place", F.array_distinct(_words(F.col("line"))).alias("words")))
+    """``id, check``, first ``place`` and hashes of the distinct ``words`` of the line texts whose ``id`` is in the stored ``needed``."""
+    perhaps = marked(needed, "id")(F.col("id"))
+    wanted = texts.where(perhaps).join(needed, "id").select("id", "check", "place")
+    return (lines.where(perhaps).groupBy("id", "check").agg(F.first("line").alias("line")).join(wanted, ["id", "check"])
+            .select("id", "check", "place", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("words")))
 
 
 def ends(pairs: DataFrame) -> DataFrame:
-    """The ``id`` of every text of the pairs, stored."""
-    return cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
+    """The ``id`` of every text of the pairs."""
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
 
 
-def links(lines: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) of line texts, as (id, check), that are similar enough on their words, with their first places."""
-    return verified(cut(worded(lines, texts, ends(pairs)), "lines"), pairs)
+def links(lines: DataFrame, texts: DataFrame, pairs: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """The pairs (``a``, ``b``) of line texts, as (id, check), that are similar enough on their ``words``, with their first places."""
+    if words is None:
+        words = cut(worded(lines, texts, cut(ends(pairs).distinct(), "needed")), "lines")
+    return verified(words, pairs)
 
 
 def verified(found: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -180,3 +180,29 @@ def test_a_crowd_is_counted_without_its_pairs(spark, monkeypatch):
     first = {t: at for t, (_, at) in distinct.items()}
     assert {tuple(r) for r in out} == {(i, len(near[t]), int(i > first[t] or any(at < first[t] for at in near[t]))) for i, t in zip(ids, texts)}
     assert sum(map(len, near.values())) > 60 * size and sum(made) < 0.2 * sum(map(len, near.values()))
+
+
+def test_texts_meet_by_word_and_length(spark):
+    """Every pair of lengths that can match meets in a class, on the prefix of the shorter side; lengths far apart do not."""
+    rows = spark.range(1, 500).select(F.col("id").cast("int").alias("n")).select("n", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 5).cast("int"))).alias("pos"))
+    found = {(r["n"], r["pos"]): r["s"] for r in rows.select("n", "pos", lines.size_classes().alias("s")).collect()}
+    for n in range(1, 400):
+        for m in range(n, 5 * n // 4 + 1):
+            assert all(found[m, 0][0] in found[n, pos] for pos in range(n // 9 + 1))
+        assert all(len(found[n, pos]) == 1 for pos in range(n // 9 + 1, n // 5 + 1))
+    own = [found[n, 0][0] for n in range(1, 500)]
+    assert own == sorted(own) and len(set(own)) > 8 and not set(found[50, 0]) & set(found[120, 0])
+    frame = docs(spark, [(i, " ".join(["shared"] + [f"u{i}_{k}" for k in range(i % 90)]), "en", "a", 1) for i in range(180)])
+    made = lines.met(lines.prefix_rows(lines.shapes(found := lines.occurrences(frame), _firsts(found), lines.rarity(frame))))
+    assert "size" in made._jdf.queryExecution().optimizedPlan().toString() and made.count() == 0
+
+
+def test_plans_do_costly_work_once(spark):
+    """A text is hashed below the explode of its lines, and tokens are made in a projection, not in a generator that runs without generated code."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = lambda found, what: next(i for i, x in enumerate(found) if what in x)
+    found = lines.occurrences(docs(spark))
+    lined = plan(found.select("place"))
+    assert at(lined, "Generate posexplode") < at(lined, "xxhash64(doc_id")
+    made = plan(lines.shaped(found.select("id", "check", "place", "line"), lines.rarity(docs(spark))))
+    assert sum("Generate" in x for x in made) == 1 and sum(x.count("sort_array(array_distinct(") for x in made) == 1
