@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from limbwise.llm import bpe, extract, mixing, neighbours
+from limbwise.llm.words import word_array, word_count
 from tests.llm.cases import ROWS, crowded, docs, words
 
 SF = "/root/testdata/sf0.001"
@@ -213,3 +214,12 @@ def test_pipeline_takes_odd_rows(spark):
     empty = docs(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_words_without_a_pattern(spark):
+    """Words and their number as bytes.split() has them, for every white space; the usual text is split at blanks only."""
+    texts = ["", " ", "a", "\n\n a  b\nc \n", "tab\there", "v\x0bf\x0cr\rn\n", "no\u00a0break\u2003space\x1cx\x85y", "ä\n\nö ü", None, "a\r\nb"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for text, found, n in frame.select("text", word_array(F.col("text")), word_count(F.col("text"))).collect():
+        assert [w.encode() for w in found] == words(text) and n == len(words(text))
+    assert "regexp_replace" not in frame.select(word_count(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
